@@ -1,8 +1,57 @@
-"""The corpus pipeline: quality classifier, exact dedup, near-dedup, secret scan, packing."""
+"""The corpus pipeline over ``documents``: quality classifier, exact dedup, SimHash near-dedup, secret scans, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns one row per packed piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from titrant.llm import exact_dedup, packing, quality, secrets, simhash
+from titrant.llm.common import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts; it learns from the rows of ``docs`` that ``labels`` marks."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with most code points, then the smallest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return simhash.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its sequence and offset."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: A convolutional network and a random forest are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

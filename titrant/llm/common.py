@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` with null read as the empty text, and the columns named in ``more``."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

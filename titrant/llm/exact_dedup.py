@@ -11,7 +11,9 @@ Every shuffle carries digests, never texts, and is pre-aggregated, so a group of
 row per upstream task. Digests are uniform, so buckets have near equal size whatever the skew of the texts.
 
 Cases: null text counts as empty and all empty texts are one group; of equal texts the one with most code points in the
-original text, then the smallest doc_id, stays; an empty table gives an empty result; other columns are ignored.
+original text, then the smallest doc_id, stays, a null doc_id being the smallest; rows that repeat both doc_id and text
+are all marked kept, and ``drop_copies`` leaves one of them; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from .common import texts, written
 
 BUCKET_KEYS = 1024  # digests to a bucket, on average
 GAMMA = 1.7  # places of a level to a key
+NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, digest (32 bytes) of the text without white space, n (code points of the original text)."""
     bare = F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")
-    return texts(docs).select("doc_id", F.unhex(F.sha2(bare, 256)).alias("digest"), F.char_length("text").alias("n"))
+    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.char_length("text").alias("n"))
 
 
 def _mix(words: np.ndarray, level: int) -> np.ndarray:
@@ -124,13 +127,14 @@ def group_copies(docs: DataFrame, history: str = "pmod(xxhash64(doc_id), 2) = 0"
     arrivals = groups.where("not old")
     merged = arrivals.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_merge, "digest binary, n long, keep_id long, size long, member boolean")
     out = prints.join(merged.withColumnRenamed("digest", "key"), F.col("digest") == F.col("key"))
-    return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    shown = [F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c) for c in ("doc_id", "keep_id")]
+    return out.select(*shown, F.col("size").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which no better equal one exists, with all their columns."""
+    """The documents of which no better equal one exists, with all their columns; one row for each doc_id."""
     kept = group_copies(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 ORACLE_SQL = r"""

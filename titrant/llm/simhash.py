@@ -14,7 +14,7 @@ of near copies is; long lists are probed with the 136 masks of one or two bits i
 one link to the smallest member of each of its local components, so links stay linear in the rows.
 
 Cases: null and blank texts have fingerprint zero and link like any other; equal texts are one fingerprint, handled once;
-an empty table gives an empty result; other columns are ignored.
+a component of null doc_ids only has a null component_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,6 +142,6 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    kept = near_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One document of each component, the one with the smallest doc_id, with all its columns; one row for each doc_id."""
+    kept = near_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
