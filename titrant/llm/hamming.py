@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id
     asked = written(codes(queries, key, vector), "query_codes")
     distinct = asked.select("code").distinct()
     blocks = max(1, -(-distinct.count() // (QUERIES // 2)))
-    spread = coded.coalesce(max(1, -(-coded.count() // (BLOCK // 8))))
+    spread = coded.coalesce(max(1, -(-coded.count() // (BLOCK // 2))))
 
     def part(block: int) -> DataFrame:
         own = np.array([r[0] for r in distinct.where(F.expr(f"pmod(xxhash64(code), {blocks})") == block).collect()], np.int64).view(np.uint64)
