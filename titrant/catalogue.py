@@ -1,4 +1,657 @@
-"""The registered queries over the driver's tables and the SQL that says the same."""
+"""The registered queries over the driver's tables and the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Inputs that the tables lack (names, printed ranges, flags) are composed from their columns by expressions that both
+engines read alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ranges as R
+from .functions import text as X
+from .operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify
+from .plans.reports import manual_entry
+from .sources.tables import table, text_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """An SQL table of literals."""
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") AS {names}"
+
+
+def listed(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def sql_alias(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+def sql_canonical(c: str) -> str:
+    noted = f"regexp_replace({c}, '{X.IN_SPECIMEN[4:]}', ' ', 'gi')"
+    as_id = lambda x: f"trim(regexp_replace(upper({x}), '[^A-Z0-9]+', '_', 'g'), '_')"
+    bare = as_id(f"regexp_replace({noted}, '{X.QUALIFIERS[4:]}', ' ', 'gi')")
+    return f"coalesce(nullif(CASE WHEN {bare} IN ('RBC', 'WBC') AND regexp_matches({c}, '{X.URINE_WORD}') THEN {as_id(noted)} ELSE {bare} END, ''), 'UNKNOWN_TEST')"
+
+
+def sql_tokens(c: str, least: int, stop: tuple[str, ...]) -> str:
+    return f"list_filter(list_distinct(list_transform(regexp_extract_all(lower(coalesce({c}, '')), '[a-z]{{{least},}}'), lambda w: regexp_replace(w, 's$', ''))), lambda w: NOT list_contains({listed(stop)}, w))"
+
+
+def sql_plain(c: str, side: str) -> str:
+    one = lambda p, g: f"try_cast(regexp_extract({c}, '{p}', {g}) AS DOUBLE)"
+    has = lambda p: f"regexp_matches({c}, '{p}')"
+    if side == "lo":
+        return f"CASE WHEN {has(R.RANGE)} THEN {one(R.RANGE, 1)} WHEN {has(R.BELOW)} THEN NULL WHEN {has(R.ABOVE)} THEN {one(R.ABOVE, 1)} END"
+    return f"CASE WHEN {has(R.RANGE)} THEN {one(R.RANGE, 2)} WHEN {has(R.BELOW)} THEN {one(R.BELOW, 1)} END"
+
+
+ALIAS_ROWS = sorted({**{r[1].lower().replace(" ", "_"): r[0] for r in dims.RANGES}, **{k: t for t, keys in dims.ALIASES.items() for k in keys.split()}}.items())
+SQL_ALIASES = f"aliases AS (SELECT * FROM {values(ALIAS_ROWS, 'v(k, t)')})"
+Q = "CAST(CAST(l_quantity AS INT) AS STRING)"
+QN = "CAST(CAST(l_quantity AS INT) + {n} AS STRING)"
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINE_SQL = ", ".join(LINE)
+
+EVENT_RANGES = [("signup", 50.0, 100.0), ("click", None, 120.0), ("view", 20.0, None), ("purchase", 10.0, 300.0), ("error", None, None)]
+
+
+@query(f"""
+SELECT event_type, status, count(*) AS n FROM (
+  SELECT e.event_type, CASE WHEN r.lo IS NULL AND r.hi IS NULL THEN 'unknown' WHEN e.value < r.lo THEN 'low' WHEN e.value > r.hi THEN 'high' ELSE 'normal' END AS status
+  FROM events e JOIN {values(EVENT_RANGES, 'r(event_type, lo, hi)')} ON e.event_type = r.event_type)
+GROUP BY 1, 2""")
+def status_by_event_type(spark, sf_dir):
+    ref = spark.createDataFrame(EVENT_RANGES, "event_type string, lo double, hi double")
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("value").cast("string").alias("value")).join(F.broadcast(ref), "event_type")
+    none = F.lit(None).cast("string")
+    state = R.status("value", F.lit(None).cast(R.BOUNDS), F.col("lo"), F.col("hi"), none)
+    return rows.select("event_type", state.alias("status")).groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT p_partkey, {sql_alias('p_brand || chr(32) || p_name')} AS alias_key FROM part")
+def alias_key_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.alias_key(F.expr("p_brand || ' ' || p_name")).alias("alias_key"))
+
+
+NAMED = "CASE p_partkey % 7 WHEN 0 THEN 'Serum ' || p_name WHEN 1 THEN p_name || ' (24 hours)' WHEN 2 THEN 'Urinary RBC' WHEN 3 THEN p_name || ' [In Urine]' WHEN 4 THEN p_name || ', Plasma Qualitative' WHEN 5 THEN 'RBC' ELSE '' END"
+
+
+@query(f"SELECT p_partkey, {sql_canonical('x')} AS canonical FROM (SELECT p_partkey, {NAMED} AS x FROM part)")
+def canonical_name(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.canonical_name(F.expr(NAMED)).alias("canonical"))
+
+
+REPORT_NAMES = ["Hb", "Creatinine, Serum", "Glucose (Plasma)", "nonsense_test", "White Blood Cell Count", "Vitamin D", "Urine Protein", "Total Cholesterol", "HbA1c", "Blood Group", "Random thing [In Urine]"]
+REPORT_NAME = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(REPORT_NAMES)) + " END"
+
+
+@query(f"""
+WITH {SQL_ALIASES}, n AS (SELECT p_partkey, {REPORT_NAME} AS raw_name FROM part), c AS (SELECT *, {sql_canonical('raw_name')} AS canonical FROM n)
+SELECT p_partkey, raw_name, coalesce(a.t, b.t, canonical) AS test_id, coalesce(a.t, b.t) IS NOT NULL AS known
+FROM c LEFT JOIN aliases a ON a.k = {sql_alias('raw_name')} LEFT JOIN aliases b ON b.k = {sql_alias('canonical')}""")
+def alias_resolve_two_step(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(REPORT_NAME).alias("raw_name"))
+    return dims.resolve(rows, dims.aliases(spark, dims.reference(spark)))
+
+
+GROUND = "CASE p_partkey % 5 WHEN 0 THEN 'TIBC' WHEN 1 THEN 'BILIRUBIN' WHEN 2 THEN 'GLUCOSE' WHEN 3 THEN 'TC_HDL_RATIO' ELSE 'HGB' END"
+SPECIMEN = "CASE WHEN p_partkey % 2 = 0 THEN 'urine' END"
+
+
+@query(f"""
+SELECT p_partkey, p.test_id, specimen, coalesce(s.g, r.g, p.test_id) AS grounding_id
+FROM (SELECT p_partkey, {GROUND} AS test_id, {SPECIMEN} AS specimen FROM part) p
+LEFT JOIN {values([(t, s, g) for (t, s), g in dims.SPECIMEN_REDIRECTS.items()], 's(t, s, g)')} ON p.test_id = s.t AND p.specimen = s.s
+LEFT JOIN {values(list(dims.REDIRECTS.items()), 'r(t, g)')} ON p.test_id = r.t""")
+def grounding_redirect(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(GROUND).alias("test_id"), F.expr(SPECIMEN).alias("specimen"))
+    return dims.ground(rows, spark)
+
+
+SIMPLE = f"CASE l_linenumber % 6 WHEN 0 THEN {Q} || ' - ' || {QN.format(n=10)} WHEN 1 THEN '< ' || {Q} WHEN 2 THEN '≥ ' || {Q} || ' units' WHEN 3 THEN {Q} || ' .5 - ' || {QN.format(n=3)} || '.0 pH' WHEN 4 THEN 'Negative' ELSE {Q} || '.7% - ' || {QN.format(n=2)} || '.4%' END"
+
+
+@query(f"""
+WITH s AS (SELECT {LINE_SQL}, regexp_replace({SIMPLE}, '{R.STRAY_POINT}', '\\1.\\2', 'g') AS c FROM lineitem)
+SELECT {LINE_SQL}, {sql_plain('c', 'lo')} AS lo, {sql_plain('c', 'hi')} AS hi FROM s""")
+def range_parse_simple(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LINE, R.parse_range(F.expr(SIMPLE)).alias("b")).select(*LINE, "b.lo", "b.hi")
+
+
+BANDS = (
+    f"CASE l_linenumber % 5 WHEN 0 THEN 'Desirable: < ' || {Q} || ' Borderline: ' || {Q} || ' - ' || {QN.format(n=10)} || ' High: > ' || {QN.format(n=10)} "
+    f"WHEN 1 THEN 'Low: < ' || {Q} || ' High: > ' || {QN.format(n=20)} WHEN 2 THEN 'Deficiency: < ' || {Q} || ' Insufficiency: ' || {Q} || ' - ' || {QN.format(n=5)} || ' Sufficiency: ' || {QN.format(n=5)} || ' - ' || {QN.format(n=50)} "
+    f"WHEN 3 THEN 'Deficient: < ' || {Q} || ' Toxic: > ' || {QN.format(n=50)} ELSE 'Normal: ' || {Q} || ' - ' || {QN.format(n=1)} END"
+)
+
+
+@query(f"""
+WITH s AS (SELECT {LINE_SQL}, {BANDS} AS c, string_split({BANDS}, ':') AS p FROM lineitem),
+l AS (SELECT *, list_transform(p[:-2], lambda x: lower(trim(regexp_extract(x, '[A-Za-z][A-Za-z /-]*$')))) AS labels FROM s),
+h AS (SELECT *, p[list_position(list_transform(labels, lambda x: regexp_matches(x, '{R.HEALTHY_LABEL}')), true) + 1] AS healthy, list_sort(labels) = ['high', 'low'] AS protective FROM l),
+c AS (SELECT *, len(labels) >= 2 AND healthy IS NOT NULL AS banded FROM h)
+SELECT {LINE_SQL},
+  CASE WHEN banded THEN {sql_plain('healthy', 'lo')} WHEN protective THEN try_cast(regexp_extract(p[list_position(labels, 'low') + 1], '{R.BELOW}', 1) AS DOUBLE) ELSE {sql_plain('c', 'lo')} END AS lo,
+  CASE WHEN banded THEN {sql_plain('healthy', 'hi')} WHEN protective THEN NULL ELSE {sql_plain('c', 'hi')} END AS hi
+FROM c""")
+def range_parse_bands(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LINE, R.parse_range(F.expr(BANDS)).alias("b")).select(*LINE, "b.lo", "b.hi")
+
+
+REVIEWED = f"CASE WHEN l_linenumber % 2 = 0 THEN {Q} ELSE {QN.format(n=1)} END"
+REVIEW_RANGE = f"{Q} || ' - ' || {QN.format(n=7)}"
+
+
+@query(f"""
+SELECT {LINE_SQL}, list_contains(list_transform(regexp_extract_all(r, '-?\\d+\\.?\\d*'), lambda x: x::DOUBLE), v::DOUBLE) AS needs_review
+FROM (SELECT {LINE_SQL}, {REVIEWED} AS v, {REVIEW_RANGE} AS r FROM lineitem)""")
+def boundary_review_flag(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LINE, R.on_boundary(F.expr(REVIEWED), F.expr(REVIEW_RANGE)).alias("needs_review"))
+
+
+FLAGGED = f"CASE l_linenumber % 6 WHEN 0 THEN 'H ' || {Q} || '.0' WHEN 1 THEN 'H' || {Q} WHEN 2 THEN {Q} || '-' || {QN.format(n=2)} WHEN 3 THEN 'Present (+)' WHEN 4 THEN {Q} || '.5 L' ELSE 'MD Path' END"
+FLAGGED_NAME = "CASE l_linenumber % 3 WHEN 0 THEN 'HbA1c H' WHEN 1 THEN 'Urea L' ELSE 'Creatinine, Serum' END"
+
+
+@query(f"""
+WITH s AS (SELECT {LINE_SQL}, regexp_replace({FLAGGED}, '{X.TRAILING_MARK}', '') AS u, {FLAGGED_NAME} AS n FROM lineitem),
+a AS (SELECT *, trim(regexp_replace(u, '{X.FLAG}', ' ', 'g')) AS v FROM s),
+g AS (SELECT *, regexp_matches(v, '^[HL]\\d') AS glued FROM a),
+c AS (SELECT *, CASE WHEN glued THEN v[2:] ELSE v END AS value, coalesce(nullif(regexp_extract(u, '{X.FLAG}', 1), ''), CASE WHEN glued THEN v[1:1] END) AS flag, nullif(regexp_extract(n, '\\s+([HL])$', 1), '') AS name_flag FROM g)
+SELECT {LINE_SQL}, CASE WHEN regexp_matches(value, '{X.COUNT_RANGE}') THEN regexp_extract(value, '{X.COUNT_RANGE}', 2) ELSE value END AS value, flag,
+  regexp_replace(n, '\\s+[HL]$', '') AS name, name_flag,
+  regexp_matches(value, '^-?\\d+\\.?\\d*$') OR regexp_matches(value, '{X.COUNT_RANGE}') OR list_contains({listed(X.QUALITATIVE)}, lower(value)) AS is_value
+FROM c""")
+def value_flag_clean(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, X.clean_value(F.expr(FLAGGED)).alias("v"), X.split_name_flag(F.expr(FLAGGED_NAME)).alias("n"))
+    rows = rows.select(*LINE, "v.value", "v.flag", "n.name", F.col("n.flag").alias("name_flag"))
+    return rows.withColumns({"is_value": X.is_result_value("value", "name"), "value": X.stored_value("value", "name")})
+
+
+FOOTED = f"CASE l_linenumber % 4 WHEN 0 THEN {Q} || ' - ' || {QN.format(n=5)} || ' Dr.Sam Page 1 of 19' WHEN 1 THEN {Q} || ' - ' || {QN.format(n=5)} || ' Page 4 of 19 # Referred Test' WHEN 2 THEN '< ' || {Q} ELSE 'x MD Path end' END"
+
+
+@query(f"SELECT {LINE_SQL}, trim(regexp_replace({FOOTED}, '{X.FOOTER}', '')) AS ref_range FROM lineitem")
+def footer_strip(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LINE, X.strip_footer(F.expr(FOOTED)).alias("ref_range"))
+
+
+UNIT = f"CASE WHEN l_linenumber % 2 = 0 THEN '% ' || {Q} || ' - ' || {QN.format(n=9)} ELSE 'g/dL' END"
+
+
+@query(f"""
+SELECT {LINE_SQL}, CASE WHEN regexp_matches(u, '{X.UNIT_WITH_RANGE}') THEN regexp_extract(u, '{X.UNIT_WITH_RANGE}', 1) ELSE u END AS unit,
+  CASE WHEN regexp_matches(u, '{X.UNIT_WITH_RANGE}') THEN regexp_extract(u, '{X.UNIT_WITH_RANGE}', 2) ELSE '7 /cmm' END AS ref_range
+FROM (SELECT {LINE_SQL}, {UNIT} AS u FROM lineitem)""")
+def unit_range_split(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LINE, X.split_unit_range(F.expr(UNIT), F.lit("7 /cmm")).alias("u")).select(*LINE, "u.unit", "u.ref_range")
+
+
+@query("""
+WITH d AS (SELECT d.doc_id, lang, lower(substr(text, 1, 200)) AS f, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT doc_id, quality, first_seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, f ORDER BY quality IS NULL, -coalesce(quality, 0), doc_id) AS k, min(doc_id) OVER (PARTITION BY lang, f) AS first_seq FROM d)
+WHERE k = 1""")
+def best_record_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", results.fingerprint("text").alias("f"), "quality")
+    best = results.best_record(rows, ["lang", "f"], [F.col("quality").isNull(), -F.coalesce("quality", F.lit(0))], "doc_id")
+    return best.select("doc_id", "quality", "first_seq")
+
+
+@query("""
+SELECT doc_id, length(f) AS n FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS f, row_number() OVER (PARTITION BY lower(substr(text, 1, 200)) ORDER BY doc_id) AS k FROM documents) WHERE k = 1""")
+def fingerprint_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", results.fingerprint("text").alias("f"))
+    return results.first_wins(rows, ["f"], "doc_id").select("doc_id", F.length("f").cast("long").alias("n"))
+
+
+@query(f"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '{corpus.BOILERPLATE}')) AS n_boilerplate
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+def boilerplate_lines(spark, sf_dir):
+    rows = text_lines(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").rlike(corpus.BOILERPLATE)).alias("n_boilerplate"))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+f AS (
+  SELECT doc_id, n, p, 0 AS i, '' AS buf, 0 AS done, 0 AS total, 0 AS longest FROM s WHERE n > 1100
+  UNION ALL
+  SELECT doc_id, n, p, i + 1, CASE WHEN c THEN x ELSE trim(buf || ' ' || x, chr(32) || chr(9) || chr(10) || chr(13)) END,
+         done + c::INT, total + CASE WHEN c THEN length(trim(buf, chr(32) || chr(9) || chr(10) || chr(13))) ELSE 0 END,
+         greatest(longest, CASE WHEN c THEN length(trim(buf, chr(32) || chr(9) || chr(10) || chr(13))) ELSE 0 END)
+  FROM (SELECT *, p[i + 1] AS x, buf <> '' AND length(buf) + length(p[i + 1]) + 1 > 1100 AS c FROM f WHERE i < len(p)))
+SELECT doc_id, (done + (buf <> '')::INT)::BIGINT AS n_chunks, (total + length(buf))::BIGINT AS total_chars, greatest(longest, length(buf))::BIGINT AS longest FROM f WHERE i = len(p)
+UNION ALL SELECT doc_id, 1, n, n FROM s WHERE n <= 1100""")
+def sentence_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", corpus.split_long("text").alias("c")).select("doc_id", F.transform("c", F.length).alias("n"))
+    return rows.select("doc_id", F.size("n").cast("long").alias("n_chunks"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_chars"), F.array_max("n").cast("long").alias("longest"))
+
+
+MARKED = "CASE WHEN role = 'user' THEN '--- PAGE ' || CAST(turn + 1 AS STRING) || ' ---' ELSE text END"
+
+
+@query("""
+SELECT doc_id, line_no, page FROM (
+  SELECT conv_id AS doc_id, turn AS line_no, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn + 1 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS page FROM conversations)
+WHERE role <> 'user'""")
+def page_marker_fill(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.expr(MARKED).alias("line"))
+    return extract.carry_page(rows).select("doc_id", "line_no", "page")
+
+
+@query("""
+SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS header FROM events""")
+def header_fill(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    head = F.when(F.col("event_type") == "signup", F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", F.last(head, ignorenulls=True).over(order).alias("header"))
+
+
+@query("""
+WITH r AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, min(turn) AS turn, md5(trim(string_agg(text, ' ' ORDER BY turn), ' ' || chr(10))) AS merged FROM r WHERE k > 0 GROUP BY conv_id, k""")
+def continuation_merge(spark, sf_dir):
+    out = results.merge_continuations(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", "text")
+    return out.select("conv_id", "turn", F.md5("text").alias("merged"))
+
+
+@query("""
+SELECT l_orderkey, round_even(l_quantity / 2.5, 0)::BIGINT AS line, string_agg(l_linenumber::VARCHAR, ' ' ORDER BY l_extendedprice, l_linenumber) AS words FROM lineitem GROUP BY 1, 2""")
+def line_bucketing(spark, sf_dir):
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("string").alias("text"), F.col("l_extendedprice").alias("x0"), F.col("l_extendedprice").alias("x1"), F.col("l_quantity").alias("top"), F.lit(True).alias("upright"), F.lit(1e12).alias("page_width"))
+    return extract.visual_lines(words).select(F.col("doc_id").alias("l_orderkey"), "line", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("words"))
+
+
+COLUMN_STARTS = [("test", 1000.0), ("result", 20000.0), ("unit", 40000.0), ("ref", 60000.0)]
+
+
+@query(f"""
+SELECT {LINE_SQL}, coalesce((SELECT arg_max(role, x) FROM {values(COLUMN_STARTS, 'c(role, x)')} WHERE x <= l_extendedprice + 6), 'test') AS role FROM lineitem""")
+def asof_column_assign(spark, sf_dir):
+    cols = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(r).alias("role")) for r, x in COLUMN_STARTS))
+    return table(spark, sf_dir, "lineitem").select(*LINE, extract.column_of(F.col("l_extendedprice"), cols).alias("role"))
+
+
+@query("SELECT DISTINCT 'L' || label::VARCHAR AS tag, vec_id AS item FROM embeddings UNION SELECT DISTINCT 'P' || (vec_id % 7)::VARCHAR, vec_id FROM embeddings")
+def tag_inverted_index(spark, sf_dir):
+    tags = F.expr("array('L' || cast(label as string), 'P' || cast(vec_id % 7 as string), 'L' || cast(label as string))")
+    return retrieve.tag_index(table(spark, sf_dir, "embeddings"), tags, "vec_id")
+
+
+SQL_SIMILAR = """
+q AS (SELECT vec_id AS query_id, label AS q_label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT query_id, id, q_label, label, round(list_inner_product(q.v, d.v), 12) AS similarity FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)"""
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    all_ = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return all_, all_.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+@query(f"WITH {SQL_SIMILAR} SELECT query_id, id, rank::INTEGER AS rank, round(similarity, 4) AS similarity FROM r WHERE rank <= 15")
+def topk_cosine(spark, sf_dir):
+    chunks, queries = vectors(spark, sf_dir)
+    return retrieve.top_k(chunks, queries, retrieve.fetch_size(3)).select("query_id", "id", "rank", F.round("similarity", 4).alias("similarity"))
+
+
+@query(f"""
+WITH {SQL_SIMILAR},
+c AS (SELECT query_id, id, similarity, rank AS pos FROM r WHERE rank <= 15 UNION ALL SELECT query_id, id, similarity, id + 1099511627776 FROM r WHERE rank > 15 AND id // 5 = query_id // 5),
+t AS (SELECT *, id // 5 = query_id // 5 AS tagged, similarity + CASE WHEN id // 5 = query_id // 5 THEN 0.15 ELSE 0 END AS score FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 7, id % 3 ORDER BY score DESC, pos) AS uniq FROM t WHERE tagged OR score >= 0.55),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS place FROM o WHERE uniq = 1)
+SELECT query_id, id, place::INTEGER AS rank, tagged, round(score, 4) AS score FROM k WHERE place <= 3""")
+def hybrid_retrieve(spark, sf_dir):
+    chunks, queries = vectors(spark, sf_dir)
+    tag = lambda c: F.expr(f"'T' || cast({c} div 5 as string)")
+    chunks = chunks.select("id", "embedding", F.array(tag("id")).alias("test_ids"), F.expr("'t' || cast(id % 7 as string)").alias("topic"), F.expr("'s' || cast(id % 3 as string)").alias("section"), F.lit("").alias("text"))
+    queries = queries.select("query_id", "embedding", F.lit("").alias("name"), tag("query_id").alias("test_id"))
+    return retrieve.hybrid(queries, chunks, lexical=False).select("query_id", "id", "rank", "tagged", "score")
+
+
+@query(f"""
+WITH {SQL_SIMILAR},
+n AS (SELECT query_id, q_label, label, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM r WHERE id <> query_id AND rank <= 4),
+c AS (SELECT query_id, q_label, max((k = 1 AND label = q_label)::INT) AS f, max((k <= 3 AND label = q_label)::INT) AS a FROM n GROUP BY 1, 2)
+SELECT q_label::VARCHAR AS expected, count(*) AS n, avg(f) AS precision_at_1, avg(a) AS recall_at_k, sum(1 - a)::BIGINT AS misses FROM c GROUP BY 1""")
+def retrieval_metrics(spark, sf_dir):
+    chunks, queries = vectors(spark, sf_dir)
+    found = retrieve.top_k(chunks, queries, 4).where("id != query_id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    found = found.join(chunks.select("id", F.array(F.col("label").cast("string")).alias("tags")), "id").select("query_id", "rank", "tags")
+    cases = queries.select("query_id", F.col("label").cast("string").alias("expected"))
+    return evaluate.retrieval_metrics(cases, found, ["expected"])
+
+
+SQL_TURNS = "t AS (SELECT a.conv_id, a.turn, b.text AS asked, a.text AS said FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND a.role = 'assistant')"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    before = rows.select(F.col("conv_id").alias("_c"), (F.col("turn") + 1).alias("_t"), F.col("text").alias("asked"))
+    return rows.where("role = 'assistant'").join(before, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))).select("conv_id", "turn", "asked", F.col("text").alias("said"))
+
+
+@query(f"WITH {SQL_TURNS} SELECT conv_id, turn, list_has_any({sql_tokens('asked', 3, X.ANCHOR_STOPWORDS)}, {sql_tokens('said', 3, X.ANCHOR_STOPWORDS)}) AS anchored FROM t")
+def lexical_anchor(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", verify_anchor("asked", "said").alias("anchored"))
+
+
+def verify_anchor(name: str, text: str):
+    return retrieve.has_anchor(name, F.lit(""), text)
+
+
+CLAIM = "CASE WHEN doc_id % 2 = 0 THEN array_to_string(string_split(text, ' ')[1:6], ' ') ELSE lang || ' ' || source || ' zzyzx report 7 of' END"
+SQL_FORM = "trim(regexp_replace(regexp_replace(lower(regexp_replace({c}, '\\(.*?\\)', '', 'g')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SQL_VERIFIED = f"""
+c AS (SELECT doc_id, list_filter(string_split({SQL_FORM.format(c=CLAIM)}, ' '), lambda w: w <> '') AS words FROM documents),
+p AS (SELECT *, list_filter(words, lambda w: NOT list_contains({listed(X.STRUCTURAL_WORDS)}, w)) AS plain FROM c),
+g AS (SELECT *, list_filter(plain, lambda w: length(w) > 2) AS long FROM p),
+w AS (SELECT doc_id, CASE WHEN len(long) > 0 THEN long WHEN len(plain) > 0 THEN plain ELSE words END AS sig FROM g),
+l AS (SELECT doc_id, string_split({SQL_FORM.format(c='line')}, ' ') AS has FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+v AS (SELECT DISTINCT w.doc_id FROM w JOIN l ON w.doc_id = l.doc_id WHERE len(sig) > 0 AND len(list_filter(sig, lambda x: list_contains(has, x))) / len(sig) >= 0.6)"""
+
+
+def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    name = F.expr("case when doc_id % 2 = 0 then array_join(slice(split(text, ' '), 1, 6), ' ') else lang || ' ' || source || ' zzyzx report 7 of' end")
+    return docs.select("doc_id", F.col("doc_id").alias("claim_id"), name.alias("raw_name"), F.lit("").alias("value")), docs.select("doc_id", "text")
+
+
+@query(f"WITH {SQL_VERIFIED} SELECT doc_id FROM v")
+def source_verify_semi(spark, sf_dir):
+    return verify.keep_verified(*claims(spark, sf_dir)).select("doc_id")
+
+
+@query(f"WITH {SQL_VERIFIED} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v)")
+def source_verify_anti(spark, sf_dir):
+    return verify.drop_verified(*claims(spark, sf_dir)).select("doc_id")
+
+
+FIGURES = f"'omega-3 dose ' || {Q} || ' mg T3 B12 ' || {Q} || ',000 and ' || {Q} || '.5% of 10^9/L'"
+
+
+@query(f"""
+SELECT {LINE_SQL}, len(v)::BIGINT AS n, list_sum(v) AS total FROM (
+  SELECT {LINE_SQL}, list_distinct([q, q * 1000, q + 0.5, 10.0, 9.0]) AS v FROM (SELECT {LINE_SQL}, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS q FROM lineitem))""")
+def numbers_in_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, X.numbers_in(F.expr(FIGURES)).alias("v"))
+    return rows.select(*LINE, F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""
+WITH {SQL_TURNS}, k AS (SELECT conv_id, turn, trim(said) = '' AS blank, {sql_tokens('said', 4, X.CONTENT_STOPWORDS)} AS o, {sql_tokens('asked', 4, X.CONTENT_STOPWORDS)} AS c FROM t)
+SELECT conv_id, turn, CASE WHEN blank THEN 'blank' WHEN len(o) > 0 AND len(c) > 0 AND NOT list_has_any(o, c) THEN 'drift' ELSE 'on subject' END AS verdict FROM k""")
+def grounding_check(spark, sf_dir):
+    reason = verify.grounded("said", "asked")["reason"]
+    verdict = F.when(reason.startswith("empty"), "blank").when(reason.startswith("no subject"), "drift").otherwise("on subject")
+    return turns(spark, sf_dir).select("conv_id", "turn", verdict.alias("verdict"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_partkey // 6 AS batch, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'How is ' || lead(p_name, 1, p_name) OVER (PARTITION BY p_partkey // 6 ORDER BY p_partkey) || ' measured' ELSE 'How is ' || p_name || ' measured' END AS q FROM part),
+t AS (SELECT *, {sql_tokens('p_name', 4, X.CONTENT_STOPWORDS)} AS w, {sql_tokens('q', 4, X.CONTENT_STOPWORDS)} AS a FROM p),
+o AS (SELECT t.p_partkey, u.p_partkey AS other, u.p_name FROM t JOIN t u ON t.batch = u.batch AND t.p_partkey <> u.p_partkey
+      WHERE len(t.a) > 0 AND len(list_filter(u.w, lambda x: NOT list_contains(t.w, x))) > 0 AND len(list_filter(u.w, lambda x: NOT list_contains(t.w, x) AND NOT list_contains(t.a, x))) = 0)
+SELECT t.p_partkey, (SELECT arg_min(p_name, other) FROM o WHERE o.p_partkey = t.p_partkey) AS named FROM t""")
+def cross_contamination(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey div 6 as batch", "p_name")
+    ahead = F.lead("p_name").over(Window.partitionBy("batch").orderBy("p_partkey"))
+    asked = F.when(F.col("p_partkey") % 2 == 0, F.coalesce(ahead, "p_name")).otherwise(F.col("p_name"))
+    rows = rows.withColumn("q", F.concat(F.lit("How is "), asked, F.lit(" measured")))
+    names = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("names"))  # six to a batch
+    others = F.transform(F.filter("names", lambda n: n["p_partkey"] != F.col("p_partkey")), lambda n: n["p_name"])
+    return rows.join(names, "batch").select("p_partkey", verify.other_test_named("q", "p_name", others).alias("named"))
+
+
+@query("SELECT o_orderkey, o_custkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 6)::BIGINT AS batch FROM orders")
+def batch_assign(spark, sf_dir):
+    return results.assign_batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_custkey AS test_id, nullif(o_orderpriority, '1-URGENT') AS specimen, o_orderstatus FROM orders)
+SELECT o_orderkey, test_id, specimen FROM r WHERE NOT EXISTS (SELECT 1 FROM r c WHERE c.o_orderstatus = 'F' AND c.test_id = r.test_id AND c.specimen IS NOT DISTINCT FROM r.specimen)""")
+def cache_miss_antijoin(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey as test_id", "nullif(o_orderpriority, '1-URGENT') as specimen", "o_orderstatus")
+    return results.cache_misses(rows, rows.where("o_orderstatus = 'F'"), ["test_id", "specimen"]).drop("o_orderstatus")
+
+
+@query("""
+SELECT c_custkey, coalesce(top_price, 0.0) AS top_price, coalesce(top_status, 'none') AS top_status FROM customer
+LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS top_price, max(o_orderstatus) AS top_status FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def reassemble_defaults(spark, sf_dir):
+    details = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top_price"), F.max("o_orderstatus").alias("top_status"))
+    return results.reassemble(table(spark, sf_dir, "customer").select("c_custkey"), details, ["c_custkey"], {"top_price": F.lit(0.0), "top_status": F.lit("none")})
+
+
+@query("""
+WITH s AS (SELECT regexp_extract(url, '^(https?://[^/]+/[a-z]*)', 1) AS url, page_id, ['H' || (page_id % 3)::VARCHAR, 'P' || (page_id % 5)::VARCHAR] AS ids FROM pages),
+i AS (SELECT url, id, min(page_id * 2 + p) AS pos FROM (SELECT url, page_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM s) GROUP BY 1, 2)
+SELECT url, string_agg(id, ' ' ORDER BY pos) AS ids, (SELECT min(page_id) FROM s WHERE s.url = i.url) AS label FROM i GROUP BY url""")
+def url_union_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(https?://[^/]+/[a-z]*)", 1).alias("url"), F.expr("array('H' || cast(page_id % 3 as string), 'P' || cast(page_id % 5 as string))").alias("ids"))
+    merged = results.union_merge(rows.withColumn("label", F.col("page_id")), "url", "ids", "label", "page_id")
+    return merged.select("url", F.array_join("ids", " ").alias("ids"), "label")
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT regexp_extract(url, '^https?://([^/:?#]+)', 1) IN ('ththre.example.com', 'thther.example.org')")
+def domain_allowlist(spark, sf_dir):
+    return corpus.outside(table(spark, sf_dir, "pages").select("page_id", "url"), "url", ("ththre.example.com", "thther.example.org"))
+
+
+KNOWN_ALIASES = [("economy", "Brand#1"), ("ring", "Brand#5")]
+
+
+@query(f"""
+WITH a AS (SELECT {sql_alias("p_name || chr(32) || (p_partkey % 97)::VARCHAR")} AS alias_key, p_brand AS test_id FROM part),
+o AS (SELECT alias_key, min(test_id) AS test_id FROM a WHERE alias_key <> '' GROUP BY 1 HAVING count(DISTINCT test_id) = 1)
+SELECT alias_key, test_id FROM o LEFT JOIN {values(KNOWN_ALIASES, 'k(k, t)')} ON alias_key = k WHERE t IS NULL OR t = test_id""")
+def synonym_accept(spark, sf_dir):
+    proposals = table(spark, sf_dir, "part").selectExpr("p_name || ' ' || cast(p_partkey % 97 as string) as alias", "p_brand as test_id")
+    return synonyms.accept(proposals, spark.createDataFrame(KNOWN_ALIASES, "alias_key string, test_id string"))
+
+
+@query("SELECT DISTINCT p_brand AS test_id, string_agg(DISTINCT p_type, ' ' ORDER BY p_type) AS topics FROM part GROUP BY 1")
+def topics_per_id(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.array("p_brand").alias("test_ids"), F.col("p_type").alias("topic"))
+    return synonyms.topics(rows).withColumn("topics", F.array_join("topics", " "))
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, min(event_id) AS first_seq FROM events GROUP BY 1, 2")
+def manual_upsert(spark, sf_dir):
+    return results.upsert(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
+
+
+@query("""
+WITH c AS (SELECT doc_id, lower(text) AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, greatest(len(regexp_extract_all(t, '[.!?]+')), 1) AS s, len(regexp_extract_all(t, '[aeiouy]+')) AS v FROM c)
+SELECT doc_id, w::INTEGER AS words, s::INTEGER AS sentences, greatest(v, w)::INTEGER AS syllables,
+  CASE WHEN w > 0 THEN round(0.39 * w / s + 11.8 * greatest(v, w) / w - 15.59, 6) END AS grade FROM n""")
+def readability(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.readability("text").alias("r")).select("doc_id", "r.*")
+    return rows.select("doc_id", "words", "sentences", "syllables", F.round("grade", 6).alias("grade"))
+
+
+@query("""
+SELECT CASE WHEN grouping(source) = 1 THEN 'Overall' ELSE source END AS category, count(*) AS n, round(100 * avg(quality), 1) AS accuracy_pct,
+  round(100 * avg(1 - toxic), 1) AS completeness_pct, round(avg(n_chars / 1000), 1) AS fk_grade
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ROLLUP (source)""")
+def eval_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return evaluate.rollup_metrics(rows, "source", F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") / 1000)
+
+
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(text, chr(32) || chr(10)) <> '' AS filled FROM conversations)
+SELECT conv_id, count(*) AS n_tests, md5(coalesce(string_agg(text, '|' ORDER BY k) FILTER (k <= 3 AND filled), 'Routine follow-up')) AS questions,
+  md5(coalesce(arg_min(text, k) FILTER (filled), 'Focus on balanced nutrition, adequate hydration, and regular activity.')) AS first_suggestion,
+  'Your report has ' || count(*)::VARCHAR || CASE WHEN count(*) = 1 THEN ' test' ELSE ' tests' END AS headline
+FROM p GROUP BY conv_id""")
+def report_summary(spark, sf_dir):
+    out = results.report_summary(table(spark, sf_dir, "conversations").withColumn("s", F.col("text")), "conv_id", "turn", "text", "s")
+    return out.withColumns({"questions": F.md5(F.array_join("questions", "|")), "first_suggestion": F.md5("first_suggestion")})
+
+
+@query()
+def html_sections(spark, sf_dir):
+    return corpus.sections(corpus.blocks(table(spark, sf_dir, "pages")))
+
+
+@query("SELECT page_id, len(list_filter(regexp_extract_all(html, '<h[123][ >]'), lambda x: x <> ''))::BIGINT AS n FROM pages WHERE regexp_matches(html, '<h[123][ >]')")
+def html_headings(spark, sf_dir):
+    found = corpus.blocks(table(spark, sf_dir, "pages")).where("tag in ('h1', 'h2', 'h3')")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def corpus_chunks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    sources = pages.select("page_id", "url", F.lit("pages").alias("source"), F.array(F.expr("'P' || cast(page_id as string)")).alias("test_ids"), F.col("page_id").alias("seq"))
+    made = corpus.chunks(corpus.sections(corpus.blocks(pages)), sources)
+    return made.select("url", "section", "topic", F.md5("text").alias("text_md5"), F.length("embed_text").alias("embed_chars"))
+
+
+TITLE = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' Test (' || p_type || ')' WHEN 1 THEN p_name || ' Blood Tests' ELSE 'Screening (X) ' || p_name || ' Levels' END"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, {TITLE} AS t FROM part),
+i AS (SELECT *, list_transform(regexp_extract_all(t, '\\(([A-Za-z0-9\\-/ ]{{2,15}})\\)', 1), lambda x: {sql_canonical('x')}) AS inside,
+  {sql_canonical("regexp_replace(regexp_replace(t, '[(][^)]*[)]', ' ', 'g'), '" + X.GENERIC_TITLE_WORDS[4:] + "', ' ', 'gi')")} AS bare FROM t)
+SELECT p_partkey, array_to_string(list_filter(CASE WHEN list_contains(inside, bare) THEN inside ELSE list_append(inside, bare) END, lambda x: x <> 'UNKNOWN_TEST'), ' ') AS ids FROM i""")
+def derive_test_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.derive_test_ids(F.expr(TITLE)), " ").alias("ids"))
+
+
+ANSWER = """CASE p_partkey % 3 WHEN 0 THEN '```json\n{"what_it_measures": " ' || p_name || ' ", "lifestyle_suggestions": "- walk\\n- ' || p_type || '", "gp_question": ""}\n```' WHEN 1 THEN 'Sure: {"what_it_measures": "", "lifestyle_suggestions": ["' || p_name || '", " "], "gp_question": "why"} done' ELSE 'nothing' END"""
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS what_it_measures,
+  CASE p_partkey % 3 WHEN 0 THEN 'walk|' || p_type WHEN 1 THEN p_name END AS suggestions, CASE WHEN p_partkey % 3 = 1 THEN 'why' END AS gp_question FROM part""")
+def coerce_details(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", X.coerce_details(F.expr(ANSWER.replace("\\n", "\\\\n"))).alias("d"))
+    return rows.select("p_partkey", "d.what_it_measures", F.array_join("d.lifestyle_suggestions", "|").alias("suggestions"), "d.gp_question")
+
+
+RESULT_NAMES = [("Hb", "HGB", 11.5, 17.5), ("Platelets", "PLT", 150.0, 400.0), ("LDL Cholesterol", "LDL", 0.0, 3.0), ("Blood Group", "ABO_TYPE", None, None), ("Zeta Index", "ZETA_INDEX", None, None), ("TSH", "TSH", 0.4, 4.0), ("Vitamin D", "VIT_D", 50.0, 200.0)]
+RESULT_NAME = "CASE l_linenumber " + " ".join(f"WHEN {k + 1} THEN '{r[0]}'" for k, r in enumerate(RESULT_NAMES)) + " END"
+
+
+@query(f"""
+SELECT {LINE_SQL}, t.id AS test_id, t.id <> 'ZETA_INDEX' AS known, t.lo AS normal_range_min, t.hi AS normal_range_max,
+  CASE WHEN t.id = 'ABO_TYPE' THEN 'normal' WHEN t.lo IS NULL THEN 'unknown' WHEN l_quantity < t.lo THEN 'low' WHEN l_quantity > t.hi THEN 'high' ELSE 'normal' END AS status
+FROM lineitem JOIN {values([(k + 1, *r[1:]) for k, r in enumerate(RESULT_NAMES)], 't(k, id, lo, hi)')} ON l_linenumber = t.k""")
+def process_manual(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.expr(RESULT_NAME).alias("raw_name"), F.col("l_quantity").cast("string").alias("value"), F.lit("").alias("unit"))
+    return manual_entry(spark, rows).select(*LINE, "test_id", "known", "normal_range_min", "normal_range_max", "status")
+
+
+@query("SELECT count(*) AS chunks, count(embedding) AS vectors, max(len(embedding))::INTEGER AS dimensions, count(*) = count(embedding) AND max(len(embedding)) = min(len(embedding)) AS healthy FROM embeddings")
+def index_health(spark, sf_dir):
+    return retrieve.index_health(table(spark, sf_dir, "embeddings"))
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines of orders as printed report rows: doc_id, line_no, name, value."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("l_linenumber")).agg(F.min("l_quantity").cast("int").cast("string").alias("value"))
+    return rows.select("doc_id", F.col("l_linenumber").cast("long").alias("line_no"), F.expr(RESULT_NAME).alias("name"), "value")
+
+
+SQL_REPORT = f"""
+b AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_quantity)::INT::VARCHAR AS value FROM lineitem GROUP BY 1, 2),
+rep AS (SELECT doc_id, n, name, id, value FROM b JOIN {values([(k + 1, r[0], r[1]) for k, r in enumerate(RESULT_NAMES)], 't(k, name, id)')} ON n = k)"""
+
+
+@query(f"WITH {SQL_REPORT} SELECT doc_id, id AS test_id, value, CASE WHEN n % 2 = 0 THEN 'g' ELSE 'mmol/L' END AS unit FROM rep")
+def text_rows(spark, sf_dir):
+    rows = report_rows(spark, sf_dir)
+    line = F.expr("case when line_no % 2 = 0 then '| ' || name || ' | ' || value || ' g |' else name || ': ' || value || ' mmol/L' end")
+    found = extract.text_rows(rows.select("doc_id", "line_no", line.alias("line")), dims.aliases(spark, dims.reference(spark)))
+    return found.select("doc_id", "test_id", "value", "unit")
+
+
+def composed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report_rows(spark, sf_dir)
+    row = F.array("name", F.expr("case when line_no = 4 then '\"A\"' else 'H ' || value end"), F.lit("g/dL"), F.lit("1 - 9 Dr. Sam"))
+    body = rows.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table_no"), (F.col("line_no") + 1).cast("int").alias("row_no"), row.alias("cells"))
+    heads = rows.select("doc_id").distinct()
+    top = heads.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.array(*map(F.lit, ("Test Name", "Result", "Unit", "Biological Ref. Interval"))).alias("cells"))
+    return body.unionByName(top)
+
+
+@query(f"WITH {SQL_REPORT} SELECT doc_id, name AS raw_name, CASE WHEN n = 4 THEN 'A' ELSE value END AS value, 'g/dL' AS unit, '1 - 9' AS ref_range, CASE WHEN n <> 4 THEN 'H' END AS flag FROM rep")
+def grid_rows(spark, sf_dir):
+    return extract.grid_rows(extract.glue_header_tables(composed_grids(spark, sf_dir))).select("doc_id", "raw_name", "value", "unit", "ref_range", "flag")
+
+
+def composed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report_rows(spark, sf_dir).where("line_no != 4")
+    place = lambda x, text, top: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + 20)).alias("x1"), text.alias("text"), top.cast("double").alias("top"))
+    at = 10 * F.col("line_no")
+    name = F.transform(F.split("name", " "), lambda w, i: F.struct((i * 30 + 10.0).alias("x0"), (i * 30 + 25.0).alias("x1"), w.alias("text"), at.cast("double").alias("top")))
+    body = rows.select("doc_id", F.explode(F.concat(name, F.array(place(200, F.col("value"), at), place(300, F.lit("g/dL"), at), place(400, F.lit("Desirable: < 5"), at), place(400, F.lit("High: > 9"), at + 4)))).alias("w"))
+    heads = rows.select("doc_id").distinct().select("doc_id", F.explode(F.array(*(place(x, F.lit(t), F.lit(0)) for x, t in ((10, "Investigation"), (200, "Result"), (300, "Unit"), (400, "Reference"))))).alias("w"))
+    return body.unionByName(heads).select("doc_id", F.lit(2).alias("page"), "w.*", F.lit(True).alias("upright"), F.lit(600.0).alias("page_width"))
+
+
+@query(f"WITH {SQL_REPORT} SELECT doc_id, name AS raw_name, value, 'g/dL' AS unit, 'Desirable: < 5 High: > 9' AS ref_range FROM rep WHERE n <> 4")
+def columnar_rows(spark, sf_dir):
+    return extract.columnar_rows(composed_words(spark, sf_dir)).select("doc_id", "raw_name", "value", "unit", "ref_range")
+
+
+@query(f"""
+WITH {SQL_REPORT}, k AS (SELECT doc_id, count(*) AS n FROM rep GROUP BY 1)
+SELECT doc_id, CASE WHEN n >= 3 THEN 'table_structured' ELSE 'structured' END AS method, n::BIGINT AS n_rows FROM k""")
+def tier_cascade(spark, sf_dir):
+    alias = dims.aliases(spark, dims.reference(spark))
+    pages = spark.createDataFrame([], "doc_id long, page int, text string")
+    grids, words = composed_grids(spark, sf_dir), composed_words(spark, sf_dir)
+    tables = extract.structured_tables(grids, words.where("page = 1"), pages, alias).drop("first_seq")
+    rows = report_rows(spark, sf_dir)
+    text = extract.text_rows(rows.select("doc_id", "line_no", F.expr("name || ': ' || value || ' g'").alias("line")), alias)
+    none = spark.createDataFrame([], "doc_id long, page int, seq struct<tier:int,page:int,a:bigint,b:bigint>, raw_name string, value string, unit string, ref_range string, status string, test_id string, known boolean")
+    out = extract.cascade(tables, none, text.withColumn("seq", F.col("seq").cast("struct<tier:int,page:int,a:bigint,b:bigint>")), rows.select("doc_id"))
+    return out.groupBy("doc_id", "method").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""
+SELECT count(*) AS n, count(*) FILTER (quality = 1) AS n_grounded, coalesce(avg(n_chars) FILTER (quality = 1), 0.0) AS mean_grade FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+def generation_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select((F.col("quality") == 1).alias("grounded"), F.col("n_chars").alias("fk_grade"))
+    return evaluate.generation_metrics(rows)
+
+
+@query()
+def explained_results(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    tests = parts.select(F.col("p_partkey").alias("slot"), F.expr("p_partkey div 20").alias("report_id"), F.col("p_type").alias("test_id"), F.lit(None).cast("string").alias("specimen"), F.col("p_name").alias("raw_name"), F.lit("g/dL").alias("unit"), F.col("p_type").alias("grounding_id"))
+    ref = parts.select(F.col("p_type").alias("test_id")).distinct().select("test_id", F.lit("curated").alias("source"), F.concat(F.lit("General description of small ring and "), F.lower("test_id")).alias("plain_english"))
+    passages = spark.createDataFrame([], "slot long, rank int, text string, source string, url string")
+    cache = spark.createDataFrame([], "test_id string, specimen string, what_it_measures string, lifestyle_suggestions array<string>, gp_question string")
+    out = explain.explain(explain.bundle(tests, ref, passages), cache)
+    return out.select("slot", "report_id", "test_id", "degraded", "ungrounded", "what_it_measures", "gp_question")
