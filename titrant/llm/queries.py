@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash
+from . import exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
