@@ -1,0 +1,386 @@
+"""The corpus operators on a small table of hard rows: null, empty, blank, long, repeated and clashing ones."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from titrant.llm import exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, size int, rank int"
+WORD_FILE, PIECE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("the ing er on tion ly en ver que ment sch keit".split()) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def texts():
+    shared = prose(1, 70)
+    out = ["", None, " \n\t", "a", "A", "a b", prose(2, 120), prose(2, 120), prose(2, 120) + "  ", prose(3, 60) + " " + shared + " " + prose(4, 60), prose(5, 80) + " " + shared, prose(6, 9000)]
+    near = prose(7, 300).split()
+    for k in range(4):
+        out.append(" ".join(near[:150] + [f"w{k}"] + near[150:]))
+    out += ["x" * 30000, "Token = \"" + "0123456789abcdef" * 2 + "deadbeef\" é 日本 😀 ﬁ", "me.x@a.example.com 10.0.0.1 +1 (555) 123-4567 4111 1111 1111 1111", "don't WE'LL ²½ ª <|endoftext|>", "a  b\n c ", "▁▁ ▁x", "A" + "b" * 200 + " " + "1 2 " * 3000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", f"s{k % 2}", len(t or ""), "d", "k", 1, 1) for k, t in enumerate(texts())]
+    rows.append(rows[3])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bare(t):
+    return re.sub(r"[\x20\x09-\x0D]+", "", t or "")
+
+
+def test_exact_dedup(spark, docs, none):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[bare(t)].append((-len(t or ""), i))
+    want = sorted((i, min(groups[bare(t)])[1], len(groups[bare(t)]), min(groups[bare(t)])[1] == i, hashlib.sha256(bare(t).encode()).hexdigest()) for i, t in rows)
+    for history in ("pmod(xxhash64(doc_id), 2) = 0", "true", "false"):
+        assert sorted(tuple(r) for r in exact_dedup.group_copies(docs, history).collect()) == want
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({w[1] for w in want})
+    assert exact_dedup.group_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+    ghost = spark.createDataFrame([(None, "q q"), (4, "qq"), (5, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.group_copies(ghost).collect()} == {(None, None, True), (4, None, False), (5, 5, True)}
+
+
+def test_minimal_perfect_hash():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, (5000, 2), dtype=np.uint64)
+    levels, slot = exact_dedup.build_mph(words)
+    assert sorted(slot) == list(range(5000)) and (exact_dedup.look_up(levels, words) == slot).all()
+    strange = exact_dedup.look_up(levels, rng.integers(0, 2**63, (1000, 2), dtype=np.uint64))
+    assert ((strange >= -1) & (strange < 5000)).all()
+
+
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs, none):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    root = {i: i for i in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = sorted((i, f"{prints[i]:016x}", root[i]) for i, _ in rows)
+    assert sorted(tuple(r) for r in simhash.near_components(docs).collect()) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
+    assert simhash.near_components(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_simhash_links(spark):
+    rng = np.random.default_rng(5)
+    bits = {int(x) for x in rng.integers(0, 2**64, 30, dtype=np.uint64)}
+    for x in list(bits):
+        for _ in range(12):
+            bits.add(x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)))
+    bits = sorted(bits)
+    links = simhash.near_links(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in bits], "bits long"))
+    found = {r["node"] & (1 << 64) - 1: r["root"] for r in simhash.star_labels(links).collect()}
+    want = {x: x for x in bits}
+    changed = True
+    while changed:
+        changed = False
+        for a in bits:
+            for b in bits:
+                if (a ^ b).bit_count() <= 2 and want[a] != want[b]:
+                    want[a] = want[b] = min(want[a], want[b])
+                    changed = True
+    groups = lambda of: sorted(sorted(g) for g in collections.Counter() or _classes(of).values())
+    assert groups(want) == groups({x: found.get(x, ("own", x)) for x in bits})
+    few = np.unique(np.uint64(7) << np.uint64(40) ^ rng.integers(0, 65536, 3000, dtype=np.uint64))
+    probed = simhash._local_links(few)
+    simhash.PAIRWISE, old = 10**9, simhash.PAIRWISE
+    paired = simhash._local_links(few)
+    simhash.PAIRWISE = old
+    assert all((a == b).all() for a, b in zip(probed, paired, strict=True))
+
+
+def _classes(of):
+    out = collections.defaultdict(list)
+    for x, c in of.items():
+        out[c].append(x)
+    return out
+
+
+def test_sentencepiece(docs, none):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "")
+        want.append((r["doc_id"], len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode()), 0))
+    assert sorted(tuple(r) for r in pieces.encode(docs, PIECE_FILE).collect()) == sorted(want)
+    assert pieces.encode(none, PIECE_FILE).count() == 0
+
+
+def test_agenda_forms_agree():
+    v = pieces.Vocabulary(PIECE_FILE)
+    r = random.Random(1)
+    parts = [pieces.SPACE * r.randint(0, 3) + "".join(r.choice("abcdeéthsß日1.,") for _ in range(r.randint(1, 40))) for _ in range(400)]
+    theirs = [v.library.encode(p.replace(pieces.SPACE, " "))[1:] for p in parts if not p.startswith(pieces.SPACE)]
+    assert v.by_steps(parts) == [v.by_heap(p) for p in parts] and len(theirs) > 50
+
+
+def test_packing(docs, none):
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    tokenizer.encode_special_tokens = True
+    want = {}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    for i, t in rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            some = np.array(ids[k : k + 2048], "<u4")
+            want[i, k // 2048] = (k, len(some), zlib.crc32(some.tobytes()))
+    got = packing.pack(docs, WORD_FILE).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want) + 1
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(none, WORD_FILE).count() == 0
+
+
+def fewest(items, capacity):
+    best = len(items)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + items[k] <= capacity:
+                place(k + 1, [*bins[:b], bins[b] + items[k], *bins[b + 1 :]])
+        place(k + 1, [*bins, items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_reduction_keeps_the_optimum():
+    r = random.Random(4)
+    for _ in range(60):
+        items = sorted((r.randint(1, 20) for _ in range(8)), reverse=True)
+        counts = np.bincount(items, minlength=21)
+        left = counts.copy()
+        fixed = packing.reduce_by_dominance(left)
+        used = sum(times for _, times in fixed)
+        rest = [w for w in range(20, 0, -1) for _ in range(left[w])]
+        assert used + fewest(rest, 20) == fewest(items, 20)
+        rows = packing.plan(counts)
+        assert len({int(s) for s in rows[:, 3]}) >= 1 and used + sum(t for _, t in packing.best_fit(left)) <= fewest(items, 20) + 1
+
+
+def test_quality(spark, docs, none):
+    good = [(1000 + k, prose(100 + k, 80), 1) for k in range(150)]
+    bad = [(2000 + k, " ".join(w + "***" for w in prose(300 + k, 60).split()), 0) for k in range(150)]
+    labelled = spark.createDataFrame([(i, t, "en", "s", 1, "d", "k", 1, 1) for i, t, _ in good + bad], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in good + bad] + [(1000, 1), (7, None)], "doc_id long, quality int")
+    network = quality.train(labelled, labels)
+    truth = {i: y for i, _, y in good + bad}
+    out = quality.score(labelled, network).collect()
+    held = [r for r in out if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.9
+    every = quality.score(docs, network).collect()
+    assert len(every) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in every)
+    kept = quality.drop_rejected(labelled, labels)
+    assert kept.columns == labelled.columns and kept.count() < 220
+    assert quality.score(none, network).count() == 0
+    assert quality.train(none, labels) is None and quality.score(docs, None).first()["score"] == 0.5
+
+
+def test_quality_covers_whole_texts():
+    network = quality.Network()
+    raw = network.bytes_of("plain words " * 40000 + "###$$$%%%")
+    whole = network.pooled(raw)
+    at = np.arange(0, len(raw) - quality.WIDTH + 1, quality.STEP)
+    windows = np.lib.stride_tricks.sliding_window_view(raw, quality.WIDTH)[at]
+    plain = (network.w["embed"][windows].reshape(len(at), -1) @ network.w["filters"]).max(axis=0)
+    assert np.allclose(whole, plain, atol=1e-4)
+
+
+def test_secrets(docs, none):
+    forest = secrets.train()
+    unseen = secrets.labelled_findings(600, 77)
+    x = np.array([secrets.features(t, s, e) for t, s, e, _ in unseen])
+    assert np.mean((forest.scores(x) >= 0.5) == np.array([f[3] for f in unseen])) > 0.95
+    found = secrets.find_secrets(docs).collect()
+    key = "0123456789abcdef" * 2 + "deadbeef"
+    assert [r["value_sha256"] for r in found if r["is_secret"]] == [hashlib.sha256(key.encode()).hexdigest()]
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    changed = [r for r in clean.collect() if secrets.REDACTED in (r["text"] or "")]
+    assert len(changed) == 1 and key not in changed[0]["text"] and changed[0]["n_chars"] == len(changed[0]["text"])
+    assert clean.where("text is null").count() == 1
+    assert secrets.find_secrets(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "card":
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+    return True
+
+
+def test_pii_base(spark, docs, none):
+    more = ["a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 999.1.1.1 0000000001.2.3.4 9.9.9.9@a.b", "4111-1111-1111-1111x 5 5 4111111111111111", "+12 +1+2345678901", "me@x.org 10.0.0.1 " * 700, "1" * 3000 + " a@b.c", "@" + "a.b" * 3000]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(500 + k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    want = []
+    for i, t in [tuple(r) for r in rows.collect()]:
+        base = [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
+        n = collections.Counter(k for k, *_ in base)
+        want.append((i, *(n[k] for k in PATTERNS), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()))
+    got = [tuple(r)[:6] for r in pii.find(rows).collect()]
+    assert sorted(got) == sorted(want)
+    assert pii.find(none).count() == 0 and pii.sanitise(none).count() == 0
+
+
+def test_pii_terms(spark):
+    rows = [(k, f"plain words here {k} and xylophone calls me@secret.org about plain words") for k in range(3)] + [(10 + k, "plain words about other things here and calls") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    at = rows[0][1].index("xylophone")
+    assert f"term:{at}:{at + 9}" in found[0]["spans"] and found[0]["n_term"] == 1 and all(found[10 + k]["n_term"] == 0 for k in range(60))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert "xylophone" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[3][1]
+
+
+def test_compact_windows_are_the_cartesian_tree():
+    rng = np.random.default_rng(2)
+    sizes = np.array([substrings.TOKENS - 1 + 60, substrings.TOKENS, 300])
+    values = rng.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
+    values[100:130] = values[50:80]
+    of, m, left, right, _ = substrings.windows(sizes, values, 1)
+    got = set(zip(of.tolist(), m.tolist(), left.tolist(), right.tolist(), strict=True))
+    want, start = set(), 0
+    for t, n in enumerate(sizes):
+        h = substrings._hashed(values[start : start + n], 1) >> np.uint64(substrings.PLACE_BITS)
+        for k in range(n):
+            low, high = k, k
+            while low > 0 and h[low - 1] > h[k]:
+                low -= 1
+            while high < n - 1 and h[high + 1] >= h[k]:
+                high += 1
+            if high - low + 1 >= substrings.TOKENS:
+                want.add((t, k, k - low, high - k))
+        start += n
+    assert got == want
+
+
+def test_near_passages(spark, docs, none):
+    rows = [(r["doc_id"], (r["text"] or "").lower().split()) for r in docs.dropDuplicates(["doc_id"]).collect()]
+    found = substrings.near_passages(docs).collect()
+    places = collections.defaultdict(set)
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            places[tuple(w[k : k + 50])].add((i, k))
+    for at in places.values():
+        if len({i for i, _ in at}) > 1:
+            first = min(at)[0]
+            for i, k in at:
+                if i != first:
+                    assert any(r["doc_id"] == i and r["start_word"] <= k and k + 50 <= r["end_word"] for r in found)
+    shared = {i for at in places.values() if len({i for i, _ in at}) > 1 for i, _ in at}
+    assert {r["doc_id"] for r in found} <= shared and all(r["similarity"] >= 0.8 for r in found)
+    assert substrings.near_passages(none).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in substrings.remove_passages(docs).collect()}
+    assert len(clean[10].split()) == 80 and clean[5] == "a b"
+
+
+def test_near_passages_with_edits(spark):
+    base = prose(50, 200).split()
+    other = [w if k % 60 else w + "x" for k, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, prose(51, 200))], "doc_id long, text string")
+    found = substrings.near_passages(docs).collect()
+    assert {(r["doc_id"], r["rep_doc_id"]) for r in found} == {(2, 1)}
+
+
+def test_hamming(spark):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    codes[100:250] = codes[0]  # a vector that very many rows share
+    codes[250:300] = codes[1] ^ (np.uint64(1) << rng.integers(0, 64, 50, dtype=np.uint64))
+    rows = [(k, [1.0 if int(c) >> b & 1 else -1.0 for b in range(64)], "x") for k, c in enumerate(codes)] + [(900, None, "x"), (None, [1.0], "x"), (901, [], "x")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in hamming.top_k(vectors, vectors.where("vec_id % 7 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["distance"], r["neighbour_id"]))
+    assert set(got) == set(range(0, 400, 7))
+    for q in got:
+        best = sorted((int(c ^ codes[q]).bit_count(), k) for k, c in enumerate(codes))[:10]
+        assert sorted(got[q]) == [(n + 1, d, k) for n, (d, k) in enumerate(best)]
+    empty = vectors.where("false")
+    assert hamming.top_k(empty, empty).count() == 0 and hamming.top_k(vectors, empty).count() == 0 and hamming.top_k(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 3
+
+
+def test_likelihood(spark, docs, none):
+    words, network = likelihood.train(docs)
+    tally = collections.Counter(w for r in docs.collect() for w in (r["text"] or "").encode().split())
+    assert words == [w for w, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[: likelihood.COMMON]]
+    ids = likelihood.Ids({w: k for k, w in enumerate(words)})
+    plain = np.zeros(likelihood.IDS**3, np.int64)
+    for r in docs.collect():
+        np.add.at(plain, likelihood.triples(r["text"] or "", ids), 1)
+    assert (likelihood.triple_counts(docs, words) == plain).all()
+    losses = likelihood.Network().fit(plain)
+    assert losses[-1] < losses[0]
+    hidden, log_p = network._forward()
+    out = {r["doc_id"]: r for r in likelihood.score(docs, words, network).collect()}
+    t = [likelihood.END, *(ids[w] for w in b"a b".split()), likelihood.END]
+    assert out[5]["n_tokens"] == 2 and abs(out[5]["pll"] - (log_p[t[0], t[2], t[1]] + log_p[t[1], t[3], t[2]])) < 1e-4
+    assert out[0]["pll"] == 0 and out[0]["mean_pll"] is None and out[1]["n_tokens"] == 0
+    assert likelihood.pseudo_likelihood(none).count() == 0
+
+
+def test_no_label_reaches_a_score(docs):
+    network = quality.Network()
+    a = quality.score(docs, network).select("doc_id", "score")
+    b = quality.score(docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q")}), network).select("doc_id", "score")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
