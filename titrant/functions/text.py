@@ -148,7 +148,8 @@ def unglue_name(name: Column | str) -> Column:
         go = ~state["done"] & F.contains(state["name"], F.lit("\n")) & ~is_test_name(F.get(F.split(state["name"], "\n"), F.lit(0))) & is_test_name(rest)
         return F.struct(F.when(go, rest).otherwise(state["name"]).alias("name"), (~go).alias("done"))
 
-    return F.aggregate(lines, F.struct(_c(name).alias("name"), F.lit(False).alias("done")), drop, lambda s: s["name"])
+    whole = F.aggregate(lines, F.struct(_c(name).alias("name"), F.lit(False).alias("done")), drop, lambda s: s["name"])
+    return F.when(F.contains(_c(name), F.lit("\n")), whole).otherwise(_c(name))
 
 
 def clean_categorical(c: Column | str) -> Column:
