@@ -16,6 +16,7 @@ from ..functions.text import anchor_tokens
 FLOOR, BONUS, K = 0.55, 0.15, 3
 DIMENSIONS = 256
 QUERIES = 8192  # vectors handed to the tasks at once
+ASKED, ROWS = 512, 2048  # vectors of both sides that are multiplied at once
 
 
 def fetch_size(k: int) -> int:
@@ -57,23 +58,27 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "id", q
         ids = np.array([r["q"] for r in rows], np.int64)
         matrix = np.array([r["v"] for r in rows], np.float64)
 
+        def best_of(score: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The k best of each row, equal scores by the smaller id; all ties of the kth are looked at."""
+            if score.shape[1] <= k:
+                return score, names
+            limit = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            order = np.lexsort((np.where(score >= limit, names, np.iinfo(np.int64).max), np.where(score >= limit, -score, np.inf)), axis=1)[:, :k]
+            return np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = np.array(batch["v"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                score, names = np.round(matrix @ own.T, 12), np.broadcast_to(batch["id"].to_numpy(), (len(ids), batch.num_rows))
-                if best:
-                    score, names = np.hstack([best[0], score]), np.hstack([best[1], names])
-                if score.shape[1] > k:  # all ties of the kth are looked at
-                    limit = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                    cols = np.where(score >= limit, names, np.iinfo(np.int64).max)
-                    order = np.lexsort((cols, -np.where(score >= limit, score, -np.inf)), axis=1)[:, :k]
-                    score, names = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-                best = (score, names)
-            if best:
-                yield pa.RecordBatch.from_pydict({"q": np.repeat(ids, best[0].shape[1]), "id": best[1].ravel(), "similarity": best[0].ravel()})
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    own = np.array(batch["v"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1).T
+                    names = batch["id"].to_numpy()
+                    for q in range(0, len(ids), ASKED):
+                        score = np.round(matrix[q : q + ASKED] @ own, 12)
+                        found = (score, np.broadcast_to(names, score.shape))
+                        best[q] = best_of(*(np.hstack(x) for x in zip(best[q], found, strict=True))) if q in best else best_of(*found)
+            for q, (score, names) in best.items():
+                yield pa.RecordBatch.from_pydict({"q": np.repeat(ids[q : q + ASKED], score.shape[1]), "id": names.ravel(), "similarity": score.ravel()})
 
         return kept.mapInArrow(search, "q long, id long, similarity double")
 
