@@ -38,10 +38,11 @@ def _bounds(lo: Column, hi: Column) -> Column:
 def plain_bounds(text: Column) -> Column:
     """The first pair, else upper, else lower bound that a text shows; null if it shows none."""
     none = F.lit(None).cast("double")
+    shows = lambda pattern: F.regexp_extract(text, pattern, 1) != ""
     return (
-        F.when(text.rlike(RANGE), _bounds(_first(text, RANGE), _first(text, RANGE, 2)))
-        .when(text.rlike(BELOW), _bounds(none, _first(text, BELOW)))
-        .when(text.rlike(ABOVE), _bounds(_first(text, ABOVE), none))
+        F.when(shows(RANGE), _bounds(_first(text, RANGE), _first(text, RANGE, 2)))
+        .when(shows(BELOW), _bounds(none, _first(text, BELOW)))
+        .when(shows(ABOVE), _bounds(_first(text, ABOVE), none))
     )
 
 
@@ -56,13 +57,17 @@ def parse_range(text: Column | str) -> Column:
     labels = F.regexp_extract_all(clean, F.lit(BAND), F.lit(1))
     parts = F.regexp_extract_all(clean, F.lit(BAND), F.lit(2))
     bands = F.zip_with(labels, parts, lambda a, b: F.struct(F.lower(strip(a)).alias("label"), b.alias("part")))
+    banded = F.get(F.transform(F.array(bands), _from_bands), F.lit(0))  # the bands are found once
+    return F.when(strip(text) != "", F.coalesce(F.when(F.contains(clean, F.lit(":")), banded), plain_bounds(clean)))
+
+
+def _from_bands(bands: Column) -> Column:
     parsed = F.filter(F.transform(bands, lambda b: F.when(b["label"].rlike(HEALTHY_LABEL), plain_bounds(b["part"]))), lambda x: x.isNotNull())
-    healthy = F.when(F.size(labels) >= 2, F.get(parsed, F.lit(0)))
+    healthy = F.when(F.size(bands) >= 2, F.get(parsed, F.lit(0)))
     low = F.get(F.filter(bands, lambda b: b["label"] == "low"), F.lit(0))["part"]
-    both = (F.size(labels) == 2) & (F.array_sort(F.transform(bands, lambda b: b["label"])) == F.array(F.lit("high"), F.lit("low")))
-    low_end = F.coalesce(F.when(low.rlike(BELOW), _first(low, BELOW)), F.when(low.rlike(RANGE), _first(low, RANGE)))
-    protective = F.when(both & low_end.isNotNull(), _bounds(low_end, F.lit(None)))
-    return F.when(strip(text) != "", F.coalesce(healthy, protective, plain_bounds(clean)))
+    both = (F.size(bands) == 2) & (F.array_sort(F.transform(bands, lambda b: b["label"])) == F.array(F.lit("high"), F.lit("low")))
+    low_end = F.coalesce(_first(low, BELOW), _first(low, RANGE))
+    return F.coalesce(healthy, F.when(both & low_end.isNotNull(), _bounds(low_end, F.lit(None))))
 
 
 def on_boundary(value: Column | str, ref_range: Column | str) -> Column:
@@ -79,12 +84,17 @@ def _against(v: Column, lo: Column, hi: Column) -> Column:
 
 def status(value: Column | str, printed: Column, lo: Column, hi: Column, guess: Column) -> Column:
     """low, normal, high or unknown: by the printed bounds, else the static ones, else the guess, else by words."""
-    v, word = number(value), F.lower(strip(value))
-    return (
-        F.when(printed.isNotNull() & v.isNotNull(), _against(v, printed["lo"], printed["hi"]))
-        .when(v.isNotNull() & (lo.isNotNull() | hi.isNotNull()), _against(v, lo, hi))
-        .when(guess.isin(*STATUSES), guess)
-        .when(word.isin(*NORMAL_WORDS), "normal")
-        .when(word.isin(*HIGH_WORDS), "high")
-        .otherwise("unknown")
-    )
+
+    def of(read: Column) -> Column:
+        v, word = read["v"], read["word"]
+        return (
+            F.when(printed.isNotNull() & v.isNotNull(), _against(v, printed["lo"], printed["hi"]))
+            .when(v.isNotNull() & (lo.isNotNull() | hi.isNotNull()), _against(v, lo, hi))
+            .when(guess.isin(*STATUSES), guess)
+            .when(word.isin(*NORMAL_WORDS), "normal")
+            .when(word.isin(*HIGH_WORDS), "high")
+            .otherwise("unknown")
+        )
+
+    read = F.struct(number(value).alias("v"), F.lower(strip(value)).alias("word"))
+    return F.get(F.transform(F.array(read), of), F.lit(0))  # the value is read once

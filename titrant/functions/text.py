@@ -66,7 +66,7 @@ def or_null(c: Column) -> Column:
 
 def number(c: Column | str) -> Column:
     """The number that a text consists of, or null."""
-    return F.when(strip(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), strip(c).try_cast("double"))
+    return F.regexp_extract(_c(c), r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\s*$", 1).try_cast("double")
 
 
 def alias_key(name: Column | str) -> Column:
