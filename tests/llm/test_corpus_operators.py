@@ -254,6 +254,18 @@ def test_secrets(docs, none):
     assert secrets.find_secrets(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+def test_secrets_after_earlier_separators(spark):
+    texts = {
+        "Server=db;Uid=app;Pwd=hunter2;": "hunter2", "Server=tcp:db.example.net,1433;Uid=app;Password=x9#Kq2!mZ;User Id=x": "x9#Kq2!mZ", "?id=3&token=abc123": "abc123",
+        "see https://h.example/x?a=1&access_token=Zq8fK2mP&lang": "Zq8fK2mP", "id:5,secret:pQ9x7Zk2,z:1": "pQ9x7Zk2", "password: a&b,c12!x": "a&b,c12!x", 'api_key = "x7Kq,92;LmPz01"': "x7Kq,92;LmPz01",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["value_sha256"]) for r in secrets.find_secrets(docs).where("is_secret").collect()}
+    assert found == {(k, hashlib.sha256(v.encode()).hexdigest()) for k, v in enumerate(texts.values())}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {k: t.replace(v, secrets.REDACTED) for k, (t, v) in enumerate(texts.items())}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -1,8 +1,8 @@
 """Secret scans: candidates by rules, false positives removed by a random forest.
 
 Candidates of a whole text: runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more with a digit, and values of six
-characters or more that a credential word assigns (``password: ...``, ``token = "..."``). Overlapping candidates become
-one, the assigned value counting.
+characters or more that a credential word assigns (``password: ...``, ``token = "..."``), wherever in a URL or connection
+string the assignment stands. Overlapping candidates become one, the assigned value counting.
 
 Each candidate has features of its length, transitions between character classes, coverage by dictionary words, the
 path it may be part of and the neighbouring words. A forest of ``TREES`` trees, grown in numpy on the driver from
@@ -22,6 +22,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,7 +53,12 @@ WORDS = (
 ).split()
 
 RUN = re.compile("[0-9][A-Za-z0-9+/_=-]*")
-GIVEN = re.compile("[:=][ \\t]{0,3}[\"'`]?([^\\s\"'`]+)")
+SEPARATOR = re.compile("(?<=[A-Za-z\"'`\\])\\t ])[:=][=>]?[ \\t]{0,3}([\"'`]?)")
+QUOTED = re.compile("[^\\s\"'`]+")
+# Without quotes a value ends at a mark that another assignment, white space, a quote or the end follows; in a query string at any.
+BARE = re.compile("(?:[^\\s\"'`&;,]|[&,](?!\\s|[\"'`]|$|[A-Za-z_][\\w.%\\[\\]-]{0,40}[=:])|;(?!\\s|[\"'`]|$|[A-Za-z_][\\w.% -]{0,40}=))+")
+IN_QUERY = re.compile("[^\\s\"'`&;,#]+")
+QUERY_BEFORE = re.compile("[?&][\\w.%\\[\\]-]*$")
 CREDENTIAL_BEFORE = re.compile(f"(?i)(?:{'|'.join(CREDENTIAL)})[\"'`\\])]?[ \\t]*$")
 UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -70,17 +76,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         stop = m.end()
         if stop - start >= LEAST:
             found.append((start, stop, "run"))
-    given = []
-    for m in GIVEN.finditer(text):
-        if m.end(1) - m.start(1) >= ASSIGNED and CREDENTIAL_BEFORE.search(text, max(0, m.start() - 40), m.start()):
-            end = m.end(1)
-            while end > m.start(1) and text[end - 1] in ".,;)":
-                end -= 1
-            if end - m.start(1) >= ASSIGNED:
-                given.append((m.start(1), end, "assigned"))
-    out: list[tuple[int, int, str]] = []
+    given, stop = [], 0
+    for m in SEPARATOR.finditer(text):
+        if m.start() < stop or not CREDENTIAL_BEFORE.search(text, max(0, m.start() - 40), m.start()):
+            continue
+        value = QUOTED if m[1] else IN_QUERY if QUERY_BEFORE.search(text, max(0, m.start() - 40), m.start()) else BARE
+        v = value.match(text, m.end())
+        end = v.end() if v else m.end()
+        while end > m.end() and text[end - 1] in ".,;)":
+            end -= 1
+        if end - m.end() >= ASSIGNED:
+            given.append((m.end(), end, "assigned"))
+            stop = end
+    ends, out = [g[1] for g in given], []
     for c in sorted([*given, *found], key=lambda c: (c[2], c[0])):  # assigned ones first
-        if not given or c[2] == "assigned" or not any(c[0] < g[1] and g[0] < c[1] for g in given):
+        k = bisect_right(ends, c[0])  # the first assigned value that ends beyond the start
+        if c[2] == "assigned" or k == len(given) or given[k][0] >= c[1]:
             out.append(c)
     return sorted(out)
 
@@ -116,13 +127,13 @@ def labelled_findings(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, int,
     raw = lambda k: base64.b64encode(r.randbytes(k)).decode()
     syllables = "the ing er on tion ly en ver que ment sch keit os ado ci th ou re an un de el".split()
     prose = lambda k: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(k))
-    keyed = lambda v: r.choice(['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "{k} = '{v}'", "{k} is {v}"]).format(k=r.choice(["token", "api_key", "secret", "password", "access_token", "auth_token", "private_key", "client_secret", "bearer"]), v=v)
+    keyed = lambda v: r.choice(['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "{k} = '{v}'", "{k} is {v}", "https://site.example/path?id=3&{k}={v}&page=2", "Server=db;Uid=app;{k}={v};"]).format(k=r.choice(["token", "api_key", "secret", "password", "pwd", "access_token", "auth_token", "private_key", "client_secret", "bearer"]), v=v)
     benign = lambda v: r.choice(["{k} {v}", "{k}: {v}", '{k} = "{v}"', "{k}={v}"]).format(k=r.choice(BENIGN), v=v)
     out = []
     for k in range(n):
         secret = k % 2 == 0
         if secret:
-            value = r.choice([lambda: some(hexa, r.choice([32, 40, 64])), lambda: raw(r.randint(18, 48)), lambda: some(alnum, r.randint(20, 48)), lambda: some(alnum + "!@#$%^&*", r.randint(9, 18)), lambda: r.choice(ISSUED) + some(alnum, r.randint(16, 36))])()
+            value = r.choice([lambda: some(hexa, r.choice([32, 40, 64])), lambda: raw(r.randint(18, 48)), lambda: some(alnum, r.randint(20, 48)), lambda: some(alnum + "!@#$%^&*", r.randint(9, 18)), lambda: some(alnum[26:52], r.randint(3, 8)) + some(digits, r.randint(3, 4)), lambda: some(alnum[26:52], r.randint(5, 8)) + some(digits, r.randint(1, 2)), lambda: r.choice(ISSUED) + some(alnum, r.randint(16, 36))])()
             shown = value if value.startswith(ISSUED) and r.random() < 0.4 else keyed(value)
         else:
             kind = r.randrange(8)
