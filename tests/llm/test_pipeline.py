@@ -44,6 +44,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_a_doc_id_or_have_none_are_kept(spark):
+    rows = [(None, prose(20, 60)), (None, prose(21, 60)), (7, prose(22, 60)), (7, prose(23, 60)), (7, prose(23, 60)), (None, prose(20, 60)), (8, "a b"), (8, "a  b"), (1, "a   b")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    want = {*rows[:4], rows[8]}
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, docs.where("doc_id is null or doc_id <> 8") if stage is corpus_pipeline.drop_near_copies else docs, "")
+        found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert kept.columns == docs.columns and len(found) == len(want) and set(found) == want
+    longest = corpus_pipeline.drop_exact_copies(spark, docs.where("doc_id = 8"), "").collect()
+    assert [r["text"] for r in longest] == ["a  b"]
+
+
 def test_entry_works_without_the_corpus_queries(tmp_path):
     for name in ("__spark_entry__.py", "titrant"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)

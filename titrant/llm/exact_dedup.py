@@ -12,7 +12,7 @@ row per upstream task. Digests are uniform, so buckets have near equal size what
 
 Cases: null text counts as empty and all empty texts are one group; of equal texts the one with most code points in the
 original text, then the smallest doc_id, stays, a null doc_id being the smallest; rows that repeat both doc_id and text
-are all marked kept, and ``drop_copies`` leaves one of them; an empty table gives an empty result; other columns are
+are all marked kept, and ``drop_copies`` leaves one of them (different texts that share a doc_id, or have none, all stay); an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
@@ -30,10 +30,17 @@ GAMMA = 1.7  # places of a level to a key
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, digest (32 bytes) of the text without white space, n (code points of the original text)."""
-    bare = F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", "")
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.char_length("text").alias("n"))
+    return texts(docs).select(_id().alias("doc_id"), _digest().alias("digest"), F.char_length("text").alias("n"))
 
 
 def _mix(words: np.ndarray, level: int) -> np.ndarray:
@@ -132,9 +139,15 @@ def group_copies(docs: DataFrame, history: str = "pmod(xxhash64(doc_id), 2) = 0"
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which no better equal one exists, with all their columns; one row for each doc_id."""
-    kept = group_copies(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of equal texts, the best one, with all its columns.
+
+    Rows are told apart by doc_id and digest, so neither a null doc_id nor one that different texts share loses a text; of
+    the rows of a winner that agree in both, the one with most code points, then the greatest text, stays."""
+    kept = group_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    rows = docs.select(_id().alias("_id"), _digest().alias("_digest"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(kept, ["_id", "_digest"], "left_semi")
+    text = F.coalesce("row.text", F.lit(""))
+    return rows.groupBy("_id", "_digest").agg(F.max_by("row", F.struct(F.char_length(text), text)).alias("row")).select("row.*")
 
 
 ORACLE_SQL = r"""

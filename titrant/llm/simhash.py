@@ -25,7 +25,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
@@ -33,6 +33,7 @@ from .components import star_labels
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 SHARED = 6  # positional bytes that two linked fingerprints share at least
+NO_ID = -(1 << 63)  # stands for a null doc_id
 PAIRWISE = 64  # members up to which a list is tallied pair by pair
 
 BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -58,15 +59,21 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(tally @ BITS * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, bits: the fingerprint of each document as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """doc_id, bits: the fingerprint of each document as a signed 64-bit number; with ``digests`` that of its text too."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "bits": bits.view(np.int64)})
+            own = {"digest": batch["digest"].cast(pa.binary())} if digests else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].cast(pa.int64()), "bits": bits.view(np.int64)} | own)
 
-    return texts(docs).mapInArrow(each, "doc_id long, bits long")
+    more = [_digest().alias("digest")] if digests else []
+    return texts(docs, *more).mapInArrow(each, "doc_id long, bits long" + ", digest binary" * digests)
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def _local_links(bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -128,20 +135,29 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return postings.mapInArrow(lists, "a long, b long")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
-    prints = written(fingerprints(docs), "simhash")
+def _components(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """The columns of ``fingerprints`` and component_id of each document; with ``digests`` also root, one to a component."""
+    prints = written(fingerprints(docs, digests), "simhash")
     first = written(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash_distinct")
     labels = star_labels(near_links(first.select("bits")))
     rooted = first.join(labels.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     rooted = written(rooted, "simhash_rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = written(rooted.join(least, "root").select(F.col("bits").alias("key"), "component_id"), "simhash_groups")
-    out = prints.join(groups, F.col("bits") == F.col("key"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = written(rooted.join(least, "root").select(F.col("bits").alias("key"), "component_id", *["root"] * digests), "simhash_groups")
+    return prints.join(groups, F.col("bits") == F.col("key"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
+    return _components(docs).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns; one row for each doc_id."""
-    kept = near_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, the one with the smallest doc_id, then text digest, with all its columns.
+
+    Components are told apart by their root and rows by doc_id and digest, for different texts may share a doc_id or have
+    none; only rows that repeat doc_id and text are one."""
+    best = _components(docs, digests=True).where("doc_id <=> component_id").groupBy("root").agg(F.first("component_id").alias("_kept"), F.min("digest").alias("_digest"))
+    kept = best.select(F.coalesce("_kept", F.lit(NO_ID)).alias("_id"), "_digest")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), _digest().alias("_digest"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select("row.*")
