@@ -354,6 +354,19 @@ def test_near_passages_with_edits(spark):
     assert {(r["doc_id"], r["rep_doc_id"]) for r in found} == {(2, 1)}
 
 
+def test_one_edit_in_the_middle_is_alike():
+    for n in range(50, 91):
+        words = prose(600 + n, n).split()
+        edited = [*words[: n // 2], "edit", *words[n // 2 + 1 :]]
+        around = [prose(k + n, 70).split() for k in (700, 800, 900, 1000)]
+        own, other = (substrings.tokens(" ".join(x + y + z)) for x, y, z in ((around[0], edited, around[1]), (around[2], words, around[3])))
+        found = list(substrings.compare(own, other))
+        alike = (n - 9) / (n + 1)
+        assert [(s, e, a, b) for s, e, a, b, _ in found] == [(70, 70 + n - 4, 70, 70 + n - 4)] and abs(found[0][4] - alike) < 1e-9
+    whole = substrings.tokens(prose(40, 300))
+    assert [f[:4] for f in substrings.compare(whole, whole)] == [(0, len(whole), 0, len(whole))]
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 2**64, 400, dtype=np.uint64)
