@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from titrant.llm import exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
+from titrant.llm import common, exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, size int, rank int"
 WORD_FILE, PIECE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -118,12 +118,60 @@ def test_simhash_links(spark):
                     changed = True
     groups = lambda of: sorted(sorted(g) for g in collections.Counter() or _classes(of).values())
     assert groups(want) == groups({x: found.get(x, ("own", x)) for x in bits})
-    few = np.unique(np.uint64(7) << np.uint64(40) ^ rng.integers(0, 65536, 3000, dtype=np.uint64))
-    probed = simhash._local_links(few)
-    simhash.PAIRWISE, old = 10**9, simhash.PAIRWISE
-    paired = simhash._local_links(few)
-    simhash.PAIRWISE = old
-    assert all((a == b).all() for a, b in zip(probed, paired, strict=True))
+    few = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in bits], "bits long")
+    split = {r["node"] & (1 << 64) - 1: r["root"] for r in simhash.star_labels(simhash.near_links(few, members=3)).collect()}
+    assert groups({x: split.get(x, ("own", x)) for x in bits}) == groups(want)  # heavy shards give the same links
+
+
+@pytest.mark.parametrize(("n", "free", "heavy"), [(400, 32, 512), (2500, 16, 512), (900, 24, 4)])
+def test_simhash_count_filter(monkeypatch, n, free, heavy):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    rng = np.random.default_rng(n)
+    low = np.zeros(n, np.uint64)
+    for k in range(n):  # copies of copies, and strangers
+        low[k] = rng.integers(0, 1 << free, dtype=np.uint64) if k % 3 == 0 else low[rng.integers(0, k)] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, free, 3)))
+    bits = np.unique(low) | np.uint64(0xABCD0123 << 32)
+    label = np.arange(len(bits))
+    near = np.bitwise_count(bits[:, None] ^ bits) <= 2
+    while True:
+        new = np.where(near, label[None], len(bits)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    a, b = simhash._local_links(bits, (4, 5, 6, 7))
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {int(bits[k]): int(bits[r]) for k, r in enumerate(label) if r != k}
+
+
+def test_row_places(spark, tmp_path, monkeypatch):
+    rows = [(None if k % 5 == 0 else k % 40, f"text {k}", k, -k) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, file long, `of.row` long").repartition(5).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    chosen = docs.where("file % 3 = 1").select(*common.place(docs))
+    for most in (common.MOST, 1):
+        monkeypatch.setattr(common, "MOST", most)
+        kept = common.keep_rows(docs, chosen)
+        assert kept.columns == docs.columns and sorted(r["file"] for r in kept.collect()) == [k for k in range(300) if k % 3 == 1]
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert common.stored(docs) is docs and common.stored(docs.where("file > 3")) is not docs
+    assert common.keep_rows(docs, chosen.where("false")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    assert common.shared_folder(Session("local[4]")).startswith("file:")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(Session(master))
 
 
 def _classes(of):

@@ -1,30 +1,40 @@
-"""Helpers shared by the corpus operators: the shared folder, written tables and null-safe texts."""
+"""Helpers shared by the corpus operators: the shared folder, written tables, places of rows and null-safe texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a
+    temporary one; a cluster has no folder to fall back to, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="titrant-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[DataFrame]] = []  # tables written in each scratch() that hasn't ended
 
 
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start there, also after an executor is lost.
 
-    The shuffle files of the write go when it ends, and the tables ``done``, written before, that nothing needs any more.
+    The shuffle files of the write go when it ends, and the tables ``done``, written before, that nothing needs any more;
+    the table itself goes with the driver, or with the ``scratch`` it was written in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,19 +48,85 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
         forget(old)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    fs, there = _store(out)
+    fs.deleteOnExit(there)
+    if _open:
+        _open[-1].append(out)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``written`` returned."""
+def _store(df: DataFrame) -> tuple:
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``written`` returned; again is no error."""
+    fs, path = _store(df)
+    fs.delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is to stay is written after it or read inside it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            forget(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id``, ``text`` with null read as the empty text, and the columns named in ``more``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is read straight from files, else a written copy: rows of files have a place."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    try:
+        if plan == "LogicalRelation":
+            docs.metadataColumn("_metadata")
+            return docs
+    except AnalysisException:
+        pass
+    return written(docs, "rows")
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """file (a hash of its path) and row (number in it) of each row of a ``stored`` table: no two rows share both."""
+    of = docs.metadataColumn("_metadata")
+    return [F.xxhash64(of["file_path"]).alias("file"), of["row_index"].alias("row")]
+
+
+BLOCK = 1 << 15  # rows of a file to a bitmap of 4,096 bytes
+MOST = 1 << 14  # bitmaps that are broadcast at once: 64 MB
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a ``stored`` table whose place is in ``kept`` (file, row), with all columns. No text is shuffled.
+
+    Kept places become bitmaps, which are dealt into parts by file so that none has more than ``MOST``; each part is
+    broadcast to a scan of its own files alone (the condition on the path prunes them when they are listed)."""
+    maps = kept.groupBy("file", F.expr(f"row div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.expr(f"row % {BLOCK}")).alias("bits"))
+    maps = written(maps, "kept_rows")
+    total = maps.count()
+    parts = max(1, -(-total // MOST))
+    while parts < total and maps.groupBy(F.expr(f"pmod(file, {parts})")).count().agg(F.max("count")).first()[0] > MOST:
+        parts *= 2
+    names = [f"`{c}`" for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("all"), *place(docs))
+    maps = maps.select(F.col("file").alias("of"), "block", "bits")
+    byte = f"cast(conv(hex(substring(bits, cast((row % {BLOCK}) div 8 as int) + 1, 1)), 16, 10) as int)"
+
+    def part(k: int) -> DataFrame:
+        some = rows.where(F.expr(f"pmod(file, {parts}) = {k}")) if parts > 1 else rows
+        own = F.broadcast(maps.where(F.expr(f"pmod(of, {parts}) = {k}")))  # at most MOST bitmaps
+        return some.join(own, F.expr(f"file = of and row div {BLOCK} = block")).where(F.expr(f"getbit({byte}, cast(row % 8 as int)) = 1")).select("all.*")
+
+    return reduce(DataFrame.unionByName, map(part, range(parts)))

@@ -3,17 +3,18 @@
 Texts are equal when they agree after every character of ``[\\x20\\x09-\\x0D]`` is deleted; their SHA-256 stands for them.
 History: the distinct digests of one share of the rows, dealt into buckets by digest. Each bucket gets a minimal perfect
 hash (levels of bit arrays; a key that is alone at its place of a level is settled there, the others go to the next
-level; the rank of the place is the slot). A slot holds the whole 32-byte digest and the locator of the winner.
+level; the rank of the place is the slot). A slot holds the whole 32-byte digest and the locator of the winner: its doc_id
+and its place (file and row).
 Arrivals, pre-aggregated to one row per digest, are looked up in their bucket's hash; the slot's digest is compared byte
 by byte. Members join the slot's group, nonmembers form groups of their own.
 
-Every shuffle carries digests, never texts, and is pre-aggregated, so a group of copies of any size meets a task as one
-row per upstream task. Digests are uniform, so buckets have near equal size whatever the skew of the texts.
+Every shuffle carries digests and places, never texts, and is pre-aggregated, so a group of copies of any size meets a task
+as one row per upstream task. Digests are uniform, so buckets have near equal size whatever the skew of the texts.
 
 Cases: null text counts as empty and all empty texts are one group; of equal texts the one with most code points in the
 original text, then the smallest doc_id, stays, a null doc_id being the smallest; rows that repeat both doc_id and text
-are all marked kept, and ``drop_copies`` leaves one of them (different texts that share a doc_id, or have none, all stay); an empty table gives an empty result; other columns are
-ignored.
+are all marked kept, and ``drop_copies`` leaves the first by place of them (different texts that share a doc_id, or have
+none, all stay); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import keep_rows, place, stored, texts, written
 
 BUCKET_KEYS = 1024  # digests to a bucket, on average
 GAMMA = 1.7  # places of a level to a key
 NO_ID = -(1 << 63)  # stands for a null doc_id
+WINNER = ("n", "keep_id", "size", "file", "row")
+HISTORY = "pmod(xxhash64(doc_id), 2) = 0"
 
 
 def _id() -> Column:
@@ -39,8 +42,8 @@ def _digest() -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (32 bytes) of the text without white space, n (code points of the original text)."""
-    return texts(docs).select(_id().alias("doc_id"), _digest().alias("digest"), F.char_length("text").alias("n"))
+    """doc_id, digest (32 bytes) of the text without white space, n (code points of the original text), file, row."""
+    return texts(docs, *place(docs)).select(_id().alias("doc_id"), _digest().alias("digest"), F.char_length("text").cast("long").alias("n"), "file", "row")
 
 
 def _mix(words: np.ndarray, level: int) -> np.ndarray:
@@ -96,58 +99,65 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
         "sizes": [np.array([len(x) for x in levels], np.int64)],
         "bits": [np.packbits(np.concatenate(levels)).tobytes()],
         "slots": [digests[by_slot].tobytes()],
-        **{c: [pdf[c].to_numpy(np.int64)[by_slot]] for c in ("n", "keep_id", "size")},
+        **{c: [pdf[c].to_numpy(np.int64)[by_slot]] for c in WINNER},
     })
 
 
 def _merge(arrivals: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """All groups of a bucket: each slot of the history with the arrivals that hit it, then the nonmembers."""
     if not len(index):
-        return arrivals[["digest", "n", "keep_id", "size"]].assign(member=False)
+        return arrivals[["digest", *WINNER]].assign(member=False)
     row = index.iloc[0]
     slots = np.frombuffer(row["slots"], np.uint8).reshape(-1, 32)
-    n, keep, size = (np.array(row[c], np.int64) for c in ("n", "keep_id", "size"))
+    held = {c: np.array(row[c], np.int64) for c in WINNER}
     digests = _digests(arrivals["digest"])
     sizes = np.array(row["sizes"], np.int64)
     levels = np.split(np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=int(sizes.sum())).astype(bool), np.cumsum(sizes)[:-1])
     slot = look_up(levels, _words(digests)) if len(digests) else np.zeros(0, np.int64)
     member = slot >= 0
     member[member] = (slots[slot[member]] == digests[member]).all(axis=1)
-    to, an, aid = slot[member], arrivals["n"].to_numpy(np.int64)[member], arrivals["keep_id"].to_numpy(np.int64)[member]
-    better = (an > n[to]) | ((an == n[to]) & (aid < keep[to]))  # one arrival to a slot at most: arrivals are distinct
-    n[to], keep[to] = np.where(better, an, n[to]), np.where(better, aid, keep[to])
-    size[to] += arrivals["size"].to_numpy(np.int64)[member]
-    known = pd.DataFrame({"digest": [x.tobytes() for x in slots], "n": n, "keep_id": keep, "size": size, "member": True})
-    return pd.concat([known, arrivals.loc[~member, ["digest", "n", "keep_id", "size"]].assign(member=False)])
-
-
-def group_copies(docs: DataFrame, history: str = "pmod(xxhash64(doc_id), 2) = 0") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``history``: which rows count as historical;
-    the result is the same for any choice."""
+    to, new = slot[member], {c: arrivals[c].to_numpy(np.int64)[member] for c in WINNER}  # one arrival to a slot at most
+    better, tied = np.zeros(len(to), bool), np.ones(len(to), bool)
+    for a, b in ((-new["n"], -held["n"][to]), *((new[c], held[c][to]) for c in ("keep_id", "file", "row"))):
+        better |= tied & (a < b)
+        tied &= a == b
+    for c in ("n", "keep_id", "file", "row"):
+        held[c][to] = np.where(better, new[c], held[c][to])
+    held["size"][to] += new["size"]
+    known = pd.DataFrame({"digest": [x.tobytes() for x in slots], **held, "member": True})
+    return pd.concat([known, arrivals.loc[~member, ["digest", *WINNER]].assign(member=False)])
+
+
+def _groups(docs: DataFrame, history: str) -> tuple[DataFrame, DataFrame]:
+    """The written prints of all rows of a ``stored`` table, and one row per digest: digest, the columns of ``WINNER``, member."""
     prints = written(fingerprints(docs).withColumn("old", F.expr(history)), "exact_prints")
-    best = F.min(F.struct((-F.col("n")).alias("less"), "doc_id")).alias("best")
+    best = F.min(F.struct((-F.col("n")).alias("less"), "doc_id", "file", "row")).alias("best")
     groups = prints.groupBy("digest", "old").agg(best, F.count(F.lit(1)).alias("size"))
-    groups = written(groups.select("digest", "old", (-F.col("best.less")).cast("long").alias("n"), F.col("best.doc_id").cast("long").alias("keep_id"), "size"), "exact_groups")
+    groups = groups.select("digest", "old", (-F.col("best.less")).alias("n"), F.col("best.doc_id").alias("keep_id"), "size", "best.file", "best.row")
+    groups = written(groups, "exact_groups")
     buckets = max(1, -(-groups.where("old").count() // BUCKET_KEYS))
     groups = groups.withColumn("bucket", F.expr(f"pmod(conv(hex(substring(digest, 1, 7)), 16, 10) :: long, {buckets})"))
-    index = groups.where("old").groupBy("bucket").applyInPandas(_index, "bucket long, sizes array<long>, bits binary, slots binary, n array<long>, keep_id array<long>, size array<long>")
+    arrays, longs = (", ".join(f"{c} {kind}" for c in WINNER) for kind in ("array<long>", "long"))
+    index = groups.where("old").groupBy("bucket").applyInPandas(_index, f"bucket long, sizes array<long>, bits binary, slots binary, {arrays}")
     arrivals = groups.where("not old")
-    merged = arrivals.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_merge, "digest binary, n long, keep_id long, size long, member boolean")
-    out = prints.join(merged.withColumnRenamed("digest", "key"), F.col("digest") == F.col("key"))
+    return prints, arrivals.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_merge, f"digest binary, {longs}, member boolean")
+
+
+def group_copies(docs: DataFrame, history: str = HISTORY) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``history``: which rows count as historical;
+    the result is the same for any choice."""
+    prints, merged = _groups(stored(docs), history)
+    merged = merged.select(F.col("digest").alias("key"), "keep_id", "size")
+    out = prints.join(merged, F.col("digest") == F.col("key"))
     shown = [F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c) for c in ("doc_id", "keep_id")]
     return out.select(*shown, F.col("size").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of equal texts, the best one, with all its columns.
-
-    Rows are told apart by doc_id and digest, so neither a null doc_id nor one that different texts share loses a text; of
-    the rows of a winner that agree in both, the one with most code points, then the greatest text, stays."""
-    kept = group_copies(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    rows = docs.select(_id().alias("_id"), _digest().alias("_digest"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(kept, ["_id", "_digest"], "left_semi")
-    text = F.coalesce("row.text", F.lit(""))
-    return rows.groupBy("_id", "_digest").agg(F.max_by("row", F.struct(F.char_length(text), text)).alias("row")).select("row.*")
+def drop_copies(docs: DataFrame, history: str = HISTORY) -> DataFrame:
+    """One document of each group of equal texts, the best one, with all its columns, chosen by its place: neither a null
+    doc_id nor one that different texts share loses a text. Texts are read twice and never shuffled."""
+    docs = stored(docs)
+    return keep_rows(docs, _groups(docs, history)[1].select("file", "row"))
 
 
 ORACLE_SQL = r"""
