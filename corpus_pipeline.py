@@ -1,7 +1,12 @@
 """The corpus pipeline over ``documents``: quality classifier, exact dedup, SimHash near-dedup, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of ``documents``; the last returns one row per packed piece.
+columns of ``documents``; the last returns one row per packed piece. Rows are told apart by their place in the stage's
+input, so neither a null doc_id nor one that several rows share loses or merges a text.
+
+Cases: a null text counts as empty and, where it stays, stays null; of rows that agree in all columns one stays; extra
+columns, also with the names of an operator's own, pass through the first four stages; without labelled rows the
+classifier keeps all; an empty table gives an empty result. What a stage wrote goes when its successor has been written.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from titrant.llm import exact_dedup, packing, quality, secrets, simhash
-from titrant.llm.common import table, written
+from titrant.llm.common import forget, scratch, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +57,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch() as inner:
+            docs = written(stage(spark, docs, sf_dir), name)
+            inner.remove(docs)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
