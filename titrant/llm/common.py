@@ -67,11 +67,11 @@ def forget(df: DataFrame) -> None:
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end; what is to stay is written after it or read inside it."""
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that are removed from the list."""
     _open.append([])
     try:
-        yield
+        yield _open[-1]
     finally:
         for df in _open.pop():
             forget(df)
