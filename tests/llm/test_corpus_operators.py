@@ -165,9 +165,6 @@ def test_a_cluster_needs_a_shared_folder(spark):
         def get(self, key, default=None):
             return self.values.get(key, default)
 
-        def set(self, key, value):
-            self.values[key] = value
-
     assert common.shared_folder(Session("local[4]")).startswith("file:")
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+from titrant.llm import common
 from titrant.llm.common import written
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -38,18 +39,14 @@ def test_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "simhash_near_dedup", "secret_scans", "best_fit_packing"]
 
 
-def test_pipeline_leaves_one_stage_behind(spark, tmp_path):
+def test_pipeline_leaves_one_stage_behind(spark, tmp_path, monkeypatch):
     rows = [(k, prose(k, 40), "en", "s", 1, f"f{k}") for k in range(40)] + [(None, prose(90, 40), "en", "s", 1, "x"), (None, prose(91, 40), "en", "s", 1, "x"), (3, prose(92, 40), None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, file string").write.parquet(f"{tmp_path}/in/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/in/labels.parquet")
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        packed = corpus_pipeline.run(spark, f"{tmp_path}/in")
-        assert sorted(r["doc_id"] or -1 for r in packed.collect()) == sorted(r[0] or -1 for r in rows)  # no text is lost
-        assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").iterdir() if not p.name.startswith(".")} <= {"secret_scans", "pieces"}
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/in")
+    assert sorted(r["doc_id"] or -1 for r in packed.collect()) == sorted(r[0] or -1 for r in rows)  # no text is lost
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").iterdir() if not p.name.startswith(".")} <= {"secret_scans", "pieces"}
 
 
 def test_pipeline_of_nothing(spark, tmp_path):

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a
     temporary one; a cluster has no folder to fall back to, so there it is an error."""
@@ -21,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="titrant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="titrant-"))
+        folder = _own_folder[0]
     return folder.rstrip("/")
 
 
