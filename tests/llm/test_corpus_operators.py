@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -354,7 +355,7 @@ def test_compact_windows_are_the_cartesian_tree():
     sizes = np.array([substrings.TOKENS - 1 + 60, substrings.TOKENS, 300])
     values = rng.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
     values[100:130] = values[50:80]
-    of, m, left, right, _ = substrings.windows(sizes, values, 1)
+    of, m, left, right, *_ = substrings.windows(sizes, values, 1)
     got = set(zip(of.tolist(), m.tolist(), left.tolist(), right.tolist(), strict=True))
     want, start = set(), 0
     for t, n in enumerate(sizes):
@@ -399,6 +400,46 @@ def test_near_passages_with_edits(spark):
     assert {(r["doc_id"], r["rep_doc_id"]) for r in found} == {(2, 1)}
 
 
+def shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_near_passages_find_nine_in_ten(spark):
+    r, rows, want = random.Random(3), [], {}
+    for n, every, kind in itertools.product((50, 60, 100, 200), (25, 40, 100), ("swap", "drop", "add")):
+        for _ in range(3):
+            words, edited, off = prose(r.random(), n).split(), [], r.randrange(every)
+            for k, w in enumerate(words):
+                new = f"edit{r.randrange(10**6)}"
+                edited += [w] if (k + off) % every < every - 1 else {"swap": [new], "drop": [], "add": [w, new]}[kind]
+            a, b = shingles(words), shingles(edited)
+            around = [prose(r.random(), r.randrange(1, 90)) for _ in range(4)]
+            k = len(rows)
+            rows += [(k, f"{around[0]} {' '.join(words)} {around[1]}"), (k + 1, f"{around[2]} {' '.join(edited)} {around[3]}")]
+            if len(a & b) >= 0.8 * len(a | b) and len(edited) >= 50:
+                want[k, k + 1] = (n, every)
+    found = {(x["rep_doc_id"], x["doc_id"]) for x in substrings.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 40 and len(found & want.keys()) >= 0.9 * len(want)
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+
+
+def test_near_passages_of_a_hot_group_and_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    shared = prose(900, 60)
+    rows = [(k, f"{prose(1000 + k, 20)} {shared} {prose(2000 + k, 20)}") for k in range(60)] + [(None, f"{prose(30, 9)} {shared}"), (None, f"{prose(31, 9)} {shared}"), (99, prose(32, 200))]
+    found = substrings.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"] for r in found if r["rep_doc_id"] is None} == {None, *range(60)}  # the first of the whole group
+    assert len([r for r in found if r["doc_id"] is None]) == 1 and len(found) < 61 * len(substrings.BESIDE)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    many = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(400)], "id long, key long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 400, 3)] + [(7, "hot")], "key long, value string")
+    got = sorted(map(tuple, common.spread_join(many, one, "key", "id").select("id", "key", "value").collect()))
+    assert got == sorted(map(tuple, many.join(one, "key").select("id", "key", "value").collect()))
+
+
 def test_one_edit_in_the_middle_is_alike():
     for n in range(50, 91):
         words = prose(600 + n, n).split()
