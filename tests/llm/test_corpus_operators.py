@@ -471,25 +471,101 @@ def test_hamming(spark):
     assert hamming.top_k(empty, empty).count() == 0 and hamming.top_k(vectors, empty).count() == 0 and hamming.top_k(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 3
 
 
+def plain_log_p(network, around, token):
+    """One position's log-probability by the formulas, in float64."""
+    z = network.w["shift"][0].astype(float)
+    for o, i in enumerate(around):
+        z = z + network.w["scale"][o].astype(float) * network.w["embed"][i]
+    h, out, base = np.tanh(z), 0.0, network.base
+    for k in range(3):
+        row, choice = token // base ** (3 - k), token // base ** (2 - k) % base
+        logits = h @ network.w[f"out{k}"][row].astype(float).reshape(likelihood.HIDDEN, base) + network.w[f"bias{k}"][row]
+        out += logits[choice] - np.log(np.exp(logits).sum())
+    return out
+
+
 def test_likelihood(spark, docs, none):
-    words, network = likelihood.train(docs)
+    words, network, ids = likelihood.train(docs, 8, 64)
     tally = collections.Counter(w for r in docs.collect() for w in (r["text"] or "").encode().split())
-    assert words == [w for w, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[: likelihood.COMMON]]
-    ids = likelihood.Ids({w: k for k, w in enumerate(words)})
-    plain = np.zeros(likelihood.IDS**3, np.int64)
-    for r in docs.collect():
-        np.add.at(plain, likelihood.triples(r["text"] or "", ids), 1)
-    assert (likelihood.triple_counts(docs, words) == plain).all()
-    losses = likelihood.Network().fit(plain)
-    assert losses[-1] < losses[0]
-    hidden, log_p = network._forward()
-    out = {r["doc_id"]: r for r in likelihood.score(docs, words, network).collect()}
-    t = [likelihood.END, *(ids[w] for w in b"a b".split()), likelihood.END]
-    assert out[5]["n_tokens"] == 2 and abs(out[5]["pll"] - (log_p[t[0], t[2], t[1]] + log_p[t[1], t[3], t[2]])) < 1e-4
-    assert out[0]["pll"] == 0 and out[0]["mean_pll"] is None and out[1]["n_tokens"] == 0
+    common_ = [w for w, _ in sorted(((w, n) for w, n in tally.items() if len(w) <= likelihood.LONGEST), key=lambda x: (-x[1], x[0]))[: 8**3 - 1 - 64]]
+    assert words.known == common_
+    rows = {}
+    for r in ids.collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, rows.values())) == docs.count()
+    texts_ = [(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()]
+    number = lambda w: words.known.index(w) if w in words.known else words.first_rare + zlib.crc32(w) % 64
+    pairs = collections.Counter(p for w in tally for p in itertools.pairwise(b"\0" + w + b"\0"))
+    coded, cells = [], []
+    for i, text in texts_:
+        own = [number(w) for w in text]
+        assert np.frombuffer(rows[i][0]["ids"], "<u2").tolist() == own
+        places, keys = likelihood.contexts(np.array(own, np.int64), words.end)
+        coded.append((i, own, list(zip(places.tolist(), keys.tolist(), strict=True))))
+        cells += [(k, own[p]) for p, k in coded[-1][2]]
+    both, every = collections.Counter(cells), collections.Counter(k for k, _ in cells)
+    found = collections.defaultdict(list)
+    for r in likelihood.score(ids, network, words.end, likelihood.memory(ids, words.end)).collect():
+        found[r["doc_id"]].append(r)
+    assert sum(map(len, found.values())) == docs.count()
+    for (i, text), (_, own, mine) in zip(texts_, coded, strict=True):
+        got = found[i][0]
+        if len(own) > 400:
+            continue
+        wide = [words.end] * 3 + own + [words.end] * 3
+        log_p = [plain_log_p(network, [wide[k + 3 + o] for o in likelihood.OFFSETS], t) for k, t in enumerate(own)]
+        plain = sum(log_p)
+        for place, key in mine:
+            c, m = both[key, own[place]] - 1, every[key] - 1
+            log_p[place] = np.log((np.exp(log_p[place]) + c) / (1 + m))
+        cost = 0.0
+        for w in text:
+            if w not in words.known:
+                own_pairs = list(itertools.pairwise(b"\0" + w + b"\0"))
+                cost += min(0, sum(np.log((pairs[p] + 0.05) / sum(pairs[p[0], b] + 0.05 for b in range(256))) for p in own_pairs) + np.log(64))
+        assert got["n_tokens"] == len(own) and abs(got["pll"] - sum(log_p) - cost) < 1e-3 * max(1, len(own))
+        if own:
+            assert abs(got["remembered"] - (sum(log_p) - plain) / len(own)) < 1e-3 and abs(got["mean_pll"] * len(own) - got["pll"]) < 1e-6 * max(1, abs(got["pll"]))
+    assert found[0][0]["pll"] == 0 and found[0][0]["mean_pll"] is None and found[1][0]["n_tokens"] == 0
     assert likelihood.pseudo_likelihood(none).count() == 0
 
 
+def test_likelihood_gradient():
+    rng = np.random.default_rng(4)
+    network = likelihood.Network(rng.integers(0, 50, 64).astype(float), base=4)
+    network.w = {k: v.astype(np.float64) + 0.1 * rng.normal(size=v.shape) for k, v in network.w.items()}
+    around, target = rng.integers(0, 64, (40, 6)), rng.integers(0, 64, 40)
+    loss = lambda: -sum(plain_log_p(network, a, t) for a, t in zip(around, target, strict=True))
+    assert abs(loss() + network.log_p(around, target).sum()) < 1e-3
+    for name, (rows, g) in network.gradient(around, target).items():
+        assert len(set(rows.tolist())) == len(rows)
+        for k in rng.choice(len(rows), min(3, len(rows)), replace=False):
+            for c in rng.choice(g.shape[1], 2, replace=False):
+                w, step = network.w[name], 1e-5
+                w[rows[k], c] += step
+                up = loss()
+                w[rows[k], c] -= 2 * step
+                assert abs((up - loss()) / (2 * step) - g[k, c]) < 2e-3 * max(1, abs(g[k, c])), name
+                w[rows[k], c] += step
+
+
+def test_likelihood_learns_and_remembers(spark):
+    base = [prose(k, 60).split() for k in range(60)]
+    twice = [(500 + 2 * k + c, " ".join(prose(800 + k, 80).split())) for k in range(10) for c in (0, 1)]
+    once = [(k, " ".join(w)) for k, w in enumerate(base)]
+    strange = [(900 + k, " ".join(w if n % 3 else "q" + w[::-1] + "zx" for n, w in enumerate(words))) for k, words in enumerate(base[:20])]
+    docs = spark.createDataFrame(once + twice + strange, "doc_id long, text string").repartition(3)
+    words, network, ids = likelihood.train(docs, 8, 64)
+    flat, at = likelihood.padded([np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in ids.collect()], words.end)
+    around, target = flat[at[:, None] + likelihood.OFFSETS], flat[at]
+    counts = likelihood.word_counts(docs)
+    fresh = likelihood.Network(likelihood.vocabulary(counts, 8, 64)[1], 8)
+    assert network.log_p(around, target).mean() > fresh.log_p(around, target).mean()
+    out = {r["doc_id"]: r for r in likelihood.score(ids, network, words.end, likelihood.memory(ids, words.end)).collect()}
+    assert min(out[i]["remembered"] for i, _ in twice) > max(out[i]["remembered"] for i, _ in once[20:])
+    assert all(out[900 + k]["pll"] < out[k]["pll"] for k in range(20))  # words that no one has seen cost more
+
+
 def test_no_label_reaches_a_score(docs):
     network = quality.Network()
     a = quality.score(docs, network).select("doc_id", "score")

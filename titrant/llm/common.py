@@ -139,14 +139,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 HOT = 512
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, deal: str) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, deal: str, counts: DataFrame | None = None) -> DataFrame:
     """``many`` joined to ``one`` (a row for each ``key``) with no task getting much over a ``HOT``th of ``many`` for one key.
 
     Keys with more than a ``HOT``th of the rows, ``HOT`` at most, are counted first and broadcast; their rows of ``many`` are
-    dealt by a hash of the columns ``deal`` over as many salts as they need, and ``one`` has a copy for each salt."""
+    dealt by a hash of the columns ``deal`` over as many salts as they need, and ``one`` has a copy for each salt.
+    ``counts``: rows of ``many`` by key (key, n), where they are known."""
     share = max(1, many.count() // HOT)
-    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
-    hot = F.broadcast(counts.select(F.col(key).alias("_hot"), F.expr(f"n div {share} + 1").alias("_salts")))  # HOT rows at most
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("n") > share).select(F.col(key).alias("_hot"), F.expr(f"n div {share} + 1").alias("_salts")))  # HOT rows at most
     dealt = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.expr(f"pmod(xxhash64({deal}), coalesce(_salts, 1L))")).drop("_hot", "_salts")
     copies = one.withColumnRenamed(key, "_one").join(hot, F.col("_one") == F.col("_hot"), "left").withColumn("_copy", F.expr("explode(sequence(0L, coalesce(_salts, 1L) - 1L))")).drop("_hot", "_salts")
     return dealt.join(copies, F.expr(f"`{key}` = _one and _salt = _copy")).drop("_one", "_salt", "_copy")
