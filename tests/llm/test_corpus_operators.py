@@ -200,7 +200,6 @@ def test_agenda_forms_agree():
 
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     want = {}
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     for i, t in rows:
@@ -222,6 +221,21 @@ def test_packing(docs, none):
     assert packing.pack(none, WORD_FILE).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    r = random.Random(6)
+    alphabet = ["a", "B", "é", "ß", "'s", "'LL", "²", "½", "9", "-", "...", " ", "  ", "\n", "\x85", "\x1c", "日", "ﬁ", "e\u0301", "_", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|end", "oftext|>", "x" * 60]
+    texts_ = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a <|endoftext|> b"]
+    for path in (WORD_FILE, public_tokenizers.path("byte_bpe_50k.json")):
+        plain, mine = Tokenizer.from_file(path), packing.WordIds(path)
+        assert mine.short == (path == WORD_FILE)
+        got = [x for k in range(0, len(texts_), 200) for x in mine.batch(texts_[k : k + 200])]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts_]
+    assert np.frombuffer(packing.WordIds(WORD_FILE).batch(["a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+    wrong = packing.WordIds(WORD_FILE)
+    wrong.words["abc"] = b"\0\0\0\0"
+    assert np.frombuffer(wrong.batch(["abc abc"])[0], "<u4").tolist() == Tokenizer.from_file(WORD_FILE).encode("abc abc", add_special_tokens=False).ids and not wrong.short
+
+
 def fewest(items, capacity):
     best = len(items)
 

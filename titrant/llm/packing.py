@@ -11,8 +11,10 @@ instance is a histogram of at most ``capacity`` counts; only that histogram reac
 2. The remaining lengths are packed best-fit decreasing, bins of one filling being handled as one group.
 
 The outcome is a list of patterns (a few lengths each) with repetition counts, at most a few for each length. Pieces get
-a rank within their length from salted row numbers (groups of about ``RANK_ROWS`` rows, so one very common length is
-spread over many tasks) and find sequence and offset from the rank.
+a rank within their length from salted row numbers (of n pieces of one length, about the square root of n salts with as
+many rows each, so one very common length is spread over many tasks) and find sequence and offset from the rank.
+
+Ids are the tokenizer's own as it comes: strings of its special tokens in a text are those tokens.
 
 Cases: null text counts as empty, an empty document is the single closing id; equal documents are packed one by one; an
 empty table gives an empty result; a document of exactly k times ``capacity`` ids makes k pieces; other columns are
@@ -21,6 +23,8 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import zlib
@@ -35,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 CAPACITY = 2048
-RANK_ROWS = 256
 MEMO = 1_000_000  # words a worker remembers
 
 Pattern = list[tuple[int, int]]
@@ -44,20 +47,29 @@ Pattern = list[tuple[int, int]]
 class WordIds:
     """Little-endian ids of texts by the tokenizers library, each different word being encoded once.
 
-    The vocabulary's normaliser and splitter work within runs of non-space characters as long as a text holds no
-    characters beyond Latin-1 and none of the separators that only some splitters take for white space; other texts go
-    to the library whole.
-    """
+    That holds for tokenizers that normalise and split as ``SPLITS`` says: within runs of non-space characters, as long as a
+    text holds no characters beyond Latin-1, none of the separators that only some splitters take for white space and none
+    of the tokenizer's added tokens. Other texts, and all texts of other tokenizers, go to the library whole. The first text
+    of each batch is compared with the library's own ids; a difference would end the short way for good."""
 
     PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\xff]")
     PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+    # The normaliser and splitter that PLAIN and PARTS follow.
+    SPLITS = (
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    )
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        told = json.loads(self.library.to_str())
+        steps = [(told[k] or {}).get(name, [{}]) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.short = (steps[0], steps[1][0].get("pattern")) == self.SPLITS and told["model"].get("end_of_word_suffix") == "</w>"
+        added = [t["content"] for t in told["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         ends = np.zeros(self.library.get_vocab_size(), bool)
         ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         self.ends, self.words, self.parts = ends, {}, {}
@@ -87,7 +99,8 @@ class WordIds:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.words) > MEMO:
             self.words.clear(), self.parts.clear()
-        split = [None if self.PLAIN.search(t) else t.lower().split() for t in texts]
+        whole = [not self.short or bool(self.PLAIN.search(t)) or bool(self.added and self.added.search(t)) for t in texts]
+        split = [None if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
         new: set[str] = set()
         for words in split:
             if words:
@@ -95,7 +108,11 @@ class WordIds:
         new.difference_update(self.words)
         self.learn(new)
         get = self.words.__getitem__
-        return [self.ids([t]).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        out = [self.ids([t]).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        if self.short and texts and self.ids(texts[:1]).tobytes() != out[0]:
+            self.short = False
+            return self.batch(texts)
+        return out
 
 
 _loaded: dict[str, WordIds] = {}
@@ -211,7 +228,7 @@ def plan(counts: np.ndarray) -> np.ndarray:
 def ranked(cut: DataFrame, counts: np.ndarray) -> DataFrame:
     """``cut`` with the rank (from 0) of each piece among the pieces of its length."""
     spark = cut.sparkSession
-    salts = spark.createDataFrame([(int(w), int(-(-counts[w] // RANK_ROWS))) for w in np.flatnonzero(counts)], "length long, salts long")
+    salts = spark.createDataFrame([(int(w), math.isqrt(int(counts[w]) - 1) + 1) for w in np.flatnonzero(counts)], "length long, salts long")
     keyed = cut.join(F.broadcast(salts), "length")  # at most one row for each possible length
     keyed = keyed.withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece), salts)")).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
