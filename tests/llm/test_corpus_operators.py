@@ -412,6 +412,20 @@ def test_near_passages_with_edits(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, prose(51, 200))], "doc_id long, text string")
     found = substrings.near_passages(docs).collect()
     assert {(r["doc_id"], r["rep_doc_id"]) for r in found} == {(2, 1)}
+    same = docs.unionByName(docs.selectExpr("doc_id + 10 as doc_id", "concat(' ', upper(text), '  ') as text"))
+    again = {(r["doc_id"], r["rep_doc_id"], r["start_word"], r["end_word"]) for r in substrings.near_passages(same).collect()}
+    assert again >= {(11, 1, 0, 200), (12, 2, 0, 200), (13, 3, 0, 200)} and {a[:2] for a in again} == {(2, 1), (11, 1), (12, 2), (13, 3)}
+
+
+def test_runs_of_one_token_have_few_windows():
+    values = substrings.tokens("same " * 2000 + prose(77, 100))
+    for j in range(substrings.HASHES):
+        of, m, left, right, *_ = substrings.windows(np.array([len(values)]), values, j)
+        assert len(m) < 2 * len(values) / (substrings.TOKENS // 2)
+        whole = np.zeros(len(values) + 1, int)
+        np.add.at(whole, m - left, 1)
+        np.add.at(whole, m + right + 1, -1)
+        assert (np.cumsum(whole)[:-1] > 0).all()  # every token is in a window
 
 
 def shingles(words):
@@ -443,7 +457,7 @@ def test_near_passages_of_a_hot_group_and_rows_without_ids(spark, monkeypatch):
     rows = [(k, f"{prose(1000 + k, 20)} {shared} {prose(2000 + k, 20)}") for k in range(60)] + [(None, f"{prose(30, 9)} {shared}"), (None, f"{prose(31, 9)} {shared}"), (99, prose(32, 200))]
     found = substrings.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r["doc_id"] for r in found if r["rep_doc_id"] is None} == {None, *range(60)}  # the first of the whole group
-    assert len([r for r in found if r["doc_id"] is None]) == 1 and len(found) < 61 * len(substrings.BESIDE)
+    assert len([r for r in found if r["doc_id"] is None]) == 1 and len(found) <= 61 * (1 + len(substrings.BESIDE))
 
 
 def test_spread_join(spark, monkeypatch):
@@ -467,7 +481,7 @@ def test_one_edit_in_the_middle_is_alike():
     assert [f[:4] for f in substrings.compare(whole, whole)] == [(0, len(whole), 0, len(whole))]
 
 
-def test_hamming(spark):
+def test_hamming(spark, monkeypatch):
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 2**64, 400, dtype=np.uint64)
     codes[100:250] = codes[0]  # a vector that very many rows share
@@ -481,6 +495,12 @@ def test_hamming(spark):
     for q in got:
         best = sorted((int(c ^ codes[q]).bit_count(), k) for k, c in enumerate(codes))[:10]
         assert sorted(got[q]) == [(n + 1, d, k) for n, (d, k) in enumerate(best)]
+    for name, value in (("SHARD", 16), ("CROWDED", 4), ("QUERIES", 3), ("MEETINGS", 50), ("SALTS", 2)):
+        monkeypatch.setattr(hamming, name, value)
+    again = collections.defaultdict(list)
+    for r in hamming.top_k(vectors, vectors.where("vec_id % 7 = 0")).collect():  # many shards, pieces and runs
+        again[r["query_id"]].append((r["rank"], r["distance"], r["neighbour_id"]))
+    assert {q: sorted(x) for q, x in again.items()} == {q: sorted(x) for q, x in got.items()}
     empty = vectors.where("false")
     assert hamming.top_k(empty, empty).count() == 0 and hamming.top_k(vectors, empty).count() == 0 and hamming.top_k(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 3
 

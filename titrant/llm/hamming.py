@@ -1,37 +1,43 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-A vector's code has bit i set where the sum of its components i, i + 64, ... is positive. Codes are cut into segments;
-each block of codes has, for each segment, its rows sorted by the segment's value. A query probes the values within
-radius 0, 1, 2, ... of its own in every segment. After radius r every code within ``segments * (r + 1) - 1`` bits has
-been met, so a query ends when its kth verified distance is at most that. The kth distance from earlier blocks of the
-task bounds later ones.
-
-Queries are handed to the tasks as distinct codes, ``QUERIES`` (8 bytes each) at most at a time, whatever their number;
-codes stay where they are read, and a block gives at most k rows a query to the merge. Of equal codes only the k smallest
-ids of a block can be results, so a vector that very many rows share costs no more than k rows a block.
+A vector's code has bit i set where the sum of its components i, i + 64, ... is positive (up to 64 components: one bit for
+each). Codes are cut into segments of about log2(n) bits. The index has a row for each distinct code and segment, dealt into
+shards by segment and by the first bits of the value there, so that a shard holds ``SHARD`` codes on average; a shard that a
+crowded value makes larger is dealt into pieces by a hash of the code.
+
+In round r = 0, 1, 2, ... a query goes, in every segment, to the shards whose first bits differ from its own in j <= r
+places, and meets there the codes whose other bits of the segment differ in r - j places. Each meeting is verified, and
+counts only in the segment in which code and query differ least (the first of such), so a code is found once over all
+rounds. After round r every code within ``segments * (r + 1) - 1`` bits has been met; a query whose kth verified distance is
+at most that is done and goes nowhere any more. The kth distance so far travels with the query and bounds what a shard hands
+on, k rows at most for a query. So a query's work follows the values within its radius, not the number of blocks of codes,
+and the queries of a shard are dealt into runs of ``QUERIES`` with a copy of the shard for each.
+
+Of equal codes only the k smallest ids can be results: these are picked in two steps, first in each of ``SALTS`` parts of the
+rows of a code, so a vector that a third of all rows share is no task's alone.
 
 Cases: rows with a null id or a null or empty vector have no code, are never found and find nothing; equal distances are
-ordered by id; with fewer than k rows all are returned; a row finds itself; an empty table gives an empty result; other
-columns are ignored.
+ordered by id; repeated rows are found once each; with fewer than k rows all are returned; a row finds itself; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, spread_join, written
 
-QUERIES = 1 << 20  # codes handed to the tasks at once
-BLOCK = 1 << 16  # codes indexed at once
-SOME = 64  # queries probed at once
+SHARD = 4096  # codes to a shard, on average
+CROWDED = 4 * SHARD  # codes of a piece of a shard
+QUERIES = 4096  # queries that a task takes to a piece at once
+MEETINGS = 1 << 20  # pairs verified at once
+SALTS = 32
 K = 10
 
 
@@ -43,115 +49,150 @@ def codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return known.select(F.col(key).cast("long").alias("id"), F.expr(code).alias("code"))
 
 
-class Index:
-    """Multi-index over distinct codes; of each code the k smallest ids."""
-
-    def __init__(self, ids: np.ndarray, code: np.ndarray, k: int):
-        order = np.lexsort((ids, code))
-        ids, code = ids[order], code[order]
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        rank = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
-        self.ids, self.code = ids[rank < k], code[rank < k]
-        parts = min(8, max(2, round(64 / max(8, math.log2(max(2, len(starts)))))))
-        edges = np.linspace(0, 64, parts + 1).round().astype(int)
-        self.segments = []
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            value = self.code >> np.uint64(low) & np.uint64((1 << int(high - low)) - 1)
-            by = np.argsort(value, kind="stable")
-            self.segments.append((int(low), int(high - low), by, value[by]))
-
-    def search(self, queries: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, distance) of the k nearest of each query; ``bound``: a kth distance known already, 64 if none."""
-        who, near, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(queries), SOME):
-            some = queries[at : at + SOME]
-            kept = (np.zeros(0, np.int64),) * 3
-            active = np.arange(len(some))
-            for radius in range(max(w for _, w, _, _ in self.segments) + 1):
-                found = [kept, *(self._probe(some, active, bound[at : at + SOME], s, radius) for s in range(len(self.segments)))]
-                q, i, d = (np.concatenate(c) for c in zip(*found, strict=True))
-                order = np.lexsort((i, d, q))
-                q, i, d = q[order], i[order], d[order]
-                starts = np.searchsorted(q, np.arange(len(some) + 1))
-                rank = np.arange(len(q)) - starts[q]
-                kept = tuple(c[rank < k] for c in (q, i, d))
-                kth = np.full(len(some), 64)
-                kth[q[rank == k - 1]] = d[rank == k - 1]
-                reach = len(self.segments) * (radius + 1) - 1
-                active = active[np.minimum(kth, bound[at : at + SOME])[active] > reach]
-                if not len(active):
-                    break
-            who.append(kept[0] + at), near.append(kept[1]), far.append(kept[2])
-        return np.concatenate(who), np.concatenate(near), np.concatenate(far)
-
-    def _probe(self, queries: np.ndarray, active: np.ndarray, bound: np.ndarray, segment: int, radius: int) -> tuple[np.ndarray, ...]:
-        """Verified rows that this segment meets at this radius and no segment met before."""
-        low, width, by, values = self.segments[segment]
-        none = (np.zeros(0, np.int64),) * 3
-        if radius > width:
-            return none
-        masks = np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.uint64)
-        q = np.repeat(active, len(masks))
-        want = ((queries[active] >> np.uint64(low) & np.uint64((1 << width) - 1))[:, None] ^ masks).ravel()
-        first = np.searchsorted(values, want)
-        n = np.searchsorted(values, want, "right") - first
-        if not n.any():
-            return none
-        q = np.repeat(q, n)
-        row = by[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(q))]
-        differ = queries[q] ^ self.code[row]
-        new = np.ones(len(q), bool)
-        for s, (other, w, _, _) in enumerate(self.segments):
-            if s != segment:
-                there = np.bitwise_count(differ >> np.uint64(other) & np.uint64((1 << w) - 1))
-                new &= there >= radius + (s < segment)
-        distance = np.bitwise_count(differ).astype(np.int64)
-        new &= distance <= bound[q]
-        return q[new], self.ids[row[new]], distance[new]
+def segments(n: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, bits, first bits that name a shard) of each segment for ``n`` distinct codes."""
+    size = math.log2(max(2, n))
+    parts = min(8, max(2, round(64 / max(8, size))))
+    edges = [round(64 * k / parts) for k in range(parts + 1)]
+    named = max(0, math.ceil(size - math.log2(SHARD)))
+    return [(a, b - a, min(named, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _prefix(code: str, segment: tuple[int, int, int]) -> str:
+    """SQL for the first bits of the segment's value."""
+    low, width, named = segment
+    return f"(shiftrightunsigned({code}, {low + width - named}) & {(1 << named) - 1}L)" if named else "0L"
+
+
+def _bits(x: np.ndarray, low: int, width: int) -> np.ndarray:
+    return x >> np.uint64(low) & np.uint64((1 << width) - 1)
+
+
+def meet(query: np.ndarray, bound: np.ndarray, code: np.ndarray, parts: list[tuple[int, int, int]], s: int, radius: int, named: int = 0, away: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance), as places, of the pairs that differ in ``radius`` bits of segment ``s``, in as many or more in
+    each segment after it and in more in each before it, and in ``bound`` bits at most in all. All codes have the same first
+    ``named`` bits there, ``away`` bits from those of each query, and are in the order of the others. These are looked up by
+    masks, or all tried where there are more masks than codes."""
+    low, width = parts[s][0], parts[s][1] - named
+    values = _bits(code, low, width)
+    masks, found = math.comb(width, radius - away), []
+    step = max(1, MEETINGS // max(1, min(masks, len(code))))
+    if masks <= len(code):
+        mask = np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius - away)], np.uint64)
+    for k in range(0, len(query) if masks else 0, step):
+        own = _bits(query[k : k + step], low, width)[:, None]
+        if masks <= len(code):
+            want = (own ^ mask).ravel()
+            first = np.searchsorted(values, want)
+            n = np.searchsorted(values, want, "right") - first
+            q = np.repeat(np.arange(len(want)) // len(mask), n)
+            at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        else:
+            q, at = np.nonzero(np.bitwise_count(own ^ values) == radius - away)
+        found.append(_verified(q + k, at, query, code, parts, s, radius, bound))
+    return tuple(np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in range(3))
+
+
+def _verified(q, at, query, code, parts, s, radius, bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    differ = query[q] ^ code[at]
+    distance = np.bitwise_count(differ).astype(np.int64)
+    new = distance <= bound[q]
+    for j, (low, width, _) in enumerate(parts):
+        if j != s:
+            new &= np.bitwise_count(_bits(differ, low, width)) >= radius + (j < s)
+    return q[new], at[new], distance[new]
+
+
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _index(coded: DataFrame, k: int) -> DataFrame:
+    """code, ids: each distinct code with its k smallest ids."""
+    parted = Window.partitionBy("code", F.expr(f"pmod(xxhash64(id), {SALTS})")).orderBy("id")
+    some = coded.withColumn("n", F.row_number().over(parted)).where(F.col("n") <= k)
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
+    return some.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k at most
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbour_id, distance: the k nearest rows of ``vectors`` to each row of ``queries``."""
     coded = written(codes(vectors, key, vector), "codes")
     asked = written(codes(queries, key, vector), "query_codes")
-    distinct = asked.select("code").distinct()
-    blocks = max(1, -(-distinct.count() // (QUERIES // 2)))
-    spread = coded.coalesce(max(1, -(-coded.count() // (BLOCK // 2))))
-
-    def part(block: int) -> DataFrame:
-        own = np.array([r[0] for r in distinct.where(F.expr(f"pmod(xxhash64(code), {blocks})") == block).collect()], np.int64).view(np.uint64)
-        if len(own) > QUERIES:
-            raise ValueError(f"{len(own)} query codes in a block")
-        own.sort()
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
-            bound = np.full(len(own), 64, np.int64)
-
-            def block_results() -> pa.RecordBatch:
-                ids, code = (np.concatenate([h[c] for h in held]) for c in (0, 1))
-                q, i, d = Index(ids, code.view(np.uint64), k).search(own, k, bound)
-                full = np.bincount(q, minlength=len(own)) >= k
-                worst = np.zeros(len(own), np.int64)
-                np.maximum.at(worst, q, d)
-                bound[full] = np.minimum(bound, worst)[full]
-                return pa.RecordBatch.from_pydict({"code": own[q].view(np.int64), "neighbour_id": i, "distance": d.astype(np.int32)})
-
-            for batch in batches:
-                held.append((batch["id"].to_numpy(), batch["code"].to_numpy()))
-                n += batch.num_rows
-                if n >= BLOCK:
-                    yield block_results()
-                    held, n = [], 0
-            if n and len(own):
-                yield block_results()
-
-        return spread.mapInArrow(search, "code long, neighbour_id long, distance int")
-
-    found = reduce(DataFrame.unionByName, [part(b) for b in range(blocks)])
-    order = Window.partitionBy("code").orderBy("distance", "neighbour_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return asked.join(best, "code").select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
+    distinct = written(_index(coded, k), "distinct_codes", coded)
+    parts = segments(distinct.count())
+    each = F.array(*(F.struct(F.lit(s).alias("segment"), F.expr(_prefix("code", p)).alias("prefix")) for s, p in enumerate(parts)))
+    index = distinct.select("code", "ids", F.explode(each).alias("at")).select("code", "ids", "at.segment", "at.prefix")
+    pieces = index.groupBy("segment", "prefix").agg(F.expr(f"cast(count(1) div {CROWDED} as int) + 1").alias("pieces"))
+    pieces = written(pieces, "shards")  # one row for SHARD codes
+    index = index.join(pieces, ["segment", "prefix"]).withColumn("piece", F.expr("cast(pmod(xxhash64(code), pieces) as int)")).drop("pieces")
+
+    def search(ids: tuple, own: pd.DataFrame, them: pd.DataFrame) -> pd.DataFrame:
+        """What the queries of one run find in one piece of a shard: the k nearest of each."""
+        if not len(own) or not len(them):
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0, np.int32)})
+        s, prefix, radius = int(ids[0]), int(ids[1]), int(own["radius"].iloc[0])
+        low, width, named = parts[s]
+        code = them["code"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(_bits(code, low, width), kind="stable")
+        code, held = code[order], [np.asarray(x, np.int64) for x in them["ids"].to_numpy()[order]]
+        query, bound = own["query"].to_numpy(np.int64).view(np.uint64), own["bound"].to_numpy(np.int64)
+        away = np.bitwise_count(_bits(query, low + width - named, named) ^ np.uint64(prefix)).astype(np.int64)
+        met = []
+        for a in np.unique(away).tolist():
+            mine = np.flatnonzero(away == a)
+            q, at, distance = meet(query[mine], bound[mine], code, parts, s, radius, named, a)
+            met.append((mine[q], at, distance))
+        q, at, distance = (np.concatenate([m[c] for m in met]) for c in range(3))
+        by = np.lexsort((distance, q))
+        q, at, distance = q[by], at[by], distance[by]
+        n = np.array([len(held[x]) for x in at], np.int64)
+        before = np.cumsum(n) - n  # ids of nearer codes, of the query's own codes alone
+        before -= before[np.searchsorted(q, q)] if len(q) else 0
+        far = np.full(len(query), 65)
+        full = before + n >= k
+        np.minimum.at(far, q[full], distance[full])
+        near = distance <= far[q]  # what is as far as the kth may win by its id
+        q, at, distance, n = q[near], at[near], distance[near], n[near]
+        out = pd.DataFrame({"query": np.repeat(query[q].view(np.int64), n), "id": np.concatenate([held[x] for x in at] or [np.zeros(0, np.int64)]), "distance": np.repeat(distance, n).astype(np.int32)})
+        out = out.sort_values(["query", "distance", "id"])
+        return out[out.groupby("query").cumcount() < k]
+
+    active = written(asked.select(F.col("code").alias("query"), F.lit(64).alias("bound")).distinct(), "active_queries")
+    enough = min(k, distinct.agg(F.sum(F.size("ids"))).first()[0] or 0)  # a query is full with these
+    index = written(index, "code_index", distinct)
+    best, radius = None, 0
+    while not active.isEmpty():
+        went = []
+        for s, (_, width, named) in enumerate(parts):
+            masks = [sum(1 << b for b in bits) for j in range(min(radius, named) + 1) if radius - j <= width - named for bits in combinations(range(named), j)]
+            if masks:  # shards of this segment within the radius; at most one for SHARD codes
+                went.append(active.select("query", "bound", F.lit(s).alias("segment"), F.expr(f"explode(transform(array({', '.join(f'{m}L' for m in masks)}), m -> m ^ {_prefix('query', parts[s])}))").alias("prefix")))
+        if not went:
+            break
+        routed = went[0]
+        for more in went[1:]:
+            routed = routed.unionByName(more)
+        routed = written(routed.join(pieces, ["segment", "prefix"]).withColumn("piece", F.expr("explode(sequence(0, pieces - 1))")).drop("pieces"), "routed_queries")
+        group = ["segment", "prefix", "piece"]
+        runs = written(routed.groupBy(*group).agg(F.expr(f"cast(count(1) div {QUERIES} as int) + 1").alias("runs")), "query_runs")
+        sent = routed.join(runs, group).withColumn("run", F.expr("cast(pmod(xxhash64(query), runs) as int)")).drop("runs").withColumn("radius", F.lit(radius))
+        shards = index.join(runs, group).withColumn("run", F.expr("explode(sequence(0, runs - 1))")).drop("runs")
+        found = sent.groupBy(*group, "run").cogroup(shards.groupBy(*group, "run")).applyInPandas(search, "query long, id long, distance int")
+        old = best
+        best = written(_nearest(found if old is None else found.unionByName(old.drop("rank")), k), "nearest", routed, runs)
+        kth = best.where(F.col("rank") == enough).select(F.col("query").alias("_query"), F.col("distance").alias("kth"))
+        left = active.join(kth, F.col("query") == F.col("_query"), "left").select("query", F.coalesce("kth", F.lit(64)).alias("bound"))
+        active = written(left.where(F.col("bound") >= len(parts) * (radius + 1)), "active_queries", active, *([old] if old is not None else []))
+        radius += 1
+    for used in (index, pieces, active):
+        forget(used)
+    if best is None:
+        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).where("false")
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("neighbour_id"), "distance"))).alias("found"))  # k at most
+    out = spread_join(asked, lists.withColumnRenamed("query", "code"), "code", "id")
+    return out.select(F.col("id").alias("query_id"), F.explode("found").alias("f")).select("query_id", "f.*")
 
 
 ORACLE_SQL = """
