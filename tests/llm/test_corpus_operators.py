@@ -364,6 +364,53 @@ def test_pii_terms(spark):
     assert "xylophone" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[3][1]
 
 
+def test_pii_disclosure_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    r = random.Random(12)
+    names, mails = [f"{a}{b}ovic" for a in "abcdefgh" for b in "klmnop"], [f"u{k}@host{k % 3}.org" for k in range(9)]
+    rows = []
+    for k in range(240):
+        words = [r.choice(names) if r.random() < 0.1 else r.choice("plain words stand about here with others hereafter".split()) for _ in range(30)]
+        m = r.choice(mails) if r.random() < 0.5 else None
+        if m:
+            words[r.randrange(len(words))] = m.upper() if r.random() < 0.3 else m
+            if r.random() < 0.8:
+                words[0] = words[-1] = names[mails.index(m)].title()  # far from the address as well
+        rows.append((k if k % 9 else None, " ".join(words)))
+    rows += [rows[5], (7, None), (8, "")]
+    n, entities, terms = len(rows), collections.defaultdict(set), collections.defaultdict(set)
+    for k, (_, t) in enumerate(rows):
+        for m in re.finditer(PATTERNS["email"], t or ""):
+            entities[m.group().lower()].add(k)
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            if len(w) >= pii.LETTERS:
+                terms[w].add(k)
+    told = collections.defaultdict(dict)
+    for c, has in entities.items():
+        for w, also in terms.items():
+            both = has & also
+            if len(both) >= pii.SUPPORT and len(has) < n:
+                share = np.log2(n * len(both) / (len(also) * len(has))) / np.log2(n / len(has))
+                if share >= pii.DISCLOSED:
+                    for k in both:
+                        told[k][w] = max(share, told[k].get(w, 0))
+    want, clean = [], []
+    for k, (i, t) in enumerate(rows):
+        base = [(m.start(), m.end()) for m in re.finditer(PATTERNS["email"], t or "")]
+        own = [(m.start(), m.end(), told[k][m.group().lower()]) for m in re.finditer(r"[^\W\d_]+", t or "") if m.group().lower() in told[k] and not any(s < m.end() and m.start() < e for s, e in base)]
+        want.append((i, ",".join([f"email:{s}:{e}" for s, e in base] + [f"term:{s}:{e}" for s, e, _ in own])))
+        out, at = "", 0
+        for s, e, put in sorted([(s, e, "[EMAIL]") for s, e in base] + [(s, e, "" if d >= pii.REMOVED else t[s] + "***") for s, e, d in own]):
+            out, at = out + t[at:s] + put, e
+        clean.append((i, out + (t or "")[at:]))
+    assert len({k for k in told if told[k]}) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = pii.find(docs).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in found), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, pii.sanitise(docs).collect()), key=str) == sorted(clean, key=str)
+    assert sorted(r["sanitised_sha256"] for r in found) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in clean)
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     sizes = np.array([substrings.TOKENS - 1 + 60, substrings.TOKENS, 300])

@@ -5,20 +5,24 @@ them; running sums of their lengths are the positions in code points. Patterns a
 nor rescan on long runs, and match what the plain forms match.
 
 Method: the values found are the protected entities. A term (a word of ``LETTERS`` letters or more) co-occurs with an
-entity where it stands within ``AROUND`` characters of it. Over all documents, with N documents, n(t) that have the term,
-n(c) that have the entity and n(t, c) in which they co-occur, the term discloses
+entity in each document that has both, wherever they stand. Over all documents, with N documents, n(t) that have the term,
+n(c) that have the entity and n(t, c) that have both, the term discloses
 
     PMI(t; c) / IC(c) = log2(N n(t, c) / (n(t) n(c))) / log2(N / n(c))
 
 of the entity's information. Terms that co-occur with it in ``SUPPORT`` documents or more and disclose ``DISCLOSED`` or
-more become spans of kind ``term``. ``sanitise`` puts the kind in place of a base span, generalises disclosing terms to
-their first letter, and removes those that disclose ``REMOVED`` or more.
-
-Pairs are formed only within the window, so they grow with the text; counts are pre-aggregated before each shuffle.
-
-Cases: null texts count as empty and have no spans; repeated rows and repeated doc_ids are rows of their own; an entity
-that all documents have carries no information and no term discloses it; an empty table gives an empty result; other
-columns are ignored.
+more become spans of kind ``term`` wherever they stand, outside base spans, in a document that has the entity. ``sanitise``
+puts the kind in place of a base span, generalises disclosing terms to their first letter, and removes those that disclose
+``REMOVED`` or more.
+
+Only documents with an entity that ``SUPPORT`` documents have can give pairs, and of their terms only those with
+n(t) <= N (n(c) / N) ** DISCLOSED, which every disclosing term meets as n(t, c) <= n(c); so pairs grow with the documents
+that hold shared entities, not with the corpus. Counts are pre-aggregated before each shuffle, frequent entities, terms and
+pairs are dealt over tasks, and texts are read again by their place instead of being shuffled.
+
+Cases: null texts count as empty and have no spans; repeated rows and repeated or missing doc_ids are rows of their own,
+told apart by their place; an entity that all documents have carries no information and no term discloses it; a term in two
+entities' pairs has the larger disclosure; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import PLACE, forget, keep_rows, place, spread_join, stored, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-AROUND, LETTERS, SUPPORT, DISCLOSED, REMOVED = 60, 4, 2, 0.75, 0.95
+LETTERS, SUPPORT, DISCLOSED, REMOVED = 4, 2, 0.75, 0.95
 BLOCK = 256  # elements of a running sum that are added one by one
 
 #: Kind: the pattern for Java, the condition on a text for having any match, the condition on a match m.
@@ -53,7 +57,7 @@ def running(name: str) -> str:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Each row with a column for each kind: array of start_at, end_at, value, left and right text around."""
+    """Each row with a column for each kind: array of start_at, end_at, value."""
     out = docs
     none = "cast(array() as array<string>)"
     for kind, (pattern, likely, _) in PATTERNS.items():
@@ -64,54 +68,83 @@ def base_spans(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"{kind}_e", F.expr(running(f"{kind}_a")))
     for kind, (_, _, valid) in PATTERNS.items():
         valid = valid.format(luhn=LUHN) if kind == "card" else valid
-        all_ = f"transform({kind}_m, (m, i) -> struct({kind}_e[i] - length(m) as start_at, {kind}_e[i] as end_at, m as value, right({kind}_g[i], {AROUND}) as before, left({kind}_g[i + 1], {AROUND}) as after, length({kind}_g[i]) > {AROUND} as cut_before, length({kind}_g[i + 1]) > {AROUND} as cut_after))"
+        all_ = f"transform({kind}_m, (m, i) -> struct({kind}_e[i] - length(m) as start_at, {kind}_e[i] as end_at, m as value))"
         out = out.withColumn(kind, F.expr(f"filter({all_}, s -> element_at(transform(array(s.value), m -> {valid}), 1))"))
     return out.drop(*(f"{k}_{x}" for k in KINDS for x in "mgae"))
 
 
-def _terms(side: str, cut: str, at: str) -> str:
-    """SQL for the terms of one side of a span: array of term, start_at, end_at. A word that the window cuts is left out."""
-    cut_off = f"regexp_replace({side}, r'{cut}', '')"
-    words, gaps = f"regexp_extract_all({cut_off}, r'\\p{{L}}++', 0)", f"split({cut_off}, r'\\p{{L}}++', -1)"
-    ends = f"aggregate(zip_with({words}, slice({gaps}, 1, size({words})), (w, g) -> cast(length(w) + length(g) as bigint)), cast(array() as array<bigint>), (s, x) -> array_append(s, coalesce(try_element_at(s, -1), 0L) + x))"
-    return f"filter(zip_with({words}, {ends}, (w, e) -> struct(lower(w) as term, {at.format(part=cut_off)} + e - length(w) as start_at, {at.format(part=cut_off)} + e as end_at)), t -> length(t.term) >= {LETTERS})"
-
-
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written table of rows with their base spans, and the disclosing terms (uid, start_at, end_at, disclosure)."""
-    rows = written(base_spans(texts(docs)).withColumns({"uid": F.monotonically_increasing_id(), "text_key": F.xxhash64("text")}).drop("text"), "pii_base")
-    spans = F.concat(*(F.transform(k, lambda s, k=k: s.withField("kind", F.lit(k))) for k in KINDS))
-    near = rows.select("uid", spans.alias("spans")).where("size(spans) > 0")
-    near = near.select("uid", "spans", F.explode("spans").alias("s")).select("uid", "spans", F.expr("xxhash64(s.kind, lower(s.value))").alias("entity"), "s.*")
-    left, right = _terms("before", "^\\p{L}++", "start_at - length({part})"), _terms("after", "\\p{L}++$", "end_at")
-    near = near.withColumn("before", F.expr("case when cut_before then before else concat(' ', before) end"))
-    near = near.withColumn("after", F.expr("case when cut_after then after else concat(after, ' ') end"))
-    near = near.select("uid", "spans", "entity", F.explode(F.expr(f"concat({left}, {right})")).alias("t")).select("uid", "spans", "entity", "t.*")
-    near = near.where("not exists(spans, s -> s.start_at < end_at and start_at < s.end_at)").drop("spans")
-    near = written(near, "pii_near")
-
-    total = rows.count()
-    with_entity = rows.select("uid", F.explode(spans).alias("s")).select("uid", F.expr("xxhash64(s.kind, lower(s.value))").alias("entity"))
-    n_c = with_entity.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    n_tc = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).where(f"n_tc >= {SUPPORT}")
-    pairs = written(n_tc.join(n_c, "entity"), "pii_pairs")
-    words = texts(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term"))
-    n_t = words.where(f"length(term) >= {LETTERS}").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    disclosure = F.expr(f"log2({total}D * n_tc / (n_t * n_c)) / log2({total}D / n_c)")
-    revealing = pairs.join(n_t, "term").where(f"n_c < {total}").withColumn("disclosure", disclosure).where(f"disclosure >= {DISCLOSED}")
-    revealing = written(revealing.select("entity", "term", "disclosure"), "pii_revealing")
-    terms = near.join(revealing, ["entity", "term"]).groupBy("uid", "start_at", "end_at").agg(F.max("disclosure").alias("disclosure"))
-    return rows, terms
+def _spans() -> str:
+    """SQL for all base spans of a row, by kind, then start."""
+    return f"concat({', '.join(KINDS)})"
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """file, row, terms (map of term to disclosure) of each row of a ``stored`` table that holds disclosing terms."""
+    total = docs.count()
+    found = base_spans(texts(docs, *place(docs)))
+    each = ", ".join(f"transform({k}, s -> xxhash64('{k}', lower(s.value)))" for k in KINDS)
+    entity = F.expr(f"explode(array_distinct(concat({each})))")
+    held = written(found.select("file", "row", entity.alias("entity")), "pii_entities")
+    n_c = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(f"n_c >= {SUPPORT} and n_c < {total}")
+    n_c = written(n_c, "pii_shared_entities")
+    shared = spread_join(held, n_c, "entity", "file, row", counts=n_c.withColumnRenamed("n_c", "n"))
+    shared = shared.groupBy("file", "row").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"))  # of one text
+    shared = written(shared, "pii_holders", held)
+    words = "array_distinct(split(lower(text), '[^\\\\p{L}]+'))"
+    terms = lambda frame, *more: texts(frame, *more).select(*more, F.explode(F.expr(words)).alias("term")).where(f"length(term) >= {LETTERS}")
+    rare = n_c.agg(F.max("n_c")).first()[0] or 0
+    n_t = terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(f"n_t >= {SUPPORT} and n_t <= {_most(total, rare)}")
+    own = written(terms(keep_rows(docs, shared.select("file", "row"), places=True), *PLACE), "pii_terms")
+    own = spread_join(own, n_t, "term", ", ".join(PLACE))
+    pairs = own.join(shared, F.expr(f"{PLACE[0]} = file and {PLACE[1]} = row")).select("file", "row", "term", "n_t", F.explode("entities").alias("e"))
+    likely = f"n_t <= {total}D * pow(e.n_c / {total}D, {DISCLOSED}) * 1.000001"
+    pairs = written(pairs.where(likely).select("file", "row", "term", "n_t", "e.n_c", F.expr("xxhash64(e.entity, term)").alias("pair")), "pii_pairs", shared)
+    disclosure = F.expr(f"log2({total}D * n / (n_t * n_c)) / log2({total}D / n_c)")
+    revealing = pairs.groupBy("pair", "n_t", "n_c").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {SUPPORT}").withColumn("disclosure", disclosure)
+    revealing = written(revealing.where(f"disclosure >= {DISCLOSED}").select("pair", "n", "disclosure"), "pii_revealing", n_c)
+    marked = spread_join(pairs.select("file", "row", "term", "pair"), revealing.select("pair", "disclosure"), "pair", "file, row", counts=revealing.select("pair", "n"))
+    marked = marked.groupBy("file", "row", "term").agg(F.max("disclosure").alias("disclosure"))
+    marked = marked.groupBy("file", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))  # of one text
+    marked = written(marked, "pii_marked", pairs)
+    forget(revealing)
+    return marked
+
+
+def _most(total: int, n_c: int) -> int:
+    """Documents that may have a term which discloses an entity of ``n_c`` documents."""
+    return int(total * (n_c / max(1, total)) ** DISCLOSED * 1.000001) if n_c else 0
 
 
 def _with_terms(docs: DataFrame) -> DataFrame:
-    rows, terms = _found(docs)
-    listed = terms.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "disclosure"))).alias("term"))
-    return rows.join(listed.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left").withColumn("term", F.coalesce("term", F.expr("cast(array() as array<struct<start_at bigint, end_at bigint, disclosure double>>)")))
+    """doc_id, text, a column of spans for each kind, and ``term``: start_at, end_at, disclosure."""
+    docs = stored(docs)
+    marked = disclosing(docs)
+    places = marked.select("file", "row")
+    kind = "array<struct<start_at: bigint, end_at: bigint, disclosure: double>>"
+    plain = base_spans(texts(keep_rows(docs, places, others=True))).withColumn("term", F.expr(f"cast(array() as {kind})"))
+    some = base_spans(texts(keep_rows(docs, places, places=True), *PLACE)).join(marked, F.expr(f"{PLACE[0]} = file and {PLACE[1]} = row"))
+    some = some.withColumn("w", F.expr(r"regexp_extract_all(text, r'\p{L}++', 0)")).withColumn("g", F.expr(r"split(text, r'\p{L}++', -1)"))
+    some = some.withColumn("a", F.expr("zip_with(w, slice(g, 1, size(w)), (w, g) -> cast(length(w) + length(g) as bigint))")).withColumn("e", F.expr(running("a")))
+    told = "filter(transform(w, (w, i) -> struct(e[i] - length(w) as start_at, e[i] as end_at, terms[lower(w)] as disclosure)), t -> t.disclosure is not null)"
+    some = some.withColumn("found", F.expr(told)).withColumn("base", F.expr(_spans()))
+    some = some.withColumn("term", F.expr(f"cast(filter(found, t -> not exists(base, s -> s.start_at < t.end_at and t.start_at < s.end_at)) as {kind})"))
+    return plain.unionByName(some.select(*plain.columns))
+
+
+def _clean() -> str:
+    """SQL for the text with base spans replaced by their kind, disclosing terms generalised or removed. Of spans of two
+    kinds that overlap the first counts; what is between two spans stays."""
+    put = [f"transform({k}, s -> struct(s.start_at, s.end_at, '[{k.upper()}]' as put))" for k in KINDS]
+    put.append(f"transform(term, s -> struct(s.start_at, s.end_at, case when s.disclosure >= {REMOVED} then '' else '*' end as put))")
+    state = "struct(cast(array() as array<string>) as parts, 0L as at)"
+    shown = "case when s.put = '*' then concat(substring(text, cast(s.start_at as int) + 1, 1), '***') else s.put end"
+    step = f"case when s.start_at >= a.at then struct(array_append(a.parts, concat(substring(text, cast(a.at as int) + 1, cast(s.start_at - a.at as int)), {shown})) as parts, s.end_at as at) else a end"
+    done = "concat(array_join(a.parts, ''), substring(text, cast(a.at as int) + 1))"
+    return f"case when size(concat({', '.join(KINDS)})) + size(term) = 0 then text else aggregate(array_sort(concat({', '.join(put)})), {state}, (a, s) -> {step}, a -> {done}) end"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, sanitised_sha256."""
     out = _with_terms(docs)
     told = {k: F.expr(f"transform({k}, s -> concat('{k}:', s.start_at, ':', s.end_at))") for k in (*KINDS, "term")}
     base = F.concat(*(told[k] for k in KINDS))
@@ -121,17 +154,10 @@ def find(docs: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", F.concat(base, told["term"])).alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        F.sha2(F.expr(_clean()), 256).alias("sanitised_sha256"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id and text with base spans replaced by their kind, disclosing terms generalised or removed."""
-    spans = F.concat(*(F.expr(f"transform({k}, s -> struct(s.start_at, s.end_at, '[{k.upper()}]' as put))") for k in KINDS),
-                     F.expr(f"transform(term, s -> struct(s.start_at, s.end_at, case when s.disclosure >= {REMOVED} then '' else '*' end as put))"))
-    apart = "aggregate(spans, cast(array() as array<struct<start_at bigint, end_at bigint, put string>>), (a, s) -> case when s.start_at >= coalesce(try_element_at(a, -1).end_at, 0L) then array_append(a, s) else a end)"
-    rows = _with_terms(docs).select("uid", F.col("doc_id").alias("_id"), "text_key", F.array_sort(spans).alias("spans")).withColumn("spans", F.expr(apart))
-    rows = rows.groupBy("_id", "text_key").agg(F.min_by("spans", "uid").alias("spans"))  # equal rows have equal spans
-    rows = texts(docs).join(rows, F.expr("doc_id <=> _id and xxhash64(text) = text_key"))
-    parts = "transform(spans, (s, i) -> concat(substring(text, cast(case when i = 0 then 0 else spans[i - 1].end_at end as int) + 1, cast(s.start_at - case when i = 0 then 0 else spans[i - 1].end_at end as int)), case when s.put = '*' then concat(substring(text, cast(s.start_at as int) + 1, 1), '***') else s.put end))"
-    rest = "substring(text, cast(coalesce(try_element_at(spans, -1).end_at, 0L) as int) + 1)"
-    return rows.select("doc_id", F.expr(f"concat(array_join({parts}, ''), {rest})").alias("text"))
+    return _with_terms(docs).select("doc_id", F.expr(_clean()).alias("text"))
