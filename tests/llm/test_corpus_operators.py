@@ -288,6 +288,33 @@ def test_quality(spark, docs, none):
     assert quality.train(none, labels) is None and quality.score(docs, None).first()["score"] == 0.5
 
 
+def test_quality_gradient_and_bounds(spark, monkeypatch):
+    network = quality.Network()
+    network.w = {k: v.astype(np.float64) for k, v in network.w.items()}
+    raws = [network.bytes_of(prose(k, 30 + 40 * k)) for k in range(4)]
+    labels, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        p = network.scores(np.array([network.pooled(r) for r in raws]))
+        return -np.mean(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))) + 0.5e-4 * (network.w["out"] ** 2).sum()
+
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(quality, "BLOCK", quality.WIDTH * 3)  # texts pass in many blocks
+    for name, g in network._gradient(raws, labels, weight).items():
+        w = network.w[name].reshape(-1)
+        for k in rng.choice(np.flatnonzero(np.abs(g.reshape(-1)) > 1e-6), 6):
+            w[k] += 1e-5
+            up = loss()
+            w[k] -= 2e-5
+            assert abs((up - loss()) / 2e-5 - g.reshape(-1)[k]) < 1e-4, name
+            w[k] += 1e-5
+    docs = spark.createDataFrame([(1, prose(k, 50)) for k in range(300)] + [(3, "x" * 100000), (4, None)], "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(quality.Network, "fit", lambda self, raws, labels: taken.append(raws))
+    quality.train(docs, spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id long, quality int"), sample=10, sample_bytes=5000)
+    assert 3 <= len(taken[0]) <= 10 and sum(map(len, taken[0])) < 5200  # one doc_id with very many rows, and one long text
+
+
 def test_quality_covers_whole_texts():
     network = quality.Network()
     raw = network.bytes_of("plain words " * 40000 + "###$$$%%%")

@@ -4,12 +4,15 @@ A text is its UTF-8 bytes. Learned filters look at chunks of ``WIDTH`` bytes tha
 document; each filter keeps its largest response over all chunks (max-pooling); the pooled responses are rectified and
 combined into one probability. Memory for a text is bounded: long texts pass in blocks, the maxima of blocks are merged.
 
-Training is on the driver over a bounded sample (``sample`` labelled rows in the order of a hash of doc_id); rows whose
-crc32 of doc_id has remainder 0 modulo 5 are held out. Only bytes of the text are inputs. Max-pooling sends a gradient to
-one chunk for each filter, so learning costs little more than scoring.
+Training is on the driver over a bounded sample: ``SAMPLE`` labelled rows in the order of a hash of doc_id, fewer if their
+texts come to more than ``SAMPLE_BYTES``; lengths are looked at first, texts are fetched by their place. Rows whose crc32 of
+doc_id has remainder 0 modulo 5 are held out. Only bytes of the text are inputs. Max-pooling sends a gradient to one chunk
+for each filter, so learning costs little more than scoring, and takes blocks of a text as scoring does.
 
 Cases: null and empty texts are scored as one chunk of padding; without any labelled row the score is 0.5 for all;
-a null label is no label; of a document labelled twice the highest label counts; other columns are ignored.
+a null label is no label; of a document labelled twice the highest label counts; rows that repeat a labelled doc_id are rows
+of the sample each, within its bounds; a text that alone exceeds what is left of the bytes is passed over; a null doc_id
+has no label and is not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import place, stored, texts
 
 WIDTH, DEPTH, FILTERS = 12, 8, 48
 STEP = WIDTH // 2
 BLOCK = WIDTH * 16384  # bytes of a long text handled at once
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 4000, 6, 32, 4e-3, 7
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
+EPOCHS, BATCH, RATE, SEED = 6, 32, 4e-3, 7
 ACCEPT = 0.3
 
 
@@ -53,15 +57,26 @@ class Network:
 
     def pooled(self, raw: np.ndarray) -> np.ndarray:
         """The largest response of each filter."""
-        best = None
-        for at in range(0, len(raw) - STEP, BLOCK):
-            vectors = self.w["embed"][raw[at : at + BLOCK + STEP]]
+        return self._largest(raw)[0]
+
+    def _largest(self, raw: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter and, if asked for, the first byte of the chunk that has it."""
+        best, at = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, np.int64)
+        for start in range(0, len(raw) - STEP, BLOCK):
+            vectors = self.w["embed"][raw[start : start + BLOCK + STEP]]
             for lag in (0, STEP):
                 some = vectors[lag : lag + (len(vectors) - lag) // WIDTH * WIDTH]
-                if len(some):
-                    top = (some.reshape(-1, WIDTH * DEPTH) @ self.w["filters"]).max(axis=0)
-                    best = top if best is None else np.maximum(best, top)
-        return best
+                if not len(some):
+                    continue
+                response = some.reshape(-1, WIDTH * DEPTH) @ self.w["filters"]
+                if where:
+                    top = response.argmax(axis=0)
+                    value = response[top, np.arange(FILTERS)]
+                    at = np.where(value > best, start + lag + top * WIDTH, at)
+                else:
+                    value = response.max(axis=0)
+                best = np.maximum(best, value)
+        return best, at
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
         z = np.maximum(pooled + self.w["shift"], 0) @ self.w["out"] + self.w["bias"]
@@ -90,12 +105,9 @@ class Network:
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
         pooled, chunks = [], []
         for raw in raws:
-            at = np.arange(0, len(raw) - WIDTH + 1, STEP)
-            windows = np.lib.stride_tricks.sliding_window_view(raw, WIDTH)[at]
-            response = self.w["embed"][windows].reshape(len(at), -1) @ self.w["filters"]
-            top = response.argmax(axis=0)
-            pooled.append(response[top, np.arange(FILTERS)])
-            chunks.append(windows[top])  # FILTERS x WIDTH
+            value, at = self._largest(raw, where=True)
+            pooled.append(value)
+            chunks.append(raw[at[:, None] + np.arange(WIDTH)])  # FILTERS x WIDTH
         pooled, chunks = np.array(pooled), np.array(chunks)
         active = np.maximum(pooled + self.w["shift"], 0)
         error = ((self.scores(pooled) - labels) * weight / len(raws)).astype(np.float32)
@@ -114,14 +126,23 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Network | None:
-    """A network for ``label`` from at most ``sample`` labelled rows that are not held out; None without any."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """A network for ``label`` from at most ``sample`` labelled rows that are not held out and ``sample_bytes`` of text; None
+    without any."""
+    docs = stored(docs)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # ``sample`` rows at most
-    rows = texts(docs).join(chosen, "doc_id").select("doc_id", "text", "label").collect()
-    if not rows:
+    sizes = texts(docs, *place(docs)).join(chosen, "doc_id").select("file", "row", "label", F.xxhash64("doc_id").alias("order"), F.octet_length("text").alias("bytes"))
+    left, taken = sample_bytes, []
+    for r in sizes.orderBy("order", "file", "row").limit(sample).collect():
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            taken.append((r["file"], r["row"], r["label"]))
+    if not taken:
         return None
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "file long, row long, label long"))  # ``sample`` rows at most
+    rows = texts(docs, *place(docs)).join(taken, ["file", "row"]).select("doc_id", "text", "label").collect()  # ``sample_bytes`` at most
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     network = Network()
     network.fit([network.bytes_of(r["text"]) for r in rows], np.array([int(r["label"] > 0) for r in rows]))
