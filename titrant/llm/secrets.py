@@ -1,17 +1,19 @@
 """Secret scans: candidates by rules, false positives removed by a random forest.
 
-Candidates of a whole text: runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more with a digit, and values of six
-characters or more that a credential word assigns (``password: ...``, ``token = "..."``), wherever in a URL or connection
+Candidates of a whole text: runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more with a digit or with the beginning of an
+issued key, and values of six characters or more that a credential word assigns (``password: ...``, ``token = "..."``), wherever in a URL or connection
 string the assignment stands. Overlapping candidates become one, the assigned value counting.
 
 Each candidate has features of its length, transitions between character classes, coverage by dictionary words, the
 path it may be part of and the neighbouring words. A forest of ``TREES`` trees, grown in numpy on the driver from
 labelled findings, gives the share of trees' votes that it is a secret; findings under ``ACCEPT`` are false positives.
 Labelled findings are a parameter (text, start, end, secret); by default ``labelled_findings`` writes ``SAMPLE`` of them
-in the styles that credentials and look-alikes (digests, identifiers, card numbers, paths, placeholders) have.
+in the styles that credentials and look-alikes (digests, identifiers, card numbers, paths, placeholders) have. The names it
+puts beside them are drawn half from lists of its own that no feature knows, so that the forest can't rest on those alone.
 
-Cases: null and empty texts have no findings; a text of any length is one pass and its runs may be of any length; the
-same text twice gives the same findings twice; an empty table gives an empty result; other columns are ignored.
+Cases: null and empty texts have no findings and stay as they are; a text of any length is one pass, candidates are merged
+and redacted in one more over them, and runs may be of any length; the same text twice gives the same findings twice;
+repeated and missing doc_ids have rows of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ WORDS = (
     "path process project query report request result return server service session source string table target token type update version view"
 ).split()
 
-RUN = re.compile("[0-9][A-Za-z0-9+/_=-]*")
+RUN = re.compile(f"(?:[0-9]|{'|'.join(map(re.escape, ISSUED))})[A-Za-z0-9+/_=-]*")
 SEPARATOR = re.compile("(?<=[A-Za-z\"'`\\])\\t ])[:=][=>]?[ \\t]{0,3}([\"'`]?)")
 QUOTED = re.compile("[^\\s\"'`]+")
 # Without quotes a value ends at a mark that another assignment, white space, a quote or the end follows; in a query string at any.
@@ -127,8 +129,11 @@ def labelled_findings(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, int,
     raw = lambda k: base64.b64encode(r.randbytes(k)).decode()
     syllables = "the ing er on tion ly en ver que ment sch keit os ado ci th ou re an un de el".split()
     prose = lambda k: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(k))
-    keyed = lambda v: r.choice(['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "{k} = '{v}'", "{k} is {v}", "https://site.example/path?id=3&{k}={v}&page=2", "Server=db;Uid=app;{k}={v};"]).format(k=r.choice(["token", "api_key", "secret", "password", "pwd", "access_token", "auth_token", "private_key", "client_secret", "bearer"]), v=v)
-    benign = lambda v: r.choice(["{k} {v}", "{k}: {v}", '{k} = "{v}"', "{k}={v}"]).format(k=r.choice(BENIGN), v=v)
+    # Names that the features' lists don't hold, beside those that they do.
+    keys = "token api_key secret password pwd access_token auth_token private_key client_secret bearer db_pass signing_key webhook_secret master_key psk pin_code smtp_password encryption_key service_token root_pw".split()
+    marks = [*BENIGN, *"batch parcel render cachekey device ticket article node shard fingerprint snapshot manifest cursor part slug asset job ledger lot".split()]
+    keyed = lambda v: r.choice(['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "{k} = '{v}'", "{k} is {v}", "https://site.example/path?id=3&{k}={v}&page=2", "Server=db;Uid=app;{k}={v};"]).format(k=r.choice(keys), v=v)
+    benign = lambda v: r.choice(["{k} {v}", "{k}: {v}", '{k} = "{v}"', "{k}={v}"]).format(k=r.choice(marks), v=v)
     out = []
     for k in range(n):
         secret = k % 2 == 0
@@ -238,9 +243,10 @@ def redact(docs: DataFrame, findings: list[tuple[str, int, int, bool]] | None =
             own = batch["text"].to_pylist()
             new = list(own)
             for k, spans in enumerate(scan([t or "" for t in own], forest)):
-                for s, e, _, score in reversed(spans):
-                    if score >= ACCEPT:
-                        new[k] = new[k][:s] + REDACTED + new[k][e:]
+                real = [(s, e) for s, e, _, score in spans if score >= ACCEPT]
+                if real:
+                    gaps = zip([0, *(e for _, e in real)], [*(s for s, _ in real), None], strict=True)
+                    new[k] = REDACTED.join(own[k][a:b] for a, b in gaps)
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns["text"] = pa.array(new, batch.schema.field("text").type)
             if counted:
