@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 CAPACITY = 2048
-MEMO = 1_000_000  # words a worker remembers
+MEMO = 500_000  # words a worker remembers
 
 Pattern = list[tuple[int, int]]
 
