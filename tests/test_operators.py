@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from titrant.operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms
+from titrant.operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify
 from titrant.plans import policy, reports
 from titrant.sources import tables
 from titrant.streaming import ingest
@@ -100,7 +101,10 @@ def test_explain(spark):
     got = {r["slot"]: r for r in explain.explain(bundled, cache).collect()}
     assert (got[0]["degraded"], got[0]["ungrounded"]) == (False, False) and got[1]["ungrounded"] and got[2]["what_it_measures"] == "Thyroid from the cache"
     bad = {r["slot"]: r for r in explain.explain(bundled, cache, generator=wrong).collect()}
-    assert bad[0]["degraded"] and bad[0]["what_it_measures"].startswith("Please ask") and not bad[2]["degraded"]
+    assert bad[0]["degraded"] and bad[0]["what_it_measures"] == "Evaluates what Haemoglobin measures in the body." and not bad[2]["degraded"]
+    assert bad[0]["source_label"] == explain.NOT_VERIFIED and bad[0]["sources"] == [] and got[0]["source_label"] == "NHS / NIH"
+    assert bad[1]["source_label"] == explain.NOT_COVERED and bad[1]["what_it_measures"].startswith("NHS UK and NIH MedlinePlus reference material for P2 Peak was")
+    assert tuple(explain.referrals(explain.explain(bundled, cache, generator=wrong)).first())[1:] == (3, 2)
     assert reports.summary(explain.explain(bundled, cache)).first()["n_tests"] == 3
     assert reports.evaluate_explanations(explain.explain(bundled, cache).withColumn("c", F.lit("all")), "c").count() == 2
 
@@ -136,20 +140,159 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/cache").count() == 2
 
 
+def test_explain_asks_again_for_what_is_missing(spark, tmp_path):
+    n, names = 9, "Alphin Betarol Gammose Deltide Epsilase Zetanol Etamine Thetane Iotase".split()
+    tests = spark.createDataFrame([(k, 1, f"T{k}", None, names[k], "x", f"T{k}") for k in range(n)], "slot long, report_id long, test_id string, specimen string, raw_name string, unit string, grounding_id string")
+    ref = spark.createDataFrame([(f"T{k}", "NHS", f"{names[k]} counts something here.") for k in range(n)], "test_id string, source string, plain_english string")
+    none = spark.createDataFrame([], "slot long, rank int, text string, source string, url string")
+    cache = spark.createDataFrame([], "test_id string, specimen string, what_it_measures string, lifestyle_suggestions array<string>, gp_question string")
+    log, paused = str(tmp_path / "log"), []
+
+    def model(name):
+        def call(prompt, entry):
+            ids = [line.split("|")[0].split(":")[1].strip() for line in prompt.split("\n") if line.startswith("- Test ID")]
+            with open(log, "a") as f:
+                f.write(f"{name} {' '.join(ids)}\n")
+            if name == "down":
+                raise ValueError("HTTP 503")
+            told = [{"test_id": i, "what_it_measures": f"{names[int(i[1:])]} counts something.", "lifestyle_suggestions": ["Walk", "Sleep"], "gp_question": f"What about {names[3 if i == 'T2' else int(i[1:])]}?"} for i in ids]
+            return json.dumps({"explanations": [t for t in told if t["test_id"] != "T8" and (t["test_id"] != "T4" or name == "spare")]})
+
+        return call
+
+    chain = policy.Chain({k: model(k) for k in ("down", "up", "spare")}, policy.Settings(text_chain=("down", "up"), reserved_chain=("spare:small",)), sleep=lambda s: None)
+    bundled = explain.bundle(tests, ref, none)
+    out = {r["slot"]: r for r in explain.explain(bundled, cache, generator=policy.generator(chain), pause=lambda: paused.append(1)).collect()}
+    assert [k for k in out if out[k]["degraded"]] == [8] and paused == [1]
+    assert out[4]["what_it_measures"] == "Epsilase counts something." and out[2]["gp_question"] == explain.ASK_INSTEAD and not out[2]["degraded"]
+    asked = [line.split() for line in open(log).read().splitlines()]
+    assert ["spare", "T4", "T8"] in asked and asked.count(["up", "T0", "T1", "T2", "T3", "T4", "T5"]) == 1 and ["up", "T8"] in asked[-2:]
+
+
+def test_precompute(spark):
+    chunks = retrieve.embed(spark.createDataFrame([(1, ["HGB", "TSH"], "Blood", "Hgb", "Hgb is a blood measure.", "u")], "id long, test_ids array<string>, topic string, section string, text string, url string"), "text")
+    chunks = chunks.withColumn("source", F.lit("NIH"))
+    ref = spark.createDataFrame([("HGB", "NHS", "Hgb carries oxygen.")], "test_id string, source string, plain_english string")
+    cache = spark.createDataFrame([("TSH", None, "w", ["a"], "q")], "test_id string, specimen string, what_it_measures string, lifestyle_suggestions array<string>, gp_question string")
+    made = reports.precompute(spark, ref, chunks, cache).collect()
+    assert made == []  # the stand-in's advice is on no subject of the context
+    short = reports.precompute(spark, ref, chunks, cache, measures_only=True).collect()
+    assert [tuple(r) for r in short] == [("HGB", "Hgb carries oxygen.")]
+    fine = lambda b: pd.DataFrame({"slot": b["slot"], "what_it_measures": "Hgb carries oxygen.", "lifestyle_suggestions": [["Oxygen walks "]] * len(b), "gp_question": "Why oxygen?"})
+    made = reports.precompute(spark, ref, chunks, cache, fine, force=True).collect()
+    assert [(r["test_id"], r["lifestyle_suggestions"]) for r in made if r["test_id"] == "HGB"] == [("HGB", ["Oxygen walks"])]
+    assert [r["raw_name"] for r in explain.stubs(chunks.withColumn("test_ids", F.array(F.lit("90_DAY_B12_2H"))), cache).collect()] == ["90 Day B12 2H"]
+
+
+def test_synonym_flow(spark):
+    chunks = spark.createDataFrame([(["A"], "one"), (["A", "B"], "two")], "test_ids array<string>, topic string")
+    asked = spark.createDataFrame([("A", "Alpha")], "test_id string, alias string")
+    propose = lambda todo: todo.select("test_id", F.explode(F.array(F.lit("Beta"), F.lit("alpha"), F.lit("Known"), F.lit("-"))).alias("alias"))
+    every, judged = reports.generate_synonyms(chunks, asked, spark.createDataFrame([("known", "Z")], "alias_key string, test_id string"), propose)
+    assert every.count() == 5 and {(r["alias_key"], r["verdict"]) for r in judged.collect()} == {("alpha", "ambiguous"), ("beta", "accepted"), ("known", "collision")}
+    assert [r["alias_key"] for r in synonyms.rejected(judged).collect()] == ["alpha", "known"]
+
+
+def test_caches_and_alias_files(spark, tmp_path):
+    schema, path = "k string, v string", f"{tmp_path}/cache"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    assert tables.save_cache(spark, rows(("a", "1"), (None, "2")), ["k"], path, schema)
+    assert tables.save_cache(spark, rows(("a", "3"), ("b", "4")), ["k"], path, schema)
+    assert sorted(map(tuple, tables.read_cache(spark, path, schema).collect()), key=str) == [("a", "3"), ("b", "4"), (None, "2")]
+    assert [p.name for p in tmp_path.iterdir()] == ["cache"]
+    (tmp_path / "file").write_text("x")
+    assert not tables.save_cache(spark, rows(("a", "1")), ["k"], f"{tmp_path}/file/cache", schema)
+    for text, found in (('{"a b": "X", "c": null}', [("a b", "X")]), ("[1", []), ("", [])):
+        (tmp_path / "aliases.json").write_text(text)
+        assert [tuple(r) for r in tables.read_aliases(spark, f"{tmp_path}/aliases.json").collect()] == found
+    assert tables.read_aliases(spark, f"{tmp_path}/none.json").count() == 0
+    typed = spark.createDataFrame([(1, "Hb", 1.0), (2, "TSH", 2.0), (3, " hb ", 3.0), (4, "", 4.0)], "n long, raw_name string, value double")
+    assert sorted((r["first_seq"], r["raw_name"], r["value"]) for r in results.upsert_entries(typed, "raw_name", "n").collect()) == [(1, " hb ", 3.0), (2, "TSH", 2.0)]
+    tables.write_evaluation(rows(("a", "1")), rows(("all", "1")), f"{tmp_path}/eval")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/eval/rows").count() == spark.read.json(f"{tmp_path}/eval/summary").count() == 1
+
+
+def test_header_tables_and_ruled_pages(spark):
+    head, body = ["Test Name", "Result", "Unit", "Ref Range"], ["Hb", "12", "g/dL", "11 - 16"]
+    grids = spark.createDataFrame([
+        (1, 1, 0, 0, head), (1, 1, 1, 0, body),  # glued
+        (2, 1, 0, 0, head),  # alone: no grid
+        (3, 1, 0, 0, head), (3, 1, 1, 0, head), (3, 1, 2, 0, body),  # the first is put before the second, the third has none
+        (4, 1, 0, 0, head), (4, 1, 1, 0, head), (4, 1, 2, 0, head), (4, 1, 3, 0, body),
+    ], "doc_id long, page int, table_no int, row_no int, cells array<string>")
+    glued = extract.glue_header_tables(grids)
+    assert {r["doc_id"] for r in glued.collect()} == {1, 3, 4}
+    assert sorted(r["doc_id"] for r in extract.grid_rows(glued).collect()) == [1, 4]
+    place = lambda text, x, top: (text, float(x), float(x + 20), float(top))
+    cells = [place(*w) for w in (("Investigation", 10, 0), ("Result", 200, 0), ("Unit", 300, 0), ("Hb", 10, 10), ("12", 200, 10), ("g/dL", 300, 10))]
+    words = spark.createDataFrame([(d, 1, t, x, y, top, True, 600.0) for d in (1, 2) for t, x, y, top in cells], tables.WORDS)
+    pages = spark.createDataFrame([(2, 1, "x Specimen: Urine routine"), (1, 1, "y")], "doc_id long, page int, text string")
+    rows = extract.structured_tables(grids, words, pages, dims.aliases(spark, dims.reference(spark))).collect()
+    assert sorted((r["doc_id"], r["test_id"], r["ref_range"]) for r in rows) == [(1, "HGB", "11 - 16"), (2, "HGB", None), (4, "HGB", "11 - 16")]
+
+
+def test_cascade_modes(spark):
+    row = "doc_id long, seq struct<tier:int,a:int>, raw_name string, value string, ref_range string, test_id string, known boolean"
+    rows = lambda *r: spark.createDataFrame([(d, (t, k), f"n{k}", "1", None, f"T{k}", True) for d, t, k in r], row)
+    table_rows, extracted, text = rows(*[(1, 0, k) for k in range(3)], (2, 0, 1), (5, 0, 1), (6, 0, 1)), rows((2, 1, 2), (3, 1, 1)), rows((2, 2, 3), (4, 2, 1), (5, 2, 2), (6, 2, 2))
+    docs = spark.createDataFrame([(1, False, None), (2, True, "vision"), (3, False, "llm_text"), (4, True, None), (5, False, "vision"), (6, True, None), (7, False, "vision")], "doc_id long, ocr boolean, tier string")
+    got = lambda mode: {d: (m, n) for d, m, n in extract.cascade(table_rows, extracted, text, docs, mode).groupBy("doc_id", "method").agg(F.count("raw_name")).collect()}
+    assert got("auto") == {1: ("table_structured", 3), 2: ("ocr_vision", 2), 3: ("llm_text", 1), 4: ("ocr_structured", 1), 5: ("vision", 1), 6: ("ocr_structured", 2), 7: ("manual_required", 0)}
+    assert got("regex") == {1: ("manual_required", 0), 2: ("ocr_structured", 1), 3: ("manual_required", 0), 4: ("ocr_structured", 1), 5: ("structured", 1), 6: ("ocr_structured", 1), 7: ("manual_required", 0)}
+    layers = spark.createDataFrame([("x" * 40, "read"), ("short", "read"), ("short", " "), (None, None)], "layer string, read string")
+    said = lambda mode: [tuple(r["t"]) for r in layers.select(extract.report_text("layer", "read", mode).alias("t")).collect()]
+    assert said("auto") == [("x" * 40, False), ("read", True), ("short", False), ("", False)] and said("ocr")[0] == ("read", True)
+
+
+def test_source_verification_reads_the_value_on_the_same_line(spark):
+    claims = spark.createDataFrame([(1, 1, "Serum Creatinine Level", "1.2"), (1, 2, "Serum Creatinine Level", "7"), (1, 3, "Ferritin", ""), (2, 4, "Ferritin", "3")], "doc_id long, claim_id long, raw_name string, value string")
+    texts = spark.createDataFrame([(1, "Creatinine (Serum) 1.2 mg\nFerritin 17\n7 apart"), (2, None)], "doc_id long, text string")
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for sources, how in ((texts, {}), (lines, {"text": "line", "line_no": "line_no"})):
+        assert sorted(r["claim_id"] for r in verify.keep_verified(claims, sources, **how).collect()) == [1, 3]
+
+
+def test_top_k_in_parts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(60, 4)), 1)
+    vectors[10:20] = vectors[0]
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(99, None)], "id long, embedding array<float>").repartition(3)
+    queries = chunks.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    score = np.round(vectors.astype(np.float32).astype(float) @ vectors.astype(np.float32).astype(float).T, 12)
+    want = {(q, n + 1): k for q in range(0, 60, 7) for n, k in enumerate(sorted(range(60), key=lambda k: (-score[q, k], k))[:5])}
+    for name, value in ((None, 0), ("PART", 7), ("QUERIES", 2), ("ASKED", 2), ("ROWS", 3)):
+        if name:
+            monkeypatch.setattr(retrieve, name, value)
+        assert {(r["query_id"], r["rank"]): r["id"] for r in retrieve.top_k(chunks, queries, 5).collect()} == want
+    assert retrieve.top_k(chunks, queries.where("false"), 5).count() == retrieve.top_k(chunks.where("false"), queries, 5).count() == 0
+    tagged = spark.createDataFrame([(["B", "A"],), (["A"],)], "test_ids array<string>")
+    assert [r["test_id"] for r in retrieve.covered_ids(tagged).collect()] == ["A", "B"]
+
+
 def test_chain():
-    now, calls = [0.0], []
+    now, calls, waits = [0.0], [], []
 
     def fails(reason):
-        def call(prompt):
-            calls.append(reason)
+        def call(prompt, model):
+            calls.append((reason, model))
             raise ValueError(reason)
 
         return call
 
-    chain = policy.Chain({"a": fails("HTTP 429"), "b": fails("slow"), "c": str.upper}, clock=lambda: now[0], sleep=lambda s: None)
-    assert chain.call("hi") == "HI" and calls == ["HTTP 429"] + ["slow"] * 3
-    assert chain.call("ho") == "HO" and len(calls) == 4
-    now[0] = 61
-    assert chain.order(1) == ["b", "c", "a"]
-    with pytest.raises(RuntimeError):
+    well = lambda prompt, model: f"{prompt} {model}"
+    settings = policy.Settings(text_chain=("a", "b:x", "b:y", "c", "d"), reserved_chain=("r:1",), vision_chain=("c", "a"))
+    chain = policy.Chain({"a": fails("HTTP 429, try again in 7.5s"), "b": fails("timeout"), "c": well, "d": well, "r": well}, settings, frozenset({"c"}), frozenset({"d"}), lambda: now[0], waits.append)
+    assert chain.call("hi") == "hi None" and [c[1] for c in calls] == [None, None, "x", "x", "y", "y"] and waits == [1.5] * 3
+    assert chain.order() == ["c"] and chain.shut == {"a": 8.5, "b:x": 60.0, "b:y": 60.0}  # the provider as a whole, then single models
+    now[0] = 9
+    assert chain.order(1) == ["c", "a"] and chain.order(reserve=True) == ["r:1", "a", "c"] and chain.order(capability="vision") == ["c"]
+    assert chain.call("again", reserve=True) == "again 1"
+    only = policy.Chain({"a": fails("404 not found")}, policy.Settings(text_chain=("a",)), clock=lambda: 0.0, sleep=waits.append)
+    for _ in range(2):  # benched, but there is no one else
+        with pytest.raises(policy.Unavailable):
+            only.call("x")
+    assert len(waits) == 3 and calls[-2:] == [("404 not found", None)] * 2
+    with pytest.raises(policy.Unavailable):
         policy.Chain({}).call("x")
+    read = policy.Settings.read({"TEXT_FALLBACK_CHAIN": "a, b:x,", "LLM_MAX_RETRIES": "4"})
+    assert (read.text_chain, read.retries, read.cooldown) == (("a", "b:x"), 4, 60.0)

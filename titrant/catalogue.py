@@ -64,7 +64,7 @@ def sql_plain(c: str, side: str) -> str:
     return f"CASE WHEN {has(R.RANGE)} THEN {one(R.RANGE, 2)} WHEN {has(R.BELOW)} THEN {one(R.BELOW, 1)} END"
 
 
-ALIAS_ROWS = sorted({**{r[1].lower().replace(" ", "_"): r[0] for r in dims.RANGES}, **{k: t for t, keys in dims.ALIASES.items() for k in keys.split()}}.items())
+ALIAS_ROWS = sorted({**{r[1].lower().replace(" ", "_"): r[0] for r in dims.RANGES}, **dims.ALIASES}.items())
 SQL_ALIASES = f"aliases AS (SELECT * FROM {values(ALIAS_ROWS, 'v(k, t)')})"
 Q = "CAST(CAST(l_quantity AS INT) AS STRING)"
 QN = "CAST(CAST(l_quantity AS INT) + {n} AS STRING)"
@@ -317,19 +317,22 @@ def topk_cosine(spark, sf_dir):
     return retrieve.top_k(chunks, queries, retrieve.fetch_size(3)).select("query_id", "id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
+WORD = "case {c} when 0 then 'alphab' when 1 then 'betabu' else 'gammabo' end"
+
+
 @query(f"""
 WITH {SQL_SIMILAR},
-c AS (SELECT query_id, id, similarity, rank AS pos FROM r WHERE rank <= 15 UNION ALL SELECT query_id, id, similarity, id + 1099511627776 FROM r WHERE rank > 15 AND id // 5 = query_id // 5),
+c AS (SELECT query_id, id, similarity, q_label, rank AS pos FROM r WHERE rank <= 15 UNION ALL SELECT query_id, id, similarity, q_label, id + 1099511627776 FROM r WHERE rank > 15 AND id // 5 = query_id // 5),
 t AS (SELECT *, id // 5 = query_id // 5 AS tagged, similarity + CASE WHEN id // 5 = query_id // 5 THEN 0.15 ELSE 0 END AS score FROM c),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 7, id % 3 ORDER BY score DESC, pos) AS uniq FROM t WHERE tagged OR score >= 0.55),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id % 7, id % 3 ORDER BY score DESC, pos) AS uniq FROM t WHERE tagged OR (score >= 0.55 AND (q_label::BIGINT % 3 = id % 3 OR id % 7 = 0))),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS place FROM o WHERE uniq = 1)
 SELECT query_id, id, place::INTEGER AS rank, tagged, round(score, 4) AS score FROM k WHERE place <= 3""")
 def hybrid_retrieve(spark, sf_dir):
     chunks, queries = vectors(spark, sf_dir)
     tag = lambda c: F.expr(f"'T' || cast({c} div 5 as string)")
-    chunks = chunks.select("id", "embedding", F.array(tag("id")).alias("test_ids"), F.expr("'t' || cast(id % 7 as string)").alias("topic"), F.expr("'s' || cast(id % 3 as string)").alias("section"), F.lit("").alias("text"))
-    queries = queries.select("query_id", "embedding", F.lit("").alias("name"), tag("query_id").alias("test_id"))
-    return retrieve.hybrid(queries, chunks, lexical=False).select("query_id", "id", "rank", "tagged", "score")
+    chunks = chunks.select("id", "embedding", F.array(tag("id")).alias("test_ids"), F.expr("case when id % 7 = 0 then 'Alphab betabu gammabo' else 't' || cast(id % 7 as string) end").alias("topic"), F.expr("'s' || cast(id % 3 as string)").alias("section"), F.concat(F.expr(WORD.format(c="id % 3")), F.lit(" test of the blood")).alias("text"))
+    queries = queries.select("query_id", "embedding", F.concat(F.expr(WORD.format(c="cast(label as bigint) % 3")), F.lit(" blood levels")).alias("name"), tag("query_id").alias("test_id"))
+    return retrieve.hybrid(queries, chunks).select("query_id", "id", "rank", "tagged", "score")
 
 
 @query(f"""
@@ -365,20 +368,22 @@ def verify_anchor(name: str, text: str):
 
 
 CLAIM = "CASE WHEN doc_id % 2 = 0 THEN array_to_string(string_split(text, ' ')[1:6], ' ') ELSE lang || ' ' || source || ' zzyzx report 7 of' END"
+CLAIMED = "CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '[0-9]+') || ' mg' WHEN 1 THEN '77.25 g' ELSE '' END"
 SQL_FORM = "trim(regexp_replace(regexp_replace(lower(regexp_replace({c}, '\\(.*?\\)', '', 'g')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 SQL_VERIFIED = f"""
-c AS (SELECT doc_id, list_filter(string_split({SQL_FORM.format(c=CLAIM)}, ' '), lambda w: w <> '') AS words FROM documents),
+c AS (SELECT doc_id, list_filter(string_split({SQL_FORM.format(c=CLAIM)}, ' '), lambda w: w <> '') AS words, regexp_replace({CLAIMED}, '[^0-9.]', '', 'g') AS val FROM documents),
 p AS (SELECT *, list_filter(words, lambda w: NOT list_contains({listed(X.STRUCTURAL_WORDS)}, w)) AS plain FROM c),
 g AS (SELECT *, list_filter(plain, lambda w: length(w) > 2) AS long FROM p),
-w AS (SELECT doc_id, CASE WHEN len(long) > 0 THEN long WHEN len(plain) > 0 THEN plain ELSE words END AS sig FROM g),
-l AS (SELECT doc_id, string_split({SQL_FORM.format(c='line')}, ' ') AS has FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
-v AS (SELECT DISTINCT w.doc_id FROM w JOIN l ON w.doc_id = l.doc_id WHERE len(sig) > 0 AND len(list_filter(sig, lambda x: list_contains(has, x))) / len(sig) >= 0.6)"""
+w AS (SELECT doc_id, val, CASE WHEN len(long) > 0 THEN long WHEN len(plain) > 0 THEN plain ELSE words END AS sig FROM g),
+l AS (SELECT doc_id, line, string_split({SQL_FORM.format(c='line')}, ' ') AS has FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+v AS (SELECT DISTINCT w.doc_id FROM w JOIN l ON w.doc_id = l.doc_id WHERE len(sig) > 0 AND len(list_filter(sig, lambda x: list_contains(has, x))) / len(sig) >= 0.6
+      AND (val = '' OR regexp_matches(line, '(^|[^0-9])' || replace(val, '.', '\\.') || '([^0-9]|$)')))"""
 
 
 def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     name = F.expr("case when doc_id % 2 = 0 then array_join(slice(split(text, ' '), 1, 6), ' ') else lang || ' ' || source || ' zzyzx report 7 of' end")
-    return docs.select("doc_id", F.col("doc_id").alias("claim_id"), name.alias("raw_name"), F.lit("").alias("value")), docs.select("doc_id", "text")
+    return docs.select("doc_id", F.col("doc_id").alias("claim_id"), name.alias("raw_name"), F.expr(CLAIMED.replace("'[0-9]+')", "'[0-9]+', 0)")).alias("value")), docs.select("doc_id", "text")
 
 
 @query(f"WITH {SQL_VERIFIED} SELECT doc_id FROM v")
@@ -402,13 +407,18 @@ def numbers_in_text(spark, sf_dir):
     return rows.select(*LINE, F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+SQL_SAID = "regexp_replace(said, '[0-9]', '', 'g') || CASE turn % 4 WHEN 1 THEN ' 77 mmol' WHEN 3 THEN ' 15 and 3 minutes daily' ELSE '' END"
+SQL_ASKED = "regexp_replace(asked, '[0-9]', '', 'g') || ' 15'"
+
+
 @query(f"""
-WITH {SQL_TURNS}, k AS (SELECT conv_id, turn, trim(said) = '' AS blank, {sql_tokens('said', 4, X.CONTENT_STOPWORDS)} AS o, {sql_tokens('asked', 4, X.CONTENT_STOPWORDS)} AS c FROM t)
-SELECT conv_id, turn, CASE WHEN blank THEN 'blank' WHEN len(o) > 0 AND len(c) > 0 AND NOT list_has_any(o, c) THEN 'drift' ELSE 'on subject' END AS verdict FROM k""")
+WITH {SQL_TURNS}, u AS (SELECT conv_id, turn, {SQL_SAID} AS said, {SQL_ASKED} AS asked FROM t),
+k AS (SELECT conv_id, turn, trim(said) = '' AS blank, {sql_tokens('said', 4, X.CONTENT_STOPWORDS)} AS o, {sql_tokens('asked', 4, X.CONTENT_STOPWORDS)} AS c FROM u)
+SELECT conv_id, turn, CASE WHEN blank THEN 'empty explanation' WHEN len(o) > 0 AND len(c) > 0 AND NOT list_has_any(o, c) THEN 'no subject overlap with the reference context'
+  WHEN turn % 4 = 1 THEN 'unsourced figures: 77' ELSE 'ok' END AS reason FROM k""")
 def grounding_check(spark, sf_dir):
-    reason = verify.grounded("said", "asked")["reason"]
-    verdict = F.when(reason.startswith("empty"), "blank").when(reason.startswith("no subject"), "drift").otherwise("on subject")
-    return turns(spark, sf_dir).select("conv_id", "turn", verdict.alias("verdict"))
+    said, asked = (F.expr(c.replace(", 'g')", ")")) for c in (SQL_SAID, SQL_ASKED))
+    return turns(spark, sf_dir).select("conv_id", "turn", verify.grounded(said, asked)["reason"].alias("reason"))
 
 
 @query(f"""
@@ -509,11 +519,12 @@ def eval_rollup(spark, sf_dir):
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(text, chr(32) || chr(10)) <> '' AS filled FROM conversations)
 SELECT conv_id, count(*) AS n_tests, md5(coalesce(string_agg(text, '|' ORDER BY k) FILTER (k <= 3 AND filled), 'Routine follow-up')) AS questions,
   md5(coalesce(arg_min(text, k) FILTER (filled), 'Focus on balanced nutrition, adequate hydration, and regular activity.')) AS first_suggestion,
-  'Your report has ' || count(*)::VARCHAR || CASE WHEN count(*) = 1 THEN ' test' ELSE ' tests' END AS headline
+  md5('This report explains ' || count(*)::VARCHAR || CASE WHEN count(*) = 1 THEN ' test' ELSE ' tests' END || ' from your results. Each explanation below describes what the test measures and general, NHS/NIH-grounded habits that support that area of health. It does not interpret your specific values, so please review your actual results with your GP.') AS overall_summary,
+  'Always discuss your specific results with your GP or healthcare provider.' AS closing_message, FALSE AS summary_degraded
 FROM p GROUP BY conv_id""")
 def report_summary(spark, sf_dir):
     out = results.report_summary(table(spark, sf_dir, "conversations").withColumn("s", F.col("text")), "conv_id", "turn", "text", "s")
-    return out.withColumns({"questions": F.md5(F.array_join("questions", "|")), "first_suggestion": F.md5("first_suggestion")})
+    return out.withColumns({"questions": F.md5(F.array_join("questions", "|")), "first_suggestion": F.md5("first_suggestion"), "overall_summary": F.md5("overall_summary")})
 
 
 @query()
@@ -625,18 +636,27 @@ def columnar_rows(spark, sf_dir):
 
 
 @query(f"""
-WITH {SQL_REPORT}, k AS (SELECT doc_id, count(*) AS n FROM rep GROUP BY 1)
-SELECT doc_id, CASE WHEN n >= 3 THEN 'table_structured' ELSE 'structured' END AS method, n::BIGINT AS n_rows FROM k""")
+WITH {SQL_REPORT}, k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (n <> 4) AS n4 FROM rep GROUP BY 1),
+t AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN n WHEN 1 THEN n4 ELSE 0 END AS t, (doc_id % 4 = 0)::INT AS e, CASE WHEN doc_id % 5 = 0 THEN 'ocr_' ELSE '' END AS o FROM k)
+SELECT doc_id, CASE WHEN t >= 3 THEN 'table_structured' WHEN doc_id % 4 < 2 AND t + e > 0 THEN o || 'vision' ELSE o || 'structured' END AS method,
+  CASE WHEN t >= 3 THEN t WHEN doc_id % 4 < 2 AND t + e > 0 THEN t + e ELSE n END::BIGINT AS n_rows, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN t ELSE 0 END::BIGINT AS n_urine FROM t""")
 def tier_cascade(spark, sf_dir):
     alias = dims.aliases(spark, dims.reference(spark))
-    pages = spark.createDataFrame([], "doc_id long, page int, text string")
-    grids, words = composed_grids(spark, sf_dir), composed_words(spark, sf_dir)
-    tables = extract.structured_tables(grids, words.where("page = 1"), pages, alias).drop("first_seq")
     rows = report_rows(spark, sf_dir)
+    docs = rows.select("doc_id").distinct()
+    pages = docs.select("doc_id", F.lit(1).alias("page"), F.expr("case when doc_id % 2 = 0 then 'Sample type: urine' else 'Blood' end").alias("text"))
+    grids, words = composed_grids(spark, sf_dir).where("doc_id % 3 = 0"), composed_words(spark, sf_dir).where("doc_id % 3 = 1")
+    tables = extract.structured_tables(grids, words, pages, alias).drop("first_seq")
     text = extract.text_rows(rows.select("doc_id", "line_no", F.expr("name || ': ' || value || ' g'").alias("line")), alias)
-    none = spark.createDataFrame([], "doc_id long, page int, seq struct<tier:int,page:int,a:bigint,b:bigint>, raw_name string, value string, unit string, ref_range string, status string, test_id string, known boolean")
-    out = extract.cascade(tables, none, text.withColumn("seq", F.col("seq").cast("struct<tier:int,page:int,a:bigint,b:bigint>")), rows.select("doc_id"))
-    return out.groupBy("doc_id", "method").agg(F.count(F.lit(1)).alias("n_rows"))
+    seq = F.struct(F.lit(3).alias("tier"), F.lit(1).alias("page"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    model = docs.where("doc_id % 4 < 2").select("doc_id", F.lit(1).alias("page"), seq.alias("seq"), F.lit("Extra Marker").alias("raw_name"), F.expr("case when doc_id % 4 = 0 then '5' else '6' end").alias("value"), F.lit("g").alias("unit"), F.lit("").alias("ref_range"), F.lit("HIGH ").alias("status"))
+    claims = extract.clean_extracted(model, alias).withColumn("claim_id", F.col("doc_id"))
+    source = docs.select("doc_id", F.lit("Serum\nExtra Marker 5 g").alias("text"))
+    answered = docs.select("doc_id", F.expr("doc_id % 5 = 0").alias("ocr"), F.expr("case when doc_id % 4 < 2 then 'vision' end").alias("tier"))
+    kind = "struct<tier:int,page:int,a:bigint,b:bigint>"
+    shaped = [r.withColumn("seq", F.col("seq").cast(kind)) for r in (tables, verify.keep_verified(claims, source).drop("claim_id", "needs_review"), text)]
+    out = extract.cascade(*shaped, answered)
+    return out.groupBy("doc_id", "method").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(F.col("specimen") == "urine", F.lit(False))).alias("n_urine"))
 
 
 @query("""
@@ -646,12 +666,102 @@ def generation_metrics(spark, sf_dir):
     return evaluate.generation_metrics(rows)
 
 
-@query()
+SQL_HELD = "CASE length(p_type) % 3 WHEN 0 THEN 'Cached general description' WHEN 1 THEN 'General 77 items' END"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS slot, p_partkey // 20 AS report_id, p_type AS test_id, p_name AS raw_name, p_type <> 'PROMO' AS curated, p_partkey % 2 = 0 AS passage, length(p_type) % 3 AS kind,
+  ((row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1) // 6) AS batch FROM part),
+g AS (SELECT *, curated OR passage AS grounded, CASE WHEN curated THEN 'General description of small ring and ' || lower(test_id) ELSE 'Passage about ' || raw_name END AS first_text,
+  CASE WHEN curated THEN 'General description of small ring and ' || lower(test_id) ELSE '' END || CASE WHEN passage THEN ' Passage about ' || raw_name ELSE '' END AS context FROM p),
+q AS (SELECT *, CASE kind WHEN 2 THEN 'What does my ' || raw_name || ' measure?' ELSE 'Why this small description?' END AS question,
+  CASE kind WHEN 0 THEN 'Cached general description' WHEN 1 THEN 'General 77 items' ELSE first_text END AS wim FROM g),
+k AS (SELECT *, {sql_tokens("wim || CASE kind WHEN 2 THEN ' Keep a balanced diet Stay active ' ELSE ' a b ' END || question", 4, X.CONTENT_STOPWORDS)} AS o, {sql_tokens('context', 4, X.CONTENT_STOPWORDS)} AS c,
+  {sql_tokens('raw_name', 4, X.CONTENT_STOPWORDS)} AS w, {sql_tokens('question', 4, X.CONTENT_STOPWORDS)} AS a FROM q),
+n AS (SELECT DISTINCT k.slot FROM k JOIN k u ON k.report_id = u.report_id AND k.batch = u.batch AND k.test_id <> u.test_id AND u.grounded
+      WHERE len(list_filter(u.w, lambda x: NOT list_contains(k.w, x))) > 0 AND len(list_filter(u.w, lambda x: NOT list_contains(k.w, x) AND NOT list_contains(k.a, x))) = 0),
+d AS (SELECT *, slot IN (SELECT slot FROM n) AS named, grounded AND kind <> 1 AND NOT (len(o) > 0 AND len(c) > 0 AND NOT list_has_any(o, c)) AS fine FROM k)
+SELECT slot, report_id, test_id, grounded AND NOT fine AS degraded, NOT grounded AS ungrounded,
+  CASE WHEN fine THEN wim WHEN grounded THEN 'Evaluates what ' || raw_name || ' measures in the body.' ELSE 'NHS UK and NIH MedlinePlus reference material for ' || raw_name || ' was not available, so no explanation has been generated.' END AS what_it_measures,
+  CASE WHEN fine AND named THEN 'What questions should I discuss with my GP regarding this test?' WHEN fine THEN question ELSE 'Could you explain what my ' || raw_name || ' test involves?' END AS gp_question,
+  CASE WHEN NOT grounded THEN 'Not covered by NHS UK / NIH MedlinePlus' WHEN NOT fine THEN 'Not independently verified' WHEN curated AND passage THEN 'NIH / curated' WHEN curated THEN 'curated' ELSE 'NIH' END AS source_label,
+  CASE WHEN fine AND passage THEN 'https://x/' || slot::VARCHAR ELSE '' END AS urls FROM d""")
 def explained_results(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     tests = parts.select(F.col("p_partkey").alias("slot"), F.expr("p_partkey div 20").alias("report_id"), F.col("p_type").alias("test_id"), F.lit(None).cast("string").alias("specimen"), F.col("p_name").alias("raw_name"), F.lit("g/dL").alias("unit"), F.col("p_type").alias("grounding_id"))
-    ref = parts.select(F.col("p_type").alias("test_id")).distinct().select("test_id", F.lit("curated").alias("source"), F.concat(F.lit("General description of small ring and "), F.lower("test_id")).alias("plain_english"))
-    passages = spark.createDataFrame([], "slot long, rank int, text string, source string, url string")
-    cache = spark.createDataFrame([], "test_id string, specimen string, what_it_measures string, lifestyle_suggestions array<string>, gp_question string")
+    types = parts.select(F.col("p_type").alias("test_id"), "p_type").distinct()
+    ref = types.where("test_id <> 'PROMO'").select("test_id", F.lit("curated").alias("source"), F.concat(F.lit("General description of small ring and "), F.lower("test_id")).alias("plain_english"))
+    passages = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("slot"), F.explode(F.array(F.lit(1), F.lit(3))).alias("rank"), F.concat(F.lit(" Passage about "), "p_name").alias("text"), F.lit("NIH").alias("source"), F.expr("'https://x/' || p_partkey").alias("url"))
+    cache = types.where("length(p_type) % 3 < 2").select("test_id", F.lit(None).cast("string").alias("specimen"), F.expr(SQL_HELD).alias("what_it_measures"), F.array(F.lit("a"), F.lit(" b")).alias("lifestyle_suggestions"), F.lit("Why this small description?").alias("gp_question"))
     out = explain.explain(explain.bundle(tests, ref, passages), cache)
-    return out.select("slot", "report_id", "test_id", "degraded", "ungrounded", "what_it_measures", "gp_question")
+    return out.select("slot", "report_id", "test_id", "degraded", "ungrounded", "what_it_measures", "gp_question", "source_label", F.array_join(F.transform("sources", lambda x: x["url"]), " ").alias("urls"))
+
+
+@query("""
+SELECT o_orderkey // 10 AS report_id, count(*) AS n_tests, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey::VARCHAR WHEN o_orderstatus = 'O' THEN o_orderpriority END) AS n_referred FROM orders GROUP BY 1""")
+def referral_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 10").alias("report_id"), F.col("o_custkey").cast("string").alias("test_id"), F.col("o_orderpriority").alias("raw_name"), F.expr("o_orderstatus = 'F'").alias("degraded"), F.expr("o_orderstatus = 'O'").alias("ungrounded"))
+    return explain.referrals(rows)
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT {sql_alias("p_name || chr(32) || (p_partkey % 97)::VARCHAR")} AS alias_key, p_brand AS test_id FROM part),
+o AS (SELECT alias_key, min(test_id) AS test_id, count(*) AS n_ids FROM a WHERE alias_key <> '' GROUP BY 1),
+v AS (SELECT alias_key, test_id, n_ids, t AS existing_id, CASE WHEN n_ids > 1 THEN 'ambiguous' WHEN t <> test_id THEN 'collision' ELSE 'accepted' END AS verdict FROM o LEFT JOIN {values([('red_bolt_7', 'Brand#0'), ('ring', 'Brand#5')], 'k(k, t)')} ON alias_key = k)
+SELECT alias_key, test_id, n_ids, verdict FROM (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY alias_key) AS r FROM v WHERE verdict <> 'accepted') WHERE r <= 20""")
+def synonym_rejections(spark, sf_dir):
+    proposals = table(spark, sf_dir, "part").selectExpr("p_name || ' ' || cast(p_partkey % 97 as string) as alias", "p_brand as test_id")
+    judged = synonyms.judged(proposals, spark.createDataFrame([("red_bolt_7", "Brand#0"), ("ring", "Brand#5")], "alias_key string, test_id string"))
+    return synonyms.rejected(judged).select("alias_key", "test_id", "n_ids", "verdict")
+
+
+@query("""
+SELECT user_id, event_type || '!' AS raw_name, arg_max(value, event_id) AS value, min(event_id) AS first_seq FROM events GROUP BY user_id, event_type""")
+def manual_entries(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.expr("case event_id % 3 when 0 then ' ' || upper(event_type) || '! ' when 1 then event_type || '!' else initcap(event_type) || '!  ' end").alias("raw_name"))
+    return results.upsert_entries(rows, "raw_name", "event_id", ("user_id",)).select("user_id", F.lower(X.strip("raw_name")).alias("raw_name"), "value", "first_seq")
+
+
+GLUED = "CASE p_partkey % 4 WHEN 0 THEN 'Dr. Smith' || chr(10) || p_name WHEN 1 THEN 'Page' || chr(10) || '12' || chr(10) || p_name WHEN 2 THEN p_name || chr(10) || 'second' ELSE p_name END"
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Page' || chr(10) || '12' || chr(10) || p_name WHEN 2 THEN p_name || chr(10) || 'second' ELSE p_name END AS name FROM part""")
+def unglued_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.unglue_name(F.expr(GLUED)).alias("name"))
+
+
+@query(f"""
+SELECT {LINE_SQL}, CASE l_linenumber % 4 WHEN 0 THEN 'a-b -c- 1-2' WHEN 1 THEN 'g/dL' WHEN 2 THEN 'x' ELSE '' END AS shown FROM lineitem""")
+def plain_units(spark, sf_dir):
+    unit = F.expr("case l_linenumber % 4 when 0 then 'a‐b –c— 1‒2' when 1 then 'H\\n g/dL' when 2 then 'x' end")
+    return table(spark, sf_dir, "lineitem").select(*LINE, X.plain_dashes(X.clean_unit(unit)).alias("shown"))
+
+
+@query(f"""
+SELECT {LINE_SQL}, list_sum(list_distinct([q, q + 2, q * 10, 3.0])) AS total, len(list_distinct([q, q + 2, q * 10, 3.0]))::BIGINT AS n FROM (SELECT {LINE_SQL}, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS q FROM lineitem)""")
+def lifestyle_numbers(spark, sf_dir):
+    said = F.expr(f"'walk ' || {Q} || ' to ' || {QN.format(n=2)} || ' minutes, ' || {Q} || '0 steps, 3 cups a day, 55 mg, 8 mmol'")
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, X.lifestyle_numbers_in(said).alias("v"))
+    return rows.select(*LINE, F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("v").cast("long").alias("n"))
+
+
+@query("""
+SELECT p_partkey, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY i) AS name FROM (
+  SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS i FROM part) GROUP BY 1""")
+def stub_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.stub_name(F.expr("upper(replace(p_name || ' ' || p_type, ' ', '_'))")).alias("name"))
+
+
+@query("SELECT DISTINCT p_type AS test_id FROM part UNION SELECT DISTINCT p_brand FROM part")
+def covered_ids(spark, sf_dir):
+    return retrieve.covered_ids(table(spark, sf_dir, "part").select(F.array("p_type", "p_brand").alias("test_ids")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(l_returnflag) AS raw_name, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS value, CASE WHEN l_linenumber % 2 = 0 THEN '1 - 20' END AS ref_range, lower(l_linestatus) AS status,
+  l_linenumber % 2 = 0 AND CAST(l_quantity AS INT) IN (1, 20) AS needs_review FROM lineitem WHERE l_linenumber % 3 > 0""")
+def cleaned_extraction(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.expr("' ' || l_returnflag || ' '").alias("raw_name"), F.expr(f"case when l_linenumber % 3 > 0 then ' ' || {Q} else ' ' end").alias("value"), F.lit(None).cast("string").alias("unit"), F.expr("case when l_linenumber % 2 = 0 then ' 1 - 20 ' else ' ' end").alias("ref_range"), F.expr("' ' || l_linestatus").alias("status"))
+    out = extract.clean_extracted(rows, dims.aliases(spark))
+    return out.select(*LINE, "raw_name", "value", "ref_range", "status", "needs_review")

@@ -240,7 +240,9 @@ def derive_test_ids(title: Column | str) -> Column:
 
 
 def stub_name(test_id: Column | str) -> Column:
-    return F.initcap(F.lower(F.replace(_c(test_id), F.lit("_"), F.lit(" "))))
+    """An id as a name: each run of letters begins with a capital, also after digits."""
+    runs = F.regexp_extract_all(F.lower(F.replace(_c(test_id), F.lit("_"), F.lit(" "))), F.lit("[a-z]+|[^a-z]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))), "")
 
 
 def patient_text(wim: Column | str, suggestions: Column | str, question: Column | str) -> Column:

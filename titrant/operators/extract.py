@@ -56,14 +56,19 @@ def build_rows(cells: DataFrame) -> DataFrame:
 
 
 def glue_header_tables(grids: DataFrame) -> DataFrame:
-    """Put a table of one header row in front of the next table of its page."""
-    sizes = grids.groupBy("doc_id", "page", "table_no").agg(F.count(F.lit(1)).alias("_rows"), F.min_by("cells", "row_no").alias("_first"))
-    joined = F.lower(F.array_join("_first", " ", ""))
-    order = Window.partitionBy("doc_id", "page").orderBy("table_no")
-    sizes = sizes.withColumns({"_head": (F.col("_rows") == 1) & is_header(joined), "_next": F.lead("table_no").over(order)})
-    moved = sizes.where("_head and _next is not null").select("doc_id", "page", "table_no", "_next")
-    out = grids.join(moved, ["doc_id", "page", "table_no"], "left")
-    return out.withColumns({"row_no": F.when(F.col("_next").isNotNull(), F.lit(-1)).otherwise(F.col("row_no")), "table_no": F.coalesce("_next", "table_no")}).drop("_next")
+    """Put a table of one header row in front of the next table of its page; one without a next table is left out.
+
+    Of several such tables in a row every second one is put in front of the one after it, which then is no header alone."""
+    page, table = ["doc_id", "page"], ["doc_id", "page", "table_no"]
+    sizes = grids.groupBy(*table).agg(F.count(F.lit(1)).alias("_rows"), F.min_by("cells", "row_no").alias("_first"))
+    order = Window.partitionBy(*page).orderBy("table_no")
+    head = (F.col("_rows") == 1) & is_header(F.lower(F.array_join("_first", " ", "")))
+    sizes = sizes.withColumn("_head", F.coalesce(head, F.lit(False)).cast("int"))
+    sizes = sizes.withColumns({"_next": F.lead("table_no").over(order), "_run": F.row_number().over(order) - F.sum("_head").over(order)})
+    inside = F.row_number().over(Window.partitionBy(*page, "_run", "_head").orderBy("table_no"))
+    moved = sizes.withColumn("_at", inside).where("_head = 1 and _at % 2 = 1").select(*table, "_next", F.lit(True).alias("_moved"))
+    out = grids.join(moved, table, "left").where("_moved is null or _next is not null")
+    return out.withColumns({"row_no": F.when(F.col("_moved"), F.lit(-1)).otherwise(F.col("row_no")), "table_no": F.coalesce("_next", "table_no")}).drop("_next", "_moved")
 
 
 def grid_rows(grids: DataFrame) -> DataFrame:
@@ -143,12 +148,23 @@ def with_specimen(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def structured_tables(grids: DataFrame, words: DataFrame, pages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Tier 1: rows of grids, and of positioned words on pages without a grid, deduplicated."""
-    ruled = grids.select("doc_id", "page").distinct()
-    rows = grid_rows(glue_header_tables(grids)).unionByName(columnar_rows(words).join(ruled, ["doc_id", "page"], "left_anti"))
+    """Tier 1: rows of grids, and of positioned words on pages without a grid, deduplicated. A header that no table of its
+    page follows is no grid."""
+    glued = glue_header_tables(grids)
+    ruled = glued.select("doc_id", "page").distinct()
+    rows = grid_rows(glued).unionByName(columnar_rows(words).join(ruled, ["doc_id", "page"], "left_anti"))
     return dedupe(resolve(with_specimen(rows, pages), aliases), within=("doc_id",))
 
 
+def report_text(layer: Column | str, read: Column | str, mode: str = "auto") -> Column:
+    """Struct text, ocr: the text layer, or what was read from the page images where the layer has fewer than ``LEAST_TEXT``
+    characters or ``mode`` is ocr, and there is something to read."""
+    layer, read = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (layer, read))
+    wanted = F.lit(True) if mode == "ocr" else F.length(strip(layer)) < LEAST_TEXT
+    ocr = wanted & (strip(read) != "")
+    return F.struct(F.when(ocr, read).otherwise(layer).alias("text"), ocr.alias("ocr"))
+
+
 def carry_page(lines: DataFrame) -> DataFrame:
     """Lines without page markers, each with the number of the last marker before it (0: none)."""
     mark = F.nullif(F.regexp_extract(strip("line"), PAGE_MARK, 1), F.lit("")).cast("long")
@@ -188,20 +204,37 @@ def clean_extracted(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return resolve(out, aliases).withColumn("needs_review", on_boundary("value", F.coalesce("ref_range", F.lit(""))))
 
 
-def cascade(tables: DataFrame, extracted: DataFrame, text: DataFrame, docs: DataFrame, method: str = "vision") -> DataFrame:
+def cascade(tables: DataFrame, extracted: DataFrame, text: DataFrame, docs: DataFrame, mode: str = "auto") -> DataFrame:
     """Rows of each document by the cheapest tier that suffices, with ``method``.
 
-    Tables alone with three rows or more; else verified extracted rows with the table's; else text rows with the table's;
-    a document without any row has one with method manual_required and no id.
+    docs: doc_id and, where known, ocr (whether the text was read from images) and tier (vision or llm_text: the tier that
+    answered, also where none of its rows is left after verification; else null). Without these columns documents have a
+    text layer, and a tier vision where ``extracted`` has rows.
+
+    Tables alone with ``LEAST_ROWS`` rows or more; else, where a tier answered, its rows with the table's, if there are any;
+    else text rows with the table's; a document without any row has one with method manual_required and no id. Modes regex
+    and ocr take text rows alone. Methods of tiers that used text read from images begin with ocr_.
     """
     per = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    gate = docs.select("doc_id").distinct().join(per(tables, "_t"), "doc_id", "left").join(per(extracted, "_e"), "doc_id", "left").join(per(text, "_x"), "doc_id", "left")
-    chosen = F.when(F.col("_t") >= LEAST_ROWS, "table_structured").when(F.col("_e") > 0, method).when((F.col("_x") > 0) | (F.col("_t") > 0), "structured").otherwise("manual_required")
-    gate = gate.select("doc_id", chosen.alias("method"))
-    kept = lambda rows, *methods: rows.join(gate, "doc_id").where(F.col("method").isin(*methods))
-    rows = kept(tables, "table_structured", method, "structured").unionByName(kept(extracted, method), allowMissingColumns=True).unionByName(kept(text, "structured"), allowMissingColumns=True)
-    none = gate.where("method = 'manual_required'")
-    return dedupe(rows, within=("doc_id",)).unionByName(none, allowMissingColumns=True)
+    gate = docs.groupBy("doc_id").agg(*(F.max(c).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("ocr", "boolean"), ("tier", "string"))))
+    for rows, name in ((tables, "_t"), (extracted, "_e"), (text, "_x")):
+        gate = gate.join(per(rows, name), "doc_id", "left")
+    read = F.when(F.coalesce("ocr", F.lit(False)), "ocr_").otherwise("")
+    tier = F.coalesce("tier", F.when(F.col("_e") > 0, "vision"))
+    by_text = F.when(F.col("_x") > 0, F.concat(read, F.lit("structured")))
+    if mode in ("regex", "ocr"):
+        source, method = F.when(F.col("_x") > 0, "text"), by_text
+    else:
+        enough, some = F.col("_t") >= LEAST_ROWS, F.col("_t") > 0
+        source = F.when(enough, "tables").when(tier.isNotNull() & ((F.col("_e") > 0) | some), "tier").when((F.col("_x") > 0) | some, "text")
+        method = F.when(source == "tables", "table_structured").when(source == "tier", F.concat(F.when(tier.contains("ocr"), "").otherwise(read), tier)).when(source == "text", F.concat(read, F.lit("structured")))
+    gate = gate.select("doc_id", F.coalesce(source, F.lit("none")).alias("_source"), F.coalesce(method, F.lit("manual_required")).alias("method"))
+    kept = lambda rows, *sources: rows.join(gate, "doc_id").where(F.col("_source").isin(*sources))
+    rows = kept(text, "text")
+    if mode not in ("regex", "ocr"):
+        rows = kept(tables, "tables", "tier", "text").unionByName(kept(extracted, "tier"), allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    none = gate.where("_source = 'none'")
+    return dedupe(rows, within=("doc_id",)).unionByName(none, allowMissingColumns=True).drop("_source")
 
 
 def manual_rows(entries: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def upsert(entries: DataFrame, keys: list[str], value: str, seq: str) -> DataFra
     return entries.groupBy(*keys).agg(F.max_by(value, seq).alias(value), F.min(seq).alias("first_seq"))
 
 
+def upsert_entries(entries: DataFrame, name: str, seq: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Typed entries, of those with one name (case and outer space apart) the last, at the first one's place."""
+    key = F.lower(strip(F.coalesce(name, F.lit(""))))
+    rows = entries.withColumn("_seq", F.col(seq)).withColumn("_key", key).where("_key != ''")
+    last = F.max_by(F.struct(*entries.columns), "_seq")
+    out = rows.groupBy(*within, "_key").agg(last.alias("_row"), F.min("_seq").alias("first_seq"))
+    return out.select("_row.*", "first_seq")
+
+
 def union_merge(rows: DataFrame, key: str, ids: str, label: str, seq: str) -> DataFrame:
     """Ids of a key over all its rows in first-seen order; the first label wins. Hot keys: ids are pre-aggregated."""
     each = rows.select(key, F.posexplode(ids).alias("_p", "id"), seq).groupBy(key, "id").agg(F.min(F.struct(seq, "_p")).alias("at"))
@@ -98,13 +107,29 @@ def reassemble(slots: DataFrame, details: DataFrame, keys: list[str], defaults:
     return out.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 
+# Texts of a report's summary.
+NO_QUESTION = "Routine follow-up"
+NO_SUGGESTION = "Focus on balanced nutrition, adequate hydration, and regular activity."
+CLOSING = "Always discuss your specific results with your GP or healthcare provider."
+OVERALL = (
+    "This report explains ", " from your results. Each explanation below describes what the test measures and general, NHS/NIH-grounded habits "
+    "that support that area of health. It does not interpret your specific values, so please review your actual results with your GP.",
+)
+
+
 def report_summary(results: DataFrame, report: str, seq: str, question: str, suggestion: str) -> DataFrame:
-    """Per report: number of tests, non-blank questions of its first three results (else a default), first suggestion."""
+    """Per report: number of tests, non-blank questions of its first three results (else a default), first suggestion, and
+    the texts around them. No generator is asked, so no summary is ever degraded."""
     place = F.row_number().over(Window.partitionBy(report).orderBy(seq))
     ranked = results.withColumn("_at", place)
     asked = F.transform(F.array_sort(F.collect_list(F.when((F.col("_at") <= 3) & (strip(F.coalesce(question, F.lit(""))) != ""), F.struct("_at", F.col(question).alias("q"))))), lambda x: x["q"])
     first = F.min_by(suggestion, F.when(strip(F.coalesce(suggestion, F.lit(""))) != "", F.col("_at")))
     out = ranked.groupBy(report).agg(F.count(F.lit(1)).alias("n_tests"), asked.alias("questions"), first.alias("first_suggestion"))
-    headline = F.concat(F.lit("Your report has "), F.col("n_tests").cast("string"), F.when(F.col("n_tests") == 1, " test").otherwise(" tests"))
-    out = out.withColumn("first_suggestion", F.coalesce("first_suggestion", F.lit("Focus on balanced nutrition, adequate hydration, and regular activity.")))
-    return out.withColumns({"questions": F.when(F.size("questions") > 0, F.col("questions")).otherwise(F.array(F.lit("Routine follow-up"))), "headline": headline})
+    counted = F.concat(F.col("n_tests").cast("string"), F.when(F.col("n_tests") == 1, " test").otherwise(" tests"))
+    return out.withColumns({
+        "first_suggestion": F.coalesce("first_suggestion", F.lit(NO_SUGGESTION)),
+        "questions": F.when(F.size("questions") > 0, F.col("questions")).otherwise(F.array(F.lit(NO_QUESTION))),
+        "overall_summary": F.concat(F.lit(OVERALL[0]), counted, F.lit(OVERALL[1])),
+        "closing_message": F.lit(CLOSING),
+        "summary_degraded": F.lit(False),
+    })

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from ..functions.text import anchor_tokens
 
 FLOOR, BONUS, K = 0.55, 0.15, 3
 DIMENSIONS = 256
-QUERIES = 8192  # vectors handed to the tasks at once
+QUERIES, PART = 4096, 16384  # vectors of both sides that a task has at once
 ASKED, ROWS = 512, 2048  # vectors of both sides that are multiplied at once
 
 
@@ -43,46 +42,47 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", model: Callable[[p
     return rows.withColumn(out, vectors(text))
 
 
+def _best(score: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, equal scores by the smaller id; all ties of the kth are looked at."""
+    if score.shape[1] <= k:
+        return score, names
+    limit = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    order = np.lexsort((np.where(score >= limit, names, np.iinfo(np.int64).max), np.where(score >= limit, -score, np.inf)), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return np.array(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows.num_rows, -1)
+
+
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, similarity (inner product in double, 12 decimals), rank: exact search, ties by the smaller id.
 
-    Queries go to the tasks in blocks of ``QUERIES`` vectors at most, however many there are; each task keeps the k best
-    of what it has read, so a task hands on k rows a query.
+    One job, nothing on the driver: chunks are dealt into parts of about ``PART`` and queries into blocks of about ``QUERIES``
+    rows by a hash of their ids; a task multiplies one part and one block and hands on k rows a query.
     """
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).where("v is not null")
-    blocks = max(1, -(-asked.count() * 2 // QUERIES))
     kept = chunks.select(F.col(chunk_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
-
-    def part(block: int) -> DataFrame:
-        rows = asked.where(F.expr(f"pmod(xxhash64(q), {blocks})") == block).collect()
-        ids = np.array([r["q"] for r in rows], np.int64)
-        matrix = np.array([r["v"] for r in rows], np.float64)
-
-        def best_of(score: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The k best of each row, equal scores by the smaller id; all ties of the kth are looked at."""
-            if score.shape[1] <= k:
-                return score, names
-            limit = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-            order = np.lexsort((np.where(score >= limit, names, np.iinfo(np.int64).max), np.where(score >= limit, -score, np.inf)), axis=1)[:, :k]
-            return np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, ROWS):
-                    batch = whole.slice(at, ROWS)
-                    own = np.array(batch["v"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1).T
-                    names = batch["id"].to_numpy()
-                    for q in range(0, len(ids), ASKED):
-                        score = np.round(matrix[q : q + ASKED] @ own, 12)
-                        found = (score, np.broadcast_to(names, score.shape))
-                        best[q] = best_of(*(np.hstack(x) for x in zip(best[q], found, strict=True))) if q in best else best_of(*found)
-            for q, (score, names) in best.items():
-                yield pa.RecordBatch.from_pydict({"q": np.repeat(ids[q : q + ASKED], score.shape[1]), "id": names.ravel(), "similarity": score.ravel()})
-
-        return kept.mapInArrow(search, "q long, id long, similarity double")
-
-    found = reduce(DataFrame.unionByName, [part(b) for b in range(blocks)])
+    blocks, parts = max(1, -(-asked.count() // QUERIES)), max(1, -(-kept.count() // PART))
+    asked = asked.withColumns({"block": F.expr(f"cast(pmod(xxhash64(q), {blocks}) as int)"), "part": F.expr(f"explode(sequence(0, {parts - 1}))")})
+    kept = kept.withColumns({"part": F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)"), "block": F.expr(f"explode(sequence(0, {blocks - 1}))")})
+
+    def search(own: pa.Table, them: pa.Table) -> pa.Table:
+        out = {"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)}
+        if own.num_rows and them.num_rows:
+            left, right, ids, names = _matrix(own), _matrix(them).T, own["q"].to_numpy(), them["id"].to_numpy()
+            found = []
+            for q in range(0, len(ids), ASKED):
+                best = None
+                for at in range(0, len(names), ROWS):
+                    score = np.round(left[q : q + ASKED] @ right[:, at : at + ROWS], 12)
+                    some = (score, np.broadcast_to(names[at : at + ROWS], score.shape))
+                    best = _best(*(some if best is None else (np.hstack(x) for x in zip(best, some, strict=True))), k)
+                found.append((np.repeat(ids[q : q + ASKED], best[0].shape[1]), best[1].ravel(), best[0].ravel()))
+            out = {name: np.concatenate([f[c] for f in found]) for c, name in enumerate(out)}
+        return pa.table(out)
+
+    found = asked.groupBy("part", "block").cogroup(kept.groupBy("part", "block")).applyInArrow(search, "q long, id long, similarity double")
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumnRenamed("q", query_id)
@@ -129,6 +129,11 @@ def query_text(name: Column | str, test_id: Column | str) -> Column:
     return F.when(test_id.isNull() | (test_id == ""), name).otherwise(F.concat(name, F.lit(" ("), test_id, F.lit(") blood test result meaning")))
 
 
+def covered_ids(chunks: DataFrame, tags: str = "test_ids") -> DataFrame:
+    """test_id: each id that a chunk is tagged with, in order."""
+    return chunks.select(F.explode(tags).alias("test_id")).distinct().orderBy("test_id")
+
+
 def index_health(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row: chunks, vectors, dimensions, whether each chunk has a vector and all have the same size."""
     d = F.size(vector)

@@ -27,19 +27,25 @@ def value_pattern(value: Column | str) -> Column:
     return F.when(digits != "", F.concat(F.lit(r"(?<!\d)"), F.replace(digits, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)")))
 
 
-def verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", name: str = "raw_name", value: str = "value", text: str = "text") -> DataFrame:
+def verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", name: str = "raw_name", value: str = "value", text: str = "text", line_no: str | None = None) -> DataFrame:
     """Keys (doc, claim) of claims with a line of their document that has ``COVERAGE`` of the name's words and the value.
 
-    Claims meet lines by shared words of one document, not line by line.
+    ``sources`` has one row for each document, or with ``line_no`` one for each line.
+
+    Claims meet lines by shared words of one document, not line by line, and by keys alone: a word carries its line's number.
+    Only for lines that have enough of a claim's words is the line itself read again, to look for the value.
     """
-    lines = sources.select(F.col(doc).alias("_d"), F.posexplode(F.split(text, "\n")).alias("_n", "_line")).where(strip("_line") != "")
-    words = lines.select("_d", "_n", "_line", F.explode(F.array_distinct(F.split(match_form("_line"), " "))).alias("_w"))
+    place = [F.posexplode(F.split(text, "\n")).alias("_n", "_line")] if line_no is None else [F.col(line_no).alias("_n"), F.col(text).alias("_line")]
+    lines = sources.select(F.col(doc).alias("_d"), *place).where(strip("_line") != "")
+    words = lines.select("_d", "_n", F.explode(F.array_distinct(F.split(match_form("_line"), " "))).alias("_w"))
     asked = claims.select(F.col(doc), F.col(claim), significant_words(name).alias("_words"), value_pattern(value).alias("_p"))
-    asked = asked.select("*", F.size("_words").alias("_of"), F.explode("_words").alias("_word"))
-    met = asked.join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w")))
-    met = met.where(F.col("_p").isNull() | F.rlike("_line", F.col("_p")))
-    hits = met.groupBy(doc, claim, "_n").agg(F.count(F.lit(1)).alias("_hit"), F.max("_of").alias("_of"))
-    return hits.where(F.col("_hit") / F.col("_of") >= COVERAGE).select(doc, claim).distinct()
+    each = asked.select(doc, claim, "_p", F.size("_words").alias("_of"), F.explode("_words").alias("_word"))
+    met = each.join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w")))
+    hits = met.groupBy(doc, claim, "_p", "_n").agg(F.count(F.lit(1)).alias("_hit"), F.max("_of").alias("_of"))
+    hits = hits.where(F.col("_hit") / F.col("_of") >= COVERAGE).select(doc, claim, "_p", "_n")
+    named = hits.where("_p is null").select(doc, claim)
+    valued = hits.where("_p is not null").withColumnRenamed("_n", "_at").join(lines, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")))
+    return named.unionByName(valued.where(F.rlike("_line", F.col("_p"))).select(doc, claim)).distinct()
 
 
 def keep_verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", **names: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve
+from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms
 from ..operators.verify import keep_verified
+from ..sources.kept import kept
 
 
 def manual_entry(spark: SparkSession, entries: DataFrame, sex: Column | None = None) -> DataFrame:
@@ -15,21 +16,21 @@ def manual_entry(spark: SparkSession, entries: DataFrame, sex: Column | None = N
     return results.finalise(extract.manual_rows(entries, dims.aliases(spark, ref)), ref, sex)
 
 
-def upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lines: DataFrame, extracted: DataFrame, sex: Column | None = None) -> DataFrame:
+def upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lines: DataFrame, extracted: DataFrame, sex: Column | None = None, tiers: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """Finalised rows of reports out of their decoded pages and of rows that a generator extracted.
 
     extracted: doc_id, seq (as of the tiers), raw_name, value, unit, ref_range, status; only rows that the report's own
-    text bears out are kept.
+    text bears out are kept. tiers: doc_id, tier and ocr, as ``cascade`` has them.
     """
     ref = dims.reference(spark)
     alias = dims.aliases(spark, ref)
-    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     pages = extract.carry_page(lines).select("doc_id", F.col("page").cast("int").alias("page"), F.col("line").alias("text"))
     tables = extract.structured_tables(grids, words, pages, alias).drop("first_seq")
     claims = extract.clean_extracted(extracted, alias).withColumn("claim_id", F.xxhash64("seq", "raw_name", "value"))
-    claims = keep_verified(claims, text).drop("claim_id")
-    docs = lines.select("doc_id").unionByName(grids.select("doc_id")).unionByName(words.select("doc_id")).distinct()
-    rows = extract.cascade(tables, claims, extract.text_rows(lines, alias), docs)
+    answered = extracted.select("doc_id", F.lit("vision").alias("tier")).distinct() if tiers is None else tiers
+    claims = keep_verified(claims, lines, text="line", line_no="line_no").drop("claim_id")
+    docs = lines.select("doc_id").unionByName(grids.select("doc_id")).unionByName(words.select("doc_id")).distinct().join(answered, "doc_id", "left")
+    rows = extract.cascade(tables, claims, extract.text_rows(lines, alias), docs, mode)
     rows = rows if "status" in rows.columns else rows.withColumn("status", F.lit(None).cast("string"))
     return results.finalise(rows, ref, sex)
 
@@ -41,16 +42,43 @@ def build_corpus(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataF
     return made, pages.select("page_id").join(sectioned, "page_id", "left_anti")
 
 
-def explain_results(spark: SparkSession, rows: DataFrame, reference: DataFrame, chunks: DataFrame, cache: DataFrame, report: str = "report_id") -> DataFrame:
-    """Finalised rows (slot, report, test_id, raw_name, specimen, unit) with explanations checked against their sources."""
+def _passages(tests: DataFrame, chunks: DataFrame, names: str, ids: str) -> DataFrame:
+    """slot and the passages for each of tests (slot, a name and a grounding id): each different pair is looked up once."""
+    pairs = tests.select(F.col(names).alias("name"), F.col(ids).alias("test_id")).distinct().withColumn("query_id", F.xxhash64("name", "test_id"))
+    queries = retrieve.embed(pairs.withColumn("_q", retrieve.query_text("name", "test_id")), "_q")
+    found = retrieve.hybrid(queries, chunks, explain.PASSAGES)
+    return tests.select("slot", F.xxhash64(names, ids).alias("query_id")).join(found, "query_id").drop("query_id")
+
+
+def explain_results(spark: SparkSession, rows: DataFrame, reference: DataFrame, chunks: DataFrame, cache: DataFrame, report: str = "report_id", generator: explain.Generator = explain.offline_generator, **how) -> DataFrame:
+    """Finalised rows (slot, report, test_id, raw_name, specimen, unit) with explanations checked against their sources.
+    generator: ``policy.generator`` of a chain, or the one built in; how: as ``explain`` has it."""
     tests = dims.ground(rows, spark)
-    queries = retrieve.embed(tests.select(F.col("slot").alias("query_id"), F.col("raw_name").alias("name"), F.col("grounding_id").alias("test_id")).withColumn("_q", retrieve.query_text("name", "test_id")), "_q")
-    passages = retrieve.hybrid(queries, chunks, explain.PASSAGES).withColumnRenamed("query_id", "slot")
-    return explain.explain(explain.bundle(tests, reference, passages), cache, report)
+    passages = _passages(tests, chunks, "raw_name", "grounding_id")
+    return explain.explain(explain.bundle(tests, reference, passages), cache, report, generator, **how)
+
+
+def precompute(spark: SparkSession, reference: DataFrame, chunks: DataFrame, cache: DataFrame, generator: explain.Generator = explain.offline_generator, measures_only: bool = False, force: bool = False) -> DataFrame:
+    """New cache entries (test_id, specimen and the three fields; with ``measures_only`` test_id and what_it_measures) for the
+    ids that the corpus covers and ``cache`` lacks. Answers that their context doesn't bear out are left out."""
+    tests = explain.stubs(chunks, cache, force).withColumn("slot", F.xxhash64("test_id"))
+    tests = dims.ground(tests, spark)
+    tests = explain.bundle(tests, reference, _passages(tests, chunks, "raw_name", "grounding_id")).where("grounded")
+    answers = kept(explain.generate(tests.withColumn("batch", F.col("slot")), generator))
+    return explain.verified_measures(answers, tests) if measures_only else explain.verified_details(answers, tests)
+
+
+def generate_synonyms(chunks: DataFrame, asked: DataFrame, existing: DataFrame, propose, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Proposals (test_id, alias) of ``propose`` (a function of test_id, topics) for ids not asked for yet, with those asked
+    before, and the judgement of every key. asked: test_id, alias."""
+    todo = synonyms.unasked(synonyms.topics(chunks), asked, force)
+    proposals = kept(propose(todo).select("test_id", "alias"))
+    every = proposals if force else asked.select("test_id", "alias").unionByName(proposals)
+    return every, synonyms.judged(every, existing)
 
 
 def summary(explained: DataFrame, report: str = "report_id") -> DataFrame:
-    one = explained.withColumn("_s", F.get("lifestyle_suggestions", F.lit(0)))
+    one = explained.withColumn("_s", F.get(F.filter("lifestyle_suggestions", lambda x: F.trim(x) != ""), F.lit(0)))
     return results.report_summary(one, report, "slot", "gp_question", "_s")
 
 

@@ -55,15 +55,54 @@ def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def merge_cache(cache: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
-    """Write old entries without a newer one, and the new ones, to ``path`` (not the one ``cache`` is read from)."""
+def merged_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Old entries without a newer one, and the new ones."""
     other = new.select(*(F.col(k).alias(f"_{k}") for k in keys))
     match = F.lit(True)
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    cache.join(other, match, "left_anti").unionByName(new).write.mode("overwrite").parquet(path)
+    return cache.join(other, match, "left_anti").unionByName(new)
+
+
+def save_cache(spark: SparkSession, new: DataFrame, keys: list[str], path: str, schema: str) -> bool:
+    """Merge ``new`` into the cache at ``path`` in place: the merged table is written beside it, then takes its name. False
+    if the folder can't be written, which leaves the old cache as it is."""
+    aside, old = f"{path}.new", f"{path}.old"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        merged_cache(read_cache(spark, path, schema), new, keys).write.mode("overwrite").parquet(aside)
+        fs.delete(hadoop.Path(old), True)
+        if fs.exists(hadoop.Path(path)):
+            fs.rename(hadoop.Path(path), hadoop.Path(old))
+        fs.rename(hadoop.Path(aside), hadoop.Path(path))
+        fs.delete(hadoop.Path(old), True)
+    except Exception as e:
+        if any(m in str(e) for m in ("Permission denied", "Read-only", "Mkdirs failed", "AccessControlException", "ParentNotDirectory")):
+            return False
+        raise
+    return True
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Accepted generated aliases, a JSON object of alias key to id; none if the file is missing or no such object."""
+    empty = spark.createDataFrame([], "alias_key string, test_id string")
+    try:
+        found = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+        found = found.where("m is not null").select(F.explode("m").alias("alias_key", "test_id")).where("test_id is not null")
+        found.schema, found.isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return empty
+    return found
 
 
 def write_evaluation(rows: DataFrame, summary: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
     summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def merge_cache(cache: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
+    """Write old entries without a newer one, and the new ones, to ``path`` (not the one ``cache`` is read from)."""
+    merged_cache(cache, new, keys).write.mode("overwrite").parquet(path)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dims import aliases, reference
 from ..operators.extract import manual_rows
 from ..operators.results import cache_misses, finalise
+from ..sources.kept import kept
+from ..sources.tables import read_cache
 
 
 def finalised(rows: DataFrame) -> DataFrame:
@@ -24,13 +27,14 @@ def run_finalise(spark: SparkSession, source: str, schema: str, sink: str, check
 
 
 def run_cache_fill(spark: SparkSession, source: str, schema: str, keys: list[str], fill, cache_path: str, cache_schema: str, checkpoint: str) -> StreamingQuery:
-    """Per micro-batch: entries of ``fill(misses)`` for keys that the cache lacks are added to it."""
+    """Per micro-batch: entries of ``fill(misses)`` for keys that the cache lacks are added to it.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        from ..sources.tables import read_cache
+    Each batch has a folder of its own, overwritten when the batch is run again, so a retried batch adds nothing twice."""
 
-        known = read_cache(rows.sparkSession, cache_path, cache_schema)
+    def batch(rows: DataFrame, number: int) -> None:
+        session = rows.sparkSession
+        known = read_cache(session, cache_path, f"{cache_schema}, batch long").where(F.coalesce("batch", F.lit(-1)) != number).drop("batch")
         missing = cache_misses(rows.dropDuplicates(keys), known, keys)
-        fill(missing).write.mode("append").parquet(cache_path)
+        kept(fill(missing)).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
