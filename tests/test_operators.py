@@ -1,6 +1,11 @@
 """Extraction, selection, retrieval, explanation, corpora, streams and policy on small tables."""
 
 import json
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -296,3 +301,26 @@ def test_chain():
         policy.Chain({}).call("x")
     read = policy.Settings.read({"TEXT_FALLBACK_CHAIN": "a, b:x,", "LLM_MAX_RETRIES": "4"})
     assert (read.text_chain, read.retries, read.cooldown) == (("a", "b:x"), 4, 60.0)
+
+
+def test_the_rest_stands_alone(tmp_path):
+    root = pathlib.Path(__file__).resolve().parents[1]
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".git")
+    for name in ("titrant", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=skip)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda *a: subprocess.run([sys.executable, "-B", *a], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    told = run("-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))")
+    assert told.stdout.split()[1:] == ["True", "False"] and int(told.stdout.split()[0]) > 60, told.stderr
+    (tmp_path / "titrant" / "llm").mkdir()  # there, but something it needs is not
+    (tmp_path / "titrant" / "llm" / "__init__.py").write_text("import a_module_that_is_not_there\n")
+    (tmp_path / "corpus_pipeline.py").write_text("from titrant import llm\n")
+    assert run("-c", "import __spark_entry__ as e; print(len(e.queries()))").stdout == told.stdout.split()[0] + "\n"
+    collected = run("-m", "pytest", "--collect-only", "-q", "tests", "-p", "no:cacheprovider")
+    assert collected.returncode == 0 and "error" not in collected.stdout.lower(), collected.stdout
+
+
+def test_unsourced_and_reviewed_rows(spark):
+    rows = spark.createDataFrame([(" Hb ", " 12 ", None, " 11 - 12 ", "HIGH"), ("", "1", "u", "", None), ("TSH", " ", "u", "", None)], "raw_name string, value string, unit string, ref_range string, status string")
+    got = extract.clean_extracted(rows, alias(spark)).collect()
+    assert [(r["raw_name"], r["value"], r["unit"], r["ref_range"], r["status"], r["test_id"], r["needs_review"]) for r in got] == [("Hb", "12", "", "11 - 12", "high", "HGB", True)]

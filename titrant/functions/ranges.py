@@ -54,11 +54,11 @@ def parse_range(text: Column | str) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     clean = F.regexp_replace(strip(text), STRAY_POINT, "$1.$2")
-    labels = F.regexp_extract_all(clean, F.lit(BAND), F.lit(1))
-    parts = F.regexp_extract_all(clean, F.lit(BAND), F.lit(2))
-    bands = F.zip_with(labels, parts, lambda a, b: F.struct(F.lower(strip(a)).alias("label"), b.alias("part")))
+    # A band has its label before its one colon, which no label holds, and the rest is its part: one match gives both.
+    found = F.regexp_extract_all(clean, F.lit(BAND), F.lit(0))
+    bands = F.transform(found, lambda m: F.struct(F.lower(strip(F.substring_index(m, ":", 1))).alias("label"), F.regexp_replace(F.substring_index(m, ":", -1), r"^\s+", "").alias("part")))
     banded = F.get(F.transform(F.array(bands), _from_bands), F.lit(0))  # the bands are found once
-    return F.when(strip(text) != "", F.coalesce(F.when(F.contains(clean, F.lit(":")), banded), plain_bounds(clean)))
+    return F.when(strip(text) != "", F.coalesce(F.when(clean.like("%:%:%"), banded), plain_bounds(clean)))  # two bands have two colons
 
 
 def _from_bands(bands: Column) -> Column:

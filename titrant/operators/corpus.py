@@ -147,16 +147,22 @@ def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
     """Sentences packed in order into pieces of ``most`` characters at most; a longer sentence is a piece of its own."""
     text = F.col(text) if isinstance(text, str) else text
 
+    # Sentences come stripped, with their lengths, so that a step neither searches nor measures what is gathered so far.
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.struct(F.length(x).alias("n"), strip(x).alias("t")))
+    sentences = F.filter(F.transform(sentences, lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.length(x["t"]).alias("m"))), lambda x: x["m"] > 0)
+
     def add(state: Column, sentence: Column) -> Column:
-        full = (state["buf"] != "") & (F.length(state["buf"]) + F.length(sentence) + 1 > most)
+        full = (state["size"] > 0) & (state["size"] + sentence["n"] + 1 > most)
+        alone = full | (state["size"] == 0)
         return F.struct(
-            F.when(full, F.array_append(state["done"], strip(state["buf"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, sentence).otherwise(strip(F.concat(state["buf"], F.lit(" "), sentence))).alias("buf"),
+            F.when(full, F.array_append(state["done"], state["buf"])).otherwise(state["done"]).alias("done"),
+            F.when(alone, sentence["t"]).otherwise(F.concat(state["buf"], F.lit(" "), sentence["t"])).alias("buf"),
+            F.when(alone, F.when(full, sentence["n"]).otherwise(sentence["m"])).otherwise(state["size"] + 1 + sentence["m"]).alias("size"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
-    end = lambda s: F.when(strip(s["buf"]) != "", F.array_append(s["done"], strip(s["buf"]))).otherwise(s["done"])
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, add, end))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("size"))
+    end = lambda s: F.when(s["size"] > 0, F.array_append(s["done"], s["buf"])).otherwise(s["done"])
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(sentences, start, add, end))
 
 
 def chunks(sectioned: DataFrame, sources: DataFrame, key: str = "page_id") -> DataFrame:

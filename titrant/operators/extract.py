@@ -185,14 +185,26 @@ def pipe_row(line: Column | str) -> Column:
 def pattern_row(line: Column | str) -> Column:
     """Struct name, value, unit of the first line pattern with a number."""
     line = F.col(line) if isinstance(line, str) else line
-    part = lambda p, k: F.regexp_extract(line, p, k)
-    return F.coalesce(*(F.when(part(p, 2).try_cast("double").isNotNull(), F.struct(strip(part(p, 1)).alias("raw_name"), part(p, 2).alias("value"), part(p, 3).alias("unit"))) for p in LINE_PATTERNS))
+    return F.coalesce(*(_found(F.split(_groups(line, p), "\x01")) for p in LINE_PATTERNS))
+
+
+def _groups(line: Column, pattern: str) -> Column:
+    """The three groups of a pattern's first match with marks between them, found at once; the line itself if there is none."""
+    flags, body = pattern[:4], pattern[4:]
+    return F.regexp_replace(line, f"{flags}^(?s:.*?){body}(?s:.*)$", "$1\x01$2\x01$3")
+
+
+def _found(groups: Column) -> Column:
+    value = F.get(groups, F.lit(1))
+    return F.when(value.try_cast("double").isNotNull(), F.struct(strip(F.get(groups, F.lit(0))).alias("raw_name"), value.alias("value"), F.get(groups, F.lit(2)).alias("unit")))
 
 
 def text_rows(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Regex tier: rows of text lines, the first of each id in a document."""
     rows = carry_page(lines).withColumn("line", strip("line")).where(F.length("line") >= LEAST_LINE)
-    rows = rows.withColumn("_r", F.when(F.startswith("line", F.lit("|")), pipe_row("line")).otherwise(pattern_row("line"))).where("_r is not null")
+    piped = F.startswith("line", F.lit("|"))
+    rows = rows.withColumns({f"_g{k}": F.when(~piped, F.split(_groups(F.col("line"), p), "\x01")) for k, p in enumerate(LINE_PATTERNS)})
+    rows = rows.withColumn("_r", F.when(piped, pipe_row("line")).otherwise(F.coalesce(*(_found(F.col(f"_g{k}")) for k in range(len(LINE_PATTERNS)))))).where("_r is not null")
     rows = rows.select("doc_id", "page", F.struct(F.lit(2).alias("tier"), "page", F.col("line_no").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"), "_r.*")
     return first_wins(resolve(rows, aliases), ["doc_id", "test_id"], "seq").withColumns({"ref_range": F.lit(None).cast("string"), "flag": F.lit(None).cast("string")})
 
