@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,16 @@ from pyspark.sql import functions as F
 from .common import texts, written
 
 CAPACITY = 2048
-MEMO = 500_000  # words a worker remembers
+MEMO = 500_000  # parts of words a worker remembers
 
 Pattern = list[tuple[int, int]]
 
 
 class WordIds:
-    """Little-endian ids of texts by the tokenizers library, each different word being encoded once.
+    """Little-endian ids of texts by the tokenizers library, each different part of a word being encoded once.
 
-    That holds for tokenizers that normalise and split as ``SPLITS`` says: within runs of non-space characters, as long as a
-    text holds no characters beyond Latin-1, none of the separators that only some splitters take for white space and none
+    That holds for tokenizers that normalise and split as ``SPLITS`` says, into ``PARTS`` of the lower-cased text, as long as it
+    holds no characters beyond Latin-1, none of the separators that only some splitters take for white space and none
     of the tokenizer's added tokens. Other texts, and all texts of other tokenizers, go to the library whole. The first text
     of each batch is compared with the library's own ids; a difference would end the short way for good."""
 
@@ -68,47 +69,54 @@ class WordIds:
         told = json.loads(self.library.to_str())
         steps = [(told[k] or {}).get(name, [{}]) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         self.short = (steps[0], steps[1][0].get("pattern")) == self.SPLITS and told["model"].get("end_of_word_suffix") == "</w>"
-        added = [t["content"] for t in told["added_tokens"]]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.added = [t["content"].lower() for t in told["added_tokens"]]
         ends = np.zeros(self.library.get_vocab_size(), bool)
         ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.ends, self.words, self.parts = ends, {}, {}
+        self.ends = ends
+        self._forget()
 
     def ids(self, batch: list[str]) -> np.ndarray:
         return np.array(self.library.encode_batch_fast(batch, add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, new: set[str]) -> None:
-        split = {w: self.PARTS.findall(w) for w in new}
-        parts = list({p for ps in split.values() for p in ps if p not in self.parts})
-        if parts:
-            ids = self.ids([" ".join(parts)])
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(parts):  # a part that the library cuts in two
-                for p in parts:
-                    self.parts[p] = self.ids([p]).tobytes()
-            else:
-                raw, at = ids.tobytes(), 0
-                for p, stop in zip(parts, (stops * 4).tolist(), strict=True):
-                    self.parts[p] = raw[at:stop]
-                    at = stop
-        get = self.parts.__getitem__
-        for w, ps in split.items():
-            self.words[w] = b"".join(map(get, ps))
+    def _forget(self) -> None:
+        """Every part met has a slot: where its ids begin in ``flat``, and how many they are."""
+        self.slots: dict[str, int] = {}
+        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, parts: list[str], raws: list[bytes]) -> None:
+        self.slots.update(zip(parts, range(len(self.slots), len(self.slots) + len(parts)), strict=True))
+        count = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
+        self.count, self.flat = np.r_[self.count, count], np.r_[self.flat, np.frombuffer(b"".join(raws), "<u4")]
+
+    def learn(self, new: list[str]) -> None:
+        """Slots for parts not met before."""
+        ids = self.ids([" ".join(new)])
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(stops) == len(new):
+            self._add(new, list(map(ids.tobytes().__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        else:  # a part that the library cuts in two
+            self._add(new, [self.ids([p]).tobytes() for p in new])
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > MEMO:
-            self.words.clear(), self.parts.clear()
-        whole = [not self.short or bool(self.PLAIN.search(t)) or bool(self.added and self.added.search(t)) for t in texts]
-        split = [None if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(words)
-        new.difference_update(self.words)
-        self.learn(new)
-        get = self.words.__getitem__
-        out = [self.ids([t]).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        if len(self.slots) > MEMO:
+            self._forget()
+        low = [t.lower() for t in texts]
+        whole = [not self.short or bool(self.PLAIN.search(t)) or any(a in w for a in self.added) for t, w in zip(texts, low, strict=True)]
+        split = [[] if w else self.PARTS.findall(t) for t, w in zip(low, whole, strict=True)]
+        parts = list(chain.from_iterable(split))
+        slots = np.fromiter(map(self.slots.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(slots < 0).tolist()
+        if new:
+            strange = list(map(parts.__getitem__, new))
+            self.learn(list(dict.fromkeys(strange)))
+            slots[new] = list(map(self.slots.__getitem__, strange))
+        count = self.count[slots]
+        ends = np.cumsum(count)
+        raw = self.flat[np.repeat(self.first[slots] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        stops = (4 * np.r_[0, ends][np.cumsum([len(w) for w in split])]).tolist() if texts else []
+        out = [self.ids([t]).tobytes() if w else raw[a:b] for t, w, a, b in zip(texts, whole, [0, *stops[:-1]], stops, strict=True)]
         if self.short and texts and self.ids(texts[:1]).tobytes() != out[0]:
             self.short = False
             return self.batch(texts)
