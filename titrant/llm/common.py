@@ -85,8 +85,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_AT_ONCE = 1000  # that an Arrow batch between executor and worker holds
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the buffers of texts on both sides of the workers' pipes: batches of 10,000 texts, Spark's default, leave freed
+    memory of many tens of MB for each task with an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, ROWS_AT_ONCE)
+
+
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id``, ``text`` with null read as the empty text, and the columns named in ``more``."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -112,8 +124,12 @@ BLOCK = 1 << 15  # rows of a file to a bitmap of 4,096 bytes
 MOST = 1 << 14  # bitmaps that are broadcast at once: 64 MB
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of a ``stored`` table whose place is in ``kept`` (file, row), with all columns. No text is shuffled.
+PLACE = ("_file_of_row", "_row_in_file")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, places: bool = False, others: bool = False) -> DataFrame:
+    """The rows of a ``stored`` table whose place is in ``kept`` (file, row), or all ``others``, with all columns and, if asked
+    for, their place as the columns ``PLACE``. No text is shuffled.
 
     Kept places become bitmaps, which are dealt into parts by file so that none has more than ``MOST``; each part is
     broadcast to a scan of its own files alone (the condition on the path prunes them when they are listed)."""
@@ -126,12 +142,14 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("all"), *place(docs))
     maps = maps.select(F.col("file").alias("of"), "block", "bits")
+    shown = [F.col(c).alias(p) for c, p in zip(("file", "row"), PLACE, strict=True)] if places else []
     byte = f"cast(conv(hex(substring(bits, cast((row % {BLOCK}) div 8 as int) + 1, 1)), 16, 10) as int)"
 
     def part(k: int) -> DataFrame:
         some = rows.where(F.expr(f"pmod(file, {parts}) = {k}")) if parts > 1 else rows
         own = F.broadcast(maps.where(F.expr(f"pmod(of, {parts}) = {k}")))  # at most MOST bitmaps
-        return some.join(own, F.expr(f"file = of and row div {BLOCK} = block")).where(F.expr(f"getbit({byte}, cast(row % 8 as int)) = 1")).select("all.*")
+        found = some.join(own, F.expr(f"file = of and row div {BLOCK} = block"), "left" if others else "inner")
+        return found.where(F.expr(f"coalesce(getbit({byte}, cast(row % 8 as int)), 0) = {int(not others)}")).select("all.*", *shown)
 
     return reduce(DataFrame.unionByName, map(part, range(parts)))
 

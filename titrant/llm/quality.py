@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import place, stored, texts
+from .common import place, small_batches, stored, texts
 
 WIDTH, DEPTH, FILTERS = 12, 8, 48
 STEP = WIDTH // 2
@@ -171,6 +171,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns; each row is judged by its own text."""
     names = docs.columns
     network = train(docs, labels)
+    small_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small_batches, texts
 
 LEAST, ASSIGNED = 16, 6
 TREES, DEEP, LEAF, SAMPLE, SEED = 31, 10, 3, 3000, 11
@@ -236,6 +236,7 @@ KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_
 def redact(docs: DataFrame, findings: list[tuple[str, int, int, bool]] | None = None) -> DataFrame:
     """All documents, secrets in their texts replaced by ``REDACTED``; n_chars, if there is one, follows the text."""
     forest, schema = train(findings), docs.schema
+    small_batches(docs.sparkSession)
     counted = "n_chars" in docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
