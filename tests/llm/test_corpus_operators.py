@@ -702,7 +702,7 @@ def test_likelihood(spark, docs, none):
         cells += [(k, own[p]) for p, k in coded[-1][2]]
     both, every = collections.Counter(cells), collections.Counter(k for k, _ in cells)
     found = collections.defaultdict(list)
-    for r in likelihood.score(ids, network, words.end, likelihood.memory(ids, words.end)).collect():
+    for r in likelihood.score(ids, network, words.end, likelihood.memory(ids)).collect():
         found[r["doc_id"]].append(r)
     assert sum(map(len, found.values())) == docs.count()
     for (i, text), (_, own, mine) in zip(texts_, coded, strict=True):
@@ -758,7 +758,7 @@ def test_likelihood_learns_and_remembers(spark):
     counts = likelihood.word_counts(docs)
     fresh = likelihood.Network(likelihood.vocabulary(counts, 8, 64)[1], 8)
     assert network.log_p(around, target).mean() > fresh.log_p(around, target).mean()
-    out = {r["doc_id"]: r for r in likelihood.score(ids, network, words.end, likelihood.memory(ids, words.end)).collect()}
+    out = {r["doc_id"]: r for r in likelihood.score(ids, network, words.end, likelihood.memory(ids)).collect()}
     assert min(out[i]["remembered"] for i, _ in twice) > max(out[i]["remembered"] for i, _ in once[20:])
     assert all(out[900 + k]["pll"] < out[k]["pll"] for k in range(20))  # words that no one has seen cost more
 
