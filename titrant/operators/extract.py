@@ -227,26 +227,28 @@ def cascade(tables: DataFrame, extracted: DataFrame, text: DataFrame, docs: Data
     else text rows with the table's; a document without any row has one with method manual_required and no id. Modes regex
     and ocr take text rows alone. Methods of tiers that used text read from images begin with ocr_.
     """
-    per = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    gate = docs.groupBy("doc_id").agg(*(F.max(c).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("ocr", "boolean"), ("tier", "string"))))
-    for rows, name in ((tables, "_t"), (extracted, "_e"), (text, "_x")):
-        gate = gate.join(per(rows, name), "doc_id", "left")
-    read = F.when(F.coalesce("ocr", F.lit(False)), "ocr_").otherwise("")
-    tier = F.coalesce("tier", F.when(F.col("_e") > 0, "vision"))
-    by_text = F.when(F.col("_x") > 0, F.concat(read, F.lit("structured")))
+    gate = docs.groupBy("doc_id").agg(*(F.max(c).alias(f"_{c}") if c in docs.columns else F.lit(None).cast(t).alias(f"_{c}") for c, t in (("ocr", "boolean"), ("tier", "string"))))
+    tagged = [rows.withColumn("_from", F.lit(name)) for rows, name in ((tables, "tables"), (extracted, "tier"), (text, "text"))]
+    every = tagged[0].unionByName(tagged[1], allowMissingColumns=True).unionByName(tagged[2], allowMissingColumns=True)
+    columns = [c for c in every.columns if c not in ("doc_id", "_from")]
+    # A document's rows are counted where they are, by a window over the report, so that no tier is worked out twice.
+    own = Window.partitionBy("doc_id")
+    rows = gate.join(every, "doc_id", "left").withColumns({f"_n_{k}": F.count_if(F.col("_from") == k).over(own) for k in ("tables", "tier", "text")})
+    read = F.when(F.coalesce("_ocr", F.lit(False)), "ocr_").otherwise("")
+    tier = F.coalesce("_tier", F.when(F.col("_n_tier") > 0, "vision"))
+    some, texts = F.col("_n_tables") > 0, F.col("_n_text") > 0
     if mode in ("regex", "ocr"):
-        source, method = F.when(F.col("_x") > 0, "text"), by_text
+        source, taken = F.when(texts, "text"), F.col("_from") == "text"
     else:
-        enough, some = F.col("_t") >= LEAST_ROWS, F.col("_t") > 0
-        source = F.when(enough, "tables").when(tier.isNotNull() & ((F.col("_e") > 0) | some), "tier").when((F.col("_x") > 0) | some, "text")
-        method = F.when(source == "tables", "table_structured").when(source == "tier", F.concat(F.when(tier.contains("ocr"), "").otherwise(read), tier)).when(source == "text", F.concat(read, F.lit("structured")))
-    gate = gate.select("doc_id", F.coalesce(source, F.lit("none")).alias("_source"), F.coalesce(method, F.lit("manual_required")).alias("method"))
-    kept = lambda rows, *sources: rows.join(gate, "doc_id").where(F.col("_source").isin(*sources))
-    rows = kept(text, "text")
-    if mode not in ("regex", "ocr"):
-        rows = kept(tables, "tables", "tier", "text").unionByName(kept(extracted, "tier"), allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
-    none = gate.where("_source = 'none'")
-    return dedupe(rows, within=("doc_id",)).unionByName(none, allowMissingColumns=True).drop("_source")
+        source = F.when(F.col("_n_tables") >= LEAST_ROWS, "tables").when(tier.isNotNull() & ((F.col("_n_tier") > 0) | some), "tier").when(texts | some, "text")
+        taken = (F.col("_from") == "tables") | (F.col("_from") == F.col("_source"))
+    named = F.when(F.col("_source") == "tables", "table_structured").when(F.col("_source") == "tier", F.concat(F.when(tier.contains("ocr"), "").otherwise(read), tier)).when(F.col("_source") == "text", F.concat(read, F.lit("structured")))
+    rows = rows.withColumn("_source", source)
+    first = F.row_number().over(own.orderBy(F.col("_from").asc_nulls_last()))
+    rows = rows.withColumns({"method": F.coalesce(named, F.lit("manual_required")), "_one": F.when(F.col("_source").isNull(), first)})
+    rows = rows.where((F.col("_source").isNotNull() & taken) | (F.col("_one") == 1))
+    rows = rows.select("doc_id", *(F.when(F.col("_source").isNotNull(), F.col(c)).alias(c) for c in columns), "method")
+    return dedupe(rows, within=("doc_id",))
 
 
 def manual_rows(entries: DataFrame, aliases: DataFrame) -> DataFrame:
