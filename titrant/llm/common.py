@@ -122,6 +122,8 @@ def place(docs: DataFrame) -> list[Column]:
 
 BLOCK = 1 << 15  # rows of a file to a bitmap of 4,096 bytes
 MOST = 1 << 14  # bitmaps that are broadcast at once: 64 MB
+RUN = MOST // 8  # bitmaps of a file that follow each other and stay together
+BRANCHES = 32  # parts of one plan
 
 
 PLACE = ("_file_of_row", "_row_in_file")
@@ -129,29 +131,61 @@ PLACE = ("_file_of_row", "_row_in_file")
 
 def keep_rows(docs: DataFrame, kept: DataFrame, places: bool = False, others: bool = False) -> DataFrame:
     """The rows of a ``stored`` table whose place is in ``kept`` (file, row), or all ``others``, with all columns and, if asked
-    for, their place as the columns ``PLACE``. No text is shuffled.
+    for, their place as the columns ``PLACE``. No text is shuffled: see ``in_places``."""
+    names = [f"`{c}`" for c in docs.columns]
+    shown = [F.col(c).alias(p) for c, p in zip(("file", "row"), PLACE, strict=True)] if places else []
+    return in_places(docs.select(F.struct(*names).alias("all"), *place(docs)), kept, others).select("all.*", *shown)
+
 
-    Kept places become bitmaps, which are dealt into parts by file so that none has more than ``MOST``; each part is
-    broadcast to a scan of its own files alone (the condition on the path prunes them when they are listed)."""
+def in_places(rows: DataFrame, kept: DataFrame, others: bool = False) -> DataFrame:
+    """The rows whose columns file and row are a place in ``kept`` (file, row), or all ``others``.
+
+    Kept places become bitmaps, which are dealt into parts by file and by runs of ``RUN`` blocks of a file, so that none has
+    more than ``MOST``; each part is broadcast to a scan of its own rows alone. Where no file is longer than a run the
+    condition is one on the path, which prunes files when they are listed. A plan has ``BRANCHES`` parts at most: where there
+    are more, one job for as many parts appends their rows to a written table. Runs that crowd a part for all that (no deal
+    spreads them) are joined by shuffle."""
+    spark = rows.sparkSession
     maps = kept.groupBy("file", F.expr(f"row div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.expr(f"row % {BLOCK}")).alias("bits"))
     maps = written(maps, "kept_rows")
     total = maps.count()
+    long = total > RUN and not maps.where(F.col("block") >= RUN).isEmpty()
+    run = (f" + block div {RUN}", f" + row div {BLOCK * RUN}") if long else ("", "")
     parts = max(1, -(-total // MOST))
-    while parts < total and maps.groupBy(F.expr(f"pmod(file, {parts})")).count().agg(F.max("count")).first()[0] > MOST:
-        parts *= 2
-    names = [f"`{c}`" for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("all"), *place(docs))
-    maps = maps.select(F.col("file").alias("of"), "block", "bits")
-    shown = [F.col(c).alias(p) for c, p in zip(("file", "row"), PLACE, strict=True)] if places else []
+
+    def crowded() -> bool:
+        return parts > 1 and maps.groupBy(F.expr(f"pmod(file{run[0]}, {parts})")).count().agg(F.max("count")).first()[0] > MOST
+
+    for _ in range(4):
+        if crowded():
+            parts *= 2
+    hint = (lambda m: m) if crowded() else F.broadcast  # MOST bitmaps at most
+    maps = maps.select(F.col("file").alias("of"), "block", "bits", F.expr(f"pmod(file{run[0]}, {parts})").alias("part"))
     byte = f"cast(conv(hex(substring(bits, cast((row % {BLOCK}) div 8 as int) + 1, 1)), 16, 10) as int)"
 
     def part(k: int) -> DataFrame:
-        some = rows.where(F.expr(f"pmod(file, {parts}) = {k}")) if parts > 1 else rows
-        own = F.broadcast(maps.where(F.expr(f"pmod(of, {parts}) = {k}")))  # at most MOST bitmaps
-        found = some.join(own, F.expr(f"file = of and row div {BLOCK} = block"), "left" if others else "inner")
-        return found.where(F.expr(f"coalesce(getbit({byte}, cast(row % 8 as int)), 0) = {int(not others)}")).select("all.*", *shown)
+        some = rows.where(F.expr(f"pmod(file{run[1]}, {parts}) = {k}")) if parts > 1 else rows
+        found = some.join(hint(maps.where(F.col("part") == k).drop("part")), F.expr(f"file = of and row div {BLOCK} = block"), "left" if others else "inner")
+        return found.where(F.expr(f"coalesce(getbit({byte}, cast(row % 8 as int)), 0) = {int(not others)}")).select(*rows.columns)
+
+    some = [reduce(DataFrame.unionByName, map(part, range(k, min(parts, k + BRANCHES)))) for k in range(0, parts, BRANCHES)]
+    if len(some) == 1:
+        return some[0]
+    out = written(some[0], "rows_in_places")
+    for more in some[1:]:
+        more.write.mode("append").parquet(out.written_path)
+    return spark.read.schema(out.schema).parquet(out.written_path)
+
+
+SMALL = 1 << 20  # rows of a few numbers that may be broadcast: 64 MB
+
 
-    return reduce(DataFrame.unionByName, map(part, range(parts)))
+def sized_join(many: DataFrame, one: DataFrame, key: str, deal: str) -> DataFrame:
+    """``many`` joined to ``one`` (a row for each ``key``), which is counted: it is broadcast with up to ``SMALL`` rows, beyond
+    that hot keys are spread. Both are read twice."""
+    if one.count() <= SMALL:
+        return many.join(F.broadcast(one), key)
+    return spread_join(many, one, key, deal)
 
 
 HOT = 512

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
+from . import contamination, exact_dedup, hamming, likelihood, packing, pieces, pii, quality, secrets, simhash, substrings
 from .common import table
 
 
@@ -53,9 +53,13 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
+def op13_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_hamming_top_k": hamming.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op8_hamming_top_k": hamming.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op13_positional_index": contamination.ORACLE_SQL}
