@@ -96,6 +96,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ROWS_AT_ONCE)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> Iterator[None]:
+    """What is written inside is handed to workers in Arrow batches of ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """``doc_id``, ``text`` with null read as the empty text, and the columns named in ``more``."""
     small_batches(docs.sparkSession)
