@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, exact_dedup, hamming, likelihood, lloyd, packing, pieces, pii, quality, secrets, simhash, substrings
+from . import contamination, exact_dedup, hamming, likelihood, lloyd, packing, phrases, pieces, pii, quality, secrets, simhash, substrings
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_count_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,5 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_hamming_top_k": hamming.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_dual_tree_lloyd": lloyd.ORACLE_SQL,
-        "op13_positional_index": contamination.ORACLE_SQL,
+        "op12_count_tries": phrases.ORACLE_SQL, "op13_positional_index": contamination.ORACLE_SQL,
     }
