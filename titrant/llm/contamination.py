@@ -61,7 +61,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def _lookups(window: DataFrame, vocabulary: DataFrame, n: DataFrame) -> DataFrame:
     """window, offset, id, turn: the terms of each window whose terms all have postings, by turn from the rarest (1)."""
     each = window.select("window", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
-    each = sized_join(each, vocabulary, "term", "window, offset").join(n, "id")
+    each = sized_join(written(sized_join(each, vocabulary, "term", "window, offset"), "window_terms"), n, "id", "window, offset")
     own = Window.partitionBy("window")
     each = each.withColumn("turn", F.row_number().over(own.orderBy("n", "term", "offset"))).withColumn("known", F.count(F.lit(1)).over(own))
     return each.where("known = size").select("window", "offset", "id", "turn", "size")
@@ -115,7 +115,7 @@ def _indexed(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     end = docs.sparkSession.createDataFrame([("", -1)], "term string, id long")
     index = written(postings(docs, terms.unionByName(end)), "postings")
     plain = index.where("id >= 0").select("file", "row", "at", "id")
-    lookups = written(_lookups(window, terms, plain.groupBy("id").agg(F.count(F.lit(1)).alias("n"))), "lookups")
+    lookups = written(_lookups(window, terms, written(plain.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "term_counts")), "lookups")
     return index, _found(plain, lookups), window, of
 
 
