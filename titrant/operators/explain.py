@@ -79,11 +79,25 @@ def generate(tests: DataFrame, generator: Generator = offline_generator, report:
     return rows.groupBy("_report", "batch", "wave").applyInPandas(lambda frame: generator(frame[kept_columns]), GENERATED)
 
 
+TRACED = GENERATED + ", opened map<string, double>"
+
+
+def _wave(tests: DataFrame, generator: Generator, report: str) -> tuple[DataFrame, Generator]:
+    """Kept answers of one wave and the generator for the next: where it tells what its tasks have shut, that is known there."""
+    if not hasattr(generator, "traced"):
+        return kept(generate(tests, generator, report)), generator
+    rows = tests.select("slot", "test_id", "raw_name", "text", "batch", "wave", F.col(report).alias("_report"))
+    asked = kept(rows.groupBy("_report", "batch", "wave").applyInPandas(lambda frame: generator.traced(frame.drop(columns="_report")), TRACED))
+    opened = asked.where("slot is null").select(F.explode("opened").alias("entry", "until")).groupBy("entry").agg(F.max("until").alias("until"))
+    shut = {r["entry"]: r["until"] for r in opened.collect()}  # entries of one chain
+    return asked.where("slot is not null").drop("opened"), generator.knowing(shut)
+
+
 def in_waves(asked: DataFrame, generator: Generator, report: str, waves: int = WAVES, pause: Callable[[], None] | None = None) -> DataFrame:
     """Answers to ``asked`` (with batch, from 0 in each report), what is missing being asked again in new batches: in the
     second wave behind the reserved chain, in the last after ``pause`` (a wait for cooldowns). Waves are kept, so that no
-    answer is asked for twice."""
-    answers = kept(generate(asked.withColumn("wave", F.lit(0)), generator, report))
+    answer is asked for twice, and a provider that a task of one wave found down is asked by no task of the next."""
+    answers, generator = _wave(asked.withColumn("wave", F.lit(0)), generator, report)
     missing = asked.join(answers.select("slot"), "slot", "left_anti")
     first = asked.groupBy(report).agg((F.max("batch") + 1).alias("_first"))
     for wave in range(1, waves):
@@ -93,7 +107,8 @@ def in_waves(asked: DataFrame, generator: Generator, report: str, waves: int = W
             pause()
         again = assign_batches(missing.drop("batch"), [report], ["slot"], BATCH).join(first, report)
         again = again.withColumns({"batch": F.col("batch") + F.col("_first"), "wave": F.lit(wave)}).drop("_first")
-        answers = kept(answers.unionByName(generate(again, generator, report)))
+        more, generator = _wave(again, generator, report)
+        answers = answers.unionByName(more)
         missing = asked.join(answers.select("slot"), "slot", "left_anti")
     return answers
 
@@ -103,13 +118,13 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     return answers.select("slot", coerce_details("json").alias("_d")).select("slot", "_d.*").drop("disclaimer")
 
 
-def explain(tests: DataFrame, cache: DataFrame, report: str = "report_id", generator: Generator = offline_generator, precomputed: DataFrame | None = None, waves: int = WAVES, pause: Callable[[], None] | None = None) -> DataFrame:
-    """One row per slot in order: explanations that pass the checks, else fallback copy; degraded and ungrounded flags.
+def judged(tests: DataFrame, cache: DataFrame, report: str = "report_id", generator: Generator = offline_generator, precomputed: DataFrame | None = None, waves: int = WAVES, pause: Callable[[], None] | None = None) -> DataFrame:
+    """One row per slot: the fields where they pass the checks, null where they don't, with degraded, ungrounded and generated
+    (whether the fields are new).
 
     tests: slot, report, test_id, specimen, raw_name, unit and a bundle; cache: test_id, specimen and the three fields.
     Batches of six are by place over all tests; only grounded tests that the cache lacks reach the generator. An answer
     that the context doesn't bear out is dropped whole; a question that names another test of the batch is replaced.
-    Sources are cited only for text that passed.
     """
     tests = assign_batches(tests, [report], ["slot"], BATCH)
     asked = cache_misses(tests.where("grounded"), cache, ["test_id", "specimen"])
@@ -120,7 +135,8 @@ def explain(tests: DataFrame, cache: DataFrame, report: str = "report_id", gener
         new = new.withColumn("what_it_measures", F.coalesce("_w", "what_it_measures")).select("slot", *FIELDS)
     held = cache.select(F.col("test_id").alias("_t"), F.col("specimen").alias("_s"), *FIELDS)
     hits = tests.where("grounded").select("slot", "test_id", "specimen").join(held, F.col("test_id").eqNullSafe(F.col("_t")) & F.col("specimen").eqNullSafe(F.col("_s"))).select("slot", *FIELDS)
-    told = new.unionByName(hits).select("slot", or_null(strip("what_it_measures")).alias(FIELDS[0]), *(F.filter(F.transform(FIELDS[1], lambda x: strip(x)), lambda x: x != "").alias(FIELDS[1]),), or_null(strip("gp_question")).alias(FIELDS[2]))
+    told = new.withColumn("generated", F.lit(True)).unionByName(hits.withColumn("generated", F.lit(False)))
+    told = told.select("slot", "generated", or_null(strip("what_it_measures")).alias(FIELDS[0]), *(F.filter(F.transform(FIELDS[1], lambda x: strip(x)), lambda x: x != "").alias(FIELDS[1]),), or_null(strip("gp_question")).alias(FIELDS[2]))
     told = told.withColumn(FIELDS[1], F.when(F.size(FIELDS[1]) > 0, F.col(FIELDS[1])))
     names = tests.where("grounded").groupBy(report, "batch").agg(F.collect_list(F.struct("slot", "raw_name", "test_id")).alias("_names"))  # six at most
     rows = tests.join(names, [report, "batch"], "left").join(told, "slot", "left")
@@ -129,10 +145,23 @@ def explain(tests: DataFrame, cache: DataFrame, report: str = "report_id", gener
     check = grounded(patient_text(*FIELDS), "text", numbers_in("unit"))
     rows = rows.withColumns({"_ok": F.col("grounded") & some & F.coalesce(check["ok"], F.lit(False)), "_other": other_test_named("gp_question", "raw_name", others)})
     rows = rows.withColumn("gp_question", F.when(F.col("_other").isNull(), F.col("gp_question")).otherwise(ASK_INSTEAD))
-    rows = rows.withColumns({"degraded": F.col("grounded") & ~F.col("_ok"), "ungrounded": ~F.col("grounded"), **{c: F.when(F.col("_ok"), F.col(c)) for c in FIELDS}})
+    rows = rows.withColumns({"degraded": F.col("grounded") & ~F.col("_ok"), "ungrounded": ~F.col("grounded"), "generated": F.coalesce("generated", F.lit(False)), **{c: F.when(F.col("_ok"), F.col(c)) for c in FIELDS}})
+    return rows.drop("_names", "_ok", "_other")
+
+
+def new_entries(rows: DataFrame) -> DataFrame:
+    """Cache entries (test_id, specimen and the three fields) of the rows of ``judged`` that are new and passed; of one test and
+    specimen the first slot's."""
+    passed = rows.where("generated and grounded and not degraded")
+    one = passed.groupBy("test_id", "specimen").agg(F.min_by(F.struct(*FIELDS), "slot").alias("_e"))
+    return one.select("test_id", "specimen", "_e.*")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Rows of ``judged`` with fallback copy where a field is missing. Sources are cited only for text that passed."""
     missing, name = F.col("ungrounded"), F.col("raw_name")
     no_urls = F.array().cast(rows.schema["sources"].dataType) if "sources" in rows.columns else None
-    return rows.drop("_names", "_ok", "_other").withColumns({
+    return rows.drop("generated").withColumns({
         "what_it_measures": F.coalesce("what_it_measures", F.when(missing, F.concat(F.lit(NO_SOURCE[0]), name, F.lit(NO_SOURCE[1]))).otherwise(F.concat(F.lit("Evaluates what "), name, F.lit(" measures in the body.")))),
         "lifestyle_suggestions": F.coalesce("lifestyle_suggestions", F.when(missing, F.array(*map(F.lit, NO_ADVICE))).otherwise(F.array(F.lit(ADVICE)))),
         "gp_question": F.coalesce("gp_question", F.concat(F.lit("Could you explain what my "), name, F.lit(" test involves?"))),
@@ -142,6 +171,11 @@ def explain(tests: DataFrame, cache: DataFrame, report: str = "report_id", gener
     })
 
 
+def explain(tests: DataFrame, cache: DataFrame, report: str = "report_id", generator: Generator = offline_generator, precomputed: DataFrame | None = None, waves: int = WAVES, pause: Callable[[], None] | None = None) -> DataFrame:
+    """One row per slot in order: explanations that pass the checks, else fallback copy; degraded and ungrounded flags."""
+    return shown(judged(tests, cache, report, generator, precomputed, waves, pause))
+
+
 def allowed_numbers(unit: Column | str) -> Column:
     return numbers_in(unit)
 
@@ -156,7 +190,12 @@ def stubs(chunks: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame
     """test_id, raw_name, specimen (none), unit of each id that the corpus covers and the cache lacks (all with ``force``)."""
     ids = covered_ids(chunks).withColumn("specimen", F.lit(None).cast("string"))
     todo = ids if force else cache_misses(ids, cache, ["test_id", "specimen"])
-    return todo.withColumns({"raw_name": stub_name("test_id"), "unit": F.lit("")})
+    return as_stubs(todo)
+
+
+def as_stubs(ids: DataFrame) -> DataFrame:
+    """Ids as tests without a reading."""
+    return ids.withColumns({"specimen": F.lit(None).cast("string"), "raw_name": stub_name("test_id"), "unit": F.lit("")})
 
 
 def verified_details(answers: DataFrame, tests: DataFrame) -> DataFrame:
@@ -176,4 +215,4 @@ def verified_measures(answers: DataFrame, tests: DataFrame) -> DataFrame:
     return rows.where((F.col("what_it_measures") != "") & grounded("what_it_measures", "text")["ok"]).select("test_id", "what_it_measures")
 
 
-__all__ = ["bundle", "generate", "in_waves", "explain", "parse_answers", "allowed_numbers", "offline_generator", "reassemble", "referrals", "stubs", "verified_details", "verified_measures"]
+__all__ = ["bundle", "generate", "in_waves", "explain", "judged", "new_entries", "shown", "parse_answers", "allowed_numbers", "offline_generator", "reassemble", "referrals", "stubs", "verified_details", "verified_measures"]

@@ -1,7 +1,8 @@
 """Generator policy: settings, provider chain, circuit breaker, retries with backoff. Not Spark task retry.
 
-A chain is made on the driver and travels with a generator to the tasks; each task has its own breakers, as each process of
-a service would. ``generator`` makes one of a chain, a prompt and a parser of answers.
+A chain is made on the driver and travels with a generator to the tasks. Each task opens breakers of its own, as each process
+of a service would; what the tasks of a wave have opened comes back as rows, is reduced by entry and is known to all tasks of
+the next wave. ``generator`` makes one of a chain and a prompt.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 import re
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,7 +79,15 @@ class Chain:
     keyless: frozenset[str] = frozenset()
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    shut: dict[str, float] = field(default_factory=dict)
+    shut: dict[str, float] = field(default_factory=dict)  # by this process's clock
+    known: dict[str, float] = field(default_factory=dict)  # what other tasks have shut, by the time of day
+    today: Callable[[], float] = time.time
+
+    def opened(self) -> dict[str, float]:
+        """Entries and providers that are shut now and the time of day until which they are."""
+        now = self.today()
+        own = {k: now + left for k, t in self.shut.items() if (left := t - self.clock()) > 0}
+        return {k: max(t, own.get(k, t)) for k, t in (own | {k: t for k, t in self.known.items() if t > now}).items()}
 
     def cooldown(self, reason: str) -> float:
         """Seconds that an entry is left out: what it asks for and some slack, at most the settings' own."""
@@ -86,7 +95,8 @@ class Chain:
         return min(float(said[1]) + SLACK, self.settings.cooldown) if said else self.settings.cooldown
 
     def _open(self, entry: str) -> bool:
-        return any(self.shut.get(k, float("-inf")) > self.clock() for k in (entry, entry.split(":", 1)[0]))
+        never = float("-inf")
+        return any(self.shut.get(k, never) > self.clock() or self.known.get(k, never) > self.today() for k in (entry, entry.split(":", 1)[0]))
 
     def order(self, offset: int = 0, reserve: bool = False, capability: str = "text") -> list[str]:
         """The entries of one call: the capability's chain begun at ``offset``, behind the reserved one if asked for (which
@@ -114,7 +124,8 @@ class Chain:
                     wide = any(m in str(e).lower() for m in PROVIDER_WIDE)
                     self.shut[provider if wide else entry] = self.clock() + self.cooldown(str(e))
                     break
-                self.shut.pop(provider, None), self.shut.pop(entry, None)
+                for closed in (self.shut, self.known):
+                    closed.pop(provider, None), closed.pop(entry, None)
                 return answer
         raise Unavailable(f"no entry answered a {capability} call") from last
 
@@ -124,15 +135,19 @@ def batch_prompt(batch: pd.DataFrame) -> str:
     return "\n".join(f"- Test ID: {t.test_id} | Name: {t.raw_name}\n  Reference context: {t.text}" for t in batch.itertuples())
 
 
-def generator(chain: Chain, prompt: Callable[[pd.DataFrame], str] = batch_prompt) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A generator for ``explain``: one call for each batch, begun at the batch's place in the chain, with the reserved chain
-    in the first repeated wave. Answers are JSON with explanations by test_id; a batch whose call fails gives no rows."""
+@dataclass
+class ChainGenerator:
+    """A generator for ``explain``: one call for each batch, begun at the batch's place in the chain, with the reserved chain in
+    the first repeated wave. Answers are JSON with explanations by test_id; a batch whose call fails gives no rows."""
+
+    chain: Chain
+    prompt: Callable[[pd.DataFrame], str] = batch_prompt
 
-    def answers(frame: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for (number, wave), batch in frame.groupby(["batch", "wave"], sort=True):
             try:
-                told = json.loads(chain.call(prompt(batch), int(number), reserve=wave == 1))
+                told = json.loads(self.chain.call(self.prompt(batch), int(number), reserve=wave == 1))
             except (Unavailable, ValueError):
                 continue
             told = told.get("explanations", []) if isinstance(told, dict) else []
@@ -143,4 +158,15 @@ def generator(chain: Chain, prompt: Callable[[pd.DataFrame], str] = batch_prompt
                     rows.append((t.slot, x.get("what_it_measures"), listed if isinstance(listed, list) else None, x.get("gp_question")))
         return pd.DataFrame(rows, columns=["slot", "what_it_measures", "lifestyle_suggestions", "gp_question"])
 
-    return answers
+    def traced(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The answers, and a row without a slot whose ``opened`` has what this task has shut by the end of the call."""
+        rows = [(*r, None) for r in self(frame).itertuples(index=False)] + [(None, None, None, None, self.chain.opened())]
+        return pd.DataFrame(rows, columns=["slot", "what_it_measures", "lifestyle_suggestions", "gp_question", "opened"]).astype({"slot": "Int64"})
+
+    def knowing(self, opened: dict[str, float]) -> ChainGenerator:
+        """The generator with breakers open that other tasks have opened."""
+        return replace(self, chain=replace(self.chain, shut={}, known=self.chain.opened() | opened))
+
+
+def generator(chain: Chain, prompt: Callable[[pd.DataFrame], str] = batch_prompt) -> ChainGenerator:
+    return ChainGenerator(chain, prompt)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms
 from ..operators.verify import keep_verified
-from ..sources.kept import kept
+from ..sources.cache import CacheTable
+from ..sources.kept import kept, shared_folder
+
+UNIT = 10  # ids that are put into a cache together
 
 
 def manual_entry(spark: SparkSession, entries: DataFrame, sex: Column | None = None) -> DataFrame:
@@ -50,22 +55,74 @@ def _passages(tests: DataFrame, chunks: DataFrame, names: str, ids: str) -> Data
     return tests.select("slot", F.xxhash64(names, ids).alias("query_id")).join(found, "query_id").drop("query_id")
 
 
+ENTRY = "test_id string, specimen string, what_it_measures string, lifestyle_suggestions array<string>, gp_question string"
+MEASURE = "test_id string, what_it_measures string"
+
+
+def explanation_cache(spark: SparkSession, path: str) -> CacheTable:
+    return CacheTable(spark, path, ENTRY, ["test_id", "specimen"])
+
+
+def _grounded_tests(spark: SparkSession, rows: DataFrame, reference: DataFrame, chunks: DataFrame) -> DataFrame:
+    tests = dims.ground(rows, spark)
+    return explain.bundle(tests, reference, _passages(tests, chunks, "raw_name", "grounding_id"))
+
+
 def explain_results(spark: SparkSession, rows: DataFrame, reference: DataFrame, chunks: DataFrame, cache: DataFrame, report: str = "report_id", generator: explain.Generator = explain.offline_generator, **how) -> DataFrame:
     """Finalised rows (slot, report, test_id, raw_name, specimen, unit) with explanations checked against their sources.
     generator: ``policy.generator`` of a chain, or the one built in; how: as ``explain`` has it."""
-    tests = dims.ground(rows, spark)
-    passages = _passages(tests, chunks, "raw_name", "grounding_id")
-    return explain.explain(explain.bundle(tests, reference, passages), cache, report, generator, **how)
+    return explain.explain(_grounded_tests(spark, rows, reference, chunks), cache, report, generator, **how)
+
+
+def explain_and_cache(spark: SparkSession, rows: DataFrame, reference: DataFrame, chunks: DataFrame, path: str, report: str = "report_id", generator: explain.Generator = explain.offline_generator, **how) -> DataFrame:
+    """``explain_results`` with the cache at ``path``: what is new and passed is put there, so a later report with the same tests
+    asks for nothing. Where the folder can't be written, the rows come all the same."""
+    cache = explanation_cache(spark, path)
+    rows = kept(explain.judged(_grounded_tests(spark, rows, reference, chunks), kept(cache.read()), report, generator, **how))
+    new = explain.new_entries(rows)
+    if not new.isEmpty():
+        cache.save(new)
+    return explain.shown(rows)
+
+
+def _precomputed(spark: SparkSession, stubs: DataFrame, reference: DataFrame, chunks: DataFrame, generator: explain.Generator, measures_only: bool) -> DataFrame:
+    tests = _grounded_tests(spark, stubs.withColumn("slot", F.xxhash64("test_id")), reference, chunks).where("grounded")
+    answers = kept(explain.generate(tests.withColumn("batch", F.col("slot")), generator))
+    return explain.verified_measures(answers, tests) if measures_only else explain.verified_details(answers, tests)
 
 
 def precompute(spark: SparkSession, reference: DataFrame, chunks: DataFrame, cache: DataFrame, generator: explain.Generator = explain.offline_generator, measures_only: bool = False, force: bool = False) -> DataFrame:
     """New cache entries (test_id, specimen and the three fields; with ``measures_only`` test_id and what_it_measures) for the
     ids that the corpus covers and ``cache`` lacks. Answers that their context doesn't bear out are left out."""
-    tests = explain.stubs(chunks, cache, force).withColumn("slot", F.xxhash64("test_id"))
-    tests = dims.ground(tests, spark)
-    tests = explain.bundle(tests, reference, _passages(tests, chunks, "raw_name", "grounding_id")).where("grounded")
-    answers = kept(explain.generate(tests.withColumn("batch", F.col("slot")), generator))
-    return explain.verified_measures(answers, tests) if measures_only else explain.verified_details(answers, tests)
+    return _precomputed(spark, explain.stubs(chunks, cache, force), reference, chunks, generator, measures_only)
+
+
+def precompute_into(spark: SparkSession, reference: DataFrame, chunks: DataFrame, path: str, generator: explain.Generator = explain.offline_generator, measures_only: bool = False, force: bool = False, unit: int = UNIT) -> CacheTable:
+    """``precompute`` in units of ``unit`` ids, each put into the cache at ``path`` before the next begins: a run that fails has
+    lost one unit's answers at most, and the next run asks for what the cache lacks.
+
+    The ids to do are files of one unit each, read as a stream of one file a batch; a batch that is run again leaves out what the
+    cache has by then (with ``force`` it repeats its unit)."""
+    cache = CacheTable(spark, path, MEASURE, ["test_id"]) if measures_only else explanation_cache(spark, path)
+    todo = explain.stubs(chunks, _as_entries(cache.read()), force).select("test_id")
+    work = f"{shared_folder(spark)}/precompute-{uuid.uuid4().hex}"
+    todo.write.option("maxRecordsPerFile", unit).parquet(f"{work}/ids")
+
+    def one(rows: DataFrame, number: int) -> None:
+        ids = spark.createDataFrame([(r["test_id"],) for r in rows.collect()], "test_id string")  # a unit at most
+        if not force:
+            ids = results.cache_misses(ids.withColumn("specimen", F.lit(None).cast("string")), _as_entries(cache.read()), ["test_id", "specimen"]).select("test_id")
+        new = kept(_precomputed(spark, explain.as_stubs(ids), reference, chunks, generator, measures_only))
+        if not new.isEmpty():
+            cache.save(new)
+
+    stream = spark.readStream.schema("test_id string").option("maxFilesPerTrigger", 1).parquet(f"{work}/ids")
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
+    return cache
+
+
+def _as_entries(cache: DataFrame) -> DataFrame:
+    return cache if "specimen" in cache.columns else cache.withColumn("specimen", F.lit(None).cast("string"))
 
 
 def generate_synonyms(chunks: DataFrame, asked: DataFrame, existing: DataFrame, propose, force: bool = False) -> tuple[DataFrame, DataFrame]:

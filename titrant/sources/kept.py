@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a local master gets a temporary one; on a cluster that is an
+    error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="titrant-"))
+        folder = _own_folder[0]
+    return folder.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder of spark.checkpoint.dir. Where none is set, a local master gets a temporary
-    one; on a cluster that is an error."""
+    """``df`` as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="titrant-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import assert_inside
 from ..operators.retrieve import index_health
+from .cache import CacheTable
 
 # Fixed value.
 APPROVED_HOSTS = ("www.nhs.uk", "nhs.uk", "medlineplus.gov")
@@ -47,6 +48,10 @@ def read_corpus(spark: SparkSession, path: str, hosts: tuple[str, ...] = APPROVE
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A cache table; an empty one if there is none yet."""
+    live = CacheTable(spark, path, schema, [])
+    if live.versions():
+        live.keys = live.keys_on_disk()
+        return live.read()
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as e:
@@ -65,23 +70,12 @@ def merged_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def save_cache(spark: SparkSession, new: DataFrame, keys: list[str], path: str, schema: str) -> bool:
-    """Merge ``new`` into the cache at ``path`` in place: the merged table is written beside it, then takes its name. False
-    if the folder can't be written, which leaves the old cache as it is."""
-    aside, old = f"{path}.new", f"{path}.old"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        merged_cache(read_cache(spark, path, schema), new, keys).write.mode("overwrite").parquet(aside)
-        fs.delete(hadoop.Path(old), True)
-        if fs.exists(hadoop.Path(path)):
-            fs.rename(hadoop.Path(path), hadoop.Path(old))
-        fs.rename(hadoop.Path(aside), hadoop.Path(path))
-        fs.delete(hadoop.Path(old), True)
-    except Exception as e:
-        if any(m in str(e) for m in ("Permission denied", "Read-only", "Mkdirs failed", "AccessControlException", "ParentNotDirectory")):
-            return False
-        raise
-    return True
+    """Put ``new`` into the versioned cache at ``path``. False if the folder can't be written, which leaves it as it is. Entries
+    that lie there as a plain table go into the first version."""
+    live = CacheTable(spark, path, schema, keys)
+    if not live.versions():
+        new = merged_cache(read_cache(spark, path, schema), new, keys)
+    return live.save(new)
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
