@@ -212,3 +212,11 @@ def test_tries_cut_anywhere_add_up(monkeypatch, words, block, pieces, bounds):
             w = p.decode().split()
             assert len(w) == depth and (depth == 1 or n1 == f[w[0]]) and (depth < 3 or n2 == f[" ".join(w[:2])])
     assert got == f and total == sum(c for p, c in f.items() if " " not in p)
+
+
+def test_phrases_are_ranked_in_salts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "RANKED", 4)
+    r = random.Random(6)
+    rows = [("en" if k % 4 else "fr", " ".join(r.choice("the of cat sat mat on a an".split()) for _ in range(60))) for k in range(120)]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(table, first=3).collect())) == brute_phrases(rows, 3)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, forget, written
 
 DIMENSIONS, SCALE, K, ROUNDS = 64, 64, 16, 3
-BLOCK = 2048  # vectors to a cover tree
+BLOCK = 1024  # vectors to a cover tree
 LEAF = 8  # points of a node that is not split
 WIDE = 1 << 24  # components from which distances of 4,096 components may pass 63 bits
 MOST = (1 << 63) - 1

@@ -47,7 +47,7 @@ TEXT_BLOCK = 1 << 20  # bytes of a text that are split at once: at most half as
 RANGE_CHARS = 1 << 21  # characters of text to a range of paths
 RANGES = 1 << 15
 SAMPLE, SAMPLE_PATHS = 2048, 64  # documents, paths of each, that the ranges are chosen by
-SALT_ROWS = 1 << 16  # phrases of a language that are ranked together first
+RANKED = 1 << 13  # phrases of a language that are ranked together
 
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS.encode(), bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
 EMPTY, END = 0, 1  # ids of what stands between two spaces and of a piece's end
@@ -328,11 +328,13 @@ def collocations(docs: DataFrame, first: int = FIRST, least: int = LEAST, covere
     scored = _scored(nodes).join(_covered(nodes), ["lang", "phrase"], "left")
     stay = written(scored.where(f"depth = 3 or most is null or 100 * most < {covered} * a").drop("depth", "most"), "phrases")
     n = nodes.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    salts = stay.groupBy("lang").agg(F.expr(f"count(1) div {SALT_ROWS} + 1").alias("salts"))
     order = (F.desc("score"), F.desc("a"), "phrase")
-    some = stay.join(salts, "lang").withColumn("salt", F.expr("pmod(xxhash64(phrase), salts)"))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= first)
-    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
+    top, most = stay, stay.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    while most > max(RANKED, 2 * first):  # in salts first, so that a language of any size is ranked by many tasks
+        salts = -(-most // max(RANKED, 2 * first))
+        salted = Window.partitionBy("lang", F.expr(f"pmod(xxhash64(phrase), {salts})")).orderBy(*order)
+        top, most = top.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= first).drop("rank"), salts * first
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     out = written(top.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score")), "collocations", stay)
     forget(nodes)
     return out
