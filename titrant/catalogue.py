@@ -6,6 +6,8 @@ engines read alike.
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranges as R
 from .functions import text as X
-from .operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify
+from .operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify, vision
 from .plans.reports import manual_entry
 from .sources.tables import table, text_lines
 
@@ -666,6 +668,43 @@ def generation_metrics(spark, sf_dir):
     return evaluate.generation_metrics(rows)
 
 
+def _answer(lines: list[str]) -> str:
+    """A generator's answer that copies lines of name|value; an unreadable line makes the call fail."""
+    if any(line.endswith("|13") for line in lines):
+        raise ValueError("unreadable")
+    fields = (line.split("|") for line in lines)
+    return "Sure: " + json.dumps({"results": [{"raw_name": name, "value": value, "unit": "g/dL", "ref_range": "1 - 20", "status": "Normal"} for name, value in fields]})
+
+
+def read_line_images(text: str, images: list[str]) -> str:
+    return _answer([base64.b64decode(i.split(",")[1]).decode() for i in images])
+
+
+def read_line_text(text: str, images: list[str]) -> str:
+    return _answer(text.split("\n")[2:-1])
+
+
+@query(f"""
+WITH {SQL_REPORT}, p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1) // 4 AS batch FROM rep),
+calls AS (SELECT doc_id, batch, (batch * 4 + 1)::VARCHAR || '-' || (batch * 4 + count(*))::VARCHAR AS page_range, bool_or(value = '13') AS bad FROM p GROUP BY 1, 2),
+d AS (SELECT doc_id, bool_and(bad) AS none, count(*) FILTER (bad) AS n_bad FROM calls GROUP BY 1),
+t AS (SELECT doc_id, doc_id % 2 = 0 AND NOT bool_or(value = '13') AS fine FROM rep WHERE n < 3 GROUP BY doc_id),
+v AS (SELECT doc_id, 'vision' AS tier, id, value, page_range FROM p JOIN calls USING (doc_id, batch) WHERE NOT bad
+  UNION ALL SELECT doc_id, 'llm_text', id, value, NULL::VARCHAR FROM rep JOIN d USING (doc_id) JOIN t USING (doc_id) WHERE none AND fine AND n < 3)
+SELECT d.doc_id, coalesce(v.tier, 'failed') AS tier, v.id AS test_id, v.value, v.page_range, v.value IN ('1', '20') AS needs_review,
+  n_bad + coalesce((none AND d.doc_id % 2 = 0 AND NOT coalesce(fine, true))::INT, 0) AS n_failed_calls
+FROM d LEFT JOIN v USING (doc_id) LEFT JOIN t ON t.doc_id = d.doc_id""")
+def vision_tier(spark, sf_dir):
+    rows = report_rows(spark, sf_dir)
+    line = F.concat("name", F.lit("|"), "value")
+    pages = rows.select("doc_id", F.col("line_no").alias("page"), F.encode(line, "utf-8").alias("image"))
+    texts = rows.where("doc_id % 2 = 0 and line_no < 3").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    found, tiers, calls = vision.holistic(pages, texts, dims.aliases(spark, dims.reference(spark)), read_line_images, read_line_text)
+    failed = calls.groupBy("doc_id").agg(F.count_if(~F.col("ok")).alias("n_failed_calls"))
+    out = tiers.join(found.drop("tier"), "doc_id", "left").join(failed, "doc_id", "left")
+    return out.select("doc_id", "tier", "test_id", "value", "page_range", "needs_review", F.coalesce("n_failed_calls", F.lit(0)).alias("n_failed_calls"))
+
+
 SQL_HELD = "CASE length(p_type) % 3 WHEN 0 THEN 'Cached general description' WHEN 1 THEN 'General 77 items' END"
 
 

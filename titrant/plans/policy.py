@@ -170,3 +170,13 @@ class ChainGenerator:
 
 def generator(chain: Chain, prompt: Callable[[pd.DataFrame], str] = batch_prompt) -> ChainGenerator:
     return ChainGenerator(chain, prompt)
+
+
+def reader(chain: Chain, capability: str = "vision") -> Callable[[str, list[str]], str]:
+    """A reader for ``vision``: the prompt of one call is its text and, for providers that read images, its images as blocks."""
+
+    def read(text: str, images: list[str]) -> str:
+        blocks = [{"type": "text", "text": text}, *({"type": "image_url", "image_url": {"url": i}} for i in images)]
+        return chain.call(json.dumps(blocks) if images else text, capability=capability)
+
+    return read

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms
+from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, vision
 from ..operators.verify import keep_verified
 from ..sources.cache import CacheTable
 from ..sources.kept import kept, shared_folder
@@ -40,6 +40,21 @@ def upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lines: DataF
     return results.finalise(rows, ref, sex)
 
 
+def read_and_upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lines: DataFrame, pages: DataFrame, images: vision.Reader, text: vision.Reader, sex: Column | None = None, at_once: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``upload`` with the generators' tiers worked out here: reports whose tables have too few rows are read by image, then by
+    text. Finalised rows and the outcomes of all calls. pages: doc_id, page, image."""
+    ref = dims.reference(spark)
+    alias = dims.aliases(spark, ref)
+    texts = extract.carry_page(lines)
+    tables = extract.structured_tables(grids, words, texts.select("doc_id", F.col("page").cast("int").alias("page"), F.col("line").alias("text")), alias)
+    enough = tables.groupBy("doc_id").count().where(F.col("count") >= extract.LEAST_ROWS).select("doc_id")
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    poor = kept(pages.select("doc_id").unionByName(whole.select("doc_id")).distinct().join(enough, "doc_id", "left_anti"))
+    rows, tiers, calls = vision.holistic(pages.join(poor, "doc_id"), whole.join(poor, "doc_id"), alias, images, text, at_once)
+    named = rows.select("doc_id", "seq", "raw_name", "value", "unit", "ref_range", "status")
+    return upload(spark, grids, words, lines, named, sex, tiers.where("tier <> 'failed'")), calls
+
+
 def build_corpus(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors, and the pages that gave no section. pages: page_id, html; sources: page_id, url, source, test_ids, seq."""
     sectioned = corpus.sections(corpus.blocks(pages))
