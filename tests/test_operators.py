@@ -70,6 +70,27 @@ def test_corpus(spark):
         corpus.assert_inside(sources, "url", ("www.nhs.uk",))
 
 
+def test_content_root_is_the_first_element_of_its_kind(spark):
+    long = "Words about a test that are many enough. " * 4
+    pages = {
+        1: f"<article><h1>A</h1><p>{long}first</p></article><article><h2>B</h2><p>{long}second</p></article>",
+        2: f"<body><main></main><article><p>{long}</p></article></body>",  # an empty main is the root
+        3: f"<div class='x main'></div><main><p>{long}</p></main>",
+        4: f"<header><main><h1>H</h1><form><p>gone</p></form><p>{long}kept</main></header><p>{long}</p>",  # stripped inside the root only
+        5: f"<p>{long}one<p>two</p> three<ul><li>x<li>y</ul>",  # nothing but its end tag, or one around it, ends an element
+        6: f"<article><p>{long}1&lt;2 a<b>b</b>c<!-- no --> d</p></article></div>",
+        7: f"<title>T: x</title><svg><title>second</title></svg><body><p>{long}</body>",
+    }
+    frame = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = {r["page_id"]: r for r in corpus.sections(corpus.blocks(frame)).collect()}
+    assert got[1]["section"] == "A" and got[1]["body"].endswith("first") and 2 not in got and 3 not in got
+    assert got[4]["section"] == "H" and got[4]["body"].endswith("kept") and "gone" not in got[4]["body"]
+    assert got[5]["body"] == f"{long}one two three x y two x y y"
+    assert got[6]["body"].endswith("1<2 a b c d") and got[7]["title"] == "T"
+    links = "<a href='https://medlineplus.gov/lab-tests/a/'><img></a><nav><a href='https://medlineplus.gov/lab-tests/b/'>B (BB) Test</a></nav><a href='https://medlineplus.gov/lab-tests/a/'>A</a>"
+    assert [tuple(r) for r in corpus.discover(spark.createDataFrame([(1, links)], "page_id long, html string")).collect()] == [("https://medlineplus.gov/lab-tests/b/", ["BB", "B"])]
+
+
 def test_corpus_files(spark, tmp_path):
     chunks = retrieve.embed(spark.createDataFrame([(1, "a b", "https://www.nhs.uk/x")], "id long, text string, url string"), "text")
     tables.write_corpus(chunks, f"{tmp_path}/c")

@@ -529,9 +529,34 @@ def report_summary(spark, sf_dir):
     return out.withColumns({"questions": F.md5(F.array_join("questions", "|")), "first_suggestion": F.md5("first_suggestion"), "overall_summary": F.md5("overall_summary")})
 
 
-@query()
+ROOTS = """CASE page_id % 4 WHEN 1 THEN replace(html, '</article>', '</article><article><h1>Second</h1><p>' || repeat('Not read at all. ', 20) || '</p></article>')
+  WHEN 2 THEN replace(html, '<article>', '<main> </main><article>') WHEN 3 THEN replace(html, '<article>', '<header><article>') ELSE html END"""
+
+
+def rooted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, some with a second article, with an empty main before the article, or with the article in a stripped part."""
+    return table(spark, sf_dir, "pages").withColumn("html", F.expr(ROOTS))
+
+
+def sql_cleaned(c: str) -> str:
+    return f"trim(regexp_replace(replace(replace({c}, '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+SQL_SECTIONS = f"""
+pg AS (SELECT page_id, url, {ROOTS} AS html FROM pages WHERE NOT page_id % 4 = 2),
+inside AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a, {sql_cleaned("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS t FROM pg),
+head AS (SELECT page_id, url, a, trim(split_part(split_part(t, ':', 1), ' - NHS', 1)) AS title, {sql_cleaned("regexp_replace(regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')")} AS section FROM inside),
+ev AS (SELECT page_id, unnest(e) AS e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(a, '<[^>]*>|[^<]+') AS e FROM head)),
+dp AS (SELECT *, sum(CASE e WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM ev),
+ps AS (SELECT p.page_id, p.i AS s, coalesce(min(c.i), 1000000) AS t FROM dp p LEFT JOIN dp c ON c.page_id = p.page_id AND c.i > p.i AND c.e = '</p>' AND c.depth = p.depth - 1 WHERE p.e = '<p>' GROUP BY ALL),
+tx AS (SELECT ps.page_id, s, {sql_cleaned("string_agg(e, ' ' ORDER BY i)")} AS text FROM ps JOIN ev ON ev.page_id = ps.page_id AND i BETWEEN s AND t AND e[1] <> '<' GROUP BY ps.page_id, s),
+bd AS (SELECT page_id, string_agg(text, ' ' ORDER BY s) AS body FROM tx WHERE text <> '' AND NOT regexp_matches(text, '{corpus.BOILERPLATE}') GROUP BY page_id),
+sec AS (SELECT page_id, url, title, 1::BIGINT AS section_no, section, body FROM head JOIN bd USING (page_id) WHERE length(body) >= {corpus.LEAST_CHARS} AND NOT regexp_matches(section, '{corpus.SKIPPED_HEADING}'))"""
+
+
+@query(f"WITH {SQL_SECTIONS} SELECT page_id, title, section_no, section, body FROM sec")
 def html_sections(spark, sf_dir):
-    return corpus.sections(corpus.blocks(table(spark, sf_dir, "pages")))
+    return corpus.sections(corpus.blocks(rooted_pages(spark, sf_dir)))
 
 
 @query("SELECT page_id, len(list_filter(regexp_extract_all(html, '<h[123][ >]'), lambda x: x <> ''))::BIGINT AS n FROM pages WHERE regexp_matches(html, '<h[123][ >]')")
@@ -540,9 +565,24 @@ def html_headings(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+SQL_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+@query(f"""
+WITH RECURSIVE {SQL_SECTIONS},
+sp AS (SELECT page_id, length(body) AS n, body, string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM sec),
+f AS (
+  SELECT page_id, p, 0 AS i, '' AS buf, 0 AS piece_no, NULL::VARCHAR AS done FROM sp WHERE n > {corpus.MOST_CHARS}
+  UNION ALL
+  SELECT page_id, p, i + 1, CASE WHEN c THEN x ELSE trim(buf || ' ' || x, {SQL_BLANKS}) END, piece_no + c::INT, CASE WHEN c THEN trim(buf, {SQL_BLANKS}) END
+  FROM (SELECT *, p[i + 1] AS x, buf <> '' AND length(buf) + length(p[i + 1]) + 1 > {corpus.MOST_CHARS} AS c FROM f WHERE i < len(p))),
+pieces AS (
+  SELECT page_id, piece_no - 1 AS piece_no, done AS text FROM f WHERE done IS NOT NULL
+  UNION ALL SELECT page_id, piece_no, trim(buf, {SQL_BLANKS}) FROM f WHERE i = len(p) AND buf <> '' UNION ALL SELECT page_id, 0, body FROM sp WHERE n <= {corpus.MOST_CHARS}),
+one AS (SELECT * FROM pieces JOIN sec USING (page_id) QUALIFY row_number() OVER (PARTITION BY lower(left(text, 200)) ORDER BY page_id, piece_no) = 1)
+SELECT url, section, coalesce(nullif(title, ''), section) AS topic, md5(text) AS text_md5, length(title || ' - ' || section || ': ' || text)::INTEGER AS embed_chars FROM one""")
 def corpus_chunks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = rooted_pages(spark, sf_dir)
     sources = pages.select("page_id", "url", F.lit("pages").alias("source"), F.array(F.expr("'P' || cast(page_id as string)")).alias("test_ids"), F.col("page_id").alias("seq"))
     made = corpus.chunks(corpus.sections(corpus.blocks(pages)), sources)
     return made.select("url", "section", "topic", F.md5("text").alias("text_md5"), F.length("embed_text").alias("embed_chars"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,81 +36,112 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 TEXT_TAGS = ("h1", "h2", "h3", "p", "li")
 
 
-class _Reader(HTMLParser):
-    """Blocks (tag, text, parents' roots) in document order; links (href, text)."""
+class _Page(HTMLParser):
+    """A page as a small node tree in document order.
 
-    def __init__(self) -> None:
+    Elements are numbered by their start tags; ``elements`` has the tag, the classes, the id and the number of the first element
+    after it of each, ``events`` the numbers of elements as they start (from 1), their negatives as they end, and texts. An end
+    tag ends all that was opened inside it; one that nothing open matches is ignored; nothing else ends an element.
+    """
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, set[str]]] = []  # tag, stripped, roots it lies in
-        self.open: list[tuple[str, list[str], int, set[str]]] = []
-        self.blocks: list[tuple[int, str, str, set[str]]] = []
-        self.links: list[tuple[str, list[str]]] = []
-        self.title: list[str] = []
-        self.in_link = False
-        self.n = 0
+        self.elements: list[list] = [["", (), None, 0]]  # the page itself
+        self.events: list[int | str] = []
+        self.hrefs: dict[int, str] = {}
+        self.stack: list[int] = []
+        self.open: Counter[str] = Counter()
+        self.said: list[str] = []
+        self.feed(html)
+        self.close()
+        self._told()
+        while self.stack:
+            self._end()
+        self.elements[0][3] = len(self.elements)
+
+    def _told(self) -> None:
+        if self.said:
+            self.events.append("".join(self.said))
+            self.said = []
+
+    def _end(self) -> str:
+        at = self.stack.pop()
+        self.elements[at][3] = len(self.elements)
+        self.events.append(-at)
+        self.open[self.elements[at][0]] -= 1
+        return self.elements[at][0]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._told()
         got = {k: v or "" for k, v in attrs}
-        classes = got.get("class", "").split()
-        stripped = bool(self.stack and self.stack[-1][1]) or tag in STRIPPED_TAGS or any(c in STRIPPED_CLASSES for c in classes) or got.get("id") in STRIPPED_IDS
-        roots = set(self.stack[-1][2]) if self.stack else set()
-        if tag == "div" and "main" in classes:
-            roots.add("div.main")
-        if tag in ("main", "article", "body"):
-            roots.add(tag)
-        if tag not in VOID_TAGS:
-            if tag == "p":  # a paragraph ends an open one
-                self._close("p")
-            self.stack.append((tag, stripped, roots))
-        if tag in TEXT_TAGS and not stripped:
-            self.n += 1
-            self.open.append((tag, [], self.n, roots))
-        if tag == "a" and "href" in got and not stripped:
-            self.links.append((got["href"], []))
-            self.in_link = True
+        self.elements.append([tag, got.get("class", "").split(), got.get("id"), 0])
+        at = len(self.elements) - 1
+        if "href" in got:
+            self.hrefs[at] = got["href"]
+        self.events.append(at)
+        self.stack.append(at)
+        self.open[tag] += 1
+        if tag in VOID_TAGS:
+            self._end()
 
     def handle_endtag(self, tag: str) -> None:
-        self._close(tag)
-
-    def _close(self, tag: str) -> None:
-        if not any(t == tag for t, *_ in self.stack):
-            return
-        while self.stack:
-            closed = self.stack.pop()[0]
-            if closed in TEXT_TAGS:
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] == closed:
-                        kind, parts, at, roots = self.open.pop(k)
-                        self.blocks.append((at, kind, " ".join(parts), roots))
-                        break
-            if closed == "a":
-                self.in_link = False
-            if closed == tag:
-                return
+        self._told()
+        while self.open[tag] > 0 and self._end() != tag:
+            pass
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] == "title":
-            self.title.append(data)
-        if self.stack and self.stack[-1][1]:
-            return
-        for block in self.open:
-            block[1].append(data)
-        if self.in_link and self.links:
-            self.links[-1][1].append(data)
-
-    def finish(self) -> None:
-        self.close()
-        while self.open:
-            kind, parts, at, roots = self.open.pop()
-            self.blocks.append((at, kind, " ".join(parts), roots))
-        self.blocks.sort()
-
-
-def _read(html: str) -> _Reader:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.finish()
-    return reader
+        self.said.append(data)
+
+    def _mark(self, data: str) -> None:
+        self._told()
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _mark
+
+    def first(self, fits: Callable[[list], bool]) -> int | None:
+        return next((k for k, e in enumerate(self.elements) if k and fits(e)), None)
+
+    def root(self) -> int:
+        """The first element of the first kind of content root that the page has, also if it is empty; else the page."""
+        kinds = [lambda e: e[0] == "div" and "main" in e[1], *(lambda e, t=t: e[0] == t for t in ("main", "article", "body"))]
+        return next((k for k in map(self.first, kinds) if k is not None), 0)
+
+    def texts(self, root: int, tags: tuple[str, ...], strip: bool = True) -> list[tuple[int, str, str]]:
+        """(number, tag, text) of the elements below ``root`` with one of the tags, in document order; parts that are no content
+        are left out, with all that is in them, where they lie inside the root."""
+        last, inside, gone = self.elements[root][3], root == 0, 0
+        found: dict[int, list[str]] = {}
+        wanted: list[list[str]] = []
+        for e in self.events:
+            if isinstance(e, str):
+                if inside and not gone:
+                    for parts in wanted:
+                        parts.append(e)
+                continue
+            at = abs(e)
+            if at == root:
+                inside = e > 0
+                continue
+            if not inside or not root < at < last:
+                continue
+            tag, classes, name, _ = self.elements[at]
+            out = strip and (tag in STRIPPED_TAGS or any(c in STRIPPED_CLASSES for c in classes) or name in STRIPPED_IDS)
+            if gone or out:
+                gone += (1 if e > 0 else -1) if out else 0
+            elif tag in tags:
+                if e > 0:
+                    found[at] = []
+                    wanted.append(found[at])
+                else:
+                    wanted.pop()
+        return [(at, self.elements[at][0], " ".join(parts)) for at, parts in found.items()]
+
+    def title(self) -> str:
+        """The first title's text."""
+        at = self.first(lambda e: e[0] == "title")
+        if at is None:
+            return ""
+        begun = self.events.index(at)
+        return "".join(e for e in self.events[begun : self.events.index(-at, begun)] if isinstance(e, str))
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -119,9 +151,9 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
         for batch in batches:
             rows = []
             for k, h in zip(batch[key], batch[html], strict=True):
-                r = _read(h)
-                root = next((x for x in ("div.main", "main", "article", "body") if any(x in b[3] for b in r.blocks)), None)
-                rows += [(k, at, "".join(r.title), tag, text) for at, tag, text, roots in r.blocks if root is None or root in roots]
+                page = _Page(h or "")
+                title = page.title()
+                rows += [(k, at, title, tag, text) for at, tag, text in page.texts(page.root(), TEXT_TAGS)]
             yield pd.DataFrame(rows, columns=[key, "seq", "title", "tag", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
@@ -176,22 +208,25 @@ def chunks(sectioned: DataFrame, sources: DataFrame, key: str = "page_id") -> Da
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, seq, href, title of every link with a text outside stripped parts."""
+    """key, seq, href, title of every link in the content root, stripped parts included; some titles are empty."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, href, " ".join(parts)) for k, h in zip(batch[key], batch[html], strict=True) for i, (href, parts) in enumerate(_read(h).links)]
+            rows = []
+            for k, h in zip(batch[key], batch[html], strict=True):
+                page = _Page(h or "")
+                rows += [(k, i, page.hrefs[at], text) for i, (at, _, text) in enumerate(page.texts(page.root(), ("a",), strip=False)) if at in page.hrefs]
             yield pd.DataFrame(rows, columns=[key, "seq", "href", "title"])
 
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(key, html).mapInPandas(each, f"{key} {kind}, seq long, href string, title string")
-    return out.withColumn("title", clean_text("title")).where("title != ''")
+    return out.withColumn("title", clean_text("title"))
 
 
 def discover(pages: DataFrame, key: str = "page_id", html: str = "html", link: str = LAB_TEST_LINK) -> DataFrame:
-    """url, ids of the lab-test pages that index pages link to; the first link of a url counts."""
+    """url, ids of the lab-test pages that index pages link to; the first link of a url counts, and is none if it has no text."""
     found = links(pages, key, html).where(F.col("href").rlike(link)).withColumn("at", F.struct(key, "seq"))
-    return first_wins(found, ["href"], "at").select(F.col("href").alias("url"), derive_test_ids("title").alias("ids"))
+    return first_wins(found, ["href"], "at").where("title != ''").select(F.col("href").alias("url"), derive_test_ids("title").alias("ids"))
 
 
 def outside(rows: DataFrame, url: str, hosts: tuple[str, ...]) -> DataFrame:
