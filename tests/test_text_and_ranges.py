@@ -1,11 +1,15 @@
 """Names, values, numbers, ranges and statuses: the reference cases as data."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from titrant.functions import ranges as R
 from titrant.functions import text as X
-from titrant.operators import dims, verify
+from titrant.operators import corpus, dims, extract, verify
 from titrant.operators.corpus import split_long
 
 
@@ -101,3 +105,42 @@ def test_coerce_details(spark):
     got = each(spark, X.coerce_details("x"), ['```json\n{"what_it_measures": " a ", "lifestyle_suggestions": "- walk\\n- rest"}\n```', "nothing", '{"lifestyle_suggestions": ["x", " "]}'])
     assert got[0]["what_it_measures"] == "a" and got[0]["lifestyle_suggestions"] == ["walk", "rest"] and got[0]["gp_question"] is None
     assert got[1]["lifestyle_suggestions"] is None and got[2]["lifestyle_suggestions"] == ["x"]
+
+
+PLAIN_PATTERNS = (
+    r"(?i)([A-Za-z][A-Za-z0-9\s\(\)\/\-]+):\s*([\d\.]+)\s*([a-zA-Z0-9\/\%µuμ\*\^]+)?",
+    r"(?i)([A-Za-z][A-Za-z\s\(\)\/\-]{1,30}?)\s{2,}([\d\.]+)\s*([a-zA-Z0-9\/\%\^]+)?",
+    r"(?i)([A-Za-z][A-Za-z0-9\s\(\)\/\-]+)\t+([\d\.]+)\s*([a-zA-Z0-9\/\%\^]+)?",
+)
+
+
+def test_line_patterns_match_what_the_plain_ones_match(spark):
+    r = random.Random(8)
+    parts = ["A", "b", "Hb", "LDL Chol", "x" * 29, "y" * 31, " ", "  ", "   ", " " * 33, " " * 34, " " * 60, "\t", "\t\t", ":", ": ", "1", "5.4", ".", "g/dL", "%", "(", "-", "/", "é", "µmol", "12", "|", "*"]
+    lines = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(6000)]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    rows = frame.select("k", *(g.alias(f"g{i}") for i, g in enumerate(extract.line_groups(F.col("line"))))).collect()
+    met = 0
+    for row in rows:
+        line = lines[row["k"]]
+        for i, pattern in enumerate(PLAIN_PATTERNS):
+            m = re.search(pattern, line, re.ASCII)
+            got = row[f"g{i}"].split("\x01")
+            if m is None:
+                assert len(got) == 1, (line, i)
+            else:
+                met += 1
+                assert (got[0].strip(), *got[1:]) == (m[1].strip(), m[2], m[3] or ""), (line, i)
+    assert met > 3000
+
+
+def test_long_lines_and_texts_take_time_by_their_length(spark):
+    lines = ["Ab c d-e " * 22000, "a\t" * 100000, "a  " * 66000, "1 - " * 50000, "x" * 200000, " " * 100000 + "5", "Na: " * 50000 + "7"]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string").repartition(1)
+    began = time.time()
+    assert [r[0]["value"] for r in frame.select(extract.pattern_row("line")).collect() if r[0]] == ["7"]
+    assert time.time() - began < 10
+    text = "A short sentence here. " * 100000
+    began = time.time()
+    pieces = spark.createDataFrame([(text,)], "t string").select(corpus.split_long("t")).first()[0]
+    assert time.time() - began < 20 and " ".join(pieces) == text.strip() and max(map(len, pieces)) <= 1100

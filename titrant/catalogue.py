@@ -640,10 +640,10 @@ b AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_quantity)::INT::VARC
 rep AS (SELECT doc_id, n, name, id, value FROM b JOIN {values([(k + 1, r[0], r[1]) for k, r in enumerate(RESULT_NAMES)], 't(k, name, id)')} ON n = k)"""
 
 
-@query(f"WITH {SQL_REPORT} SELECT doc_id, id AS test_id, value, CASE WHEN n % 2 = 0 THEN 'g' ELSE 'mmol/L' END AS unit FROM rep")
+@query(f"WITH {SQL_REPORT} SELECT doc_id, id AS test_id, value, CASE WHEN n % 4 = 0 THEN 'g' ELSE 'mmol/L' END AS unit FROM rep")
 def text_rows(spark, sf_dir):
     rows = report_rows(spark, sf_dir)
-    line = F.expr("case when line_no % 2 = 0 then '| ' || name || ' | ' || value || ' g |' else name || ': ' || value || ' mmol/L' end")
+    line = F.expr("case line_no % 4 when 0 then '| ' || name || ' | ' || value || ' g |' when 1 then name || ': ' || value || ' mmol/L' when 2 then name || '    ' || value || ' mmol/L' else '12 ' || name || chr(9) || value || ' mmol/L' end")
     found = extract.text_rows(rows.select("doc_id", "line_no", line.alias("line")), dims.aliases(spark, dims.reference(spark)))
     return found.select("doc_id", "test_id", "value", "unit")
 

@@ -175,11 +175,16 @@ def sections(found: DataFrame, key: str = "page_id") -> DataFrame:
     return out.where(F.length("body") >= LEAST_CHARS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
-    """Sentences packed in order into pieces of ``most`` characters at most; a longer sentence is a piece of its own."""
-    text = F.col(text) if isinstance(text, str) else text
+    """Sentences packed in order into pieces of ``most`` characters at most; a longer sentence is a piece of its own.
 
-    # Sentences come stripped, with their lengths, so that a step neither searches nor measures what is gathered so far.
+    The fold carries numbers alone, the places where pieces begin; sentences are put together once, at the end."""
+    text = F.col(text) if isinstance(text, str) else text
     sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.struct(F.length(x).alias("n"), strip(x).alias("t")))
     sentences = F.filter(F.transform(sentences, lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.length(x["t"]).alias("m"))), lambda x: x["m"] > 0)
 
@@ -187,14 +192,16 @@ def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
         full = (state["size"] > 0) & (state["size"] + sentence["n"] + 1 > most)
         alone = full | (state["size"] == 0)
         return F.struct(
-            F.when(full, F.array_append(state["done"], state["buf"])).otherwise(state["done"]).alias("done"),
-            F.when(alone, sentence["t"]).otherwise(F.concat(state["buf"], F.lit(" "), sentence["t"])).alias("buf"),
+            F.when(full, F.array_append(state["cuts"], state["at"])).otherwise(state["cuts"]).alias("cuts"),
+            (state["at"] + 1).alias("at"),
             F.when(alone, F.when(full, sentence["n"]).otherwise(sentence["m"])).otherwise(state["size"] + 1 + sentence["m"]).alias("size"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"), F.lit(0).alias("size"))
-    end = lambda s: F.when(s["size"] > 0, F.array_append(s["done"], s["buf"])).otherwise(s["done"])
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(sentences, start, add, end))
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+    ends = lambda lengths: F.aggregate(lengths, start, add, lambda s: F.when(s["size"] > 0, F.array_append(s["cuts"], s["at"])).otherwise(s["cuts"]))
+    cut = lambda s, ends: F.transform(ends, lambda end, i: let(F.when(i > 0, F.get(ends, i - 1)).otherwise(0), lambda begin: F.array_join(F.transform(F.slice(s, begin + 1, end - begin), lambda x: x["t"]), " ")))
+    pieces = let(sentences, lambda s: let(ends(F.transform(s, lambda x: F.struct(x["n"].alias("n"), x["m"].alias("m")))), lambda e: cut(s, e)))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(pieces)
 
 
 def chunks(sectioned: DataFrame, sources: DataFrame, key: str = "page_id") -> DataFrame:

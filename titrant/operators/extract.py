@@ -26,11 +26,15 @@ HEAD = {
 }
 REF_STARTS = ("biological", "ref", "interval", "normal", "range")
 HEADER_ROWS, ROW_POINTS, COLUMN_POINTS, LEAST_LINE, LEAST_ROWS, LEAST_TEXT = 40, 2.5, 6.0, 4, 3, 30
+NAMED, SPELT, UNIT, NUMBER = r"A-Za-z0-9\s()/-", r"A-Za-z\s()/-", r"a-zA-Z0-9/%^", r"[\d.]++"
+# What these match, with groups for name, value and unit, is fixed: a name with a colon, a name of 2 to 31 characters before wide
+# space, a name before a tab. They look from the beginning of a run of name characters only, and take runs whole.
 LINE_PATTERNS = (
-    r"(?i)([A-Za-z][A-Za-z0-9\s\(\)\/\-]+):\s*([\d\.]+)\s*([a-zA-Z0-9\/\%µuμ\*\^]+)?",
-    r"(?i)([A-Za-z][A-Za-z\s\(\)\/\-]{1,30}?)\s{2,}([\d\.]+)\s*([a-zA-Z0-9\/\%\^]+)?",
-    r"(?i)([A-Za-z][A-Za-z0-9\s\(\)\/\-]+)\t+([\d\.]+)\s*([a-zA-Z0-9\/\%\^]+)?",
+    rf"(?<![{NAMED}])[0-9\s()/-]*+([A-Za-z][{NAMED}]++):\s*+({NUMBER})\s*+([{UNIT}µuμ*]++)?",
+    rf"([A-Za-z][{SPELT}]{{1,30}}?)\s{{2,}}+({NUMBER})\s*+([{UNIT}]++)?",
+    rf"(?<![{NAMED}])[0-9\s()/-]*+([A-Za-z][{NAMED}]+)\t({NUMBER})\s*+([{UNIT}]++)?",
 )
+WIDEST = 34  # white space beyond this changes no match of the second pattern, whose names are shorter
 PAGE_MARK = r"(?i)^-{3}\s*PAGE\s+(\d+)\s*-{3}$"
 CELL_NAME = r"^[A-Za-z][A-Za-z0-9\s\(\)\/\-]{1,40}$"
 CELL_VALUE = r"^([\d.]+)\s*([a-zA-Z0-9/%µuμ\^]*)$"
@@ -182,16 +186,17 @@ def pipe_row(line: Column | str) -> Column:
     return F.when((at > 0) & found.isNotNull(), F.struct(F.get(cells, (at - 1).cast("int")).alias("raw_name"), F.regexp_extract(found, CELL_VALUE, 1).alias("value"), F.regexp_extract(found, CELL_VALUE, 2).alias("unit")))
 
 
+def line_groups(line: Column) -> list[Column]:
+    """For each line pattern the three groups of its first match with marks between them, found at once in time that grows with
+    the line; no marks if there is none."""
+    narrow = F.when(line.rlike(rf"\s{{{WIDEST}}}"), F.regexp_replace(line, rf"(\s{{{WIDEST}}})\s++", "$1")).otherwise(line)
+    return [F.regexp_replace(of, f"^(?s:.*?){p}(?s:.*)$", "$1\x01$2\x01$3") for of, p in zip((line, narrow, line), LINE_PATTERNS, strict=True)]
+
+
 def pattern_row(line: Column | str) -> Column:
     """Struct name, value, unit of the first line pattern with a number."""
     line = F.col(line) if isinstance(line, str) else line
-    return F.coalesce(*(_found(F.split(_groups(line, p), "\x01")) for p in LINE_PATTERNS))
-
-
-def _groups(line: Column, pattern: str) -> Column:
-    """The three groups of a pattern's first match with marks between them, found at once; the line itself if there is none."""
-    flags, body = pattern[:4], pattern[4:]
-    return F.regexp_replace(line, f"{flags}^(?s:.*?){body}(?s:.*)$", "$1\x01$2\x01$3")
+    return F.coalesce(*(_found(F.split(g, "\x01")) for g in line_groups(line)))
 
 
 def _found(groups: Column) -> Column:
@@ -203,7 +208,7 @@ def text_rows(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Regex tier: rows of text lines, the first of each id in a document."""
     rows = carry_page(lines).withColumn("line", strip("line")).where(F.length("line") >= LEAST_LINE)
     piped = F.startswith("line", F.lit("|"))
-    rows = rows.withColumns({f"_g{k}": F.when(~piped, F.split(_groups(F.col("line"), p), "\x01")) for k, p in enumerate(LINE_PATTERNS)})
+    rows = rows.withColumns({f"_g{k}": F.when(~piped, F.split(g, "\x01")) for k, g in enumerate(line_groups(F.col("line")))})
     rows = rows.withColumn("_r", F.when(piped, pipe_row("line")).otherwise(F.coalesce(*(_found(F.col(f"_g{k}")) for k in range(len(LINE_PATTERNS)))))).where("_r is not null")
     rows = rows.select("doc_id", "page", F.struct(F.lit(2).alias("tier"), "page", F.col("line_no").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"), "_r.*")
     return first_wins(resolve(rows, aliases), ["doc_id", "test_id"], "seq").withColumns({"ref_range": F.lit(None).cast("string"), "flag": F.lit(None).cast("string")})
