@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from titrant.functions import text as X
 from titrant.operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify
 from titrant.plans import policy, reports
 from titrant.sources import tables
@@ -345,3 +346,18 @@ def test_unsourced_and_reviewed_rows(spark):
     rows = spark.createDataFrame([(" Hb ", " 12 ", None, " 11 - 12 ", "HIGH"), ("", "1", "u", "", None), ("TSH", " ", "u", "", None)], "raw_name string, value string, unit string, ref_range string, status string")
     got = extract.clean_extracted(rows, alias(spark)).collect()
     assert [(r["raw_name"], r["value"], r["unit"], r["ref_range"], r["status"], r["test_id"], r["needs_review"]) for r in got] == [("Hb", "12", "", "11 - 12", "high", "HGB", True)]
+
+
+def test_claims_are_looked_up_by_their_rarest_words(spark):
+    lines = [(1, k, f"Serum common thing {k} rareword{k % 3} {k}.5") for k in range(40)]
+    sources = spark.createDataFrame(lines, "doc_id long, line_no long, line string")
+    claims = spark.createDataFrame([(1, k, f"Common thing rareword{k} serum", f"{k}.5") for k in range(3)] + [(1, 9, "Common serum", "7.5"), (1, 10, "common absent missing", "1"), (1, 11, "Thing thing rareword1", None)], "doc_id long, claim_id long, raw_name string, value string")
+    words = verify._lines(sources, "doc_id", "line", "line_no").select("_d", "_n", F.explode(F.array_distinct(F.split(X.match_form("_line"), " "))).alias("_w"))
+    by = {}
+    for r in verify.looked_up(claims, words, "doc_id", "claim_id", "raw_name", "value").collect():
+        by.setdefault(r["claim_id"], set()).add(r["_word"])
+    assert all(f"rareword{k}" in by[k] and len(by[k]) == 2 for k in range(3)) and len(by[9]) == 1 and {"absent", "missing"} == by[10]
+    got = sorted(r["claim_id"] for r in verify.keep_verified(claims, sources, text="line", line_no="line_no").collect())
+    assert got == [0, 1, 2, 9, 11]
+    twice = claims.unionByName(claims)
+    assert verify.keep_verified(twice, sources, text="line", line_no="line_no").count() == 10

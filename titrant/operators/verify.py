@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STRUCTURAL_WORDS, content_tokens, lifestyle_numbers_in, match_form, numbers_in, strip
+from ..sources.kept import kept
 
 COVERAGE = 0.6
+SMALL = 1 << 20  # words that may be broadcast: 64 MB
 SAME = 1e-9
 
 
@@ -27,25 +29,47 @@ def value_pattern(value: Column | str) -> Column:
     return F.when(digits != "", F.concat(F.lit(r"(?<!\d)"), F.replace(digits, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)")))
 
 
+def _lines(sources: DataFrame, doc: str, text: str, line_no: str | None) -> DataFrame:
+    """_d, _n, _line of every line that isn't blank."""
+    place = [F.posexplode(F.split(text, "\n")).alias("_n", "_line")] if line_no is None else [F.col(line_no).alias("_n"), F.col(text).alias("_line")]
+    return sources.select(F.col(doc).alias("_d"), *place).where(strip("_line") != "")
+
+
+def looked_up(claims: DataFrame, words: DataFrame, doc: str, claim: str, name: str, value: str) -> DataFrame:
+    """doc, claim, _words, _p (the value's pattern) and _word: the words that a claim is looked up by, its rarest ones.
+
+    A line that has ``COVERAGE`` of a claim's n words lacks less than the rest, so it has one of any n - least + 1 of them.
+    words: _w for each line and word."""
+    asked = claims.select(F.col(doc), F.col(claim), significant_words(name).alias("_words"), value_pattern(value).alias("_p"))
+    each = asked.withColumn("_word", F.explode("_words"))
+    count = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+    counted = each.join(count, F.col("_word") == F.col("_w"), "left").groupBy(doc, claim, "_words", "_p")
+    counted = counted.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_word"))).alias("_each"))  # of one name
+    repeats = F.size("_each") / F.size("_words")  # rows that agree in all of these columns
+    n = F.size("_words")
+    most = ((n - F.ceil(n * COVERAGE - SAME) + 1) * repeats).cast("int")
+    return counted.select(doc, claim, "_words", "_p", F.explode(F.array_distinct(F.transform(F.slice("_each", F.lit(1), most), lambda x: x["_word"]))).alias("_word"))
+
+
 def verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", name: str = "raw_name", value: str = "value", text: str = "text", line_no: str | None = None) -> DataFrame:
     """Keys (doc, claim) of claims with a line of their document that has ``COVERAGE`` of the name's words and the value.
 
     ``sources`` has one row for each document, or with ``line_no`` one for each line.
 
-    Claims meet lines by shared words of one document, not line by line, and by keys alone: a word carries its line's number.
-    Only for lines that have enough of a claim's words is the line itself read again, to look for the value.
+    Words are counted first, over all lines. Claims meet lines of their document by the few rarest of their words alone, so
+    words that many lines have join nothing; only lines that are met are read again, for the other words and the value.
     """
-    place = [F.posexplode(F.split(text, "\n")).alias("_n", "_line")] if line_no is None else [F.col(line_no).alias("_n"), F.col(text).alias("_line")]
-    lines = sources.select(F.col(doc).alias("_d"), *place).where(strip("_line") != "")
+    lines = _lines(sources, doc, text, line_no)
     words = lines.select("_d", "_n", F.explode(F.array_distinct(F.split(match_form("_line"), " "))).alias("_w"))
-    asked = claims.select(F.col(doc), F.col(claim), significant_words(name).alias("_words"), value_pattern(value).alias("_p"))
-    each = asked.select(doc, claim, "_p", F.size("_words").alias("_of"), F.explode("_words").alias("_word"))
-    met = each.join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w")))
-    hits = met.groupBy(doc, claim, "_p", "_n").agg(F.count(F.lit(1)).alias("_hit"), F.max("_of").alias("_of"))
-    hits = hits.where(F.col("_hit") / F.col("_of") >= COVERAGE).select(doc, claim, "_p", "_n")
-    named = hits.where("_p is null").select(doc, claim)
-    valued = hits.where("_p is not null").withColumnRenamed("_n", "_at").join(lines, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")))
-    return named.unionByName(valued.where(F.rlike("_line", F.col("_p"))).select(doc, claim)).distinct()
+    asked = kept(looked_up(claims, words, doc, claim, name, value))
+    rare = asked.select(F.col("_word").alias("_r")).distinct()
+    if rare.count() <= SMALL:
+        words = words.join(F.broadcast(rare), F.col("_w") == F.col("_r"), "left_semi")
+    met = asked.join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w"))).select(doc, claim, "_words", "_p", F.col("_n").alias("_at")).distinct()
+    there = met.join(lines, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")))
+    there = there.withColumn("_has", F.split(match_form("_line"), " "))
+    hit = F.size(F.filter("_words", lambda w: F.array_contains("_has", w)))
+    return there.where((hit / F.size("_words") >= COVERAGE) & F.coalesce(F.rlike("_line", F.col("_p")), F.lit(True))).select(doc, claim).distinct()
 
 
 def keep_verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", **names: str) -> DataFrame:
