@@ -1,8 +1,10 @@
 """Secret scans: candidates by rules, false positives removed by a random forest.
 
-Candidates of a whole text: runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more with a digit or with the beginning of an
-issued key, and values of six characters or more that a credential word assigns (``password: ...``, ``token = "..."``), wherever in a URL or connection
-string the assignment stands. Overlapping candidates become one, the assigned value counting.
+Candidates of a whole text: runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more with a digit, with the beginning of an
+issued key, or that go from lower to upper case ``HUMPS`` times; values of six characters or more that a credential word
+assigns (``password: ...``, ``token = "..."``), wherever in a URL or connection string the assignment stands, and after the name
+of a way to authorise (``Authorization: Bearer ...``) the word that follows it; and passwords of a URL's login
+(``://user:...@host``). Of candidates that overlap a login counts first, then an assigned value.
 
 Each candidate has features of its length, transitions between character classes, coverage by dictionary words, the
 path it may be part of and the neighbouring words. A forest of ``TREES`` trees, grown in numpy on the driver from
@@ -62,7 +64,15 @@ BARE = re.compile("(?:[^\\s\"'`&;,]|[&,](?!\\s|[\"'`]|$|[A-Za-z_][\\w.%\\[\\]-]{
 IN_QUERY = re.compile("[^\\s\"'`&;,#]+")
 QUERY_BEFORE = re.compile("[?&][\\w.%\\[\\]-]*$")
 CREDENTIAL_BEFORE = re.compile(f"(?i)(?:{'|'.join(CREDENTIAL)})[\"'`\\])]?[ \\t]*$")
+# After the name of a way to authorise, the value is the next word.
+SCHEME = re.compile("(?i)(?:bearer|basic|digest|token|apikey|negotiate)[ \\t]{1,3}(?=[^\\s\"'`])")
+LOGIN = re.compile("://[^\\s/?#@:\"'`]{0,100}:([^\\s/?#\"'`]{3,200})@")
+LOGIN_BEFORE = re.compile("://[^\\s/?#@:\"'`]{0,100}:$")
+SCHEME_BEFORE = re.compile("(?i)\\b(?:bearer|basic|digest|token|apikey|negotiate)[ \\t]{1,3}$")
+PLACEHOLDER = re.compile("(?i)<[^>]*>|\\$\\{|\\{\\{|^\\$[a-z_]+$|%[a-z_]+%|\\*{3}|\\.\\.\\.|(.)\\1{5}|your|example|changeme|placeholder|redacted|dummy|insert|replace|todo|none|null|undefined|required|getenv|environ|process\\.|config\\.|settings\\.")
+HUMP, HUMPS = re.compile("[a-z][A-Z]"), 3  # from lower to upper case: how often in a run without digits
 UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+DIGITS = frozenset("0123456789")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 NEIGHBOUR = re.compile("[A-Za-z0-9]+")
 DICTIONARY = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w))))
@@ -78,27 +88,54 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         stop = m.end()
         if stop - start >= LEAST:
             found.append((start, stop, "run"))
+    found += _mixed_runs(text)
     given, stop = [], 0
+    logins = [(m.start(1), m.end(1), "login") for m in LOGIN.finditer(text)]
     for m in SEPARATOR.finditer(text):
         if m.start() < stop or not CREDENTIAL_BEFORE.search(text, max(0, m.start() - 40), m.start()):
             continue
         value = QUOTED if m[1] else IN_QUERY if QUERY_BEFORE.search(text, max(0, m.start() - 40), m.start()) else BARE
-        v = value.match(text, m.end())
-        end = v.end() if v else m.end()
-        while end > m.end() and text[end - 1] in ".,;)":
+        scheme = SCHEME.match(text, m.end())
+        begin = scheme.end() if scheme else m.end()
+        v = value.match(text, begin)
+        end = v.end() if v else begin
+        while end > begin and text[end - 1] in ".,;)":
             end -= 1
-        if end - m.end() >= ASSIGNED:
-            given.append((m.end(), end, "assigned"))
+        if end - begin >= ASSIGNED:
+            given.append((begin, end, "assigned"))
             stop = end
-    ends, out = [g[1] for g in given], []
-    for c in sorted([*given, *found], key=lambda c: (c[2], c[0])):  # assigned ones first
-        k = bisect_right(ends, c[0])  # the first assigned value that ends beyond the start
-        if c[2] == "assigned" or k == len(given) or given[k][0] >= c[1]:
-            out.append(c)
-    return sorted(out)
+    return sorted(_apart(_apart(logins, given), found))
 
 
-FEATURES = "length distinct entropy digits upper lower symbols transitions hex longest_run dictionary vowels path_parts in_path credential benign assigned quoted uuid issued all_digits".split()
+def _apart(first: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``first``, by start and without overlaps, and those of ``more`` that overlap none of them, by start."""
+    ends = [c[1] for c in first]
+    found = list(first)
+    for c in more:
+        k = bisect_right(ends, c[0])  # the first that ends beyond the start
+        if k == len(first) or first[k][0] >= c[1]:
+            found.append(c)
+    return sorted(found)
+
+
+def _mixed_runs(text: str) -> list[tuple[int, int, str]]:
+    """Runs without a digit that go from lower to upper case ``HUMPS`` times or more."""
+    out, stop = [], 0
+    for m in HUMP.finditer(text):
+        if m.start() < stop:
+            continue
+        start, stop = m.start(), m.end()
+        while start > 0 and text[start - 1] in RUN_CHARS:
+            start -= 1
+        while stop < len(text) and text[stop] in RUN_CHARS:
+            stop += 1
+        run = text[start:stop]
+        if len(run) >= LEAST and len(HUMP.findall(run)) >= HUMPS and not any(c in DIGITS for c in run) and not any(k in run for k in ISSUED):
+            out.append((start, stop, "run"))
+    return out
+
+
+FEATURES = "length distinct entropy digits upper lower symbols transitions hex longest_run dictionary vowels path_parts in_path credential benign assigned quoted uuid issued all_digits login scheme placeholder words".split()
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -118,6 +155,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         value.count("/"), float(bool(re.search("[/\\\\]$|://\\S*$", before)) or bool(re.match("[/\\\\]|\\.[a-z]{2,4}\\b", after))),
         sum(w in CREDENTIAL for w in near), sum(w in BENIGN for w in around), float(bool(re.search("[:=][ \\t]{0,3}[\"'`]?$", before))),
         float(before[-1:] in "\"'`" and before != ""), float(bool(UUID.fullmatch(value))), float(value.startswith(ISSUED)), float(value.isdigit()),
+        float(after[:1] == "@" and bool(LOGIN_BEFORE.search(before))), float(bool(SCHEME_BEFORE.search(before))), float(bool(PLACEHOLDER.search(value))), sum(len(w) > 2 for w in re.split("[^a-z]+", value.lower())),
     ]
 
 
@@ -134,16 +172,26 @@ def labelled_findings(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, int,
     marks = [*BENIGN, *"batch parcel render cachekey device ticket article node shard fingerprint snapshot manifest cursor part slug asset job ledger lot".split()]
     keyed = lambda v: r.choice(['{k} = "{v}"', "{k}: {v}", "{k}={v}", '"{k}": "{v}"', "{k} = '{v}'", "{k} is {v}", "https://site.example/path?id=3&{k}={v}&page=2", "Server=db;Uid=app;{k}={v};"]).format(k=r.choice(keys), v=v)
     benign = lambda v: r.choice(["{k} {v}", "{k}: {v}", '{k} = "{v}"', "{k}={v}"]).format(k=r.choice(marks), v=v)
+    mixed = lambda k: "".join(r.choice(alnum[:52]) for _ in range(k))
+    login = lambda v: f"{r.choice(['postgres', 'mysql', 'amqp', 'redis', 'https', 'mongodb+srv', 'ftp'])}://{r.choice(['app', 'svc', 'root', 'ci-user', ''])}:{v}@{r.choice(['db', 'host.example', '10.0.0.5:5432', 'cache.internal/0'])}"
+    scheme = lambda v: r.choice(["Authorization: {s} {v}", '"Authorization": "{s} {v}"', "-H 'Authorization: {s} {v}'", "auth={s} {v}", "{s} {v}"]).format(s=r.choice(["Bearer", "bearer", "Basic", "Token"]), v=v)
+    phrase = lambda: r.choice(["", "-", "_", "."]).join(r.choice(WORDS) for _ in range(r.randint(3, 5)))
+    camel = lambda: "".join(r.choice(WORDS).title() for _ in range(r.randint(4, 7)))
+    blank = lambda: r.choice(["<{w}>", "${{{w}}}", "{{{{{w}}}}}", "your_{w}_here", "****{w}", "xxxxxxxx", "********", "changeme", "${w}", "%{w}%", "os.environ[{w}]", "process.env.{w}", "settings.{w}", "example-{w}", "[{w}...]", "insert_{w}"]).format(w=r.choice(["password", "token", "API_KEY", "secret", "DB_PASS", "value"]))
+    issue = lambda: r.choice(ISSUED) + some(alnum, r.randint(16, 36))
+    strong = lambda: r.choice([lambda: raw(r.randint(18, 48)), lambda: some(alnum, r.randint(20, 48)), lambda: mixed(r.randint(16, 40)), lambda: some(hexa, 40)])()
+    password = lambda: r.choice([lambda: some(alnum + "!@#$%^&*", r.randint(9, 18)), lambda: some(alnum[26:52], r.randint(3, 8)) + some(digits, r.randint(3, 4)), lambda: some(alnum[26:52], r.randint(5, 8)) + some(digits, r.randint(1, 2)), lambda: some(alnum[26:52], r.randint(9, 14))])()
     out = []
     for k in range(n):
         secret = k % 2 == 0
         if secret:
-            value = r.choice([lambda: some(hexa, r.choice([32, 40, 64])), lambda: raw(r.randint(18, 48)), lambda: some(alnum, r.randint(20, 48)), lambda: some(alnum + "!@#$%^&*", r.randint(9, 18)), lambda: some(alnum[26:52], r.randint(3, 8)) + some(digits, r.randint(3, 4)), lambda: some(alnum[26:52], r.randint(5, 8)) + some(digits, r.randint(1, 2)), lambda: r.choice(ISSUED) + some(alnum, r.randint(16, 36))])()
-            shown = value if value.startswith(ISSUED) and r.random() < 0.4 else keyed(value)
+            kind = r.choices(range(7), (5, 4, 3, 3, 2, 2, 2))[0]
+            value = [strong, password, issue, strong, lambda: r.choice([password, strong])().replace("@", "!"), phrase, lambda: mixed(r.randint(18, 40))][kind]()
+            shown = value if kind == 2 and r.random() < 0.4 or kind == 6 and r.random() < 0.5 else scheme(value) if kind == 3 else login(value) if kind == 4 else keyed(value)
         else:
-            kind = r.randrange(8)
-            value = [lambda: some(hexa, r.choice([32, 40, 64])), lambda: str(uuid.UUID(bytes=r.randbytes(16))), lambda: some(digits, r.randint(16, 20)), lambda: "/".join(r.choice(WORDS) for _ in range(4)) + some(digits, 2), lambda: "_".join(r.choice(WORDS) for _ in range(3)) + some(digits, 2) + "_" + r.choice(WORDS), lambda: r.choice(["your_api_key_here_1", "xxxxxxxxxxxxxxxx0000", "changeme-example-1234", "0000000000000000", "placeholder-token-123", "AAAAAAAAAAAAAAAAAAAA1"]), lambda: prose(1) * 4 + "-" + some(digits, 3), lambda: "-".join([str(r.randint(1990, 2030)), some(digits, 2), some(digits, 2), r.choice(WORDS), r.choice(WORDS)])][kind]()
-            shown = benign(value) if kind in (0, 1) else keyed(value) if kind == 5 else r.choice([benign, str, str])(value)
+            kind = r.randrange(12)
+            value = [lambda: some(hexa, r.choice([32, 40, 64])), lambda: str(uuid.UUID(bytes=r.randbytes(16))), lambda: some(digits, r.randint(16, 20)), lambda: "/".join(r.choice(WORDS) for _ in range(4)) + some(digits, 2), lambda: "_".join(r.choice(WORDS) for _ in range(3)) + some(digits, 2) + "_" + r.choice(WORDS), lambda: r.choice(["your_api_key_here_1", "xxxxxxxxxxxxxxxx0000", "changeme-example-1234", "0000000000000000", "placeholder-token-123", "AAAAAAAAAAAAAAAAAAAA1"]), lambda: prose(1) * 4 + "-" + some(digits, 3), lambda: "-".join([str(r.randint(1990, 2030)), some(digits, 2), some(digits, 2), r.choice(WORDS), r.choice(WORDS)]), blank, camel, lambda: r.choice([w for w in WORDS if len(w) > 5]), blank][kind]()
+            shown = benign(value) if kind in (0, 1) else keyed(value) if kind in (5, 8, 10) else r.choice([login, scheme])(value) if kind == 11 else r.choice([benign, str, str])(value)
         left, right = prose(r.randint(0, 12)), prose(r.randint(0, 12))
         text = f"{left} {shown} {right}".strip()
         start = text.rindex(value, 0, len(left) + len(shown) + 2)
