@@ -5,11 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from titrant.llm import common, contamination, lloyd, phrases
+from titrant.llm import common, contamination, lloyd, phrases, pii
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -220,3 +221,18 @@ def test_phrases_are_ranked_in_salts(spark, monkeypatch):
     rows = [("en" if k % 4 else "fr", " ".join(r.choice("the of cat sat mat on a an".split()) for _ in range(60))) for k in range(120)]
     table = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(map(tuple, phrases.collocations(table, first=3).collect())) == brute_phrases(rows, 3)
+
+
+def test_pii_of_copied_lists_pairs_classes(spark):
+    """Two documents that share a list of 2,000 addresses and 4,000 terms: 8 million pairs of entities and terms, one of classes."""
+    listed = " ".join(f"user{k}@corp{k}.org surname{chr(97 + k % 26)}{'abcdefghij'[k // 26 % 10]}{'klmnopqrst'[k // 260]}" for k in range(2000))
+    rows = [(0, listed + " alpha"), (1, "beta " + listed)] + [(k, f"plain words {k} about other things here") for k in range(2, 60)] + [(60, "user1@corp1.org alone with plain words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        began = time.time()
+        found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+        assert time.time() - began < 60
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found[0]["n_email"] == 2000 and found[0]["n_term"] == found[1]["n_term"] > 1000 and found[5]["n_term"] == 0

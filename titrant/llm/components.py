@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, spread_join, written
 
 
 def star_labels(links: DataFrame) -> DataFrame:
@@ -21,12 +21,12 @@ def star_labels(links: DataFrame) -> DataFrame:
     ended = links.isEmpty()
     while not ended:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a != b").distinct(), "large_star")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, links = links, written(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "small_star", large)
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "large_least")
+        large = spread_join(links.select(F.col("b").alias("a"), F.col("a").alias("b")), least.drop("n"), "a", "b", counts=least.select("a", "n"))
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large_star", least)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "small_least")
+        small = spread_join(large, least.drop("n"), "a", "b", counts=least.select("a", "n")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, links = links, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small_star", large, least)
         ended = old.count() == links.count() and links.join(old, ["a", "b"], "left_anti").isEmpty()
         forget(old)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

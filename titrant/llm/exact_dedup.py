@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, place, stored, texts, written
+from .common import keep_rows, place, spread_join, stored, texts, written
 
 BUCKET_KEYS = 1024  # digests to a bucket, on average
 GAMMA = 1.7  # places of a level to a key
@@ -135,7 +135,8 @@ def _groups(docs: DataFrame, history: str) -> tuple[DataFrame, DataFrame]:
     groups = prints.groupBy("digest", "old").agg(best, F.count(F.lit(1)).alias("size"))
     groups = groups.select("digest", "old", (-F.col("best.less")).alias("n"), F.col("best.doc_id").alias("keep_id"), "size", "best.file", "best.row")
     groups = written(groups, "exact_groups")
-    buckets = max(1, -(-groups.where("old").count() // BUCKET_KEYS))
+    rows = {r["old"]: r["count"] for r in groups.groupBy("old").count().collect()}  # two rows
+    buckets = max(1, -(-max(rows.values(), default=0) // BUCKET_KEYS))  # by the larger side: neither meets in few groups
     groups = groups.withColumn("bucket", F.expr(f"pmod(conv(hex(substring(digest, 1, 7)), 16, 10) :: long, {buckets})"))
     arrays, longs = (", ".join(f"{c} {kind}" for c in WINNER) for kind in ("array<long>", "long"))
     index = groups.where("old").groupBy("bucket").applyInPandas(_index, f"bucket long, sizes array<long>, bits binary, slots binary, {arrays}")
@@ -147,8 +148,8 @@ def group_copies(docs: DataFrame, history: str = HISTORY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``history``: which rows count as historical;
     the result is the same for any choice."""
     prints, merged = _groups(stored(docs), history)
-    merged = merged.select(F.col("digest").alias("key"), "keep_id", "size")
-    out = prints.join(merged, F.col("digest") == F.col("key"))
+    merged = written(merged.select("digest", "keep_id", "size"), "exact_merged")
+    out = spread_join(prints, merged, "digest", "doc_id, file, row", counts=merged.select("digest", F.col("size").alias("n")))
     shown = [F.expr(f"nullif({c}, {NO_ID + 1}L - 1L)").alias(c) for c in ("doc_id", "keep_id")]
     return out.select(*shown, F.col("size").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -50,8 +50,9 @@ class WordIds:
 
     That holds for tokenizers that normalise and split as ``SPLITS`` says, into ``PARTS`` of the lower-cased text, as long as it
     holds no characters beyond Latin-1, none of the separators that only some splitters take for white space and none
-    of the tokenizer's added tokens. Other texts, and all texts of other tokenizers, go to the library whole. The first text
-    of each batch is compared with the library's own ids; a difference would end the short way for good."""
+    of the tokenizer's added tokens. Other texts, and all texts of other tokenizers, go to the library whole. Before the first text
+    every pair of shapes is compared with the library's own ids; a difference means that all texts go to the library. The first text
+    of each batch is compared too; should that ever differ, the batch is done anew and the worker goes on by the library."""
 
     PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\xff]")
     PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -74,6 +75,18 @@ class WordIds:
         ends[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         self.ends = ends
         self._forget()
+        self.short = self.short and self._agrees()
+        self._forget()
+
+    def _agrees(self) -> bool:
+        """Whether the short way gives the library's ids for every pair of shapes that can meet in a text, before any text is
+        handed on: how a text is split at a place follows from the characters on both sides and the contractions."""
+        shapes = [*map(chr, (*range(0x1C), *range(0x20, 0x85), *range(0x86, 0x100)))]
+        kinds = [*" \t\n\x0b\r\xa0a\xaa\xdf\xe9zZ\xc90\xb2\xbd.,'-_\"\x00\x7f\x84\xad\xb7", "'s", "'S", "'t", "'re", "'ve", "'m", "'ll", "'d", "ab", "12", "..", "''", "  "]
+        texts = [*shapes, *(a + b for a in kinds for b in kinds), *("b" + a + b + "c" for a in kinds for b in kinds), *("7" + c + "x" for c in shapes)]
+        own = self.batch(texts)
+        library = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return all(a == np.array(b.ids, "<u4").tobytes() for a, b in zip(own, library, strict=True))
 
     def ids(self, batch: list[str]) -> np.ndarray:
         return np.array(self.library.encode_batch_fast(batch, add_special_tokens=False)[0].ids, "<u4")

@@ -15,19 +15,23 @@ more become spans of kind ``term`` wherever they stand, outside base spans, in a
 puts the kind in place of a base span, generalises disclosing terms to their first letter, and removes those that disclose
 ``REMOVED`` or more.
 
+What stands in exactly the same documents has the same counts with everything, so entities form classes by their documents
+(by fingerprints of 64 bits of these), and so do terms; a document pairs classes, not entities with terms. A list of any
+number of addresses that is copied from place to place is one class beside one class of its terms.
+
 Only documents with an entity that ``SUPPORT`` documents have can give pairs, and of their terms only those with
 n(t) <= N (n(c) / N) ** DISCLOSED, which every disclosing term meets as n(t, c) <= n(c); so pairs grow with the documents
 that hold shared entities, not with the corpus. Counts are pre-aggregated before each shuffle, frequent entities, terms and
 pairs are dealt over tasks, and texts are read again by their place instead of being shuffled.
 
 Cases: null texts count as empty and have no spans; repeated rows and repeated or missing doc_ids are rows of their own,
-told apart by their place; an entity that all documents have carries no information and no term discloses it; a term in two
+told apart by their place; texts may be long and hold many entities; an entity that all documents have carries no information and no term discloses it; a term in two
 entities' pairs has the larger disclosure; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import PLACE, forget, keep_rows, place, spread_join, stored, texts, written
@@ -85,31 +89,42 @@ def disclosing(docs: DataFrame) -> DataFrame:
     each = ", ".join(f"transform({k}, s -> xxhash64('{k}', lower(s.value)))" for k in KINDS)
     entity = F.expr(f"explode(array_distinct(concat({each})))")
     held = written(found.select("file", "row", entity.alias("entity")), "pii_entities")
-    n_c = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(f"n_c >= {SUPPORT} and n_c < {total}")
+    n_c = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), _documents("entity_class")).where(f"n_c >= {SUPPORT} and n_c < {total}")
     n_c = written(n_c, "pii_shared_entities")
-    shared = spread_join(held, n_c, "entity", "file, row", counts=n_c.withColumnRenamed("n_c", "n"))
-    shared = shared.groupBy("file", "row").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"))  # of one text
+    shared = spread_join(held, n_c, "entity", "file, row", counts=n_c.select("entity", F.col("n_c").alias("n")))
+    shared = shared.groupBy("file", "row").agg(F.collect_set(F.struct("entity_class", "n_c")).alias("entities"))  # of one text
     shared = written(shared, "pii_holders", held)
     words = "array_distinct(split(lower(text), '[^\\\\p{L}]+'))"
-    terms = lambda frame, *more: texts(frame, *more).select(*more, F.explode(F.expr(words)).alias("term")).where(f"length(term) >= {LETTERS}")
+    terms = lambda frame, *more: texts(frame, *more).select(*_names(more), F.explode(F.expr(words)).alias("term")).where(f"length(term) >= {LETTERS}")
     rare = n_c.agg(F.max("n_c")).first()[0] or 0
-    n_t = terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(f"n_t >= {SUPPORT} and n_t <= {_most(total, rare)}")
+    n_t = terms(docs, *place(docs)).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), _documents("term_class")).where(f"n_t >= {SUPPORT} and n_t <= {_most(total, rare)}")
     own = written(terms(keep_rows(docs, shared.select("file", "row"), places=True), *PLACE), "pii_terms")
-    own = spread_join(own, n_t, "term", ", ".join(PLACE))
-    pairs = own.join(shared, F.expr(f"{PLACE[0]} = file and {PLACE[1]} = row")).select("file", "row", "term", "n_t", F.explode("entities").alias("e"))
+    own = spread_join(own, n_t, "term", ", ".join(PLACE)).select(F.col(PLACE[0]).alias("file"), F.col(PLACE[1]).alias("row"), "term", "n_t", "term_class")
+    own = written(own, "pii_own_terms")
+    pairs = own.select("file", "row", "n_t", "term_class").distinct().join(shared, ["file", "row"]).select("file", "row", "n_t", "term_class", F.explode("entities").alias("e"))
     likely = f"n_t <= {total}D * pow(e.n_c / {total}D, {DISCLOSED}) * 1.000001"
-    pairs = written(pairs.where(likely).select("file", "row", "term", "n_t", "e.n_c", F.expr("xxhash64(e.entity, term)").alias("pair")), "pii_pairs", shared)
+    pairs = written(pairs.where(likely).select("file", "row", "term_class", "n_t", "e.n_c", F.expr("xxhash64(e.entity_class, term_class)").alias("pair")), "pii_pairs", shared)
     disclosure = F.expr(f"log2({total}D * n / (n_t * n_c)) / log2({total}D / n_c)")
     revealing = pairs.groupBy("pair", "n_t", "n_c").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {SUPPORT}").withColumn("disclosure", disclosure)
     revealing = written(revealing.where(f"disclosure >= {DISCLOSED}").select("pair", "n", "disclosure"), "pii_revealing", n_c)
-    marked = spread_join(pairs.select("file", "row", "term", "pair"), revealing.select("pair", "disclosure"), "pair", "file, row", counts=revealing.select("pair", "n"))
-    marked = marked.groupBy("file", "row", "term").agg(F.max("disclosure").alias("disclosure"))
-    marked = marked.groupBy("file", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))  # of one text
-    marked = written(marked, "pii_marked", pairs)
+    marked = spread_join(pairs.select("file", "row", "term_class", "pair"), revealing.select("pair", "disclosure"), "pair", "file, row", counts=revealing.select("pair", "n"))
+    marked = marked.groupBy("file", "row", "term_class").agg(F.max("disclosure").alias("disclosure"))
+    marked = own.join(marked, ["file", "row", "term_class"]).groupBy("file", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))  # of one text
+    marked = written(marked, "pii_marked", pairs, own)
     forget(revealing)
     return marked
 
 
+def _names(columns: tuple) -> list[str]:
+    return [c if isinstance(c, str) else n for c, n in zip(columns, ("file", "row"), strict=True)]
+
+
+def _documents(name: str) -> Column:
+    """A class that what stands in the same documents shares: their number, sum and exclusive or of two 64-bit hashes."""
+    sums = "sum(cast(xxhash64(file, row) as decimal(38, 0))), bit_xor(xxhash64(row, file, 1))"
+    return F.expr(f"xxhash64(count(1), {sums})").alias(name)
+
+
 def _most(total: int, n_c: int) -> int:
     """Documents that may have a term which discloses an entity of ``n_c`` documents."""
     return int(total * (n_c / max(1, total)) ** DISCLOSED * 1.000001) if n_c else 0

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep_rows, place, stored, texts, written
+from .common import forget, keep_rows, place, spread_join, stored, texts, written
 from .components import star_labels
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
@@ -215,18 +215,19 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the row with the smallest doc_id (none is the largest), of equal ones the first by place."""
     prints = written(fingerprints(docs), "simhash")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("best")
-    first = written(prints.groupBy("bits").agg(best), "simhash_distinct")
+    first = written(prints.groupBy("bits").agg(best, F.count(F.lit(1)).alias("n")), "simhash_distinct")
     labels = star_labels(near_links(first.select("bits")))
-    rooted = first.join(labels.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "best", F.coalesce("root", "bits").alias("root"))
+    rooted = first.join(labels.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "best", "n", F.coalesce("root", "bits").alias("root"))
     return prints, written(rooted, "simhash_rooted", first)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
     prints, rooted = _rooted(stored(docs))
-    least = rooted.groupBy("root").agg(F.min("best.doc_id").alias("component_id"))
-    groups = written(rooted.join(least, "root").select(F.col("bits").alias("key"), "component_id"), "simhash_groups", rooted)
-    out = prints.join(groups, F.col("bits") == F.col("key"))
+    least = written(rooted.groupBy("root").agg(F.min("best.doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash_components")
+    groups = spread_join(rooted, least.drop("n"), "root", "bits", counts=least.select("root", "n")).select("bits", "n", "component_id")
+    groups = written(groups, "simhash_groups", rooted, least)
+    out = spread_join(prints, groups.drop("n"), "bits", "doc_id, file, row", counts=groups.select("bits", "n"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
