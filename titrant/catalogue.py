@@ -17,6 +17,7 @@ from .functions import ranges as R
 from .functions import text as X
 from .operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, verify, vision
 from .plans.reports import manual_entry
+from .sources.kept import kept_by
 from .sources.tables import table, text_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,8 +649,7 @@ def text_rows(spark, sf_dir):
     return found.select("doc_id", "test_id", "value", "unit")
 
 
-def composed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = report_rows(spark, sf_dir)
+def composed_grids(rows: DataFrame) -> DataFrame:
     row = F.array("name", F.expr("case when line_no = 4 then '\"A\"' else 'H ' || value end"), F.lit("g/dL"), F.lit("1 - 9 Dr. Sam"))
     body = rows.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("table_no"), (F.col("line_no") + 1).cast("int").alias("row_no"), row.alias("cells"))
     heads = rows.select("doc_id").distinct()
@@ -659,11 +659,11 @@ def composed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_REPORT} SELECT doc_id, name AS raw_name, CASE WHEN n = 4 THEN 'A' ELSE value END AS value, 'g/dL' AS unit, '1 - 9' AS ref_range, CASE WHEN n <> 4 THEN 'H' END AS flag FROM rep")
 def grid_rows(spark, sf_dir):
-    return extract.grid_rows(extract.glue_header_tables(composed_grids(spark, sf_dir))).select("doc_id", "raw_name", "value", "unit", "ref_range", "flag")
+    return extract.grid_rows(extract.glue_header_tables(composed_grids(report_rows(spark, sf_dir)))).select("doc_id", "raw_name", "value", "unit", "ref_range", "flag")
 
 
-def composed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = report_rows(spark, sf_dir).where("line_no != 4")
+def composed_words(rows: DataFrame) -> DataFrame:
+    rows = rows.where("line_no != 4")
     place = lambda x, text, top: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(x + 20)).alias("x1"), text.alias("text"), top.cast("double").alias("top"))
     at = 10 * F.col("line_no")
     name = F.transform(F.split("name", " "), lambda w, i: F.struct((i * 30 + 10.0).alias("x0"), (i * 30 + 25.0).alias("x1"), w.alias("text"), at.cast("double").alias("top")))
@@ -674,7 +674,7 @@ def composed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_REPORT} SELECT doc_id, name AS raw_name, value, 'g/dL' AS unit, 'Desirable: < 5 High: > 9' AS ref_range FROM rep WHERE n <> 4")
 def columnar_rows(spark, sf_dir):
-    return extract.columnar_rows(composed_words(spark, sf_dir)).select("doc_id", "raw_name", "value", "unit", "ref_range")
+    return extract.columnar_rows(composed_words(report_rows(spark, sf_dir))).select("doc_id", "raw_name", "value", "unit", "ref_range")
 
 
 @query(f"""
@@ -684,10 +684,11 @@ SELECT doc_id, CASE WHEN t >= 3 THEN 'table_structured' WHEN doc_id % 4 < 2 AND
   CASE WHEN t >= 3 THEN t WHEN doc_id % 4 < 2 AND t + e > 0 THEN t + e ELSE n END::BIGINT AS n_rows, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN t ELSE 0 END::BIGINT AS n_urine FROM t""")
 def tier_cascade(spark, sf_dir):
     alias = dims.aliases(spark, dims.reference(spark))
-    rows = report_rows(spark, sf_dir)
+    rows = kept_by(report_rows(spark, sf_dir), "doc_id")  # every branch starts from these, report by report
     docs = rows.select("doc_id").distinct()
     pages = docs.select("doc_id", F.lit(1).alias("page"), F.expr("case when doc_id % 2 = 0 then 'Sample type: urine' else 'Blood' end").alias("text"))
-    grids, words = composed_grids(spark, sf_dir).where("doc_id % 3 = 0"), composed_words(spark, sf_dir).where("doc_id % 3 = 1")
+    # Reports with grids have words on the same page as well, which its ruled tables exclude.
+    grids, words = composed_grids(rows.where("doc_id % 3 = 0")), composed_words(rows.where("doc_id % 3 < 2")).withColumn("page", F.expr("cast(doc_id % 3 + 1 as int)"))
     tables = extract.structured_tables(grids, words, pages, alias).drop("first_seq")
     text = extract.text_rows(rows.select("doc_id", "line_no", F.expr("name || ': ' || value || ' g'").alias("line")), alias)
     seq = F.struct(F.lit(3).alias("tier"), F.lit(1).alias("page"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))

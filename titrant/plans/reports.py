@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, dims, evaluate, explain, extract, results, retrieve, synonyms, vision
 from ..operators.verify import keep_verified
 from ..sources.cache import CacheTable
-from ..sources.kept import kept, shared_folder
+from ..sources.kept import kept, kept_by, shared_folder
 
 UNIT = 10  # ids that are put into a cache together
 
@@ -29,6 +29,7 @@ def upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lines: DataF
     """
     ref = dims.reference(spark)
     alias = dims.aliases(spark, ref)
+    grids, words, lines = (kept_by(rows, "doc_id") for rows in (grids, words, lines))  # read once, report by report
     pages = extract.carry_page(lines).select("doc_id", F.col("page").cast("int").alias("page"), F.col("line").alias("text"))
     tables = extract.structured_tables(grids, words, pages, alias).drop("first_seq")
     claims = extract.clean_extracted(extracted, alias).withColumn("claim_id", F.xxhash64("seq", "raw_name", "value"))

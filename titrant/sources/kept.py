@@ -34,6 +34,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_by(df: DataFrame, *columns: str, parts: int | None = None) -> DataFrame:
+    """``kept`` with rows of equal ``columns`` in one place, which later steps know: windows, groups and joins by these (and
+    more) columns start from there without a shuffle, so several of them can share one reading."""
+    spark = df.sparkSession
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # a plan that is changed while it runs doesn't tell where its rows lie
+    try:
+        return kept(df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *columns))
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs inside is handed to workers in Arrow batches of ``rows`` rows."""
