@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from titrant.operators import explain, retrieve
+from titrant.operators import explain, results, retrieve, verify
 from titrant.plans import policy, reports
 from titrant.sources import cache as caches
 from titrant.sources import tables
@@ -197,3 +197,24 @@ def test_no_temporary_files_stay_in_the_manifests(spark, tmp_path):
     table.save(rows(spark, ("a", "1")))
     assert [p for p in glob.glob(f"{tmp_path}/c/_live/.*") if not p.endswith(".crc")] == []
     assert table.read().where(F.col("k") == "a").count() == 1
+
+
+def test_cases_are_evaluated_by_their_texts(spark, tmp_path):
+    names, ref, chunks = corpus(spark, 3)
+    cases = spark.createDataFrame([(k, "blood" if k < 2 else "urine", names[k], "5", "g") for k in range(3)] + [(9, "urine", "Nowhere Found", "1", "g")], "slot long, category string, raw_name string, value string, unit string")
+    fine = lambda b: pd.DataFrame({"slot": b["slot"], "what_it_measures": [t.split(") ")[1].split("\n")[0] for t in b["text"]], "lifestyle_suggestions": [["Walk", "Sleep"]] * len(b), "gp_question": "What counts something?"})
+    rows, total = reports.evaluate_cases(spark, cases, ref.withColumn("test_id", F.upper(F.split("plain_english", " ")[0])), chunks, f"{tmp_path}/eval", fine)
+    got = {r["slot"]: r for r in rows.collect()}
+    assert all(got[k]["grounding_pass"] and got[k]["completeness"] and got[k]["fk_grade"] is not None for k in range(3)) and got[9]["ungrounded"] and not got[9]["grounding_pass"]
+    whole = {r["category"]: r for r in total.collect()}
+    assert whole["Overall"]["n"] == 4 and whole["Overall"]["accuracy_pct"] == 75.0 and whole["blood"]["accuracy_pct"] == 100.0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/eval/rows").count() == 4 and spark.read.json(f"{tmp_path}/eval/summary").count() == 3
+
+
+def test_dropped_names_and_history(spark):
+    claims = spark.createDataFrame([(1, k, f"Ghost {k:02d}", "1") for k in range(12)] + [(1, 50, "Ferritin", "88"), (2, 1, "Ferritin", "5")], "doc_id long, claim_id long, raw_name string, value string")
+    texts = spark.createDataFrame([(1, "Ferritin 88"), (2, "nothing")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in verify.dropped_report(claims, texts).collect()}
+    assert got[1]["n_dropped"] == 12 and got[1]["names"] == [f"Ghost {k:02d}" for k in range(10)] and got[1]["more"] and (got[2]["names"], got[2]["more"]) == (["Ferritin"], False)
+    saved = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), ("a", 3, "z")], "owner string, saved long, title string")
+    assert [(r["title"], r["place"]) for r in results.history(saved, "owner", "saved").orderBy("owner", "place").collect()] == [("z", 1), ("y", 2), ("x", 3), ("z", 1)]

@@ -292,6 +292,15 @@ def test_top_k_in_parts_and_blocks(spark, monkeypatch):
             monkeypatch.setattr(retrieve, name, value)
         assert {(r["query_id"], r["rank"]): r["id"] for r in retrieve.top_k(chunks, queries, 5).collect()} == want
     assert retrieve.top_k(chunks, queries.where("false"), 5).count() == retrieve.top_k(chunks.where("false"), queries, 5).count() == 0
+    groups = rng.normal(size=(6, 16)) * 9
+    near = np.vstack([g + rng.normal(size=(40, 16)) * 0.1 for g in groups] + [np.zeros((1, 16))]).astype(np.float32)
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(near)], "id long, embedding array<float>")
+    monkeypatch.setattr(retrieve, "PART", 12)
+    visits = []
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieve.top_k(chunks, chunks.withColumnRenamed("id", "query_id"), 3, visits=visits).collect()}
+    score = np.round(near.astype(float) @ near.astype(float).T, 12)
+    assert got == {(q, n + 1): k for q in range(241) for n, k in enumerate(sorted(range(241), key=lambda k: (-score[q, k], k))[:3])}
+    assert visits[0].where("q < 240").agg(F.avg("parts")).first()[0] < 10  # of 21
     tagged = spark.createDataFrame([(["B", "A"],), (["A"],)], "test_ids array<string>")
     assert [r["test_id"] for r in retrieve.covered_ids(tagged).collect()] == ["A", "B"]
 

@@ -92,6 +92,12 @@ def assign_batches(rows: DataFrame, within: list[str], order: list[str], size: i
     return rows.withColumn("batch", F.floor(at / size).cast("long"))
 
 
+def history(reports: DataFrame, owner: str, saved: str) -> DataFrame:
+    """Saved reports of each owner, newest first: place counts from 1, of equal times the later row by all columns first."""
+    rest = [F.col(c).desc() for c in reports.columns if c not in (owner, saved)]
+    return reports.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.col(saved).desc(), *rest)))
+
+
 def cache_misses(rows: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key, nulls being equal, is not in the cache."""
     other = cache.select(*(F.col(k).alias(f"_{k}") for k in keys))

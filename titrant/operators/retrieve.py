@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor_tokens
+from ..sources.kept import kept
 
 FLOOR, BONUS, K = 0.55, 0.15, 3
 DIMENSIONS = 256
 QUERIES, PART = 4096, 16384  # vectors of both sides that a task has at once
+PIVOTS = 4096
 ASKED, ROWS = 512, 2048  # vectors of both sides that are multiplied at once
 
 
@@ -55,37 +57,120 @@ def _matrix(rows: pa.Table) -> np.ndarray:
     return np.array(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows.num_rows, -1)
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+def _search(own: pa.Table, them: pa.Table, k: int) -> pa.Table:
+    """The k best of ``them`` for each of ``own``."""
+    out = {"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)}
+    if own.num_rows and them.num_rows:
+        left, right, ids, names = _matrix(own), _matrix(them).T, own["q"].to_numpy(), them["id"].to_numpy()
+        found = []
+        for q in range(0, len(ids), ASKED):
+            best = None
+            for at in range(0, len(names), ROWS):
+                score = np.round(left[q : q + ASKED] @ right[:, at : at + ROWS], 12)
+                some = (score, np.broadcast_to(names[at : at + ROWS], score.shape))
+                best = _best(*(some if best is None else (np.hstack(x) for x in zip(best, some, strict=True))), k)
+            found.append((np.repeat(ids[q : q + ASKED], best[0].shape[1]), best[1].ravel(), best[0].ravel()))
+        out = {name: np.concatenate([f[c] for f in found]) for c, name in enumerate(out)}
+    return pa.table(out)
+
+
+FOUND = "q long, id long, similarity double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+class Parts:
+    """Chunks dealt to their nearest pivots, with the radius of each part.
+
+    No chunk of a part has a greater inner product with q than q . pivot + |q| radius, so a part whose bound is under the kth
+    similarity that a query has so far is left out. Pivots are the chunks of the smallest hashes, ``PIVOTS`` at most; they, and
+    the radius and size of each part, are what reaches the driver."""
+
+    def __init__(self, chunks: DataFrame, parts: int) -> None:
+        spark, kind = chunks.sparkSession, chunks.schema["v"].dataType.simpleString()
+        rows = chunks.orderBy(F.xxhash64("id"), "id").limit(min(parts, PIVOTS)).collect()
+        pivots = np.array([r["v"] for r in rows], np.float64)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = _matrix(pa.table(batch))
+                for s in range(0, len(own), ROWS):
+                    some = own[s : s + ROWS]
+                    near = ((pivots**2).sum(axis=1) - 2 * some @ pivots.T).argmin(axis=1)
+                    r = np.sqrt(((some - pivots[near]) ** 2).sum(axis=1))
+                    piece = batch.slice(s, ROWS)
+                    yield pa.RecordBatch.from_arrays([piece["id"], piece["v"], pa.array(near.astype(np.int32)), pa.array(r)], ["id", "v", "part", "r"])
+
+        self.chunks = kept(chunks.mapInArrow(deal, f"id long, v {kind}, part int, r double"))
+        told = self.chunks.groupBy("part").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # PIVOTS at most
+        self.pivots, self.radius, self.size = pivots, np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+        for row in told:
+            self.radius[row["part"]], self.size[row["part"]] = row["r"] * (1 + 1e-9) + 1e-9, row["n"]
+        self.sizes = spark.createDataFrame([(r["part"], r["n"] // PART + 1) for r in told], "part int, pieces long")
+
+    def asked(self, queries: DataFrame, k: int, later: bool) -> DataFrame:
+        """q, v, part: first the parts of the best bounds that hold k chunks; ``later`` the others whose bound reaches the query's
+        column ``kth``."""
+        pivots, radius, size = self.pivots, self.radius, self.size
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, ASKED):
+                    piece = batch.slice(s, ASKED)
+                    own = _matrix(pa.table(piece))
+                    bound = own @ pivots.T + np.sqrt((own**2).sum(axis=1))[:, None] * radius
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    before = np.cumsum(size[order], axis=1) - size[order]
+                    go = np.zeros(bound.shape, bool)
+                    np.put_along_axis(go, order, before < k, axis=1)
+                    if later:
+                        kth = piece["kth"].to_numpy(zero_copy_only=False)
+                        go = ~go & (bound >= kth[:, None] - 1e-9) & (size > 0)
+                    at, part = np.nonzero(go & (size > 0))
+                    yield pa.RecordBatch.from_arrays([piece["q"].take(pa.array(at)), piece["v"].take(pa.array(at)), pa.array(part.astype(np.int32))], ["q", "v", "part"])
+
+        kind = queries.schema["v"].dataType.simpleString()
+        return queries.mapInArrow(route, f"q long, v {kind}, part int")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        """What routed queries find; a part with many chunks is met in pieces, one with many queries in runs of these."""
+        runs = asked.groupBy("part").agg(F.expr(f"count(1) div {QUERIES} + 1").alias("runs")).join(F.broadcast(self.sizes), "part")
+        runs = F.broadcast(kept(runs))  # PIVOTS at most
+        own = asked.join(runs, "part").withColumns({"run": F.expr("pmod(xxhash64(q), runs)"), "piece": F.expr("explode(sequence(0L, pieces - 1))")}).select("part", "piece", "run", "q", "v")
+        them = self.chunks.join(runs, "part").withColumns({"piece": F.expr("pmod(xxhash64(id), pieces)"), "run": F.expr("explode(sequence(0L, runs - 1))")}).select("part", "piece", "run", "id", "v")
+        group = ["part", "piece", "run"]
+        return own.groupBy(*group).cogroup(them.groupBy(*group)).applyInArrow(lambda a, b: _search(a, b, k), FOUND)
+
+
+def top_k(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "id", query_id: str = "query_id", vector: str = "embedding", visits: list[DataFrame] | None = None) -> DataFrame:
     """query_id, id, similarity (inner product in double, 12 decimals), rank: exact search, ties by the smaller id.
 
-    One job, nothing on the driver: chunks are dealt into parts of about ``PART`` and queries into blocks of about ``QUERIES``
-    rows by a hash of their ids; a task multiplies one part and one block and hands on k rows a query.
+    Up to ``PART`` chunks are one part, which blocks of ``QUERIES`` queries meet. More are dealt to pivots (``Parts``): a query
+    visits the parts of the best bounds first, then, with the kth similarity found there, only those that may hold better
+    ones. ``visits`` gets a table q, parts of how many parts each query visited.
     """
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).where("v is not null")
-    kept = chunks.select(F.col(chunk_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
-    blocks, parts = max(1, -(-asked.count() // QUERIES)), max(1, -(-kept.count() // PART))
-    asked = asked.withColumns({"block": F.expr(f"cast(pmod(xxhash64(q), {blocks}) as int)"), "part": F.expr(f"explode(sequence(0, {parts - 1}))")})
-    kept = kept.withColumns({"part": F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)"), "block": F.expr(f"explode(sequence(0, {blocks - 1}))")})
-
-    def search(own: pa.Table, them: pa.Table) -> pa.Table:
-        out = {"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)}
-        if own.num_rows and them.num_rows:
-            left, right, ids, names = _matrix(own), _matrix(them).T, own["q"].to_numpy(), them["id"].to_numpy()
-            found = []
-            for q in range(0, len(ids), ASKED):
-                best = None
-                for at in range(0, len(names), ROWS):
-                    score = np.round(left[q : q + ASKED] @ right[:, at : at + ROWS], 12)
-                    some = (score, np.broadcast_to(names[at : at + ROWS], score.shape))
-                    best = _best(*(some if best is None else (np.hstack(x) for x in zip(best, some, strict=True))), k)
-                found.append((np.repeat(ids[q : q + ASKED], best[0].shape[1]), best[1].ravel(), best[0].ravel()))
-            out = {name: np.concatenate([f[c] for f in found]) for c, name in enumerate(out)}
-        return pa.table(out)
-
-    found = asked.groupBy("part", "block").cogroup(kept.groupBy("part", "block")).applyInArrow(search, "q long, id long, similarity double")
-    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("q", query_id)
+    held = chunks.select(F.col(chunk_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    parts = -(-held.count() // PART)
+    if parts <= 1:
+        blocks = max(1, -(-asked.count() // QUERIES))
+        asked = asked.withColumn("block", F.expr(f"cast(pmod(xxhash64(q), {blocks}) as int)"))
+        held = held.withColumn("block", F.expr(f"explode(sequence(0, {blocks - 1}))"))
+        found = asked.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(lambda a, b: _search(a, b, k), FOUND)
+        return _ranked(found, k).withColumnRenamed("q", query_id)
+    index = Parts(held, parts)
+    first = kept(index.asked(asked, k, False))
+    best = kept(_ranked(index.search(first, k), k))
+    kth = best.where(F.col("rank") == k).select("q", F.col("similarity").alias("kth"))
+    more = asked.join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    later = kept(index.asked(more, k, True))
+    if visits is not None:
+        visits.append(first.unionByName(later).groupBy("q").agg(F.count_distinct("part").alias("parts")))
+    found = best.drop("rank").unionByName(index.search(later, k))
+    return _ranked(found, k).withColumnRenamed("q", query_id)
 
 
 def tag_index(rows: DataFrame, tags: Column | str, item: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STRUCTURAL_WORDS, content_tokens, lifestyle_numbers_in, match_form, numbers_in, strip
@@ -81,6 +81,14 @@ def drop_verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", cl
     return claims.join(verified(claims, sources, doc, claim, **names), [doc, claim], "left_anti")
 
 
+def dropped_report(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim: str = "claim_id", name: str = "raw_name", first: int = 10, **names: str) -> DataFrame:
+    """doc, n_dropped, names (of the ``first`` by claim), more (whether there are others) for documents with dropped claims."""
+    rows = drop_verified(claims, sources, doc, claim, name=name, **names)
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(doc).orderBy(claim, name)))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_at") <= first, F.struct("_at", F.coalesce(name, F.lit("")).alias("name")))))  # first at most
+    return rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n_dropped"), F.transform(shown, lambda x: x["name"]).alias("names")).withColumn("more", F.col("n_dropped") > first)
+
+
 def grounded(generated: Column | str, context: Column | str, allowed: Column | None = None) -> Column:
     """Struct ok, reason: blank, off the context's subject, or with figures that neither context nor ``allowed`` have."""
     generated = strip(F.coalesce(F.col(generated) if isinstance(generated, str) else generated, F.lit("")))

@@ -11,6 +11,7 @@ from ..operators import corpus, dims, evaluate, explain, extract, results, retri
 from ..operators.verify import keep_verified
 from ..sources.cache import CacheTable
 from ..sources.kept import kept, kept_by, shared_folder
+from ..sources.tables import write_evaluation
 
 UNIT = 10  # ids that are put into a cache together
 
@@ -155,6 +156,19 @@ def summary(explained: DataFrame, report: str = "report_id") -> DataFrame:
     return results.report_summary(one, report, "slot", "gp_question", "_s")
 
 
+def evaluate_cases(spark: SparkSession, cases: DataFrame, reference: DataFrame, chunks: DataFrame, path: str, generator: explain.Generator = explain.offline_generator, **how) -> tuple[DataFrame, DataFrame]:
+    """Typed cases (slot, category, raw_name, value, unit), each a report of its own, explained and scored: rows by case and the
+    roll-up by category, both also written below ``path``. Grades and completeness are of the texts that a patient would see."""
+    rows = results.finalise(extract.manual_rows(cases, dims.aliases(spark, ref := dims.reference(spark))), ref).withColumn("report_id", F.col("slot"))
+    rows = rows if "specimen" in rows.columns else rows.withColumn("specimen", F.lit(None).cast("string"))
+    explained = explain_results(spark, rows, reference, chunks, spark.createDataFrame([], ENTRY), "report_id", generator, **how)
+    scored = evaluate.score_explanations(explained).withColumns({"grounding_pass": ~F.col("degraded") & ~F.col("ungrounded"), "completeness": F.col("complete")})
+    scored = kept(scored.select("category", "slot", "raw_name", "value", "unit", "degraded", "ungrounded", "grounding_pass", "completeness", F.round("fk_grade", 1).alias("fk_grade")))
+    total = evaluate.rollup_metrics(scored, "category", F.col("grounding_pass"), F.col("completeness"), F.col("fk_grade"))
+    write_evaluation(scored.orderBy("slot"), total, path)
+    return scored, total
+
+
 def evaluate_explanations(explained: DataFrame, category: str) -> DataFrame:
     rows = evaluate.score_explanations(explained)
     return evaluate.rollup_metrics(rows, category, F.col("grounded") & ~F.col("degraded"), F.col("complete"), F.col("fk_grade"))
