@@ -370,3 +370,40 @@ def test_claims_are_looked_up_by_their_rarest_words(spark):
     assert got == [0, 1, 2, 9, 11]
     twice = claims.unionByName(claims)
     assert verify.keep_verified(twice, sources, text="line", line_no="line_no").count() == 10
+
+
+def oracle(folder, name):
+    import duckdb
+
+    from titrant import catalogue
+
+    db = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        db.execute(f"create view {f.stem} as select * from '{f}'")
+    return sorted(db.execute(catalogue.ORACLES[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["html_sections", "corpus_chunks"])
+def test_character_references_without_a_semicolon(spark, tmp_path, name):
+    """A heading cut inside a reference: the SQL reads references that a semicolon ends, a browser the others, too."""
+    from titrant import catalogue
+
+    html = "<html><head><title>And&amp;&amp;{0}</title></head><body><article><h1>And&amp;&amp;{0}</h1><p>" + "Fish &amp; chips &quot;here&quot; &am and more. " * 5 + "</p></article></body></html>"
+    pages = [(4 * k, f"https://x/{k}", html.format(cut)) for k, cut in enumerate(("&amp", "&quot", "&amp;"))]
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == oracle(tmp_path, name)
+    heads = corpus.blocks(spark.createDataFrame(pages, "page_id long, url string, html string"), tags=("h1",))
+    assert [r["text"] for r in heads.orderBy("page_id").collect()] == ["And&&&", 'And&&"', "And&&&"]
+
+
+def test_pages_are_read_few_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        pages = spark.range(1200).selectExpr("id as page_id", "'<body><h1>a</h1><p>b</p><h2> c</h2></body>' as html").coalesce(1)
+        found = corpus.blocks(pages, tags=("h1", "h2", "h3"))
+        assert int(spark.conf.get(key)) <= 500
+        assert found.count() == 2400 and found.where("tag = 'p'").count() == 0
+    finally:
+        spark.conf.set(key, before)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, derive_test_ids, strip
+from ..sources.kept import fewer_arrow_rows
 from .results import fingerprint, first_wins
 
 MOST_CHARS, LEAST_CHARS = 1100, 120
@@ -34,6 +36,9 @@ STRIPPED_IDS = ("mplus-links",)
 LAB_TEST_LINK = r"^https://medlineplus\.gov/lab-tests/[a-z0-9\-]+/?$"
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 TEXT_TAGS = ("h1", "h2", "h3", "p", "li")
+BARE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;|[0-9A-Za-z]+;)")  # begins no character reference that a semicolon ends
+PAGES_AT_ONCE = 500  # that a worker is handed
+TOLD_AT_ONCE = 1 << 20  # characters of texts that a worker holds before it hands them on
 
 
 class _Page(HTMLParser):
@@ -144,20 +149,41 @@ class _Page(HTMLParser):
         return "".join(e for e in self.events[begun : self.events.index(-at, begun)] if isinstance(e, str))
 
 
-def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, seq, title, tag, text of headings, paragraphs and items of each page's content root."""
+def _read(pages: DataFrame, key: str, html: str, columns: str, found: Callable[[str], list[tuple]]) -> DataFrame:
+    """key and ``columns`` (the last two are texts) of the rows ``found`` in each page. Workers hold few pages and their texts
+    at a time, however many there are."""
+    fewer_arrow_rows(pages.sparkSession, PAGES_AT_ONCE)
+    names = [key, *(c.split()[0] for c in columns.split(", "))]
+    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in columns.split(", ")]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, h in zip(batch[key], batch[html], strict=True):
-                page = _Page(h or "")
-                title = page.title()
-                rows += [(k, at, title, tag, text) for at, tag, text in page.texts(page.root(), TEXT_TAGS)]
-            yield pd.DataFrame(rows, columns=[key, "seq", "title", "tag", "text"])
+            at, rows, size = [], [], 0
+            for k in range(batch.num_rows):
+                new = found(batch[html][k].as_py() or "")
+                at += [k] * len(new)
+                rows += new
+                size += sum(len(r[-1]) + len(r[-2]) for r in new)
+                if rows and (size >= TOLD_AT_ONCE or k == batch.num_rows - 1):  # the last page hands on what is left
+                    kept = [batch[key].take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
+                    yield pa.RecordBatch.from_arrays(kept, names)
+                    at, rows, size = [], [], 0
 
     kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(key, html).mapInPandas(each, f"{key} {kind}, seq long, title string, tag string, text string")
+    return pages.select(key, html).mapInArrow(each, f"{key} {kind}, {columns}")
+
+
+def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", tags: tuple[str, ...] = TEXT_TAGS, bare: bool = True) -> DataFrame:
+    """key, seq, title, tag, text of headings, paragraphs and items of each page's content root, or of those of ``tags``.
+
+    ``bare``: character references that no semicolon ends are read as browsers read them; else they are text."""
+
+    def found(h: str) -> list[tuple]:
+        page = _Page(h if bare else BARE.sub("&amp;", h))
+        title = page.title()
+        return [(at, tag, title, text) for at, tag, text in page.texts(page.root(), TEXT_TAGS) if tag in tags]
+
+    out = _read(pages, key, html, "seq long, tag string, title string, text string", found).select(key, "seq", "title", "tag", "text")
     title = strip(F.split_part(F.split_part(clean_text("title"), F.lit(":"), F.lit(1)), F.lit(" - NHS"), F.lit(1)))
     return out.withColumns({"title": title, "text": clean_text("text")}).where("text != ''")
 
@@ -217,16 +243,11 @@ def chunks(sectioned: DataFrame, sources: DataFrame, key: str = "page_id") -> Da
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, seq, href, title of every link in the content root, stripped parts included; some titles are empty."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, h in zip(batch[key], batch[html], strict=True):
-                page = _Page(h or "")
-                rows += [(k, i, page.hrefs[at], text) for i, (at, _, text) in enumerate(page.texts(page.root(), ("a",), strip=False)) if at in page.hrefs]
-            yield pd.DataFrame(rows, columns=[key, "seq", "href", "title"])
+    def found(h: str) -> list[tuple]:
+        page = _Page(h)
+        return [(i, page.hrefs[at], text) for i, (at, _, text) in enumerate(page.texts(page.root(), ("a",), strip=False)) if at in page.hrefs]
 
-    kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(key, html).mapInPandas(each, f"{key} {kind}, seq long, href string, title string")
+    out = _read(pages, key, html, "seq long, href string, title string", found)
     return out.withColumn("title", clean_text("title"))
 
 

@@ -57,3 +57,11 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def fewer_arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Workers are handed Arrow batches of ``rows`` rows at most from now on: what is made of pages or texts is read later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
