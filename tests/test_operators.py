@@ -407,3 +407,14 @@ def test_pages_are_read_few_at_a_time(spark):
         assert found.count() == 2400 and found.where("tag = 'p'").count() == 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_header_columns_are_worked_out_once(spark):
+    """The plan reads each step of a line once: no filter of accepted rows has moved before the columns that it reads."""
+    grids = spark.createDataFrame([(1, 1, 0, 0, ["Test Name", "Result"]), (1, 1, 1, 0, ["Hb", "H 12"]), (1, 1, 1, 1, ["x", ""])], "doc_id long, page int, table_no int, row_no int, cells array<string>")
+    found = extract.grid_rows(extract.glue_header_tables(grids))
+    assert [(r["raw_name"], r["value"], r["flag"]) for r in found.collect()] == [("Hb", "12", "H")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and not [line for line in plan.split("\n") if "Filter" in line and "RLIKE" in line]
+    stripped = spark.range(1).select(X.strip(F.lit(" \t\n\x0b\f\r a b \n")), X.strip(F.lit("-* a•\t"), r" \-*•\t"), X.strip_footer(F.lit("1 - 2 END OF REPORT x")))
+    assert tuple(stripped.first()) == ("a b", "a", "1 - 2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ URINE_WORD = r"(?i)\b(urine|urinary)\b"
 FLAG = r"(?:^|\s)([HL])(?:\s|$)"
 TRAILING_MARK = r"\s*[\(\[][+-][\)\]]\s*$"
 FOOTER = r"(?i)\s*(page\s+\d+\s+of\s+\d+|#\s*referred\s+test|dr\.?\s*[a-z]|\bmd\s*path\b|\bm\.?d\.?\b\s*\(|end of report).*$"
+FOOTER_HAS = ("page", "#", "dr", "md", "m.d", "end of report")
 UNIT_WITH_RANGE = r"^([^\s\d]{1,12})\s+(-?\d+\.?\d*\s*-\s*-?\d+\.?\d*)$"
 COUNT_RANGE = r"^(\d+)\s*-\s*(\d+)$"
 CATEGORICAL_NAME = r"(?i)\b(abo|blood\s*group|rh\s*\(?d\)?)\b"
@@ -57,7 +61,9 @@ def _c(c: Column | str) -> Column:
 
 def strip(c: Column | str, chars: str = r"\s") -> Column:
     """Without characters of the class ``chars`` at both ends."""
-    return F.regexp_replace(_c(c), f"^[{chars}]+|[{chars}]+$", "")
+    for name, own in ((r"\s", " \t\n\x0b\f\r"), (r"\t", "\t"), (r"\-", "-")):
+        chars = chars.replace(name, own)
+    return F.btrim(_c(c), F.lit(chars))
 
 
 def or_null(c: Column) -> Column:
@@ -118,7 +124,9 @@ def split_name_flag(name: Column | str) -> Column:
 
 
 def strip_footer(c: Column | str) -> Column:
-    return strip(F.regexp_replace(F.coalesce(_c(c), F.lit("")), FOOTER, ""))
+    c = F.coalesce(_c(c), F.lit(""))
+    some = reduce(or_, (F.contains(F.lower(c), F.lit(w)) for w in FOOTER_HAS))  # without any of these the pattern has no match
+    return strip(F.when(some, F.regexp_replace(c, FOOTER, "")).otherwise(c))
 
 
 def clean_unit(c: Column | str) -> Column:

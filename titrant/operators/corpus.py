@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, derive_test_ids, strip
-from ..sources.kept import fewer_arrow_rows
+from ..sources.kept import fewer_arrow_rows, let
 from .results import fingerprint, first_wins
 
 MOST_CHARS, LEAST_CHARS = 1100, 120
@@ -201,11 +201,6 @@ def sections(found: DataFrame, key: str = "page_id") -> DataFrame:
     return out.where(F.length("body") >= LEAST_CHARS)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
     """Sentences packed in order into pieces of ``most`` characters at most; a longer sentence is a piece of its own.
 

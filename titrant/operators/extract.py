@@ -14,6 +14,7 @@ from ..functions.text import (
     clean_unit, clean_value, is_result_value, is_test_name, page_specimen, split_name_flag, split_unit_range,
     stored_value, strip, strip_footer, unglue_name,
 )
+from ..sources.kept import let, settled
 from .dims import resolve
 from .results import dedupe, first_wins
 
@@ -63,16 +64,19 @@ def glue_header_tables(grids: DataFrame) -> DataFrame:
     """Put a table of one header row in front of the next table of its page; one without a next table is left out.
 
     Of several such tables in a row every second one is put in front of the one after it, which then is no header alone."""
-    page, table = ["doc_id", "page"], ["doc_id", "page", "table_no"]
-    sizes = grids.groupBy(*table).agg(F.count(F.lit(1)).alias("_rows"), F.min_by("cells", "row_no").alias("_first"))
-    order = Window.partitionBy(*page).orderBy("table_no")
-    head = (F.col("_rows") == 1) & is_header(F.lower(F.array_join("_first", " ", "")))
-    sizes = sizes.withColumn("_head", F.coalesce(head, F.lit(False)).cast("int"))
-    sizes = sizes.withColumns({"_next": F.lead("table_no").over(order), "_run": F.row_number().over(order) - F.sum("_head").over(order)})
-    inside = F.row_number().over(Window.partitionBy(*page, "_run", "_head").orderBy("table_no"))
-    moved = sizes.withColumn("_at", inside).where("_head = 1 and _at % 2 = 1").select(*table, "_next", F.lit(True).alias("_moved"))
-    out = grids.join(moved, table, "left").where("_moved is null or _next is not null")
-    return out.withColumns({"row_no": F.when(F.col("_moved"), F.lit(-1)).otherwise(F.col("row_no")), "table_no": F.coalesce("_next", "table_no")}).drop("_next", "_moved")
+    table = ["doc_id", "page", "table_no"]
+    order = Window.partitionBy("doc_id", "page").orderBy("table_no", "row_no")
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*table)) == 1
+    head = F.when(F.col("_alone") & F.col("row_no").isNotNull(), is_header(F.lower(F.array_join("cells", " ", ""))))
+    rows = settled(grids.withColumn("_alone", alone)).withColumn("_head", F.coalesce(head, F.lit(False)))
+    # A header alone is one row: the next row is the next table's first, and its place among headers in a row is its distance
+    # from the last row that is none.
+    rows = rows.withColumns({"_next": F.lead("table_no").over(order), "_at": F.row_number().over(order)})
+    rows = rows.withColumn("_before", F.coalesce(F.max(F.when(~F.col("_head"), F.col("_at"))).over(order), F.lit(0)))
+    named = F.col("doc_id").isNotNull() & F.col("page").isNotNull() & F.col("table_no").isNotNull()
+    rows = rows.withColumn("_moved", F.col("_head") & ((F.col("_at") - F.col("_before")) % 2 == 1) & named).where("not _moved or _next is not null")
+    glued = {"row_no": F.when(F.col("_moved"), F.lit(-1)).otherwise(F.col("row_no")), "table_no": F.when(F.col("_moved"), F.col("_next")).otherwise(F.col("table_no"))}
+    return rows.withColumns(glued).select(*grids.columns)
 
 
 def grid_rows(grids: DataFrame) -> DataFrame:
@@ -81,16 +85,18 @@ def grid_rows(grids: DataFrame) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(*table).orderBy("row_no")) - 1
     joined = F.regexp_replace(F.lower(F.array_join("cells", " ", "")), r"\s+", " ")
     rows = grids.withColumn("_at", at).withColumn("_h", (F.col("_at") < HEADER_ROWS) & is_header(joined))
-    rows = rows.withColumn("_head", F.min(F.when(F.col("_h"), F.struct("_at", "cells"))).over(Window.partitionBy(*table)))
-    cells = F.transform("_head.cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
-    first_with = lambda words: F.array_position(F.transform(cells, lambda c: _any_in(c, words)), True) - 1
-    place = {role: first_with(words) for role, words in HEAD.items()}
-    rows = rows.where("_head is not null and _at > _head._at")
-    rows = rows.withColumns({f"_{role}": p for role, p in place.items()}).where("_test >= 0 and _result >= 0")
+    cells = F.transform("cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
+    first_with = lambda cells, words: F.array_position(F.transform(cells, lambda c: _any_in(c, words)), True) - 1
+    # Columns are looked for in header rows alone, not again for each row under them.
+    head = let(cells, lambda x: F.struct("_at", *(first_with(x, words).alias(f"_{role}") for role, words in HEAD.items())))
+    rows = rows.withColumn("_head", F.min(F.when(F.col("_h"), head)).over(Window.partitionBy(*table)))
+    rows = rows.where("_head is not null and _at > _head._at and _head._test >= 0 and _head._result >= 0")
+    rows = rows.select("*", *(f"_head._{role}" for role in HEAD))
     cell = lambda role: F.when(F.col(f"_{role}") >= 0, F.coalesce(F.get("cells", F.col(f"_{role}")), F.lit(""))).otherwise("")
     rows = rows.withColumns({"raw_name": cell("test"), "value": cell("result"), "unit": cell("unit"), "ref_range": cell("ref")})
     seq = F.struct(F.lit(0).alias("tier"), "page", F.col("table_no").cast("long").alias("a"), F.col("_at").cast("long").alias("b"))
-    return build_rows(rows.where("raw_name != ''").withColumn("seq", seq)).where("accepted").select("doc_id", "page", "seq", "raw_name", "value", "unit", "ref_range", "flag")
+    rows = settled(rows.select("doc_id", "page", seq.alias("seq"), "raw_name", "value", "unit", "ref_range")).where("raw_name != ''")
+    return settled(build_rows(rows)).where("accepted").select("doc_id", "page", "seq", "raw_name", "value", "unit", "ref_range", "flag")
 
 
 def visual_lines(words: DataFrame) -> DataFrame:
@@ -105,22 +111,25 @@ def header_columns(words: Column | str) -> Column:
     words = F.col(words) if isinstance(words, str) else words
     said = F.lower(F.array_join(F.transform(words, lambda w: w["text"]), " "))
 
-    def role(w: Column) -> Column:
-        token = strip(F.lower(w["text"]), ".:()")
+    def role(token: Column) -> Column:
         starts = lambda some: token.rlike("^(" + "|".join(some) + ")")
         return F.when(starts(HEAD["test"]), "test").when(starts(HEAD["result"]), "result").when(starts(HEAD["unit"]), "unit").when(starts(REF_STARTS), "ref")
 
-    marked = F.transform(words, lambda w: F.struct(w["x0"].alias("x"), role(w).alias("role")))
-    first = lambda r: F.get(F.filter(marked, lambda m: m["role"] == r), F.lit(0))
-    cols = F.array_sort(F.filter(F.array(*map(first, HEAD)), lambda m: m.isNotNull()))
-    roles = F.transform(cols, lambda m: m["role"])
-    return F.when(is_header(said) & F.array_contains(roles, "test") & F.array_contains(roles, "result"), cols)
+    def columns(marked: Column) -> Column:
+        first = lambda r: F.get(F.filter(marked, lambda m: m["role"] == r), F.lit(0))
+        return F.array_sort(F.filter(F.array(*map(first, HEAD)), lambda m: m.isNotNull()))
+
+    tokens = F.transform(words, lambda w: F.struct(w["x0"].alias("x"), strip(F.lower(w["text"]), ".:()").alias("token")))
+    marked = F.filter(F.transform(tokens, lambda w: F.struct(w["x"].alias("x"), role(w["token"]).alias("role"))), lambda m: m["role"].isNotNull())
+    has = lambda cols, r: F.exists(cols, lambda m: m["role"] == r)
+    # Few lines are headers, and only of these the columns are worked out, once.
+    return F.when(is_header(said), let(let(marked, columns), lambda cols: F.when(has(cols, "test") & has(cols, "result"), cols)))
 
 
 def column_of(middle: Column, columns: Column) -> Column:
     """Role of the last column that starts at or left of a word's middle, with some slack; else the first column's."""
     left = F.filter(columns, lambda c: c["x"] <= middle + COLUMN_POINTS)
-    return F.coalesce(F.get(left, F.size(left) - 1)["role"], F.get(columns, F.lit(0))["role"])
+    return F.coalesce(F.try_element_at(left, F.lit(-1))["role"], F.get(columns, F.lit(0))["role"])
 
 
 def columnar_rows(words: DataFrame) -> DataFrame:
@@ -130,12 +139,13 @@ def columnar_rows(words: DataFrame) -> DataFrame:
     lines = visual_lines(words).withColumn("_own", header_columns("words"))
     lines = lines.withColumn("_cols", F.last("_own", ignorenulls=True).over(order)).where("_own is null and _cols is not null")
 
+    lines = lines.withColumn("words", F.transform("words", lambda w: F.struct(column_of((w["x0"] + w["x1"]) / 2, F.col("_cols")).alias("role"), w["text"].alias("text"))))
+
     def cell(role: str) -> Column:
-        under = F.filter("words", lambda w: column_of((w["x0"] + w["x1"]) / 2, F.col("_cols")) == role)
-        return strip(F.array_join(F.transform(under, lambda w: w["text"]), " "))
+        return strip(F.array_join(F.transform(F.filter("words", lambda w: w["role"] == role), lambda w: w["text"]), " "))
 
     cells = lines.withColumns({"raw_name": cell("test"), "value": cell("result"), "unit": cell("unit"), "ref_range": cell("ref")})
-    cells = cells.withColumns({"_blank": F.col("value") == "", "_more": strip_footer("ref_range")})
+    cells = cells.drop("words", "_own", "_cols").withColumns({"_blank": F.col("value") == "", "_more": strip_footer("ref_range")})
     seq = F.struct(F.lit(1).alias("tier"), "page", F.col("line").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     rows = build_rows(cells).withColumns({"seq": seq, "_row": F.sum(F.col("accepted").cast("long")).over(order)}).where("_row > 0")
     more = F.when(~F.col("accepted") & F.col("_blank") & F.col("_more").rlike(r"[<>:]|\d"), F.struct("line", "_more"))
@@ -206,10 +216,10 @@ def _found(groups: Column) -> Column:
 
 def text_rows(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     """Regex tier: rows of text lines, the first of each id in a document."""
-    rows = carry_page(lines).withColumn("line", strip("line")).where(F.length("line") >= LEAST_LINE)
+    rows = settled(carry_page(lines).select("doc_id", "page", "line_no", strip("line").alias("line"))).where(F.length("line") >= LEAST_LINE)
     piped = F.startswith("line", F.lit("|"))
     rows = rows.withColumns({f"_g{k}": F.when(~piped, F.split(g, "\x01")) for k, g in enumerate(line_groups(F.col("line")))})
-    rows = rows.withColumn("_r", F.when(piped, pipe_row("line")).otherwise(F.coalesce(*(_found(F.col(f"_g{k}")) for k in range(len(LINE_PATTERNS)))))).where("_r is not null")
+    rows = settled(rows.withColumn("_r", F.when(piped, pipe_row("line")).otherwise(F.coalesce(*(_found(F.col(f"_g{k}")) for k in range(len(LINE_PATTERNS))))))).where("_r is not null")
     rows = rows.select("doc_id", "page", F.struct(F.lit(2).alias("tier"), "page", F.col("line_no").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("seq"), "_r.*")
     return first_wins(resolve(rows, aliases), ["doc_id", "test_id"], "seq").withColumns({"ref_range": F.lit(None).cast("string"), "flag": F.lit(None).cast("string")})
 

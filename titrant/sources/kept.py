@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own_folder: list[str] = []
@@ -47,6 +48,17 @@ def kept_by(df: DataFrame, *columns: str, parts: int | None = None) -> DataFrame
         spark.conf.set(key, before)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out once, here: a later filter on them isn't moved to before they are made, where it would
+    work them out again for each place that it reads them at."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs inside is handed to workers in Arrow batches of ``rows`` rows."""
