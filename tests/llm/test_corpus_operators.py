@@ -809,6 +809,20 @@ def test_likelihood_learns_and_remembers(spark):
     assert all(out[900 + k]["pll"] < out[k]["pll"] for k in range(20))  # words that no one has seen cost more
 
 
+def test_likelihood_learns_from_every_position(spark):
+    docs = spark.createDataFrame([(k, " ".join(prose(k, 30 + k).split())) for k in range(40)], "doc_id long, text string").repartition(1)
+    words, network, ids = likelihood.train(docs, 8, 64)
+    flat, at = likelihood.padded([np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in ids.collect()], words.end)
+    around, target = flat[at[:, None] + likelihood.OFFSETS], flat[at]
+    plain = likelihood.Network(likelihood.vocabulary(likelihood.word_counts(docs), 8, 64)[1], 8)
+    fresh = {k: v.copy() for k, v in plain.w.items()}
+    likelihood.Learner(plain).learn(around, target)  # one task's step on all of them
+    for name in fresh:
+        moved = np.flatnonzero((plain.w[name] != fresh[name]).any(axis=1))
+        assert (np.flatnonzero((network.w[name] != fresh[name]).any(axis=1)) == moved).all() and np.abs(network.w[name] - plain.w[name]).max() < 1e-3, name
+    assert set(np.unique(around)) <= set(np.flatnonzero((network.w["embed"] != fresh["embed"]).any(axis=1)))
+
+
 def test_no_label_reaches_a_score(docs):
     network = quality.Network()
     a = quality.score(docs, network).select("doc_id", "score")
