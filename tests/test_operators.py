@@ -1,8 +1,11 @@
 """Extraction, selection, retrieval, explanation, corpora, streams and policy on small tables."""
 
+import collections
 import json
 import os
 import pathlib
+import random
+import re
 import shutil
 import subprocess
 import sys
@@ -372,6 +375,34 @@ def test_claims_are_looked_up_by_their_rarest_words(spark):
     assert verify.keep_verified(twice, sources, text="line", line_no="line_no").count() == 10
 
 
+def test_only_lines_that_may_bear_out_a_claim_are_kept(spark):
+    r = random.Random(4)
+    word = lambda: r.choice(["alpha", "Beta", "gamma2", "(delta)", "eps-ilon", "zeta,", "of", "report", "É7"])
+    text = {d: "\n".join(" ".join(word() for _ in range(r.randrange(9))) + f" {r.randrange(4)}.5" for _ in range(12)) for d in range(12)}
+    asked = [(d, k, " ".join(word() for _ in range(r.randrange(6))), r.choice(["1.5", "", None, "3.5 g"])) for d in range(10) for k in range(6)] + [(0, 6, "alpha alpha alpha beta", "")]
+    claims = spark.createDataFrame(asked, "doc_id long, claim_id long, raw_name string, value string")
+    sources = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    words = lambda line: [w for w in re.sub(r"[^a-z0-9\s]", " ", re.sub(r"\(.*?\)", "", line).lower()).split() if w]
+    mine, want, likely = collections.defaultdict(set), set(), set()
+    for d, k, name, value in asked:
+        every = words(name)
+        plain = [w for w in every if w not in X.STRUCTURAL_WORDS]
+        mine[d, k] = [w for w in plain if len(w) > 2] or plain or every
+        digits = re.sub(r"[^\d.]", "", value or "")
+        for n, line in enumerate(text[d].split("\n")):
+            if mine[d, k] and sum(w in words(line) for w in mine[d, k]) / len(mine[d, k]) >= 0.6:
+                likely.add((d, n))
+                if not digits or re.search(rf"(?<!\d){re.escape(digits)}(?!\d)", line):
+                    want.add((d, k))
+    found = verify.likely_lines(verify._asked(claims, "doc_id", "claim_id", "raw_name", "value"), sources).collect()
+    assert likely <= {(x["_d"], x["_n"]) for x in found} and len(found) < 10 * 12
+    for x in found:
+        asks = [mine[d, k] for d, k in mine if d == x["_d"] and mine[d, k]]
+        assert set(x["_has"]) == set(words(x["_line"])) & {w for ws in asks for w in ws}
+        assert len(x["_has"]) >= min(max(1, -(-len(ws) * 6 // 10) - len(ws) + len(set(ws))) for ws in asks)
+    assert {(x["doc_id"], x["claim_id"]) for x in verify.keep_verified(claims, sources).collect()} == want and len(want) > 10
+
+
 def oracle(folder, name):
     import duckdb
 

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STRUCTURAL_WORDS, content_tokens, lifestyle_numbers_in, match_form, numbers_in, strip
-from ..sources.kept import kept
+from ..sources.kept import kept, settled
 
 COVERAGE = 0.6
-SMALL = 1 << 20  # words that may be broadcast: 64 MB
 SAME = 1e-9
 
 
@@ -29,21 +28,49 @@ def value_pattern(value: Column | str) -> Column:
     return F.when(digits != "", F.concat(F.lit(r"(?<!\d)"), F.replace(digits, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)")))
 
 
-def _lines(sources: DataFrame, doc: str, text: str, line_no: str | None) -> DataFrame:
-    """_d, _n, _line of every line that isn't blank."""
+def _lines(sources: DataFrame, doc: str, text: str, line_no: str | None, *more: str) -> DataFrame:
+    """_d, _n, _line of every line that isn't blank, and the columns named in ``more``."""
     place = [F.posexplode(F.split(text, "\n")).alias("_n", "_line")] if line_no is None else [F.col(line_no).alias("_n"), F.col(text).alias("_line")]
-    return sources.select(F.col(doc).alias("_d"), *place).where(strip("_line") != "")
+    return sources.select(F.col(doc).alias("_d"), *place, *more).where(strip("_line") != "")
+
+
+def _asked(claims: DataFrame, doc: str, claim: str, name: str, value: str) -> DataFrame:
+    """doc, claim, _words, _p (the value's pattern)."""
+    return claims.select(F.col(doc), F.col(claim), significant_words(name).alias("_words"), value_pattern(value).alias("_p"))
+
+
+def _line_words(line: Column | str) -> Column:
+    """The words of a line's ``match_form``, blanks among them, in two readings of the line and three of one with parentheses."""
+    line = F.col(line) if isinstance(line, str) else line
+    bare = F.when(F.contains(line, F.lit("(")), F.regexp_replace(line, r"\(.*?\)", "")).otherwise(line)
+    return F.split(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "), " ")
+
+
+def likely_lines(asked: DataFrame, sources: DataFrame, doc: str = "doc_id", text: str = "text", line_no: str | None = None) -> DataFrame:
+    """_d, _n, _line, _has (which of the document's claims' words) of the lines that may bear out a claim of their document.
+
+    asked: doc, _words. A claim needs ``COVERAGE`` of its n words; with d different words of it a line has d and all repeats at
+    most, so no line with fewer different words than the least that a claim of its document needs is handed on."""
+    n, different = F.size("_words"), F.size(F.array_distinct("_words"))
+    least = F.greatest(F.lit(1), F.ceil(n * COVERAGE - SAME) - (n - different))
+    own = asked.where(n > 0).groupBy(F.col(doc).alias("_of")).agg(F.array_distinct(F.flatten(F.collect_set("_words"))).alias("_any"), F.min(least).alias("_least"))
+    lines = _lines(sources.join(own, F.col(doc) == F.col("_of")), doc, text, line_no, "_any", "_least")
+    has = settled(lines.select("_d", "_n", "_line", "_least", F.array_intersect(_line_words("_line"), "_any").alias("_has")))
+    return has.where(F.size("_has") >= F.col("_least")).drop("_least")
 
 
 def looked_up(claims: DataFrame, words: DataFrame, doc: str, claim: str, name: str, value: str) -> DataFrame:
-    """doc, claim, _words, _p (the value's pattern) and _word: the words that a claim is looked up by, its rarest ones.
+    """doc, claim, _words, _p (the value's pattern) and _word: the words that a claim is looked up by, its document's rarest ones.
 
     A line that has ``COVERAGE`` of a claim's n words lacks less than the rest, so it has one of any n - least + 1 of them.
-    words: _w for each line and word."""
-    asked = claims.select(F.col(doc), F.col(claim), significant_words(name).alias("_words"), value_pattern(value).alias("_p"))
+    words: _d, _w for each line and word."""
+    return _looked_up(_asked(claims, doc, claim, name, value), words, doc, claim)
+
+
+def _looked_up(asked: DataFrame, words: DataFrame, doc: str, claim: str) -> DataFrame:
     each = asked.withColumn("_word", F.explode("_words"))
-    count = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
-    counted = each.join(count, F.col("_word") == F.col("_w"), "left").groupBy(doc, claim, "_words", "_p")
+    count = words.groupBy("_d", "_w").agg(F.count(F.lit(1)).alias("_f"))
+    counted = each.join(count, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w")), "left").groupBy(doc, claim, "_words", "_p")
     counted = counted.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_word"))).alias("_each"))  # of one name
     repeats = F.size("_each") / F.size("_words")  # rows that agree in all of these columns
     n = F.size("_words")
@@ -56,18 +83,15 @@ def verified(claims: DataFrame, sources: DataFrame, doc: str = "doc_id", claim:
 
     ``sources`` has one row for each document, or with ``line_no`` one for each line.
 
-    Words are counted first, over all lines. Claims meet lines of their document by the few rarest of their words alone, so
-    words that many lines have join nothing; only lines that are met are read again, for the other words and the value.
+    Texts are read once, beside the words of their document's claims; lines with enough of these are kept, with the words they
+    have. Claims meet kept lines of their document by the few rarest of their words alone, so words that many lines have join
+    nothing.
     """
-    lines = _lines(sources, doc, text, line_no)
-    words = lines.select("_d", "_n", F.explode(F.array_distinct(F.split(match_form("_line"), " "))).alias("_w"))
-    asked = kept(looked_up(claims, words, doc, claim, name, value))
-    rare = asked.select(F.col("_word").alias("_r")).distinct()
-    if rare.count() <= SMALL:
-        words = words.join(F.broadcast(rare), F.col("_w") == F.col("_r"), "left_semi")
-    met = asked.join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w"))).select(doc, claim, "_words", "_p", F.col("_n").alias("_at")).distinct()
+    asked = kept(_asked(claims, doc, claim, name, value))
+    lines = kept(likely_lines(asked, sources, doc, text, line_no))
+    words = lines.select("_d", "_n", F.explode("_has").alias("_w"))
+    met = _looked_up(asked, words, doc, claim).join(words, (F.col(doc) == F.col("_d")) & (F.col("_word") == F.col("_w"))).select(doc, claim, "_words", "_p", F.col("_n").alias("_at")).distinct()
     there = met.join(lines, (F.col(doc) == F.col("_d")) & (F.col("_at") == F.col("_n")))
-    there = there.withColumn("_has", F.split(match_form("_line"), " "))
     hit = F.size(F.filter("_words", lambda w: F.array_contains("_has", w)))
     return there.where((hit / F.size("_words") >= COVERAGE) & F.coalesce(F.rlike("_line", F.col("_p")), F.lit(True))).select(doc, claim).distinct()
 
