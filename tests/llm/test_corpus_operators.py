@@ -668,6 +668,20 @@ def test_near_passages_of_a_hot_group_and_rows_without_ids(spark, monkeypatch):
     assert len([r for r in found if r["doc_id"] is None]) == 1 and len(found) <= 61 * (1 + len(substrings.BESIDE))
 
 
+def test_near_passages_whose_groups_begin_with_others(spark, monkeypatch):
+    shared = prose(5, 60).split()
+    pieces = [" ".join([prose(3000 + k, 40), *shared[s : s + 30], prose(4000 + k, 40)]) for k, s in enumerate(s for s in range(0, 31, 2) for _ in range(4))]
+    edited = [*shared[:20], "edit", *shared[21:]]
+    later = [" ".join([prose(5000 + k, 40), *w, prose(6000 + k, 40)]) for k, w in enumerate((shared, shared, edited))]
+    docs = spark.createDataFrame(list(enumerate(pieces + later)), "doc_id long, text string")
+    a, b, c = range(len(pieces), len(pieces) + 3)
+    for together in (substrings.TOGETHER, 3):
+        monkeypatch.setattr(substrings, "TOGETHER", together)
+        found = substrings.near_passages(docs).collect()
+        assert {(r["rep_doc_id"], r["doc_id"]) for r in found} == {(a, b), (a, c), (b, c)}
+        assert any((r["start_word"], r["end_word"], r["rep_start_word"], r["rep_end_word"]) == (40, 100, 40, 100) for r in found)
+
+
 def test_spread_join(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 4)
     many = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(400)], "id long, key long")
