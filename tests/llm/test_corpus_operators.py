@@ -682,6 +682,38 @@ def test_near_passages_whose_groups_begin_with_others(spark, monkeypatch):
         assert any((r["start_word"], r["end_word"], r["rep_start_word"], r["rep_end_word"]) == (40, 100, 40, 100) for r in found)
 
 
+def test_windows_meet_alike_in_any_order():
+    rng, side = np.random.default_rng(8), substrings.TOKENS - 1
+    base, cores = rng.integers(0, 2**16, 2 * side + 1), []
+    for k in range(40):
+        own = base.copy()
+        own[rng.integers(0, side, 12)] = rng.integers(0, 2**16, 12)
+        own[side + rng.integers(1, side, 12)] = own[side] if k % 2 else k  # repeats count on one side alone
+        cores.append(own.astype("<u2").tobytes())
+    doc, m, wide = np.arange(40) // 2, np.arange(40), np.full(40, side, np.int32)
+    near, second = rng.integers(0, 3, 40), np.zeros(40, bool)
+    met = []
+    for _ in range(6):
+        at = rng.permutation(40)
+        u, v = substrings.meeting(np.zeros(40, np.int64), np.zeros(40, bool), doc[at], m[at], wide, wide, near[at], np.array(cores, object)[at], second)
+        met.append({frozenset(x) for x in zip(at[u].tolist(), at[v].tolist(), strict=True)})
+    assert 0 < len(met[0]) < 40 * 38 // 2 and all(x == met[0] for x in met)
+
+
+def test_pairs_without_hope_have_no_passage():
+    r, pairs = random.Random(12), []
+    for k in range(300):
+        words = prose(700 + k, r.randrange(50, 120)).split()
+        if k % 7 == 0:
+            words += ["same"] * 60
+        every = r.randrange(6, 60)
+        edited = [w for i, w in enumerate(words) for w in ([f"e{k}x{i}"] if i % every == every - 1 else [w])]
+        pairs.append([(substrings.tokens(" ".join(w)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for w in (words, edited if k % 5 else edited[:20])])
+    sides = [x for side in zip(*pairs, strict=True) for x in (np.concatenate(side), np.array([len(t) for t in side]))]
+    hope, found = substrings.hopeful(*sides), np.array([any(True for _ in substrings.compare(*p)) for p in pairs])
+    assert found.sum() > 50 and not (found & ~hope).any() and (~hope).sum() > 50
+
+
 def test_spread_join(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 4)
     many = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(400)], "id long, key long")
