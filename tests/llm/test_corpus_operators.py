@@ -838,6 +838,44 @@ def test_likelihood_gradient():
                 w[rows[k], c] += step
 
 
+def test_likelihood_of_running_text_takes_each_id_once(monkeypatch):
+    rng, end = np.random.default_rng(9), 63
+    network = likelihood.Network(rng.integers(0, 50, 64).astype(float), base=4)
+    network.w = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in network.w.items()}
+    flat, at = likelihood.padded([rng.integers(0, 40, n) for n in (1, 5, 0, 2100, 70)], end)
+    for some in (at, at[:1], at[3:90], at[0:0]):
+        around, target = flat[some[:, None] + likelihood.OFFSETS], flat[some]
+        assert np.abs(network.log_p_in(flat, some) - network.log_p(around, target)).max(initial=0) < 1e-5
+        laid, sums, tallies = network.gradient(around, target), [], np.bincount
+        monkeypatch.setattr(np, "bincount", lambda x, *a, **k: sums.append(len(x)) or tallies(x, *a, **k))
+        found = network.gradient_in(flat, some)
+        monkeypatch.undo()
+        assert len(sums) <= likelihood.HIDDEN + 1  # by id, not by id and place
+        for name, (rows, g) in found.items():
+            assert np.array_equal(rows, laid[name][0]) and np.abs(g - laid[name][1]).max(initial=0) < 1e-2
+        assert set(found["embed"][0]) == set(around.ravel().tolist())
+
+
+def test_likelihood_looks_each_word_of_a_batch_up_once():
+    class Slots(dict):
+        looked = 0
+
+        def get(self, *key):
+            self.looked += 1
+            return super().get(*key)
+
+    words = likelihood.Words([b"of", b"the"], np.ones((256, 256)), 8, 64)
+    words.slots = Slots(words.slots)
+    odd = ["", "  of the\n\n\x0bc\x1c d\x85e ", "   ", "of", "of \xfc \xfc \0", "the of " * 500]
+    coded = words.code(odd)
+    every = [w for t in odd for w in t.encode().split()]
+    assert [len(c[0]) for c in coded] == [len(t.split(" ")) - 1 if len(t) > 99 else len(t.encode().split()) for t in odd]
+    assert words.slots.looked == len(set(every)) < len(every)
+    for (ids, spelled), text in zip(coded, odd, strict=True):
+        own = text.encode().split()
+        assert ids.tolist() == [words.ids[words.slots[w]] for w in own] and abs(spelled - sum(words.spelled[words.slots[w]] for w in own)) < 1e-9
+
+
 def test_likelihood_learns_and_remembers(spark):
     base = [prose(k, 60).split() for k in range(60)]
     twice = [(500 + 2 * k + c, " ".join(prose(800 + k, 80).split())) for k in range(10) for c in (0, 1)]
