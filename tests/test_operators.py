@@ -427,6 +427,23 @@ def test_character_references_without_a_semicolon(spark, tmp_path, name):
     assert [r["text"] for r in heads.orderBy("page_id").collect()] == ["And&&&", 'And&&"', "And&&&"]
 
 
+def test_chunks_are_shuffled_without_their_sections(spark):
+    """Sections are made where pages are read, and what meets by its beginning is the chunk, not the section's whole text too."""
+    body = " ".join(f"Sentence number {k} of a page that goes on." for k in range(200))
+    pages = [(k, f"https://x/{k}", f"<title>T{k}</title><article><p>{k} before</p><h1>A{k}</h1><p>{k} {body}</p><h2>B</h2><h2>C</h2><p>{body}</p></article>") for k in (1, 2, None)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = corpus.page_sections(pages, more=("url",))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.drop("url").collect())) == sorted(map(tuple, corpus.sections(corpus.blocks(pages.where("page_id is not null"))).collect()))
+    made = corpus.chunks(got.withColumns({"source": F.lit("s"), "test_ids": F.array(F.lit("x")), "seq": F.col("page_id")}))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate" in line and "body" in line]
+    sources = spark.createDataFrame([(k, f"https://x/{k}", "s", ["x"], k) for k in (1, 2)], "page_id long, url string, source string, test_ids array<string>, seq long")
+    again = corpus.chunks(corpus.sections(corpus.blocks(pages)), sources)
+    rows = sorted(map(str, made.collect()))
+    assert rows == sorted(map(str, again.collect())) and len(rows) == 10
+
+
 def test_pages_are_read_few_at_a_time(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

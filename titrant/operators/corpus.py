@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, derive_test_ids, strip
@@ -149,9 +149,10 @@ class _Page(HTMLParser):
         return "".join(e for e in self.events[begun : self.events.index(-at, begun)] if isinstance(e, str))
 
 
-def _read(pages: DataFrame, key: str, html: str, columns: str, found: Callable[[str], list[tuple]]) -> DataFrame:
-    """key and ``columns`` (the last two are texts) of the rows ``found`` in each page. Workers hold few pages and their texts
-    at a time, however many there are."""
+def _read(pages: DataFrame, key: str, html: str, columns: str, found: Callable[[str], list[tuple]], more: tuple[str, ...] | None = None) -> DataFrame:
+    """key and ``columns`` (the last two are texts) of the rows ``found`` in each page; with ``more``, a row for each page that has
+    any: key, the columns ``more`` of pages, and the rows as the array found. Workers hold few pages and their texts at a time,
+    however many there are."""
     fewer_arrow_rows(pages.sparkSession, PAGES_AT_ONCE)
     names = [key, *(c.split()[0] for c in columns.split(", "))]
     kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in columns.split(", ")]
@@ -165,12 +166,18 @@ def _read(pages: DataFrame, key: str, html: str, columns: str, found: Callable[[
                 rows += new
                 size += sum(len(r[-1]) + len(r[-2]) for r in new)
                 if rows and (size >= TOLD_AT_ONCE or k == batch.num_rows - 1):  # the last page hands on what is left
-                    kept = [batch[key].take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
-                    yield pa.RecordBatch.from_arrays(kept, names)
+                    made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    if more is not None:
+                        begins = [i for i, page in enumerate(at) if not i or page != at[i - 1]]
+                        made = [pa.ListArray.from_arrays(pa.array([*begins, len(at)], pa.int32()), pa.StructArray.from_arrays(made, names[1:]))]
+                        at = [at[i] for i in begins]
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(at, pa.int32())) for c in own), *made], [*own, "found"] if more is not None else names)
                     at, rows, size = [], [], 0
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(each, f"{key} {kind}, {columns}")
+    own = (key, *(more or ()))
+    given = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in own)
+    shown = columns if more is None else "found array<struct<" + ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", ")) + ">>"
+    return pages.select(*own, html).mapInArrow(each, f"{given}, {shown}")
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", tags: tuple[str, ...] = TEXT_TAGS, bare: bool = True) -> DataFrame:
@@ -178,27 +185,58 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", tags: tup
 
     ``bare``: character references that no semicolon ends are read as browsers read them; else they are text."""
 
+    out = _read(pages, key, html, BLOCK, _blocks(tags, bare)).select(key, "seq", "title", "tag", "text")
+    return out.withColumns({"title": _title(F.col("title")), "text": clean_text("text")}).where("text != ''")
+
+
+BLOCK = "seq long, tag string, title string, text string"
+
+
+def _blocks(tags: tuple[str, ...], bare: bool) -> Callable[[str], list[tuple]]:
     def found(h: str) -> list[tuple]:
         page = _Page(h if bare else BARE.sub("&amp;", h))
         title = page.title()
         return [(at, tag, title, text) for at, tag, text in page.texts(page.root(), TEXT_TAGS) if tag in tags]
 
-    out = _read(pages, key, html, "seq long, tag string, title string, text string", found).select(key, "seq", "title", "tag", "text")
-    title = strip(F.split_part(F.split_part(clean_text("title"), F.lit(":"), F.lit(1)), F.lit(" - NHS"), F.lit(1)))
-    return out.withColumns({"title": title, "text": clean_text("text")}).where("text != ''")
+    return found
+
+
+def _title(title: Column) -> Column:
+    return strip(F.split_part(F.split_part(clean_text(title), F.lit(":"), F.lit(1)), F.lit(" - NHS"), F.lit(1)))
 
 
 def sections(found: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, title, section_no, section, body: text under its last heading, boilerplate and short sections apart."""
-    heading = F.col("tag").isin("h1", "h2", "h3")
-    order = Window.partitionBy(key).orderBy("seq")
-    carried = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(order)
+    """key, title, section_no, section, body of ``blocks``: text under its last heading, boilerplate and short sections apart."""
+    pages = found.groupBy(key, "title").agg(F.array_sort(F.collect_list(F.struct("seq", "tag", "text"))).alias("_b"))
+    return _sectioned(pages.select(key, "title", "_b"), F.col("_b"))
+
+
+def page_sections(pages: DataFrame, key: str = "page_id", html: str = "html", bare: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """``sections`` of the ``blocks`` of pages, made where a page is read, so that no text is shuffled, with the columns ``more`` of
+    pages; pages without a key have none."""
+    read = _read(pages.where(F.col(key).isNotNull()), key, html, BLOCK, _blocks(TEXT_TAGS, bare), more)
+    clean = F.transform("found", lambda b: F.struct(b["seq"].alias("seq"), b["tag"].alias("tag"), clean_text(b["text"]).alias("text")))
+    title = _title(F.get("found", F.lit(0))["title"]).alias("title")
+    return _sectioned(read.select(key, *more, title, "found"), F.filter(clean, lambda b: b["text"] != ""))
+
+
+def _sectioned(pages: DataFrame, blocks: Column) -> DataFrame:
+    """Sections of pages whose last column, which goes, holds ``blocks`` in document order: seq, tag, text."""
+    heading = lambda b: b["tag"].isin("h1", "h2", "h3")
     start = F.coalesce(F.nullif("title", F.lit("")), F.lit("Overview"))
-    rows = found.withColumns({"section": F.coalesce(carried, start), "section_no": F.sum(heading.cast("long")).over(order)})
-    rows = rows.where(~heading & ~F.col("text").rlike(BOILERPLATE) & ~F.col("section").rlike(SKIPPED_HEADING))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    out = rows.groupBy(key, "title", "section_no", "section").agg(body.alias("body"))
-    return out.where(F.length("body") >= LEAST_CHARS)
+
+    def section(b: Column, cuts: Column, cut: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(cuts, k + 1), F.size(b))
+        said = F.filter(F.slice(b, cut + 2, end - cut - 1), lambda x: ~heading(x) & ~x["text"].rlike(BOILERPLATE))
+        name = F.when(k == 0, start).otherwise(F.get(b, F.greatest(cut, F.lit(0)))["text"])
+        return F.struct(k.cast("long").alias("section_no"), name.alias("section"), F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("body"))
+
+    # The places of headings, after that of the page's beginning.
+    places = lambda b: F.concat(F.array(F.lit(-1)), F.filter(F.transform(b, lambda x, i: F.when(heading(x), i)), lambda i: i.isNotNull()))
+    made = let(blocks, lambda b: let(places(b), lambda cuts: F.transform(cuts, lambda cut, k: section(b, cuts, cut, k))))
+    # An outer one: for others the optimiser adds a filter that works the sections out again; there is always one.
+    out = pages.select(*pages.columns[:-1], F.inline_outer(made))
+    return out.where((F.length("body") >= LEAST_CHARS) & ~F.col("section").rlike(SKIPPED_HEADING))
 
 
 def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
@@ -225,11 +263,14 @@ def split_long(text: Column | str, most: int = MOST_CHARS) -> Column:
     return F.when(F.length(text) <= most, F.array(text)).otherwise(pieces)
 
 
-def chunks(sectioned: DataFrame, sources: DataFrame, key: str = "page_id") -> DataFrame:
-    """Chunks of all sections; of equal beginnings the first stays. ``sources``: key, url, source, test_ids, seq."""
-    rows = sectioned.join(sources, key).select("*", F.posexplode(split_long("body")).alias("piece_no", "text"))
-    rows = rows.withColumns({"ordinal": F.struct("seq", "section_no", "piece_no"), "fingerprint": fingerprint("text")})
-    rows = first_wins(rows, ["fingerprint"], "ordinal")
+def chunks(sectioned: DataFrame, sources: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """Chunks of all sections; of equal beginnings the first stays. ``sources``: key, url, source, test_ids, seq; or the sections
+    have these columns. What is shuffled by its beginning's digest is the chunk alone, not the section's text beside each."""
+    rows = sectioned if sources is None else sectioned.join(sources, key)
+    own = ("test_ids", "title", "section", "source", "url")
+    rows = rows.select("seq", "section_no", *own, F.posexplode_outer(split_long("body")).alias("piece_no", "text")).where("text is not null")
+    rows = rows.select(F.struct("seq", "section_no", "piece_no").alias("ordinal"), *own, "text")
+    rows = first_wins(rows, [F.unhex(F.sha2(fingerprint("text"), 256))], "ordinal")
     topic = F.coalesce(F.nullif("title", F.lit("")), F.col("section"))
     embed = F.concat(F.col("title"), F.lit(" - "), F.col("section"), F.lit(": "), F.col("text"))
     return rows.select("ordinal", "test_ids", topic.alias("topic"), "section", "text", embed.alias("embed_text"), "source", "url")

@@ -59,7 +59,7 @@ def read_and_upload(spark: SparkSession, grids: DataFrame, words: DataFrame, lin
 
 def build_corpus(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors, and the pages that gave no section. pages: page_id, html; sources: page_id, url, source, test_ids, seq."""
-    sectioned = corpus.sections(corpus.blocks(pages))
+    sectioned = corpus.page_sections(pages)
     made = retrieve.embed(corpus.chunks(sectioned, sources), "embed_text")
     return made, pages.select("page_id").join(sectioned, "page_id", "left_anti")
 
