@@ -53,6 +53,25 @@ def test_batches_and_failures(spark):
     assert [(r["test_id"], r["needs_review"]) for r in rows if r["doc_id"] == 4] == [("HBA1C", False)]
 
 
+def test_outcomes_stay_by_report_and_are_read_once(spark):
+    """What follows the calls starts where a report's outcomes lie, without a shuffle or the answers; an answer that is no text
+    fails alone; images beyond a batch's bytes are handed on."""
+
+    def odd(text, images):
+        said = base64.b64decode(images[0].split(",", 1)[1])
+        return {"results": []} if said == b"dict" else "\ud800" if said == b"cut" else see(text, images) if len(said) < 99 else '{"results": [{"raw_name": "Big", "value": "%d"}]}' % len(said)
+
+    pages = [(1, 1, b"dict"), (2, 1, b"cut"), (3, 1, b"Alpha|3|g")] + [(4, k, bytes(vision.BYTES // 4 + k)) for k in range(1, 14)]
+    pages = spark.createDataFrame(pages, "doc_id long, page int, image binary").repartition(2)
+    read = vision.read_images(vision.page_batches(pages), odd)
+    assert "answer" not in read.columns
+    calls = {(r["doc_id"], r["page_range"]): (r["ok"], r["n_results"]) for r in vision.outcomes(read).collect()}
+    assert calls == {(1, "1-1"): (False, 0), (2, "1-1"): (False, 0), (3, "1-1"): (True, 1)} | {(4, r): (True, 1) for r in ("1-4", "5-8", "9-12", "13-13")}
+    found = vision.extracted(read, dims.aliases(spark))
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["value"] for r in found.where("doc_id = 4").collect()] == [str(vision.BYTES // 4 + 1)]
+
+
 def test_text_is_read_where_no_image_was(spark):
     pages = spark.createDataFrame([(1, 1, b"Alpha|3|g"), (2, 1, b"bad"), (3, 1, b"bad")], "doc_id long, page int, image binary")
     texts = spark.createDataFrame([(1, "Beta|4|g"), (2, "Gamma|5|g\nGamma|6|g"), (3, " \n"), (4, "chat"), (5, "Delta|1|g")], "doc_id long, text string")

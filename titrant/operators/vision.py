@@ -9,20 +9,19 @@ is spread by batch, so the pages of a long report are read by many tasks at once
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_text, strip
-from ..sources.kept import arrow_rows, kept
+from ..sources.kept import arrow_rows, kept_by
 from .extract import clean_extracted
-from .results import assign_batches, dedupe
+from .results import dedupe
 
 PAGES = 4
-AT_A_TIME = 16  # calls whose images a worker holds at once
+AT_A_TIME, BYTES = 1000, 16 << 20  # calls that a worker is handed at once, and their images' size beyond which no other is added
 # What a generator is told, and the answer's form.
 IMAGES_ASKED = ("Extract all clinical lab test results visible in these images (report pages ", ").")
 TEXT_ASKED = ("Extract all medical test results from this text:\n---\n", "\n---")
@@ -34,10 +33,12 @@ Reader = Callable[[str, list[str]], str]
 def page_batches(pages: DataFrame) -> DataFrame:
     """doc_id, batch (from 0), page_range, images: pages (doc_id, page, image) in order, ``PAGES`` at a time; pages without an
     image are none."""
-    dealt = assign_batches(pages.where("image is not null"), ["doc_id"], ["page"], PAGES)
-    whole = dealt.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("_p"))  # PAGES at most
-    first = F.col("batch") * PAGES
-    return whole.select("doc_id", "batch", F.concat((first + 1).cast("string"), F.lit("-"), (first + F.size("_p")).cast("string")).alias("page_range"), F.transform("_p", lambda p: p["image"]).alias("images"))
+    order = Window.partitionBy("doc_id").orderBy("page", "image")
+    ahead = F.array("image", *(F.lead("image", k).over(order) for k in range(1, PAGES)))
+    dealt = pages.where("image is not null").select("doc_id", F.row_number().over(order).alias("_at"), ahead.alias("_i")).where(F.col("_at") % PAGES == 1)
+    images = F.filter("_i", lambda i: i.isNotNull())
+    page_range = F.concat(F.col("_at").cast("string"), F.lit("-"), (F.col("_at") + F.size("images") - 1).cast("string"))
+    return dealt.select("doc_id", F.floor((F.col("_at") - 1) / PAGES).cast("long").alias("batch"), "_at", images.alias("images")).select("doc_id", "batch", page_range.alias("page_range"), "images")
 
 
 def data_url(image: bytes) -> str:
@@ -48,23 +49,26 @@ def _asked(reader: Reader, text: str, images: list[str]) -> tuple[str | None, st
     """Answer and reason of failure of one call."""
     try:
         answer = reader(text, images)
-        json.dumps(answer)
-        return answer, None
+        return answer if answer is None else answer.encode().decode(), None  # nothing but text that can be written
     except Exception as e:
-        return None, f"{type(e).__name__}: {e}"
+        return None, f"{type(e).__name__}: {e}".encode(errors="replace").decode()
 
 
 def _outcomes(asked: DataFrame, reader: Reader, at_once: int | None) -> DataFrame:
-    """Kept outcomes of rows (doc_id, batch, page_range, text, images), each one call: doc_id, batch, page_range, answer, failure."""
+    """Kept outcomes of rows (doc_id, batch, page_range, text, images), each one call: doc_id, batch, page_range, results (read out of
+    the answer once; null: it has none), failure; those of a report lie in one place."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            said = [_asked(reader, r.text, [data_url(bytes(i)) for i in r.images]) for r in frame.itertuples()]
-            yield frame[["doc_id", "batch", "page_range"]].assign(answer=[a for a, _ in said], failure=[f for _, f in said])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [_asked(reader, text.as_py(), [data_url(i) for i in images.as_py()]) for text, images in zip(batch["text"], batch["images"], strict=True)]
+            told = [pa.array(c, pa.string()) for c in zip(*said, strict=True)] if said else [pa.array([], pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *told], [*names, "answer", "failure"])
 
+    names = ["doc_id", "batch", "page_range"]
     asked = asked.repartition(at_once, "doc_id", "batch") if at_once else asked
-    with arrow_rows(asked.sparkSession, AT_A_TIME):
-        return kept(asked.mapInPandas(each, "doc_id long, batch long, page_range string, answer string, failure string"))
+    with arrow_rows(asked.sparkSession, AT_A_TIME, BYTES):
+        said = asked.mapInArrow(each, "doc_id long, batch long, page_range string, answer string, failure string")
+        return kept_by(said.select(*names, _results("answer").alias("results"), "failure"), "doc_id")
 
 
 def read_images(batches: DataFrame, reader: Reader, at_once: int | None = None) -> DataFrame:
@@ -87,15 +91,15 @@ def _results(answer: Column | str) -> Column:
 
 def outcomes(read: DataFrame) -> DataFrame:
     """doc_id, batch, page_range, ok, n_results, failure: each call; an answer without a list of results is a failure."""
-    rows = read.withColumn("_r", _results("answer"))
-    failure = F.coalesce("failure", F.when(F.col("_r").isNull(), F.lit("no results in the answer")))
-    return rows.select("doc_id", "batch", "page_range", failure.isNull().alias("ok"), F.coalesce(F.size("_r"), F.lit(0)).alias("n_results"), failure.alias("failure"))
+    failure = F.coalesce("failure", F.when(F.col("results").isNull(), F.lit("no results in the answer")))
+    n = F.when(F.col("results").isNotNull(), F.size("results")).otherwise(0)
+    return read.select("doc_id", "batch", "page_range", failure.isNull().alias("ok"), n.alias("n_results"), failure.alias("failure"))
 
 
 def extracted(read: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rows out of the answers: cleaned, named, with page_range, and deduplicated in each report by pages, then place in the
     answer. seq: tier, page (the batch's first), place."""
-    found = read.select("doc_id", "batch", "page_range", F.posexplode(_results("answer")).alias("_at", "_r")).where("_r is not null")
+    found = read.select("doc_id", "batch", "page_range", F.posexplode("results").alias("_at", "_r")).where("_r is not null")
     seq = F.struct(F.lit(3).alias("tier"), (F.col("batch") * PAGES + 1).cast("int").alias("page"), F.col("_at").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     rows = clean_extracted(found.select("doc_id", "page_range", seq.alias("seq"), "_r.*"), aliases)
     return dedupe(rows, within=("doc_id",))
@@ -105,11 +109,11 @@ def holistic(pages: DataFrame, texts: DataFrame, aliases: DataFrame, images: Rea
     """Rows, tiers (doc_id, tier: vision, llm_text or failed) and outcomes of reports: the images' rows, or where a report has
     none of them the text's. pages: doc_id, page, image; texts: doc_id, text."""
     seen = read_images(page_batches(pages), images, at_once)
-    by_image = kept(extracted(seen, aliases))
+    by_image = kept_by(extracted(seen, aliases))
     docs = pages.select("doc_id").unionByName(texts.select("doc_id")).distinct()
     left = texts.join(by_image.select("doc_id").distinct(), "doc_id", "left_anti")
     told = read_texts(left, text, at_once)
-    by_text = kept(extracted(told, aliases))
+    by_text = kept_by(extracted(told, aliases))
     rows = by_image.withColumn("tier", F.lit("vision")).unionByName(by_text.withColumn("tier", F.lit("llm_text")))
     tiers = docs.join(rows.groupBy("doc_id").agg(F.first("tier").alias("tier")), "doc_id", "left").withColumn("tier", F.coalesce("tier", F.lit("failed")))
     calls = outcomes(seen).withColumn("tier", F.lit("vision")).unionByName(outcomes(told).withColumn("tier", F.lit("llm_text")))

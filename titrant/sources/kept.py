@@ -37,13 +37,14 @@ def kept(df: DataFrame) -> DataFrame:
 
 def kept_by(df: DataFrame, *columns: str, parts: int | None = None) -> DataFrame:
     """``kept`` with rows of equal ``columns`` in one place, which later steps know: windows, groups and joins by these (and
-    more) columns start from there without a shuffle, so several of them can share one reading."""
+    more) columns start from there without a shuffle, so several of them can share one reading. Without ``columns`` rows stay
+    where they are, which later steps know as well."""
     spark = df.sparkSession
     key = "spark.sql.adaptive.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "false")  # a plan that is changed while it runs doesn't tell where its rows lie
     try:
-        return kept(df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *columns))
+        return kept(df.repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *columns) if columns else df)
     finally:
         spark.conf.set(key, before)
 
@@ -60,15 +61,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs inside is handed to workers in Arrow batches of ``rows`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def arrow_rows(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """What runs inside is handed to workers in Arrow batches of ``rows`` rows at most, that end with the row that reaches ``size``
+    bytes."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def fewer_arrow_rows(spark: SparkSession, rows: int) -> None:
