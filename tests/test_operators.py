@@ -444,6 +444,14 @@ def test_chunks_are_shuffled_without_their_sections(spark):
     assert rows == sorted(map(str, again.collect())) and len(rows) == 10
 
 
+def test_boilerplate_is_looked_for_by_its_words(spark):
+    words = corpus.BOILERPLATE[5:-1].replace("\\.", ".").split("|")
+    assert sorted(words) == sorted(corpus.BOILERPLATE_HAS)
+    said = [f"x {w.title()} y" for w in words] + [w.upper() for w in words] + ["adam", "Copy right", "", "İ page", "java script"]
+    got = spark.createDataFrame([(w,) for w in said], "t string").select(corpus._boilerplate(F.col("t")).alias("a"), F.col("t").rlike(corpus.BOILERPLATE).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [True] * 2 * len(words) + [False] * 5
+
+
 def test_pages_are_read_few_at_a_time(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,11 @@ BOILERPLATE = (
     r"(?i)(page last reviewed|next review due|urac|health on the net|the information on this site should not be used|a\.d\.a\.m\.|copyright|"
     r"all rights reserved|cookies on the nhs|medlineplus links to health information|is the official website of|javascript)"
 )
+# Lower case, one of which is in whatever BOILERPLATE finds.
+BOILERPLATE_HAS = (
+    "page last reviewed", "next review due", "urac", "health on the net", "the information on this site should not be used", "a.d.a.m.", "copyright",
+    "all rights reserved", "cookies on the nhs", "medlineplus links to health information", "is the official website of", "javascript",
+)
 STRIPPED_TAGS = ("script", "style", "nav", "aside", "footer", "header", "form", "noscript", "iframe", "button")
 STRIPPED_CLASSES = (
     "mp-refs", "mp-share", "mp-related", "usa-banner", "breadcrumb", "nhsuk-breadcrumb", "nhsuk-contents-list", "nhsuk-pagination",
@@ -220,6 +227,12 @@ def page_sections(pages: DataFrame, key: str = "page_id", html: str = "html", ba
     return _sectioned(read.select(key, *more, title, "found"), F.filter(clean, lambda b: b["text"] != ""))
 
 
+def _boilerplate(text: Column) -> Column:
+    """Whether BOILERPLATE finds something; without any of its words, which are faster to look for, it doesn't."""
+    some = let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in BOILERPLATE_HAS)))
+    return F.when(some, text.rlike(BOILERPLATE)).otherwise(False)
+
+
 def _sectioned(pages: DataFrame, blocks: Column) -> DataFrame:
     """Sections of pages whose last column, which goes, holds ``blocks`` in document order: seq, tag, text."""
     heading = lambda b: b["tag"].isin("h1", "h2", "h3")
@@ -227,7 +240,7 @@ def _sectioned(pages: DataFrame, blocks: Column) -> DataFrame:
 
     def section(b: Column, cuts: Column, cut: Column, k: Column) -> Column:
         end = F.coalesce(F.get(cuts, k + 1), F.size(b))
-        said = F.filter(F.slice(b, cut + 2, end - cut - 1), lambda x: ~heading(x) & ~x["text"].rlike(BOILERPLATE))
+        said = F.filter(F.slice(b, cut + 2, end - cut - 1), lambda x: ~heading(x) & ~_boilerplate(x["text"]))
         name = F.when(k == 0, start).otherwise(F.get(b, F.greatest(cut, F.lit(0)))["text"])
         return F.struct(k.cast("long").alias("section_no"), name.alias("section"), F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("body"))
 
